@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate, quality, warc_zip
 from .common import table
 from .mixing import mix
 from .simhash import near_duplicates
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence, site shares, posterior and decision of every document."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 3-word shingles over whole texts, linked at 2 or fewer differing bits."""
     found = near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=2)
@@ -35,9 +41,28 @@ FROM m, LATERAL (SELECT unnest(range(0, copies)) AS copy_no)
 """
 
 
+def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record in ZIP packages, read back by ranges; the digest columns of each record."""
+    return warc_zip.round_trip(table(spark, sf_dir, "pages")).select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+h AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS holder FROM p)
+SELECT page_id, url, payload_bytes, payload_digest, CASE WHEN holder = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN holder <> page_id THEN holder END AS refers_to
+FROM h
+"""
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark, verbatim or with other numbers, names and units."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": OP5_SQL}
+    return {"op5_mix_sources": OP5_SQL, "op7_warc_zip": OP7_SQL}
