@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, warc_zip
+from . import decontaminate, quality, syncmers, warc_zip
 from .common import table
 from .mixing import mix
 from .simhash import near_duplicates
@@ -22,6 +22,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return syncmers.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, repeated so that sources weigh as the square root of their size, in global random order."""
     return mix(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 9))
