@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, syncmers, warc_zip
+from . import decontaminate, lines, quality, syncmers, warc_zip
 from .common import table
 from .mixing import mix
 from .simhash import near_duplicates
@@ -22,6 +22,31 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that repeats an earlier one, with at most one word edited, and the earliest it repeats."""
+    return lines.duplicates(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+w AS (SELECT DISTINCT doc_id * 1000000 + pos AS place, list_filter(string_split_regex(line, '[\\x00-\\x20]+'), lambda x: x <> '') AS words FROM l),
+t AS (SELECT place, words, array_to_string(words, ' ') AS own FROM w WHERE len(words) > 0),
+d AS (SELECT own, any_value(words) AS words, min(place) AS place FROM t GROUP BY own),
+g AS (SELECT own, words, place, unnest(range(len(words))) AS gap FROM d WHERE len(words) >= 5),
+v AS (SELECT own, place, gap, len(words) AS n, array_to_string(list_concat(words[1:gap], words[gap + 2:]), ' ') AS variant FROM g),
+pairs AS (
+  SELECT own, min(best) AS best FROM (
+    SELECT own, min(place) OVER (PARTITION BY n, gap, variant) AS best FROM v
+    UNION ALL SELECT v.own, d.place FROM v JOIN d ON d.own = v.variant AND len(d.words) >= 5
+    UNION ALL SELECT d.own, v.place FROM v JOIN d ON d.own = v.variant AND len(d.words) >= 5)
+  GROUP BY own),
+k AS (SELECT d.own, d.place AS first, least(d.place, coalesce(p.best, d.place)) AS kept FROM d LEFT JOIN pairs p ON p.own = d.own)
+SELECT t.place // 1000000 AS doc_id, t.place % 1000000 AS line_no, k.kept // 1000000 AS kept_doc_id, k.kept % 1000000 AS kept_line_no,
+       CAST(CASE WHEN k.kept = k.first THEN 0 ELSE 1 END AS INTEGER) AS edits
+FROM t JOIN k ON k.own = t.own WHERE k.kept < t.place
+"""
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
     return syncmers.with_edits(table(spark, sf_dir, "documents"))
@@ -70,4 +95,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": OP5_SQL, "op7_warc_zip": OP7_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op5_mix_sources": OP5_SQL, "op7_warc_zip": OP7_SQL}
