@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, quality, syncmers, warc_zip
+from . import decontaminate, lines, quality, syncmers, warc_zip, wrappers
 from .common import table
 from .mixing import mix
 from .simhash import near_duplicates
@@ -71,6 +71,11 @@ FROM m, LATERAL (SELECT unnest(range(0, copies)) AS copy_no)
 """
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, read by its host's wrapper."""
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record in ZIP packages, read back by ranges; the digest columns of each record."""
     return warc_zip.round_trip(table(spark, sf_dir, "pages")).select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
