@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, quality, syncmers, warc_zip, wrappers
+from . import chat, decontaminate, lines, quality, suffixes, syncmers, warc_zip, wrappers
 from .common import table
 from .mixing import mix
 from .simhash import near_duplicates
@@ -90,6 +90,16 @@ FROM h
 """
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 200-byte strings that also start elsewhere."""
+    return suffixes.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation, repaired at least cost and rendered."""
+    return chat.repaired(table(spark, sf_dir, "conversations"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark, verbatim or with other numbers, names and units."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
