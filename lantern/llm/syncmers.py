@@ -72,8 +72,8 @@ def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.size(union).cast("double"))
 
 
-def with_next(rows: DataFrame, key: str, columns: list[str], stretch: int = STRETCH) -> DataFrame:
-    """rows with next_<column>: that of the row after it by key (null first), then by the columns; after the last comes the first.
+def with_next(rows: DataFrame, key: str, columns: list[str], derived: dict[str, Column] | None = None, stretch: int = STRETCH) -> DataFrame:
+    """rows with next_<column>: that of the row after it by key (null first), then by the columns; after the last comes the first.  Derived columns are added to rows and have a next one too.
 
     Rows are dealt by stretches of the key, and the first row of each stretch is
     also sent to the stretch before it, so no frame holds more than a stretch
@@ -88,9 +88,11 @@ def with_next(rows: DataFrame, key: str, columns: list[str], stretch: int = STRE
     heads = cut_up.join(small(firsts.withColumnRenamed("_part", "_p"), n), (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_least")))
     heads = heads.select(*[F.col(f"`{c}`") for c in rows.columns], F.col("_before").alias("_part"), F.lit(1).alias("_sent"), F.col("_part").alias("_own"))
     both = cut_up.select(*[F.col(f"`{c}`") for c in rows.columns], "_part", F.lit(0).alias("_sent"), F.col("_part").alias("_own")).unionByName(heads)
+    for c, value in (derived or {}).items():
+        both = both.withColumn(c, value)
     order = [F.col("_sent"), F.col(key).asc_nulls_first(), *[F.col(c) for c in columns]]
     w = Window.partitionBy("_part").orderBy(*order)
-    for c in columns:
+    for c in [*columns, *(derived or {})]:
         both = both.withColumn(f"next_{c}", F.lead(c).over(w))
     return both.where("_sent = 0").drop("_part", "_sent", "_own")
 
@@ -119,8 +121,8 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     another by their text; a single row is its own next.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("marks", sketch(F.col("text")))
-    got = with_next(rows, "doc_id", ["text", "marks"])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    got = with_next(rows, "doc_id", ["text"], {"marks": sketch(F.col("text"))})
     n = F.char_length("text").cast("long")
     tail = F.floor(n / 4).cast("int")
     edited = F.concat(F.expr("left(text, cast(char_length(text) - floor(char_length(text) / 4) as int))"), F.expr("left(next_text, cast(floor(char_length(text) / 4) as int))"))
