@@ -84,7 +84,7 @@ _PHRASES = [
 ]
 
 
-@query("""SELECT * FROM (VALUES (0, ['On the Waterfront', 'Roman Empire', 'Carl Rogers']), (1, ['group life', 'bystander effect']), (2, ['Pink Floyd of the Moon The Beatles']), (3, CAST([] AS VARCHAR[]))) AS t(id, phrases)""")
+@query("""SELECT * FROM (VALUES (0, ['On the Waterfront', 'Roman Empire', 'Carl Rogers']), (1, ['group life', 'bystander effect']), (2, ['Pink Floyd', 'Moon The Beatles']), (3, CAST([] AS VARCHAR[]))) AS t(id, phrases)""")
 def phrase_extract(spark, d):
     """X-13: candidate titles of questions."""
     rows = spark.createDataFrame([(i, *p) for i, p in enumerate(_PHRASES)], "id int, q string, o array<string>")
