@@ -22,9 +22,11 @@ from .common import cut, small
 from .tokens import DIGIT, Words, chunks, words_of
 
 #: The classifier is fitted on at most so many labelled rows, those whose ids have the least hashes.
-FIT_ROWS = 6000
+FIT_ROWS = 12_000
 KEEP = 0.5
 MARKERS = 200
+#: About 3 words of a million pass this log-likelihood ratio by chance.
+CHANCE = 22.0
 _SIGNS = [ord(c) for c in "|!#$%&*.,;:?\n"]
 _CLIP = 12.0
 
@@ -63,22 +65,23 @@ def shape(w: Words, bad: np.ndarray) -> np.ndarray:
     return np.column_stack(cols)
 
 
-def _markers(groups: list[np.ndarray], good: np.ndarray) -> np.ndarray:
-    """Words (a hash once for each text of groups) that stand in rejected texts far more often than in good ones."""
+def _markers(groups: list[np.ndarray], bad: np.ndarray) -> np.ndarray:
+    """Words (a hash once for each text of groups) that stand in bad texts more than twice as often as expected, by a log-likelihood ratio that chance doesn't reach."""
     hashes = np.concatenate(groups) if groups else np.empty(0, np.uint64)
-    flag = np.repeat(good, [len(g) for g in groups])
+    flag = np.repeat(bad, [len(g) for g in groups])
     unique, inverse = np.unique(hashes, return_inverse=True)
-    in_good, in_bad = (np.bincount(inverse[flag == x], minlength=len(unique)) for x in (True, False))
-    n_good, n_bad = max(1, good.sum()), max(1, (~good).sum())
-    odds = np.log((in_bad + 0.5) / (n_bad + 1)) - np.log((in_good + 0.5) / (n_good + 1))
-    pick = np.flatnonzero((in_bad >= 8) & (odds >= 1.6))
-    pick = pick[np.argsort(-odds[pick] * np.log(in_bad[pick]), kind="stable")][:MARKERS]
-    return np.sort(unique[pick])
+    in_bad, in_all = np.bincount(inverse[flag], minlength=len(unique)), np.bincount(inverse, minlength=len(unique))
+    share = min(max(bad.mean(), 1e-9), 1 - 1e-9) if len(bad) else 0.5
+    part = lambda n, e: n * np.log(np.maximum(n, 1) / e)
+    ratio = 2 * (part(in_bad, in_all * share) + part(in_all - in_bad, in_all * (1 - share)))
+    pick = np.flatnonzero((in_bad >= 4) & (in_bad > 2 * in_all * share) & (ratio >= CHANCE))
+    return unique[pick[np.argsort(-ratio[pick], kind="stable")][:MARKERS]]
 
 
-def fit(texts: list[str | None], good: np.ndarray, ridge: float = 1.0) -> Model:
-    """A ridge logistic regression by Newton steps.  Fewer than two classes give a model without evidence."""
+def fit(texts: list[str | None], good: np.ndarray, kinds: list[np.ndarray] | None = None, ridge: float = 1.0) -> Model:
+    """A ridge logistic regression by Newton steps; marker words are mined for each kind of bad texts (flags).  Fewer than two classes give a model without evidence."""
     good = np.asarray(good, dtype=bool)
+    kinds = [~good] if kinds is None else kinds
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     pieces: list[Words] = []
     k = 0
@@ -95,7 +98,7 @@ def fit(texts: list[str | None], good: np.ndarray, ridge: float = 1.0) -> Model:
     if not len(good) or good.all() or not good.any():
         width = shape(words_of([b""]), np.empty(0, np.uint64)).shape[1]
         return Model(np.zeros(width), np.ones(width), np.zeros(width + 1), np.empty(0, np.uint64), 0.0)
-    bad = _markers(sets, good)
+    bad = np.unique(np.concatenate([_markers(sets, k) for k in kinds]))
     x = np.concatenate([shape(w, bad) for w in pieces])
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     z = np.column_stack([np.clip((x - mean) / scale, -8, 8), np.ones(len(x))])
@@ -120,11 +123,12 @@ def evidence(model: Model, w: Words) -> np.ndarray:
 
 def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Fits on at most rows labelled documents.  Good: quality 1 and not toxic (a null toxic is not toxic; a null quality is no label)."""
-    own = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("_good"))
+    own = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("_toxic"))
     picked = cut(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "_good", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "_quality", "_toxic", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
     got = sample.collect()
-    return fit([r[0] for r in got], np.array([r[1] for r in got], dtype=bool))
+    low, toxic = np.array([r[1] != 1 for r in got], dtype=bool), np.array([r[2] != 0 for r in got], dtype=bool)
+    return fit([r[0] for r in got], ~(low | toxic), [low, toxic])
 
 
 def scores(docs: DataFrame, model: Model, keys: list[str]) -> DataFrame:
