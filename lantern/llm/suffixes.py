@@ -32,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut
+from .common import cut
 
-LENGTH, S = 200, 16
+LENGTH, S = 200, 8
 K = (LENGTH + S) // 2
 #: Repeated anchors and pairs up to which they go to every task (8 bytes each); beyond, each text is joined with its own.
 KNOWN = 3_000_000
+#: Numbers in all verdicts (two for a segment's hash and its ranges' ends) up to which they go to every task; beyond, segments are joined with theirs.
+VERDICTS = 6_000_000
 #: Distinct segments of one anchor beyond which their strings are compared by a shuffle of hashes rather than in one suffix array.
 CROWD = 4000
 _BLOCK = 1 << 18
@@ -60,11 +62,35 @@ def suffix_array(data: bytes) -> list[int]:
         members[g].append(i)
     below = list(range(-1, len(letters)))
     above = list(range(1, len(letters) + 1)) + [-1]
+    size = [len(m) for m in members]
     previous, done = [-1] * n, bytearray(n)
     g = len(letters)
     while g > 0:
-        own = [i for i in members[g] if group[i] == g]
-        members[g] = own
+        own = members[g]
+        if len(own) != size[g]:
+            own = [i for i in own if group[i] == g]
+        if len(own) == 1:
+            i = own[0]
+            done[i] = 1
+            p = i - 1
+            while p >= 0 and done[p]:
+                p = previous[p]
+            previous[i] = p
+            if p >= 0 and size[group[p]] > 1:
+                old = group[p]
+                new = len(members)
+                members.append([p])
+                size.append(1)
+                size[old] -= 1
+                group[p] = new
+                up = above[old]
+                below.append(old)
+                above.append(up)
+                above[old] = new
+                if up >= 0:
+                    below[up] = new
+            g = below[g]
+            continue
         for i in own:
             done[i] = 1
         own.sort()
@@ -76,35 +102,34 @@ def suffix_array(data: bytes) -> list[int]:
             previous[i] = p
             if p >= 0:
                 count[p] = count.get(p, 0) + 1
-        if count:
-            if max(count.values()) == 1:
-                levels = [count]
+        by: dict[tuple[int, int], list[int]] = {}
+        for p, k in count.items():
+            key = (-k, group[p])
+            if key in by:
+                by[key].append(p)
             else:
-                by: dict[int, list[int]] = {}
-                for p, k in count.items():
-                    by.setdefault(k, []).append(p)
-                levels = [by[k] for k in sorted(by, reverse=True)]
-            for level in levels:
-                moved: dict[int, int] = {}
-                for p in level:
-                    old = group[p]
-                    new = moved.get(old)
-                    if new is None:
-                        new = moved[old] = len(members)
-                        members.append([])
-                        up = above[old]
-                        below.append(old)
-                        above.append(up)
-                        above[old] = new
-                        if up >= 0:
-                            below[up] = new
-                    group[p] = new
-                    members[new].append(p)
+                by[key] = [p]
+        for key in sorted(by) if len(by) > 1 else by:
+            level, old = by[key], key[1]
+            if len(level) == size[old]:
+                continue  # the whole group moves: its order among groups stays
+            new = len(members)
+            members.append(level)
+            size.append(len(level))
+            size[old] -= len(level)
+            up = above[old]
+            below.append(old)
+            above.append(up)
+            above[old] = new
+            if up >= 0:
+                below[up] = new
+            for p in level:
+                group[p] = new
         g = below[g]
     front, at, g = [0] * len(members), 0, above[0]
     while g >= 0:
         front[g] = at
-        at += len(members[g])
+        at += size[g]
         g = above[g]
     out, placed = [0] * n, bytearray(n)
     i = n - 1  # the end of data is the least suffix: its predecessors go first
@@ -155,34 +180,58 @@ def repeated_starts(segments: list[bytes], length: int = LENGTH) -> list[list[in
 # ---------------------------------------------------------------- anchors
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and 64-bit hashes of a text's anchors."""
-    found = []
-    for b in range(0, len(data) - K + 1, _BLOCK):
-        part = data[b : b + _BLOCK + K - 1]
-        n = len(part) - 7
-        eight = np.empty(n, np.uint64)
-        for o in range(min(8, n)):
-            eight[o::8] = np.frombuffer(part, "<u8", count=(len(part) - o) // 8, offset=o)[: len(eight[o::8])]
-        h = (eight[: n - S + 8] * np.uint64(0x9E3779B97F4A7C15)) ^ (eight[S - 8 :] * np.uint64(0xC2B2AE3D27D4EB4F))
-        runs = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
-        width, least, done = K - S + 1, runs, 1
-        while done * 2 <= width:
-            least = np.minimum(least[:-done], least[done:])
-            done *= 2
-        if done < width:
-            least = np.minimum(least[: len(least) - (width - done)], least[width - done :])
-        found.append(b + np.flatnonzero((runs[: len(least)] == least) | (runs[width - 1 :] == least)))
-    at = np.concatenate(found) if found else np.empty(0, np.int64)
-    digest = xxhash.xxh3_64_intdigest
-    return at, np.array([digest(data[p : p + K]) for p in at.tolist()], dtype=np.uint64)
-
-
-def _pairs(at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """A hash of each two neighbouring anchors at their distance."""
-    h = (hashes[:-1] * np.uint64(0x9FB21C651E98DF25)) ^ (hashes[1:] + np.uint64(0x632BE59BD9B4E019) * np.diff(at).astype(np.uint64))
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(31))
+class Batch:
+    """Anchors of some texts, side by side: at and ends are places in data."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data = data = b"".join(texts)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        found = [np.empty(0, np.int64)]
+        for b in range(0, len(data) - K + 1, _BLOCK):
+            part = data[b : b + _BLOCK + K - 1]
+            eight = np.ndarray((len(part) - S + 1,), "<u8", part, 0, (1,))
+            runs = ((eight * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+            width, least, done = K - S + 1, runs, 1
+            while done * 2 <= width:
+                least = np.minimum(least[:-done], least[done:])
+                done *= 2
+            if done < width:
+                least = np.minimum(least[: len(least) - (width - done)], least[width - done :])
+            found.append(b + np.flatnonzero((runs[: len(least)] == least) | (runs[width - 1 :] == least)))
+        at = np.concatenate(found)
+        text = np.searchsorted(self.ends, at, side="right")
+        inside = at + K <= self.ends[text] if len(at) else np.empty(0, bool)
+        self.at, self.text = at[inside], text[inside]
+        digest = xxhash.xxh3_64_intdigest
+        self.hashes = np.array([digest(data[p : p + K]) for p in self.at.tolist()], dtype=np.uint64)
+        self.paired = self.text[1:] == self.text[:-1]
+
+    def pairs(self) -> np.ndarray:
+        """A hash of each two neighbouring anchors at their distance (where paired)."""
+        h = (self.hashes[:-1] * np.uint64(0x9FB21C651E98DF25)) ^ (self.hashes[1:] + np.uint64(0x632BE59BD9B4E019) * np.diff(self.at).astype(np.uint64))
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(31))
+
+    def segments(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, anchor hash, begin and end of each segment; known: the sorted hashes of repeated anchors and pairs."""
+        at, n = self.at, len(self.at)
+        if not n:
+            return self.text, self.hashes, at, at
+        whole = np.append(self.paired & _in(known, self.pairs()), False)  # an anchor and the next may be in one string
+        stop = np.minimum.accumulate(np.where(whole, n, np.arange(n))[::-1])[::-1] + 1  # the first anchor that no string may reach
+        last, next_ = self.ends[self.text], np.minimum(stop, n - 1)
+        wall = np.where((stop < n) & (self.text[next_] == self.text), at[next_] + K - 1, last)
+        end = np.minimum(np.minimum(at + LENGTH, wall), last)
+        before = np.append(-1, np.where(self.paired, at[:-1], -1)) + 1
+        begin = np.maximum(np.maximum(before, self.starts[self.text]), at - (LENGTH - K))
+        keep = (end - begin >= LENGTH) & _in(known, self.hashes)
+        return self.text[keep], self.hashes[keep], begin[keep], end[keep]
+
+    def keys(self, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+        digest, data = xxhash.xxh3_128_digest, self.data
+        return [digest(data[x:y], seed=g) for g, x, y in zip(h.tolist(), begin.tolist(), end.tolist(), strict=True)]
 
 
 def _in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -191,19 +240,17 @@ def _in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
 
 
-def segments(data: bytes, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, begin and end of each segment of a text; known: the sorted hashes of repeated anchors and pairs."""
-    at, hashes = anchors(data)
-    if not len(at):
-        return hashes, at, at
-    own = _in(known, hashes)
-    broken = np.append(~_in(known, _pairs(at, hashes)), True)  # the pair of an anchor and the next
-    stop = np.minimum.accumulate(np.where(broken, np.arange(len(at)), len(at))[::-1])[::-1] + 1  # the first anchor that no string may reach
-    wall = np.append(at + K - 1, len(data))[np.minimum(stop, len(at))]
-    end = np.minimum(np.minimum(at + LENGTH, wall), len(data))
-    begin = np.maximum(np.concatenate([[0], at[:-1] + 1]), at - (LENGTH - K))
-    keep = own & (end - begin >= LENGTH)
-    return hashes[keep], begin[keep], end[keep]
+def _batches(column: pa.Array, size: int = 1 << 20):
+    """(index of the first text, Batch) for each size bytes of a column."""
+    held, total, first = [], 0, 0
+    for k, x in enumerate(column):
+        held.append(x.as_py())
+        total += len(held[-1])
+        if total >= size:
+            yield first, Batch(held)
+            held, total, first = [], 0, k + 1
+    if held:
+        yield first, Batch(held)
 
 
 # ---------------------------------------------------------------- Spark
@@ -221,40 +268,29 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
     """(h): hashes of the anchors and pairs that occur more than once."""
 
     def run(batches):
-        held, total = [], 0
-
-        def sent():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([_long(h), pa.array(n.astype(np.int64))], names=["h", "n"])
-
         for b in batches:
-            for x in b.column(0):
-                at, hashes = anchors(x.as_py())
-                if len(at):
-                    held += [hashes, _pairs(at, hashes)]
-                    total += 2 * len(at)
-                if total >= 1 << 19:
-                    yield sent()
-                    total = 0
-        if held:
-            yield sent()
+            for _, t in _batches(b.column(0)):
+                if len(t.at):
+                    h, n = np.unique(np.concatenate([t.hashes, t.pairs()[t.paired]]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([_long(h), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     return rows.select("data").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
+def _unsigned(df: DataFrame, column: str) -> np.ndarray:
+    return np.asarray(df.select(column).toArrow().column(0), dtype=np.int64).view(np.uint64)
+
+
 def _knowing(rows: DataFrame, repeated: DataFrame) -> tuple[DataFrame, np.ndarray | None]:
     """rows with the column known, or with one array for all if that is small."""
-    n = repeated.count()
-    if n <= KNOWN:
-        return rows.withColumn("known", F.lit(None).cast("array<bigint>")), np.sort(np.array([r[0] for r in repeated.toLocalIterator()], dtype=np.int64).view(np.uint64))
+    if repeated.count() <= KNOWN:
+        return rows.withColumn("known", F.lit(None).cast("array<bigint>")), np.sort(_unsigned(repeated, "h"))
 
     def each(batches):
         for b in batches:
-            for doc_id, x in zip(b.column(0), b.column(1), strict=True):
-                at, hashes = anchors(x.as_py())
-                h = np.unique(np.concatenate([hashes, _pairs(at, hashes)])) if len(at) else hashes
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * len(h), pa.int64()), _long(h)], names=["k_doc", "k_h"])
+            for first, t in _batches(b.column(1)):
+                h, of = np.concatenate([t.hashes, t.pairs()[t.paired]]), np.concatenate([t.text, t.text[1:][t.paired]]) + first
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), _long(h)], names=["k_doc", "k_h"])
 
     pairs = rows.mapInArrow(each, "k_doc long, k_h long").join(repeated, F.col("k_h") == F.col("h"))
     own = pairs.groupBy("k_doc").agg(F.collect_set("h").alias("known"))
@@ -262,14 +298,14 @@ def _knowing(rows: DataFrame, repeated: DataFrame) -> tuple[DataFrame, np.ndarra
 
 
 def _found(b, known):
-    """(doc_id, text, its segments) of each row of a batch."""
-    for doc_id, x, own in zip(b.column(0), b.column(1), b.column(2), strict=True):
-        data = x.as_py()
-        if len(data) >= LENGTH:
-            mine = known if known is not None else np.sort(np.array(own.as_py() or [], dtype=np.int64).view(np.uint64))
-            h, begin, end = segments(data, mine)
-            if len(h):
-                yield doc_id.as_py(), data, h, begin, end
+    """(index of the first row, Batch, its segments) of a batch of (doc_id, data, known)."""
+    if known is not None:
+        for first, t in _batches(b.column(1)):
+            yield first, t, t.segments(known)
+    else:
+        for k, (x, own) in enumerate(zip(b.column(1), b.column(2), strict=True)):
+            t = Batch([x.as_py()])
+            yield k, t, t.segments(np.sort(np.array(own.as_py() or [], dtype=np.int64).view(np.uint64)))
 
 
 def _distinct_segments(rows: DataFrame, known) -> DataFrame:
@@ -286,15 +322,14 @@ def _distinct_segments(rows: DataFrame, known) -> DataFrame:
             return batch
 
         for b in batches:
-            for _, data, h, begin, end in _found(b, known):
-                for g, x, y in zip(h.tolist(), begin.tolist(), end.tolist(), strict=True):
-                    body = data[x:y]
-                    key = xxhash.xxh3_128_digest(body, seed=g)
+            for _, t, (_, h, begin, end) in _found(b, known):
+                data = t.data
+                for key, g, x, y in zip(t.keys(h, begin, end), h.tolist(), begin.tolist(), end.tolist(), strict=True):
                     if key in held:
                         held[key][1] += 1
                     else:
-                        held[key] = [g, 1, body]
-                if len(held) >= 100_000:
+                        held[key] = [g, 1, data[x:y]]
+                if len(held) >= 150_000:
                     yield sent()
         if held:
             yield sent()
@@ -309,19 +344,9 @@ def _occurrences(rows: DataFrame, known) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for doc_id, data, h, begin, end in _found(b, known):
-                n = len(h)
-                cols[0] += [doc_id] * n
-                cols[1] += [xxhash.xxh3_64_intdigest(data) - (1 << 63)] * n
-                cols[2] += [xxhash.xxh3_128_digest(data[x:y], seed=g) for g, x, y in zip(h.tolist(), begin.tolist(), end.tolist(), strict=True)]
-                cols[3] += begin.tolist()
-                cols[4] += (end - begin).tolist()
-                if len(cols[0]) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
-                    cols = [[], [], [], [], []]
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+            for first, t, (text, h, begin, end) in _found(b, known):
+                of = np.array([xxhash.xxh3_64_intdigest(t.data[x:y]) for x, y in zip(t.starts.tolist(), t.ends.tolist(), strict=True)], np.uint64)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text + first)), _long(of[text]), pa.array(t.keys(h, begin, end), pa.binary()), pa.array(begin - t.starts[text]), pa.array(end - begin)], schema=schema)
 
     return rows.mapInArrow(run, "doc_id long, of long, key binary, begin long, size long")
 
@@ -386,9 +411,8 @@ def _by_hashes(rows: DataFrame) -> DataFrame:
     return hits.groupBy("key").agg(F.array_sort(F.collect_set("start")).alias("starts")).select("key", F.flatten(F.transform("starts", lambda s: F.array(s, s + LENGTH))).alias("covered"))
 
 
-def covered(docs: DataFrame) -> DataFrame:
-    """(doc_id, of, ranges): ascending, disjoint byte ranges to remove, of the texts that have any; of: a hash of the text."""
-    rows, known = _knowing(_rows(docs), cut(repeated_anchors(_rows(docs))))
+def verdicts(rows: DataFrame, known) -> DataFrame:
+    """(key, covered): the segments with repeated strings and the ranges these cover; null: all of it."""
     distinct = cut(_distinct_segments(rows, known))
     crowds = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least")).where("size > 1 and least = 1").select(F.col("h").alias("c_h"), "size")
     crowds = cut(crowds)
@@ -397,11 +421,13 @@ def covered(docs: DataFrame) -> DataFrame:
     found = _by_suffix_arrays(few)
     if not crowds.where(F.col("size") > CROWD).isEmpty():
         found = found.union(_by_hashes(met.where(F.col("size") > CROWD).select("h", "key", "n", "body")))
-    often = distinct.where("n > 1").select(F.col("key").alias("v_key"), F.lit(None).cast("array<bigint>").alias("covered"))
-    verdicts = often.union(found.select(F.col("key").alias("v_key"), "covered"))
-    hits = _occurrences(rows, known).join(verdicts, F.col("key") == F.col("v_key"))
-    each = hits.select("doc_id", "of", "begin", F.coalesce("covered", F.array(F.lit(0).cast("long"), "size")).alias("covered"))
-    gathered = each.groupBy("doc_id", "of").agg(F.collect_list(F.struct("begin", "covered")).alias("all"))
+    often = distinct.where("n > 1").select("key", F.lit(None).cast("array<bigint>").alias("covered"))
+    return cut(often.union(found))
+
+
+def _merged(hits: DataFrame) -> DataFrame:
+    """(doc_id, of, ranges) from (doc_id, of, begin, covered): ascending, disjoint ranges of each text."""
+    gathered = hits.groupBy("doc_id", "of").agg(F.collect_list(F.struct("begin", "covered")).alias("all"))
 
     def merge(batches):
         for b in batches:
@@ -420,34 +446,83 @@ def covered(docs: DataFrame) -> DataFrame:
     return gathered.mapInArrow(merge, "doc_id long, of long, ranges array<long>")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row: its bytes without those of strings of LENGTH bytes that also start elsewhere.
+_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+
+
+def _without(ids: pa.Array, data: bytes, starts: np.ndarray, ends: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """The rows of texts data[starts:ends] without the bytes of ranges begin:end."""
+    change = np.bincount(begin, minlength=len(data) + 1) - np.bincount(end, minlength=len(data) + 1)
+    gone = np.cumsum(change)[:-1] > 0
+    opens = gone.copy()
+    opens[1:] &= ~gone[:-1]
+    opens[starts[starts < len(data)]] = gone[starts[starts < len(data)]]
+    removed, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, opens))
+    left = np.frombuffer(data, np.uint8)[~gone].tobytes()
+    kept = [left[x:y] for x, y in zip((starts - removed[starts]).tolist(), (ends - removed[ends]).tolist(), strict=True)]
+    cols = [pa.array(ends - starts), pa.array(removed[ends] - removed[starts]), pa.array(spans[ends] - spans[starts]), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary())]
+    return pa.RecordBatch.from_arrays([ids, *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    A null text is empty; texts under LENGTH bytes stay whole; all copies lose
-    what repeats, rows with equal ids and texts too.  kept is binary, as cuts
-    may fall within a character.
-    """
-    found = cut(covered(docs)).select(F.col("doc_id").alias("c_doc"), F.col("of").alias("c_of"), "ranges")
-    size = found.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0]
+
+def _by_lookup(rows: DataFrame, known: np.ndarray, said: DataFrame) -> DataFrame:
+    """The result where all verdicts fit into every task: no text is shuffled."""
+    table = said.toArrow()
+    raw = np.frombuffer(b"".join(table.column("key").to_pylist()), "<u8").reshape(-1, 2)
+    order = np.argsort(raw[:, 0], kind="stable")
+    low, high = raw[order, 0].copy(), raw[order, 1].copy()
+    ranges = table.column("covered").combine_chunks().take(pa.array(order))
+    every = np.asarray(ranges.is_null())
+    count = np.asarray(ranges.value_lengths().fill_null(0), dtype=np.int64) // 2
+    first = np.cumsum(count) - count
+    values = np.asarray(ranges.flatten(), dtype=np.int64).reshape(-1, 2)
+
+    def run(batches):
+        for b in batches:
+            for k, t, (_, h, begin, end) in _found(b, known):
+                mine = np.frombuffer(b"".join(t.keys(h, begin, end)), "<u8").reshape(-1, 2)
+                at = np.minimum(np.searchsorted(low, mine[:, 0]), max(len(low) - 1, 0))
+                hit = (low[at] == mine[:, 0]) & (high[at] == mine[:, 1]) if len(low) else np.zeros(len(mine), bool)
+                begin, end, at = begin[hit], end[hit], at[hit]
+                full = every[at]
+                n = count[at[~full]]
+                which = np.repeat(first[at[~full]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                base = np.repeat(begin[~full], n)
+                yield _without(b.column(0).slice(k, len(t.ends)), t.data, t.starts, t.ends, np.concatenate([begin[full], base + values[which, 0]]), np.concatenate([end[full], base + values[which, 1]]))
+
+    return rows.mapInArrow(run, _OUT)
+
+
+def _by_join(rows: DataFrame, known, said: DataFrame) -> DataFrame:
+    """The result by joins: each segment with its verdict, each text with its ranges."""
+    hits = _occurrences(rows, known).join(said.withColumnRenamed("key", "v_key"), F.col("key") == F.col("v_key"))
+    hits = hits.select("doc_id", "of", "begin", F.coalesce("covered", F.array(F.lit(0).cast("long"), "size")).alias("covered"))
+    found = cut(_merged(hits)).select(F.col("doc_id").alias("c_doc"), F.col("of").alias("c_of"), "ranges")
 
     def hashed(batches):
         for b in batches:
-            own = pa.array([xxhash.xxh3_64_intdigest(x.as_py()) - (1 << 63) for x in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), own], names=["doc_id", "data", "of"])
+            own = np.array([xxhash.xxh3_64_intdigest(x.as_py()) for x in b.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _long(own)], names=["doc_id", "data", "of"])
 
     same = F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("of") == F.col("c_of"))
-    joined = _rows(docs).mapInArrow(hashed, "doc_id long, data binary, of long").join(F.broadcast(found) if size <= BROADCAST_ROWS else found, same, "left").select("doc_id", "data", "ranges")
+    joined = rows.select("doc_id", "data").mapInArrow(hashed, "doc_id long, data binary, of long").join(found, same, "left").select("doc_id", "data", "ranges")
 
     def run(batches):
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for x, r in zip(b.column(1), b.column(2), strict=True):
-                data, ranges = x.as_py(), r.as_py() or []
-                edges = [0, *ranges, len(data)]
-                kept = b"".join(data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)) if ranges else data
-                for c, v in zip(cols, (len(data), len(data) - len(kept), len(ranges) // 2, hashlib.sha256(kept).hexdigest(), kept), strict=True):
-                    c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+            for k in range(b.num_rows):
+                data, r = b.column(1)[k].as_py(), np.array(b.column(2)[k].as_py() or [], np.int64)
+                yield _without(b.column(0).slice(k, 1), data, np.array([0]), np.array([len(data)]), r[::2], r[1::2])
+
+    return joined.mapInArrow(run, _OUT)
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row: its bytes without those of strings of LENGTH bytes that also start elsewhere.
+
+    A null text is empty; texts under LENGTH bytes stay whole; all copies lose
+    what repeats, rows with equal ids and texts too.  kept is binary, as cuts
+    may fall within a character.
+    """
+    rows, known = _knowing(_rows(docs), cut(repeated_anchors(_rows(docs))))
+    said = verdicts(rows, known)
+    if known is not None and said.agg(F.coalesce(F.sum(2 + F.coalesce(F.size("covered"), F.lit(0))), F.lit(0))).first()[0] <= VERDICTS:
+        return _by_lookup(rows, known, said)
+    return _by_join(rows, known, said)

@@ -51,9 +51,10 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("crowd,known", [(4000, 3_000_000), (2, 3_000_000), (4000, 0)])
-def test_against_every_string(spark, monkeypatch, crowd, known):
+@pytest.mark.parametrize("crowd,known,verdicts", [(4000, 3_000_000, 6_000_000), (2, 3_000_000, 6_000_000), (4000, 0, 6_000_000), (4000, 3_000_000, 0)])
+def test_against_every_string(spark, monkeypatch, crowd, known, verdicts):
     monkeypatch.setattr(X, "CROWD", crowd)
+    monkeypatch.setattr(X, "VERDICTS", verdicts)
     monkeypatch.setattr(X, "KNOWN", known)
     texts = corpus()
     rows = [(i, t, "c") for i, t in enumerate(texts)] + [(None, texts[20], "c"), (7, texts[7], "c")]
