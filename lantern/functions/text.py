@@ -25,6 +25,33 @@ MONTHS = (
     ("jan", 1), ("feb", 2), ("mar", 3), ("apr", 4), ("jun", 6), ("jul", 7), ("aug", 8), ("sep", 9), ("sept", 9), ("oct", 10), ("nov", 11), ("dec", 12),
 )
 
+# What an answer's letter stands in, the most telling first; and the letter alone, of which the last counts.
+ANSWER_PATTERNS = (
+    r"(?i)\\boxed\{\s*([A-D])\s*\}",
+    r"(?i)answer\s*[:\-]?\s*\(?([A-D])\)?",
+    r"(?i)\b(?:final|correct)\s+answer\s*(?:is)?\s*[:\-]?\s*\(?([A-D])\)?",
+    r"(?i)\boption\s+\(?([A-D])\)?",
+    r"(?m)^([A-D])\s*[.)]",
+)
+BARE_LETTER = r"\b([A-D])\b"
+
+# Dates as numbers with separators, as YYYY.MMDD, as day month year and as month day year.
+ISO_DATE = r"\b(\d{4})[-./](\d{1,2})[-./](\d{1,2})\b"
+COMPACT_DATE = r"\b(\d{4})\.(\d{2})(\d{2})\b"
+DAY_MONTH_YEAR = r"\b(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3,9})\.?\s+(\d{4})\b"
+MONTH_DAY_YEAR = r"\b([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})\b"
+
+# A stock lead-in of news questions.
+LEAD_IN = r"(?i)^(?:according to|as reported (?:in|on|by)|based on|per)\s+(?:the\s+)?(?:article|report|story|piece)?\s*(?:published|reported|released)?\s*(?:on|in|by)?\s*"
+
+# For candidate phrases.
+QUOTED = r"\"[^\"]{3,60}\"|(?<![A-Za-z])'[^']{3,60}'"
+PROPER_NOUNS = r"\b[A-Z][a-zA-Z0-9.]*(?:\s+(?:of|the|and|in|de|von)\s+[A-Z][a-zA-Z0-9.]*|\s+(?:[A-Z][a-zA-Z0-9.]*|[IVX]+))+"
+CONCEPTS = "effect|theory|hypothesis|fallacy|syndrome|principle|paradox|dilemma|bias|disorder|cycle|reaction|law|imperative|dissonance"
+LEADING_FILLER = "the a an of this that its his her their which describes best concept term fundamental does did do is are was were".split()
+STOP_PHRASES = ("which", "what", "how", "the following", "best describes", "according to")
+FUNCTION_WORDS = "the a an and or of in on to for with from by as at is are was were be his her its it he she they this that their de von but into over".split()
+
 
 def tokens(text: Column, drop_stopwords: bool = True) -> Column:
     """Lower-cased words; an empty array for null."""
@@ -82,15 +109,8 @@ def truncate(text: Column, most: int) -> Column:
 
 def parse_answer(text: Column) -> Column:
     """0 for A to 3 for D: by the first of five patterns that occurs, else the last bare letter; null if none."""
-    patterns = (
-        r"(?i)\\boxed\{\s*([A-D])\s*\}",
-        r"(?i)answer\s*[:\-]?\s*\(?([A-D])\)?",
-        r"(?i)\b(?:final|correct)\s+answer\s*(?:is)?\s*[:\-]?\s*\(?([A-D])\)?",
-        r"(?i)\boption\s+\(?([A-D])\)?",
-        r"(?m)^([A-D])\s*[.)]",
-    )
-    found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns]
-    bare = F.try_element_at(F.regexp_extract_all(text, F.lit(r"\b([A-D])\b"), F.lit(1)), F.lit(-1))
+    found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in ANSWER_PATTERNS]
+    bare = F.try_element_at(F.regexp_extract_all(text, F.lit(BARE_LETTER), F.lit(1)), F.lit(-1))
     return (F.ascii(F.upper(F.coalesce(*found, bare))) - 65).cast("bigint")
 
 
@@ -127,17 +147,16 @@ def question_date(text: Column) -> Column:
         return F.when(g[1] != "", _ymd(g[y], F.try_element_at(month, F.lower(g[m])).cast("string"), g[d]))
 
     return F.coalesce(
-        numbers(r"\b(\d{4})[-./](\d{1,2})[-./](\d{1,2})\b"), numbers(r"\b(\d{4})\.(\d{2})(\d{2})\b"),
-        named(r"\b(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3,9})\.?\s+(\d{4})\b", 3, 2, 1), named(r"\b([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})\b", 3, 1, 2),
+        numbers(ISO_DATE), numbers(COMPACT_DATE), named(DAY_MONTH_YEAR, 3, 2, 1), named(MONTH_DAY_YEAR, 3, 1, 2),
     )
 
 
 def news_query(question: Column) -> Column:
     """A question without its dates and stock lead-in; the question itself if nothing is left."""
     q = F.trim(question)
-    for p in (r"\b\d{4}[-./]\d{1,2}[-./]\d{1,2}\b", r"\b\d{4}\.\d{4}\b", r"\b\d{1,2}(?:st|nd|rd|th)?\s+[A-Za-z]{3,9}\.?\s+\d{4}\b", r"\b[A-Za-z]{3,9}\.?\s+\d{1,2}(?:st|nd|rd|th)?,?\s+\d{4}\b"):
+    for p in (ISO_DATE, COMPACT_DATE, DAY_MONTH_YEAR, MONTH_DAY_YEAR):
         q = F.regexp_replace(q, p, " ")
-    q = F.regexp_replace(q, r"(?i)^(?:according to|as reported (?:in|on|by)|based on|per)\s+(?:the\s+)?(?:article|report|story|piece)?\s*(?:published|reported|released)?\s*(?:on|in|by)?\s*", "")
+    q = F.regexp_replace(q, LEAD_IN, "")
     q = F.regexp_replace(F.regexp_replace(F.trim(q), r"\s+", " "), r"^[ ,.]+|[ ,.]+$", "")
     return F.coalesce(F.nullif(q, F.lit("")), F.trim(question))
 
@@ -152,20 +171,13 @@ def model_slug(model_id: Column) -> Column:
     return F.when(F.coalesce(model_id, F.lit("")) == "", F.lit("mock")).otherwise(F.replace(F.lower(tail), F.lit(" "), F.lit("-")))
 
 
-# For candidate phrases.
-CONCEPTS = "effect|theory|hypothesis|fallacy|syndrome|principle|paradox|dilemma|bias|disorder|cycle|reaction|law|imperative|dissonance"
-LEADING_FILLER = "the a an of this that its his her their which describes best concept term fundamental does did do is are was were".split()
-STOP_PHRASES = ("which", "what", "how", "the following", "best describes", "according to")
-FUNCTION_WORDS = "the a an and or of in on to for with from by as at is are was were be his her its it he she they this that their de von but into over".split()
-
-
 def candidate_phrases(question: Column, options: Column) -> Column:
     """Quoted spans, runs of capitalised words and concepts by their suffix, in this order, without fragments; the first of each spelling by lower case."""
     q = F.coalesce(question, F.lit(""))
     every = F.concat_ws(" ", q, F.array_join(F.filter(F.coalesce(options, F.array().cast("array<string>")), lambda o: o != ""), " "))
     tidy = lambda s: F.trim(F.regexp_replace(F.trim(s), r"^[.,;:!?]+|[.,;:!?]+$", ""))
-    quoted = F.transform(F.regexp_extract_all(q, F.lit(r"\"[^\"]{3,60}\"|(?<![A-Za-z])'[^']{3,60}'"), F.lit(0)), lambda s: F.substring(s, F.lit(2), F.char_length(s) - 2))
-    proper = F.regexp_extract_all(every, F.lit(r"\b[A-Z][a-zA-Z0-9.]*(?:\s+(?:of|the|and|in|de|von)\s+[A-Z][a-zA-Z0-9.]*|\s+(?:[A-Z][a-zA-Z0-9.]*|[IVX]+))+"), F.lit(0))
+    quoted = F.transform(F.regexp_extract_all(q, F.lit(QUOTED), F.lit(0)), lambda s: F.substring(s, F.lit(2), F.char_length(s) - 2))
+    proper = F.regexp_extract_all(every, F.lit(PROPER_NOUNS), F.lit(0))
     concept = F.regexp_extract_all(F.lower(q), F.lit(rf"\b((?:[a-z][a-z'-]+\s+){{1,2}}(?:{CONCEPTS}))\b"), F.lit(1))
     concept = F.transform(concept, lambda s: F.regexp_replace(s, rf"^(?:(?:{'|'.join(LEADING_FILLER)})\s+)+(?=\S)", ""))
     first, last = (lambda p: F.lower(F.element_at(F.split(p, r"\s+"), 1))), (lambda p: F.lower(F.element_at(F.split(p, r"\s+"), -1)))

@@ -30,15 +30,20 @@ def digits(text: Column) -> Column:
     return text
 
 
+# Arithmetic in words, and what introduces it.
+IN_WORDS = (
+    (rf"(?i){_NUM}\s*(?:%|percent)\s+of\s+{_NUM}", "$1/100*$2"), (rf"(?i){_NUM}\s+to\s+the\s+power\s+of\s+{_NUM}", "$1**$2"), (rf"(?i)square\s+root\s+of\s+{_NUM}", "sqrt($1)"), (r"(?i)\s*\bsquared\b", "**2"), (r"(?i)\s*\bcubed\b", "**3"),
+    (r"(?i)\btimes\b|×", "*"), (r"(?i)\bdivided\s+by\b|÷", "/"), (r"(?i)\bplus\b", "+"), (r"(?i)\bminus\b", "-"),
+)
+ASKED = r"(?is)(?:what\s+is(?:\s+the(?:\s+\w+){0,3})?|calculate|compute|find\s+the\s+value\s+of|evaluate|simplify|how\s+(?:many|much|far|long)|(?:find|determine)\s+the\s+(?:total|sum|product|result|answer))\s+(.+)"
+
+
 def to_expression(question: Column) -> Column:
     """The arithmetic that a question states in words, or null."""
     q = question
-    for pattern, new in (
-        (rf"(?i){_NUM}\s*(?:%|percent)\s+of\s+{_NUM}", "$1/100*$2"), (rf"(?i){_NUM}\s+to\s+the\s+power\s+of\s+{_NUM}", "$1**$2"), (rf"(?i)square\s+root\s+of\s+{_NUM}", "sqrt($1)"), (r"(?i)\s*\bsquared\b", "**2"), (r"(?i)\s*\bcubed\b", "**3"),
-        (r"(?i)\btimes\b|×", "*"), (r"(?i)\bdivided\s+by\b|÷", "/"), (r"(?i)\bplus\b", "+"), (r"(?i)\bminus\b", "-"),
-    ):
+    for pattern, new in IN_WORDS:
         q = F.regexp_replace(q, pattern, new)
-    asked = F.regexp_extract(q, r"(?is)(?:what\s+is(?:\s+the(?:\s+\w+){0,3})?|calculate|compute|find\s+the\s+value\s+of|evaluate|simplify|how\s+(?:many|much|far|long)|(?:find|determine)\s+the\s+(?:total|sum|product|result|answer))\s+(.+)", 1)
+    asked = F.regexp_extract(q, ASKED, 1)
     asked = F.element_at(F.split(F.regexp_replace(asked, r"[?\s]+\z", ""), r"(?i)\b(?:where|if|given)\b"), 1)
     bare = F.trim(F.regexp_replace(F.regexp_replace(asked, r"[^0-9+\-*/().,a-zA-Z_\s]", " "), r"\s+", " "))
     return F.nullif(bare, F.lit(""))
