@@ -9,13 +9,15 @@ exploded and dealt out in the order of a second hash: a global shuffle.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, small
 
+#: A larger mean is drawn as a sum of equal parts of at most this, each at a point of its own: the sum is Poisson too, and no table of the distribution grows long.
+PART = 200.0
+#: Sources up to which the rates and their tables (a few hundred numbers at most) are broadcast.
+SOURCES = 20_000
 #: 13 hex digits of an MD5 are 52 bits: every value is exact in a double.
 _UNIT = float(2**52)
 
@@ -26,13 +28,8 @@ def unit_hash(seed: str, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(_UNIT)
 
 
-def most_copies(mean: float) -> int:
-    """The length to which a Poisson distribution of this mean is tabled; what lies beyond has less than 2^-52."""
-    return int(math.ceil(mean + 12 * math.sqrt(mean + 1) + 20))
-
-
 def _thresholds(mean: Column, longest: Column) -> Column:
-    """P(X <= k) for k = 0 .. longest: terms e^-m m^k / k!, by logarithms, so no mean underflows."""
+    """P(X <= k) for k = 0 .. longest, beyond which less than 2^-52 is left: terms e^-m m^k / k!, by logarithms, so no mean underflows."""
     start = F.struct(F.array().cast("array<double>").alias("cdf"), F.lit(0.0).alias("sum"), (-mean).alias("log"))
 
     def step(acc, k):
@@ -84,20 +81,20 @@ def mix(
 
     Adds copy_no (from 0), rate and shuffle_key (clashing columns of docs are
     replaced).  Rows with equal ids draw alike; a null id draws like an empty
-    one.  An empty docs gives an empty result.  Beyond BROADCAST_ROWS sources
+    one.  An empty docs gives an empty result.  Beyond SOURCES sources
     the rates are joined by a shuffle, whose hot sources AQE splits.
     """
     docs = docs.drop("copy_no", "rate", "shuffle_key")
     means = rates(docs, weights, total, source, power)
-    spread = F.greatest(F.lit(0), F.ceil(F.col("rate") + 12 * F.sqrt(F.col("rate") + 1) + 20)).cast("int")
-    table = means.select(
-        F.col("source").alias("_mix_source"), F.col("rate"),
-        F.when(F.col("rate") > 0, _thresholds(F.col("rate"), spread)).alias("_mix_cdf"),
-    )
-    joined = docs.join(small(table), F.col(source).eqNullSafe(F.col("_mix_source")), "inner")
-    u = unit_hash(seed, F.col(id_col))
-    copies = F.when(F.col("_mix_cdf").isNotNull(), F.size(F.filter("_mix_cdf", lambda p: p <= F.col("_mix_u")))).otherwise(0)
-    drawn = joined.withColumn("_mix_u", u).withColumn("_mix_n", copies).drop("_mix_source", "_mix_cdf", "_mix_u")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
+    mean = F.col("rate") / parts
+    spread = F.greatest(F.lit(0), F.ceil(mean + 12 * F.sqrt(mean + 1) + 20)).cast("int")
+    table = means.select(F.col("source").alias("_mix_source"), "rate", parts.alias("_mix_parts"), F.when(F.col("rate") > 0, _thresholds(mean, spread)).alias("_mix_cdf"))
+    joined = docs.join(small(table, limit=SOURCES), F.col(source).eqNullSafe(F.col("_mix_source")), "inner")
+    at = lambda u: F.size(F.filter("_mix_cdf", lambda p: p <= u))
+    more = F.aggregate(F.sequence(F.lit(1), F.col("_mix_parts") - 1), F.lit(0), lambda n, j: n + at(unit_hash(seed, F.col(id_col), j)))
+    copies = F.when(F.col("_mix_cdf").isNull(), 0).otherwise(at(F.col("_mix_u")) + F.when(F.col("_mix_parts") > 1, more).otherwise(0))
+    drawn = joined.withColumn("_mix_u", unit_hash(seed, F.col(id_col))).withColumn("_mix_n", copies).drop("_mix_source", "_mix_cdf", "_mix_u", "_mix_parts")
     out = drawn.where("_mix_n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_mix_n") - 1))).drop("_mix_n")
     out = out.withColumn("shuffle_key", unit_hash(seed + "/order", F.col(id_col), F.col("copy_no")))
     dealt = out.repartitionByRange(partitions, "shuffle_key") if partitions else out.repartitionByRange("shuffle_key")
