@@ -270,8 +270,8 @@ def record_ranges(packages: DataFrame, span: int = 4 << 20) -> DataFrame:
     return packages.select("path").mapInArrow(run, "path string, start long, length long, cuts array<long>")
 
 
-def read_packages(packages: DataFrame) -> DataFrame:
-    """Every record of the packages (path): page_id, url, record_type, payload_digest, refers_to, payload_bytes, payload (null for revisits)."""
+def read_packages(packages: DataFrame, span: int = 16 << 20) -> DataFrame:
+    """Every record of the packages (path, and bytes if known, for about span bytes a task): page_id, url, record_type, payload_digest, refers_to, payload_bytes, payload (null for revisits)."""
 
     def run(batches):
         names = [x.split()[0] for x in _RECORDS.split(", ")]
@@ -288,7 +288,11 @@ def read_packages(packages: DataFrame) -> DataFrame:
                     at += n
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    spread = record_ranges(packages).repartition(F.col("path"), F.col("start"))
+    ranges = record_ranges(packages)
+    tasks = packages.sparkSession.sparkContext.defaultParallelism
+    if "bytes" in packages.columns:
+        tasks = max(tasks, (packages.agg(F.sum("bytes")).first()[0] or 0) // span)
+    spread = ranges.repartition(tasks, "path", "start")  # a given number: the rows are few, what they stand for isn't
     return spread.mapInArrow(run, _RECORDS)
 
 
