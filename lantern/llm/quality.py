@@ -11,6 +11,7 @@ evidence with its path's share, in log-odds.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small
-from .tokens import DIGIT, Words, chunks, words_of
+from .tokens import CHUNK, DIGIT, Words, chunks, words_of
 
 #: The classifier is fitted on at most so many labelled rows, those whose ids have the least hashes.
-FIT_ROWS = 12_000
+FIT_ROWS = 6000
 KEEP = 0.5
 MARKERS = 200
 #: About 3 words of a million pass this log-likelihood ratio by chance.
@@ -78,28 +79,33 @@ def _markers(groups: list[np.ndarray], bad: np.ndarray) -> np.ndarray:
     return unique[pick[np.argsort(-ratio[pick], kind="stable")][:MARKERS]]
 
 
+def _pieces(texts: list[str | None]) -> Iterator[Words]:
+    """The words of some texts at a time: their arrays are many times as large as the texts."""
+    held, total = [], 0
+    for t in texts:
+        held.append((t or "").encode("utf-8", "surrogatepass"))
+        total += len(held[-1])
+        if total >= CHUNK:
+            yield words_of(held)
+            held, total = [], 0
+    if held:
+        yield words_of(held)
+
+
 def fit(texts: list[str | None], good: np.ndarray, kinds: list[np.ndarray] | None = None, ridge: float = 1.0) -> Model:
     """A ridge logistic regression by Newton steps; marker words are mined for each kind of bad texts (flags).  Fewer than two classes give a model without evidence."""
     good = np.asarray(good, dtype=bool)
     kinds = [~good] if kinds is None else kinds
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    pieces: list[Words] = []
-    k = 0
-    while k < len(raw):
-        size, j = 0, k
-        while j < len(raw) and size < (1 << 20):
-            size, j = size + len(raw[j]), j + 1
-        pieces.append(words_of(raw[k:j], k))
-        k = j
     sets = []
-    for w in pieces:
-        cut_at = np.searchsorted(w.text, np.arange(w.n + 1))
-        sets += [np.unique(w.hash[a:b]) for a, b in zip(cut_at[:-1], cut_at[1:], strict=True)]
+    for w in _pieces(texts):
+        edges = np.searchsorted(w.text, np.arange(w.n + 1)).tolist()
+        sets += [np.unique(w.hash[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     if not len(good) or good.all() or not good.any():
         width = shape(words_of([b""]), np.empty(0, np.uint64)).shape[1]
         return Model(np.zeros(width), np.ones(width), np.zeros(width + 1), np.empty(0, np.uint64), 0.0)
     bad = np.unique(np.concatenate([_markers(sets, k) for k in kinds]))
-    x = np.concatenate([shape(w, bad) for w in pieces])
+    del sets
+    x = np.concatenate([shape(w, bad) for w in _pieces(texts)])
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     z = np.column_stack([np.clip((x - mean) / scale, -8, 8), np.ones(len(x))])
     y, b = good.astype(float), np.zeros(z.shape[1])
@@ -127,20 +133,22 @@ def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     picked = cut(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "_quality", "_toxic", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
     got = sample.collect()
+    texts = [r[0] for r in got]
     low, toxic = np.array([r[1] != 1 for r in got], dtype=bool), np.array([r[2] != 0 for r in got], dtype=bool)
-    return fit([r[0] for r in got], ~(low | toxic), [low, toxic])
+    del got
+    return fit(texts, ~(low | toxic), [low, toxic])
 
 
-def scores(docs: DataFrame, model: Model, keys: list[str]) -> DataFrame:
-    """keys of docs and their evidence, a double."""
-    frame = docs.select(*keys, "text")
-    schema = frame.drop("text").withColumn("evidence", F.lit(0.0)).schema
+def scores(docs: DataFrame, model: Model, keys: list[str], inside: int | None = None) -> DataFrame:
+    """keys of docs and their evidence, a double.  inside: the text is that field of the first key, a struct; else it is the column text."""
+    frame = docs.select(*keys) if inside is not None else docs.select(*keys, "text")
+    schema = docs.select(*keys).withColumn("evidence", F.lit(0.0)).schema
 
     def run(batches):
         for b in batches:
-            found = [evidence(model, w) for w in chunks(b.column(b.num_columns - 1))]
+            found = [evidence(model, w) for w in chunks(b.column(len(keys)) if inside is None else b.column(0).field(inside))]
             own = pa.array(np.concatenate(found) if found else np.empty(0))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], own], names=[*keys, "evidence"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], own], names=[*keys, "evidence"])
 
     return frame.mapInArrow(run, schema)
 
@@ -206,6 +214,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, host: str = "source", path:
     sites = docs.select(F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "text")
     shares = site_shares(scores(sites, model, ["host", "path"]), model.prior)
     columns = docs.columns
-    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_q_row"), F.col(host).cast("string").alias("_q_host"), F.col(path).cast("string").alias("_q_path"), "text")
-    found = _posterior(scores(frame, model, ["_q_row", "_q_host", "_q_path"]), shares)
+    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_q_row"), F.col(host).cast("string").alias("_q_host"), F.col(path).cast("string").alias("_q_path"))
+    found = _posterior(scores(frame, model, ["_q_row", "_q_host", "_q_path"], columns.index("text")), shares)
     return found.where(F.col("posterior") >= keep).select("_q_row.*")
