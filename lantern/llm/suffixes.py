@@ -309,7 +309,7 @@ def _found(b, known):
 
 
 def _distinct_segments(rows: DataFrame, known) -> DataFrame:
-    """(h, key, n, body): distinct segments and how often they occur."""
+    """(h, key, n, body): each task's distinct segments and how often they occur in it."""
     schema = pa.schema([("h", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("body", pa.binary())])
 
     def run(batches):
@@ -334,8 +334,7 @@ def _distinct_segments(rows: DataFrame, known) -> DataFrame:
         if held:
             yield sent()
 
-    parts = rows.mapInArrow(run, "h long, key binary, n long, body binary")
-    return parts.groupBy("h", "key").agg(F.sum("n").alias("n"), F.first("body").alias("body"))
+    return rows.mapInArrow(run, "h long, key binary, n long, body binary")
 
 
 def _occurrences(rows: DataFrame, known) -> DataFrame:
@@ -362,46 +361,64 @@ def _runs(starts: list[int]) -> list[int]:
     return out
 
 
-def _by_suffix_arrays(rows: DataFrame) -> DataFrame:
-    """rows (h, key, n, body), sorted by h within partitions that hold whole anchors -> (key, covered) of the segments with n = 1."""
-    schema = pa.schema([("key", pa.binary()), ("covered", pa.list_(pa.int64()))])
+def _settled(parts: DataFrame) -> DataFrame:
+    """Tasks' segments by anchor -> (crowd, key, n, body, covered).
+
+    crowd 0: the verdict on a segment, with the ranges that its repeated
+    strings cover, null for all of it.  crowd 1: segments of an anchor that has
+    more than CROWD, sent on as they are; so no task holds more at a time.
+    """
+    schema = pa.schema([("crowd", pa.int32()), ("key", pa.binary()), ("n", pa.int64()), ("body", pa.binary()), ("covered", pa.list_(pa.int64()))])
 
     def run(batches):
-        held: list[tuple] = []
-        out: list[tuple[bytes, list[int]]] = []
+        held: list[list] = []
+        out: list[tuple] = []
+        anchor, crowd = None, False
 
         def settle():
-            starts = repeated_starts([r[3] for r in held])
-            out.extend((r[1], _runs(s)) for r, s in zip(held, starts, strict=True) if r[2] == 1 and s)
+            if crowd:
+                out.extend((1, k, n, body, None) for k, n, body in held)
+            else:
+                out.extend((0, k, None, None, None) for k, n, _ in held if n > 1)
+                if len(held) > 1 and min(n for _, n, _ in held) == 1:
+                    starts = repeated_starts([body for _, _, body in held])
+                    out.extend((0, k, None, None, _runs(at)) for (k, n, _), at in zip(held, starts, strict=True) if n == 1 and at)
             held.clear()
 
         def sent():
-            batch = pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.list_(pa.int64()))], schema=schema)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
             out.clear()
             return batch
 
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and held[0][0] != row[0]:
+            for h, key, n, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if h != anchor:
                     settle()
-                held.append(row)
-            if len(out) >= 5000:
-                yield sent()
-        if held:
-            settle()
+                    anchor, crowd = h, False
+                if held and held[-1][0] == key:
+                    held[-1][1] += n
+                    continue
+                if len(held) >= CROWD:
+                    crowd = True
+                    settle()
+                held.append([key, n, body])
+                if len(out) >= 5000:
+                    yield sent()
+        settle()
         if out:
             yield sent()
 
-    return rows.mapInArrow(run, "key binary, covered array<long>")
+    met = parts.repartition("h").sortWithinPartitions("h", "key")
+    return met.mapInArrow(run, "crowd int, key binary, n long, body binary, covered array<long>")
 
 
 def _by_hashes(rows: DataFrame) -> DataFrame:
-    """The same for anchors with a crowd of segments: every string's 128-bit hash is shuffled and counted, no group is gathered."""
+    """rows (key, n, body) of anchors with a crowd of segments -> (key, covered) of those with n = 1: every string's 128-bit hash is shuffled and counted, no group is gathered."""
     kinds = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("start", pa.int64()), ("string", pa.binary())])
 
     def run(batches):
         for b in batches:
-            for _, key, n, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, n, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 m = len(body) - LENGTH + 1
                 yield pa.RecordBatch.from_arrays([pa.array([key] * m, pa.binary()), pa.array([n] * m), pa.array(list(range(m))), pa.array([xxhash.xxh3_128_digest(body[s : s + LENGTH]) for s in range(m)], pa.binary())], schema=kinds)
 
@@ -413,16 +430,13 @@ def _by_hashes(rows: DataFrame) -> DataFrame:
 
 def verdicts(rows: DataFrame, known) -> DataFrame:
     """(key, covered): the segments with repeated strings and the ranges these cover; null: all of it."""
-    distinct = cut(_distinct_segments(rows, known))
-    crowds = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least")).where("size > 1 and least = 1").select(F.col("h").alias("c_h"), "size")
-    crowds = cut(crowds)
-    met = distinct.join(crowds, F.col("h") == F.col("c_h"))
-    few = met.where(F.col("size") <= CROWD).select("h", "key", "n", "body").repartition("h").sortWithinPartitions("h", "key")
-    found = _by_suffix_arrays(few)
-    if not crowds.where(F.col("size") > CROWD).isEmpty():
-        found = found.union(_by_hashes(met.where(F.col("size") > CROWD).select("h", "key", "n", "body")))
-    often = distinct.where("n > 1").select("key", F.lit(None).cast("array<bigint>").alias("covered"))
-    return cut(often.union(found))
+    settled = cut(_settled(_distinct_segments(rows, known)))
+    said, crowds = settled.where("crowd = 0").select("key", "covered"), settled.where("crowd = 1")
+    if crowds.isEmpty():
+        return said
+    own = crowds.groupBy("key").agg(F.sum("n").alias("n"), F.first("body").alias("body"))
+    often = own.where("n > 1").select("key", F.lit(None).cast("array<bigint>").alias("covered"))
+    return cut(said.union(often).union(_by_hashes(own)))
 
 
 def _merged(hits: DataFrame) -> DataFrame:
