@@ -23,7 +23,9 @@ _BREAK = "\n"
 
 
 def line_words(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x00-\x20]+"), lambda w: w != "")
+    """What stands between characters up to U+0020; most lines have only spaces, for which no regular expression is needed."""
+    parts = F.when(line.rlike(r"[\x00-\x1f]"), F.split(line, r"[\x00-\x20]+")).otherwise(F.split(line, " "))
+    return F.array_remove(parts, "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def _closed(units: Column, k: int, s: int) -> Column:
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """The hashes of a text's closed syncmers of lower-cased words and, if it is short, of characters."""
     low = F.lower(text)
-    words = F.filter(F.split(low, r"[\x00-\x20]+"), lambda w: w != "")
+    words = F.array_remove(F.split(low, r"[\x00-\x20]+"), "")
     chars = F.when(F.char_length(text) <= SHORT, _closed(F.filter(F.split(low, ""), lambda c: c != ""), CHAR_K, CHAR_S)).otherwise(F.array().cast("array<bigint>"))
     return F.concat(_closed(words, k, s), chars)
 
