@@ -80,7 +80,7 @@ def proximity(hits: DataFrame, alpha: float = ALPHA, reach: int = REACH) -> Data
 def top_k(scored: DataFrame, k: int, order: list[Column], by: str | list[str] = "query") -> DataFrame:
     """The first k rows of each group and their rank; Spark keeps only k rows of a group before the shuffle."""
     w = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(*order)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:

@@ -111,7 +111,7 @@ _OUTPUTS = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if a is None else a})" for i, _, a in _OUTPUTS) + ") t(id, answer)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, CAST({'NULL' if a is None else a} AS BIGINT))" for i, _, a in _OUTPUTS) + ") t(id, answer)")
 def parse_answer(spark, d):
     """X-10: the letter a model's output settles on."""
     return spark.createDataFrame([(i, s) for i, s, _ in _OUTPUTS], "id int, s string").select("id", T.parse_answer(F.col("s")).alias("answer"))
@@ -128,7 +128,7 @@ def distill_title(spark, d):
     return spark.createDataFrame([(i, s) for i, s, _ in _RAW], "id int, s string").select("id", T.distill_title(F.col("s"), F.lit("Q")).alias("title"))
 
 
-@query("SELECT event_id, CAST(power(7, 1) AS BIGINT) AS seven, m AS remainder, n * (n + 1) * (2 * n + 1) // 6 AS squares, 1440 // lcm(a, b) AS meetings, greatest(0, a + b - 30) AS both_sets, round(n * n / 2.0, 6) AS area FROM (SELECT event_id, event_id % 20 + 1 AS n, event_id % 13 + 2 AS a, event_id % 7 + 3 AS b, [1, 3, 2, 6, 4, 5][event_id % 6 + 1] AS m FROM events WHERE event_id < 500)".replace("CAST(power(7, 1) AS BIGINT) AS seven, ", ""))
+@query("SELECT event_id, CAST(power(7, 1) AS BIGINT) AS seven, CAST(m AS BIGINT) AS remainder, n * (n + 1) * (2 * n + 1) // 6 AS squares, 1440 // lcm(a, b) AS meetings, greatest(0, a + b - 30) AS both_sets, round(n * n / 2.0, 6) AS area FROM (SELECT event_id, event_id % 20 + 1 AS n, event_id % 13 + 2 AS a, event_id % 7 + 3 AS b, [1, 3, 2, 6, 4, 5][event_id % 6 + 1] AS m FROM events WHERE event_id < 500)".replace("CAST(power(7, 1) AS BIGINT) AS seven, ", ""))
 def closed_form_maths(spark, d):
     """§2.8.1, rows 8, 11, 13, 14, 20: remainders, sums of squares, coincidences, set sizes, areas."""
     e = table(spark, d, "events").where("event_id < 500").select("event_id", (F.col("event_id") % 20 + 1).alias("n"), (F.col("event_id") % 13 + 2).alias("a"), (F.col("event_id") % 7 + 3).alias("b"))
@@ -139,7 +139,7 @@ def closed_form_maths(spark, d):
     )
 
 
-@query("SELECT * FROM (VALUES (0, CAST(14.0 AS DOUBLE), 2), (1, NULL, NULL), (2, 0.5, 0), (3, 120.0, 3)) t(id, value, choice)")
+@query("SELECT * FROM (VALUES (0, CAST(14.0 AS DOUBLE), CAST(2 AS BIGINT)), (1, NULL, NULL), (2, 0.5, 0), (3, 120.0, 3)) t(id, value, choice)")
 def arithmetic_tools(spark, d):
     """M-06, M-08: expressions that differ by row are evaluated from their syntax tree, and matched with options."""
     rows = [(0, "2 + 3 * 4", ["12", "20", "$14", "x"]), (1, "__import__('os')", ["1", "2", "3", "4"]), (2, "sqrt(0.25)", ["0.5", "1", "2", "3"]), (3, "factorial(5)", ["1", "60 km", "119", "120 km"])]

@@ -224,7 +224,7 @@ def leaderboard(spark, d):
     """T-07, T-12: the twenty best sessions."""
     g = runlog(spark, d).groupBy("session_id").agg(E.accuracy(F.col("correct")).alias("accuracy"), F.round(F.avg("confidence"), 9).alias("confidence"))
     best = g.orderBy(F.desc("accuracy"), "session_id").limit(20)
-    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("accuracy"), "session_id")))
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("accuracy"), "session_id")).cast("bigint"))
 
 
 @query(LOG + f", a AS (SELECT category, {_ACC} AS acc FROM runlog {_CAT} WHERE event_id % 2 = 0 AND level <= 9 AND category <> 'news' GROUP BY category), b AS (SELECT category, {_ACC} AS acc FROM runlog {_CAT} WHERE event_id % 2 = 1 AND category <> 'maths' GROUP BY category) SELECT coalesce(a.category, b.category) AS category, a.acc AS base, b.acc AS improved, round(b.acc - a.acc, 9) AS delta FROM a FULL JOIN b ON a.category = b.category WHERE coalesce(a.category, b.category) IS NOT NULL")
@@ -257,7 +257,7 @@ def date_window_join(spark, d):
 @query(LOG + ", r AS (SELECT session_id, event_id, row_number() OVER w AS i, round(avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) OVER w, 9) AS running FROM runlog WINDOW w AS (PARTITION BY session_id ORDER BY event_id)) SELECT session_id, i, running FROM r WHERE i % 10 = 0")
 def running_accuracy(spark, d):
     """W-07: every tenth row of a session."""
-    return E.running_accuracy(runlog(spark, d), ["session_id"], "event_id").where("i % 10 = 0").select("session_id", "i", "running")
+    return E.running_accuracy(runlog(spark, d), ["session_id"], "event_id").where("i % 10 = 0").select("session_id", F.col("i").cast("bigint").alias("i"), "running")
 
 
 @query(LOG + ", p AS (SELECT question_text, session_id, min(event_id) AS fetched FROM runlog WHERE top_score < 0.3 GROUP BY ALL), c AS (SELECT p.question_text, p.session_id, p.fetched, min(r.event_id) AS confirmed FROM p JOIN runlog r ON r.question_text = p.question_text AND r.session_id = p.session_id AND r.correct AND r.event_id >= p.fetched GROUP BY ALL) SELECT question_text, count(*) AS confirmations, min(confirmed) AS first FROM c GROUP BY question_text")

@@ -122,7 +122,7 @@ def rrf_weighted(spark, d):
 
 @query(
     _HITS + _TOP + ", z AS (SELECT b.*, d.source, row_number() OVER (PARTITION BY query, source ORDER BY rank) > 1 AS again FROM b JOIN documents d ON d.doc_id = b.doc WHERE rank <= 20),"
-    " y AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY again, rank) AS place FROM z) SELECT query, doc, source, score, CAST(place AS INTEGER) AS rank FROM y WHERE place <= 5"
+    " y AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY again, rank) AS place FROM z) SELECT query, doc, source, score, place AS rank FROM y WHERE place <= 5"
 )
 def diversify_topk(spark, d):
     """R-17, W-03: five of twenty, each source's best first."""
@@ -196,7 +196,7 @@ def recall_chunk_rank(spark, d):
 
 @query(
     _HITS + _TOP + ", z AS (SELECT b.query, b.doc, b.rank, length('[' || rank || '] ' || source || chr(10) || left(text, 300)) AS n FROM b JOIN documents d ON d.doc_id = b.doc WHERE rank <= 10),"
-    " y AS (SELECT *, sum(n) OVER (PARTITION BY query ORDER BY rank) AS used FROM z) SELECT query, doc, CAST(rank AS INTEGER) AS rank, CAST(used AS BIGINT) AS used FROM y WHERE used <= 1200"
+    " y AS (SELECT *, sum(n) OVER (PARTITION BY query ORDER BY rank) AS used FROM z) SELECT query, doc, rank, CAST(used AS BIGINT) AS used FROM y WHERE used <= 1200"
 )
 def context_budget(spark, d):
     """W-13, X-08: passages until the first that would exceed 1,200 characters."""

@@ -128,7 +128,7 @@ def embedder_prefix(spark, d):
 
 @query(
     _LISTS.replace("rank <= 20", "rank <= 10") + _FUSED.format(w="1.0") + ", z AS (SELECT x.query, x.key, d.source, x.rank, row_number() OVER (PARTITION BY query, source ORDER BY rank) > 1 AS again FROM x JOIN documents d ON d.doc_id = x.key WHERE rank <= 10),"
-    " y AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY again, rank) AS place FROM z) SELECT query, key, source, CAST(place AS INTEGER) AS rank FROM y WHERE place <= 5"
+    " y AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY again, rank) AS place FROM z) SELECT query, key, source, place AS rank FROM y WHERE place <= 5"
 )
 def hybrid_retrieve(spark, d):
     """R-18: two rankings fused, diversified, cut."""
@@ -138,7 +138,7 @@ def hybrid_retrieve(spark, d):
     return rag.retrieve(one, two, sources, 5).select("query", "key", "source", "rank")
 
 
-@query(_LISTS + _FUSED.format(w="1.0") + " SELECT query, key, CAST(rank AS INTEGER) AS rank FROM x WHERE rank <= 3")
+@query(_LISTS + _FUSED.format(w="1.0") + " SELECT query, key, rank FROM x WHERE rank <= 3")
 def multi_query_retrieve(spark, d):
     """R-19: variants of a question fused once and cut."""
     sources = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "source")
