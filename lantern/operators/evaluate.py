@@ -98,6 +98,22 @@ def calibrate_threshold(pairs: DataFrame, base: float) -> DataFrame:
     return summed.select(F.col("at").alias("tau"), "n_ungated", F.round(p, 9).alias("p_ungated"), F.round(acc, 9).alias("acc_ungated"), F.round(acc * p + base * (1 - p), 9).alias("expected"))
 
 
+def percentiles(df: DataFrame, by: list[str], value: str, ps: dict[str, float], dashboard: bool = False) -> DataFrame:
+    """(by..., a column for each of ps): sorted values at index round((n - 1) p), halves to even, or for the dashboard at min(int(n p), n - 1).
+
+    Equal values are counted before anything is sorted, and sums over distinct
+    values tell where an index lies; no group's values are gathered.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    whole, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_v")
+    placed = counted.withColumn("_n", F.sum("_c").over(whole)).withColumn("_end", F.sum("_c").over(upto))
+
+    def index(p: float) -> Column:
+        return F.least(F.floor(F.col("_n") * F.lit(p)), F.col("_n") - 1) if dashboard else F.bround((F.col("_n") - 1) * F.lit(p), 0).cast("bigint")
+
+    return placed.groupBy(*by).agg(*[F.min(F.when(F.col("_end") > index(p), F.col("_v"))).alias(name) for name, p in ps.items()])
+
+
 def crosstab(df: DataFrame, rows: str, columns: str) -> DataFrame:
     """Counts of both, with totals (null) by each and of all."""
     return df.cube(rows, columns).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))

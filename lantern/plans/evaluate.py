@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import numbers as N
 from ..operators import evaluate as E
 from .common import CAT_SQL, LOG, categories, query, runlog, table
 
@@ -140,15 +139,15 @@ def ece_edges(spark, d):
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(value) FILTER (WHERE i = round_even((n - 1) * 0.5, 0)) AS p50, max(value) FILTER (WHERE i = round_even((n - 1) * 0.95, 0)) AS p95, round(avg(value), 6) AS mean FROM r GROUP BY event_type")
 def latency_percentiles(spark, d):
     """A-06, A-08: nearest rank, halves to even."""
-    g = table(spark, d, "events").groupBy("event_type").agg(F.collect_list("value").alias("v"), F.round(F.avg("value"), 6).alias("mean"))
-    return g.select("event_type", N.nearest_rank(F.col("v"), 0.5).alias("p50"), N.nearest_rank(F.col("v"), 0.95).alias("p95"), "mean")
+    e = table(spark, d, "events")
+    mean = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return E.percentiles(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95}).join(mean, "event_type")
 
 
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(value) FILTER (WHERE i = n // 2) AS p50, max(value) FILTER (WHERE i = least(CAST(floor(n * CAST(0.95 AS DOUBLE)) AS BIGINT), n - 1)) AS p95 FROM r GROUP BY event_type")
 def latency_percentiles_dashboard(spark, d):
     """A-07: the dashboard's ranks."""
-    g = table(spark, d, "events").groupBy("event_type").agg(F.collect_list("value").alias("v"))
-    return g.select("event_type", N.dashboard_rank(F.col("v"), 0.5).alias("p50"), N.dashboard_rank(F.col("v"), 0.95).alias("p95"))
+    return E.percentiles(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95}, dashboard=True)
 
 
 @query(LOG + ", t AS (SELECT DISTINCT round_even(top_score, 3) AS tau FROM runlog UNION SELECT 0.0 UNION SELECT 1.0), j AS (SELECT tau, count(event_id) AS n, count(event_id) FILTER (WHERE correct) AS c FROM t LEFT JOIN runlog ON top_score >= tau GROUP BY tau), x AS (SELECT tau, n AS n_ungated, n / (SELECT count(*) FROM runlog) AS p, CASE WHEN n > 0 THEN c / n ELSE 0 END AS a FROM j) SELECT CAST(tau AS DOUBLE) AS tau, n_ungated, round(p, 9) AS p_ungated, round(a, 9) AS acc_ungated, round(a * p + 0.25 * (1 - p), 9) AS expected FROM x")
