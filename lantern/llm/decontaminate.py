@@ -7,6 +7,10 @@ that stood in the placeholders must map one to one between item and document
 along a match, so a question with other numbers or names is caught and chance
 meetings of placeholders are not.  A window with fewer than three plain words
 says too little as a template and is compared by its words as they are.
+
+That is matches().  leaks() is the whole job: letter case decides what is a
+name, so it compares every window also by its lower-cased words, and by a
+template in which only numbers and units are placeholders.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small
-from .tokens import DIGIT, Words, chunks, mix, windows, words_of
+from .tokens import DIGIT, Words, chunks, mix, powers, windows, words_of
 
 #: Units that a number may carry.
 UNITS = (
@@ -31,12 +35,23 @@ WINDOW, PLAIN, COVER = 5, 3, 0.8
 FILTER_HASHES = 2_000_000
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x11, 0x22, 0x33))
 _SCHEMA = pa.schema([("id", pa.int64()), ("pos", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64())), ("n", pa.int64())])
+_BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2^64
+_BACK = pow(_BASE, -1, 1 << 64)
 
 
 def _unit_hashes() -> np.ndarray:
     return np.sort(words_of([u.encode() for u in UNITS]).hash)
 
 
+def _kinds(w: Words, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words are numbers, units after a number, and names."""
+    number = w.kind == DIGIT
+    follows = np.concatenate([[False], number[:-1] & (w.text[1:] == w.text[:-1])])
+    k = np.minimum(np.searchsorted(units, w.hash), len(units) - 1)
+    unit = follows & (units[k] == w.hash)
+    return number, unit, w.upper & ~w.shout & ~unit & ~number
+
+
 def template_windows(w: Words, units: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """text, position in the text, hash and number of the text's windows, of each window (only those whose hash is in the sorted array only); and its slots: values, and how many.
 
@@ -45,11 +60,7 @@ def template_windows(w: Words, units: np.ndarray, only: np.ndarray | None = None
     if not len(w.hash):
         none = np.empty(0, np.int64)
         return none, none, np.empty(0, np.uint64), none, np.empty(0, np.uint64), none
-    number = w.kind == DIGIT
-    follows = np.concatenate([[False], number[:-1] & (w.text[1:] == w.text[:-1])])
-    k = np.minimum(np.searchsorted(units, w.hash), len(units) - 1)
-    unit = follows & (units[k] == w.hash)
-    name = w.upper & ~w.shout & ~unit & ~number
+    number, unit, name = _kinds(w, units)
     slot = number | unit | name
     shape = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, w.hash)))
     counts = w.counts()
@@ -85,22 +96,60 @@ def template_windows(w: Words, units: np.ndarray, only: np.ndarray | None = None
     return text, pos, h, n, w.hash[at[open_slot]], held.astype(np.int64)
 
 
-def _windows_table(df: DataFrame, id_col: str, text_col: str, only: np.ndarray | None = None) -> DataFrame:
+def whole_windows(w: Words, units: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """What template_windows gives, of each window's lower-cased words, its template, and its template without names where these differ."""
+    if not len(w.hash):
+        return template_windows(w, units, only)
+    counts = w.counts()
+    begin = np.cumsum(counts) - counts
+    at = np.flatnonzero(np.arange(len(w.hash)) - begin[w.text] <= np.maximum(counts[w.text] - WINDOW, 0))
+    size = np.minimum(counts[w.text[at]], WINDOW)
+    up, down = powers(_BASE, len(w.hash)), powers(_BACK, len(w.hash) + 1)
+    out = []
+
+    def add(values: np.ndarray, slot: np.ndarray, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(values * up)])
+        h = mix((sums[start + size] - sums[start]) * down[start] + size.astype(np.uint64))
+        if only is not None:
+            keep = only[np.minimum(np.searchsorted(only, h), len(only) - 1)] == h
+            at, start, size, h = at[keep], start[keep], size[keep], h[keep]
+        word = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        open_slot = slot[word]
+        held = np.add.reduceat(open_slot, np.cumsum(size) - size, dtype=np.int64) if len(size) else np.empty(0, np.int64)
+        text = w.text[at]
+        out.append((text, at - begin[text], h, np.maximum(counts[text] - WINDOW + 1, 1), w.hash[word[open_slot]], held))
+
+    number, unit, name = _kinds(w, units)
+    add(w.hash, np.zeros(len(w.hash), bool), at, at, size)
+    for slot, blind in ((number | unit | name, False), (number | unit, True)):
+        shape = mix(np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(slot, _NAME, w.hash))))
+        slots = np.concatenate([[0], np.cumsum(slot)])
+        names = np.concatenate([[0], np.cumsum(name)])
+        held = slots[at + size] - slots[at]
+        new = (held > 0) & (size - held >= PLAIN) & ((names[at + size] > names[at]) | (not blind))
+        add(shape, slot, at[new], at[new], size[new])
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _windows_table(df: DataFrame, id_col: str, text_col: str, only: np.ndarray | None = None, of=template_windows) -> DataFrame:
     units = _unit_hashes()
 
     def run(batches):
         for b in batches:
             ids = b.column(0)
             for w in chunks(b.column(1)):
-                text, pos, h, n, values, held = template_windows(w, units, only)
+                text, pos, h, n, values, held = of(w, units, only)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32))
                 slots = pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + w.first)), pa.array(pos), pa.array(h.view(np.int64)), slots, pa.array(n)], schema=_SCHEMA)
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, pos long, hash long, slots array<long>, n long")
+    text = F.col(text_col)
+    if of is whole_windows:  # in upper case sharp s is two letters
+        text = F.replace(F.replace(text, F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("SS"))
+    return df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).mapInArrow(run, "id long, pos long, hash long, slots array<long>, n long")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, of=template_windows) -> DataFrame:
     """(doc_id, item_id, matched, windows, coverage): pairs where at least cover of the item's windows occur in the document with consistent slots.
 
     An item of fewer than WINDOW words is one window and is found only in a
@@ -108,14 +157,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> Data
     are in no pair.  Rows with equal ids count as one document or item; rows
     with a null doc_id are one document, items with a null item_id are left out.
     """
-    items = cut(_windows_table(benchmark.where("item_id is not null"), "item_id", "text"))
+    items = cut(_windows_table(benchmark.where("item_id is not null"), "item_id", "text", of=of))
     n_hashes = items.select("hash").distinct().count()
     only = None
     if n_hashes <= FILTER_HASHES:
         only = np.sort(np.array([r[0] for r in items.select("hash").distinct().toLocalIterator()], dtype=np.int64).view(np.uint64))
         if not len(only):
             only = np.zeros(1, np.uint64)
-    found = _windows_table(docs, "doc_id", "text", only).select(F.col("id").alias("doc_id"), "pos", "hash", "slots")
+    found = _windows_table(docs, "doc_id", "text", only, of).select(F.col("id").alias("doc_id"), "pos", "hash", "slots")
     wanted = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("hash").alias("item_hash"), F.col("slots").alias("item_slots"))
     pairs = found.join(wanted, (F.col("hash") == F.col("item_hash")) & (F.size("slots") == F.size("item_slots")))
     pairs = pairs.select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("slots"))
@@ -127,7 +176,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> Data
     return joined.where(F.col("coverage") >= cover)
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
+    """What matches gives, with an item's window also found where only its letter case differs, or that of its names."""
+    return matches(docs, benchmark, cover, whole_windows)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """docs without the rows whose doc_id is in a pair; rows with a null doc_id stay."""
-    dirty = cut(matches(docs, benchmark, cover).where("doc_id is not null").select(F.col("doc_id").alias("_dirty_id")).distinct())
+    dirty = cut(leaks(docs, benchmark, cover).where("doc_id is not null").select(F.col("doc_id").alias("_dirty_id")).distinct())
     return docs.join(small(dirty), F.col("doc_id") == F.col("_dirty_id"), "left_anti")
