@@ -10,7 +10,9 @@ says too little as a template and is compared by its words as they are.
 
 That is matches().  leaks() is the whole job: letter case decides what is a
 name, so it compares every window also by its lower-cased words, and by a
-template in which only numbers and units are placeholders.
+template in which only numbers and units are placeholders.  A window with fewer
+than three plain words is widened, once to its right and once to its left, until
+it has three.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x11, 0x22, 0x33))
 _SCHEMA = pa.schema([("id", pa.int64()), ("pos", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64())), ("n", pa.int64())])
 _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2^64
 _BACK = pow(_BASE, -1, 1 << 64)
+_LEFT = np.uint64(0x5851F42D4C957F2D)
 
 
 def _unit_hashes() -> np.ndarray:
@@ -96,8 +99,12 @@ def template_windows(w: Words, units: np.ndarray, only: np.ndarray | None = None
     return text, pos, h, n, w.hash[at[open_slot]], held.astype(np.int64)
 
 
-def whole_windows(w: Words, units: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """What template_windows gives, of each window's lower-cased words, its template, and its template without names where these differ."""
+def whole_windows(w: Words, units: np.ndarray, only: np.ndarray | None = None, widest: int | None = None) -> tuple[np.ndarray, ...]:
+    """What template_windows gives, of each window's lower-cased words, its template, and its template without names where these differ.
+
+    A template of fewer than PLAIN plain words has the words to its right (left) up to the one that makes them PLAIN, or isn't there if the text ends before.
+    Windows of over widest words are left out.
+    """
     if not len(w.hash):
         return template_windows(w, units, only)
     counts = w.counts()
@@ -107,9 +114,9 @@ def whole_windows(w: Words, units: np.ndarray, only: np.ndarray | None = None) -
     up, down = powers(_BASE, len(w.hash)), powers(_BACK, len(w.hash) + 1)
     out = []
 
-    def add(values: np.ndarray, slot: np.ndarray, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+    def add(values: np.ndarray, slot: np.ndarray, at: np.ndarray, start: np.ndarray, size: np.ndarray, salt: np.uint64 = np.uint64(0)) -> None:
         sums = np.concatenate([[np.uint64(0)], np.cumsum(values * up)])
-        h = mix((sums[start + size] - sums[start]) * down[start] + size.astype(np.uint64))
+        h = mix((sums[start + size] - sums[start]) * down[start] + size.astype(np.uint64)) ^ salt
         if only is not None:
             keep = only[np.minimum(np.searchsorted(only, h), len(only) - 1)] == h
             at, start, size, h = at[keep], start[keep], size[keep], h[keep]
@@ -128,17 +135,33 @@ def whole_windows(w: Words, units: np.ndarray, only: np.ndarray | None = None) -
         held = slots[at + size] - slots[at]
         new = (held > 0) & (size - held >= PLAIN) & ((names[at + size] > names[at]) | (not blind))
         add(shape, slot, at[new], at[new], size[new])
+        dense, plain = at[(size - held < PLAIN) & (counts[w.text[at]] >= WINDOW)], np.flatnonzero(~slot)
+        if len(plain) < PLAIN or not len(dense):
+            continue
+        for salt in (np.uint64(0), _LEFT):
+            if salt:
+                last = np.searchsorted(plain, dense + WINDOW) - PLAIN
+                start, end = plain[np.maximum(last, 0)], dense + WINDOW
+                own = (last >= 0) & (w.text[start] == w.text[dense])
+            else:
+                third = np.searchsorted(plain, dense) + PLAIN - 1
+                start, end = dense, plain[np.minimum(third, len(plain) - 1)] + 1
+                own = (third < len(plain)) & (w.text[end - 1] == w.text[dense])
+            if widest is not None:
+                own &= end - start <= widest
+            own[own] &= (names[end[own]] > names[start[own]]) | (not blind)
+            add(shape, slot, dense[own], start[own], (end - start)[own], salt)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _windows_table(df: DataFrame, id_col: str, text_col: str, only: np.ndarray | None = None, of=template_windows) -> DataFrame:
+def _windows_table(df: DataFrame, id_col: str, text_col: str, only: np.ndarray | None = None, of=template_windows, widest: int | None = None) -> DataFrame:
     units = _unit_hashes()
 
     def run(batches):
         for b in batches:
             ids = b.column(0)
             for w in chunks(b.column(1)):
-                text, pos, h, n, values, held = of(w, units, only)
+                text, pos, h, n, values, held = of(w, units, only) if widest is None else of(w, units, only, widest)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32))
                 slots = pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + w.first)), pa.array(pos), pa.array(h.view(np.int64)), slots, pa.array(n)], schema=_SCHEMA)
@@ -164,7 +187,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, of=temp
         only = np.sort(np.array([r[0] for r in items.select("hash").distinct().toLocalIterator()], dtype=np.int64).view(np.uint64))
         if not len(only):
             only = np.zeros(1, np.uint64)
-    found = _windows_table(docs, "doc_id", "text", only, of).select(F.col("id").alias("doc_id"), "pos", "hash", "slots")
+    widest = None
+    if only is None and of is whole_windows:  # a wider window is in no item
+        widest = (items.agg(F.max("n")).first()[0] or 0) + WINDOW - 1
+    found = _windows_table(docs, "doc_id", "text", only, of, widest).select(F.col("id").alias("doc_id"), "pos", "hash", "slots")
     wanted = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("hash").alias("item_hash"), F.col("slots").alias("item_slots"))
     pairs = found.join(wanted, (F.col("hash") == F.col("item_hash")) & (F.size("slots") == F.size("item_slots")))
     pairs = pairs.select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("slots"))
@@ -177,7 +203,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, of=temp
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
-    """What matches gives, with an item's window also found where only its letter case differs, or that of its names."""
+    """What matches gives, with an item's window also found where only its letter case differs, or that of its names, and with few plain words by the words around it."""
     return matches(docs, benchmark, cover, whole_windows)
 
 

@@ -25,3 +25,19 @@ def test_letter_case(spark):
     assert left(spark, [short.lower(), short.upper(), short.lower() + " again"], short) == [2]
     sharp = "Die Straße am großen Fluss ist im Winter weiß und still"
     assert left(spark, [sharp.upper(), sharp.lower()], sharp) == []
+
+
+DENSE = [
+    ("A train travels 60 km in 2 hours. How far does it travel in 5 hours?", "A train travels 75 km in 3 hours. How far does it travel in 8 hours?"),
+    ("A shop sells 12 kg of rice for 30 dollars and 5 kg of beans for 20 dollars. What is the price of 1 kg?", "A shop sells 14 kg of rice for 35 dollars and 6 kg of beans for 24 dollars. What is the price of 3 kg?"),
+    ("Tom buys 4 pens at 3 dollars each and 2 books at 7 dollars each. How much does Tom pay?", "Eva buys 5 pens at 6 dollars each and 9 books at 8 dollars each. How much does Eva pay?"),
+    ("Maria runs 5 km on Monday, 7 km on Tuesday and 9 km on Friday. How many km does Maria run in total?", "Petra runs 4 km on Sunday, 6 km on Thursday and 8 km on Saturday. How many km does Petra run in total?"),
+]
+
+
+@pytest.mark.parametrize("hashes", [D.FILTER_HASHES, 0])
+def test_dense_windows(spark, monkeypatch, hashes):
+    monkeypatch.setattr(D, "FILTER_HASHES", hashes)
+    docs = ["Here it comes: " + other + " And the text goes on." for _, other in DENSE]
+    docs.append("Numbers 1 2 3 4 5 6 7 8 9 and Names Anna Bob Carl " * 50 + "do not make an item of a table")
+    assert left(spark, docs, *[item for item, _ in DENSE]) == [4]
