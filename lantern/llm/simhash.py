@@ -29,8 +29,9 @@ HOT_BUCKET = 8192
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: For similar texts: buckets by BANDS keys of ROWS least hashes each meet pairs of similarity 0.8 in all but one of 30,000 cases.
 BANDS, ROWS = 20, 4
-#: Differing bits of 64 at which fingerprints of shingle sets still count as of similarity 0.8: 9.7 are expected there, 12.3 at 0.7.
-SIMILAR = 12
+LIKENESS = 0.8
+#: Differing bits of 64 at which pairs are still compared: 9.7 are expected at a similarity of 0.8, with a deviation of 2.9.
+SIMILAR = 22
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -311,6 +312,21 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_of(text: str | None, size: int) -> tuple[np.ndarray, int]:
+    """The set of a text's shingle hashes, sorted, and a hash of the set."""
+    parts = list(shingle_hashes(words_of(text), size))
+    h = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+    return h, xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
+
+
+def print_of(h: np.ndarray) -> int:
+    """Signed fingerprint of a set of hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(h), 255):
+        ones += np.unpackbits(h[k : k + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0])
+
+
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, own, fp, bands) of every row: a hash and the fingerprint of its set of shingles, and its bands; a text without words has none."""
     schema = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -319,37 +335,93 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
         for b in batches:
             own, fps, bands = [], [], []
             for t in b.column(1):
-                parts = list(shingle_hashes(words_of(t.as_py()), size))
-                h = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
-                ones = np.zeros(64, dtype=np.int64)
-                for k in range(0, len(h), 255):
-                    ones += np.unpackbits(h[k : k + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
-                fps.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0]))
-                own.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
+                h, digest = set_of(t.as_py(), size)
+                fps.append(print_of(h))
+                own.append(digest)
                 bands.append(band_keys(h).view(np.int64) if len(h) else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip((own, fps, bands), schema.types[1:], strict=True))], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, own long, fp long, bands array<long>")
 
 
+def link_sets(sets: list[np.ndarray], fps: np.ndarray, radius: int, likeness: float = LIKENESS) -> np.ndarray:
+    """The index of the first set that each set reaches by pairs within the radius whose Jaccard similarity is likeness or more.
+
+    What is linked isn't asked for again, so a dense group costs little.
+    """
+    root, sizes, left = np.arange(len(sets)), np.fromiter(map(len, sets), np.int64, len(sets)), np.arange(len(sets))
+    while len(left):
+        seed, queue, left = left[0], [left[0]], left[1:]
+        while queue and len(left):
+            k = queue.pop()
+            n = sizes[left]
+            near = (np.bitwise_count(fps[left] ^ fps[k]) <= radius) & (np.minimum(n, sizes[k]) >= likeness * np.maximum(n, sizes[k]))
+            found = np.zeros(len(left), bool)
+            for i in np.flatnonzero(near).tolist():
+                other = sets[left[i]]
+                both = np.concatenate([sets[k], other])
+                both.sort(kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                found[i] = common >= likeness * (len(both) - common) - 1e-9
+            root[left[found]] = seed
+            queue += left[found].tolist()
+            left = left[~found]
+    return root
+
+
+def _verify(size: int, radius: int):
+    """Rows (root, own, text) ordered by root -> links (a, b) of own in each group of one root; a text of another own is left out."""
+
+    def links_of(group: dict[int, np.ndarray]):
+        own = np.array(list(group), dtype=np.int64)
+        sets = list(group.values())
+        first = link_sets(sets, np.array([print_of(h) for h in sets], dtype=np.int64).view(np.uint64), radius)
+        far = first != np.arange(len(own))
+        return pa.RecordBatch.from_arrays([pa.array(own[far]), pa.array(own[first[far]])], names=["a", "b"])
+
+    def run(batches):
+        at, group = None, {}
+        for batch in batches:
+            for root, own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if root != at:
+                    if len(group) > 1:
+                        yield links_of(group)
+                    at, group = root, {}
+                if own not in group:
+                    h, digest = set_of(text.as_py(), size)
+                    if digest == own:
+                        group[own] = h
+        if len(group) > 1:
+            yield links_of(group)
+
+    return run
+
+
 def similar_groups(docs: DataFrame, size: int = 5, radius: int = SIMILAR) -> DataFrame:
-    """(doc_id, component_id) of every row: texts whose shingle sets have a similarity of about 0.8 or more are linked.
+    """(doc_id, component_id) of every row: texts whose shingle sets have a Jaccard similarity of LIKENESS or more are linked.
 
     Equal sets are one class.  Classes meet in buckets by their bands and are
-    linked by bit-sliced comparison of their fingerprints.  component_id is the
-    least id reached.  Texts without words are one class.
+    grouped by bit-sliced comparison of their fingerprints, with a radius that
+    is wide for the similarity.  One text of each class of a group goes to the
+    group's task, where pairs are compared by their whole sets.  component_id
+    is the least id reached.  Texts without words are one class.
     """
     rows = cut(shingle_sets(docs, size))
-    classes = rows.groupBy("own", "fp").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    classes = cut(rows.groupBy("own", "fp").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
     keyed = classes.select("fp", F.posexplode("bands").alias("k2", "k1")).select("k1", F.col("k2").cast("long").alias("k2"), "fp").distinct()
     crowd = keyed.groupBy("k1", "k2").count().where("count > 1").select(F.col("k1").alias("m1"), F.col("k2").alias("m2"))
     met = keyed.join(crowd, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2"))).select("k1", "k2", "fp")
     edges = met.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "fp").mapInArrow(_link_batches(radius), "a long, b long")
     reach = components(edges)
-    rooted = classes.select("fp", "least").join(reach, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("of"), "component_id")
-    named = rooted.select("fp", "root").distinct().join(lowest, F.col("root") == F.col("of")).select(F.col("fp").alias("own_fp"), "component_id")
-    return rows.select("doc_id", "fp").join(named, F.col("fp") == F.col("own_fp")).select("doc_id", "component_id")
+    rooted = classes.select("own", "fp", "least").join(reach, F.col("fp") == F.col("node"), "left").select("own", "least", F.coalesce("root", "fp").alias("root"))
+    shared = rooted.groupBy("root").count().where("count > 1").select(F.col("root").alias("of"))
+    asked = cut(rooted.join(shared, F.col("root") == F.col("of")).select("root", "own", F.col("least").alias("rep")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(asked), F.col("doc_id").eqNullSafe(F.col("rep"))).select("root", "own", "text")
+    same = components(texts.repartition("root").sortWithinPartitions("root").mapInArrow(_verify(size, radius), "a long, b long"))
+    named = classes.select("own", "least").join(same, F.col("own") == F.col("node"), "left").select("own", "least", F.coalesce("root", "own").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("of"), "component_id")
+    ends = named.join(lowest, F.col("root") == F.col("of")).select(F.col("own").alias("set"), "component_id")
+    return rows.select("doc_id", "own").join(ends, F.col("own") == F.col("set")).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = 5, radius: int = SIMILAR) -> DataFrame:
