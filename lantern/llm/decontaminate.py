@@ -36,7 +36,7 @@ WINDOW, PLAIN, COVER = 5, 3, 0.8
 #: Distinct window hashes of the benchmark up to which they go to every task as a filter (8 bytes each); beyond, all windows are shuffled.
 FILTER_HASHES = 2_000_000
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x11, 0x22, 0x33))
-_SCHEMA = pa.schema([("id", pa.int64()), ("pos", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64())), ("n", pa.int64())])
+_SCHEMA = pa.schema([("id", pa.int64()), ("pos", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())), ("n", pa.int64())])
 _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2^64
 _BACK = pow(_BASE, -1, 1 << 64)
 _LEFT = np.uint64(0x5851F42D4C957F2D)
@@ -56,13 +56,13 @@ def _kinds(w: Words, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def template_windows(w: Words, units: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """text, position in the text, hash and number of the text's windows, of each window (only those whose hash is in the sorted array only); and its slots: values, and how many.
+    """text, position in the text, hash and number of the text's windows, of each window (only those whose hash is in the sorted array only); and its slots: values, how many, and their words' positions in the text.
 
     A text of fewer than WINDOW words is one window; a text without words has none.
     """
     if not len(w.hash):
         none = np.empty(0, np.int64)
-        return none, none, np.empty(0, np.uint64), none, np.empty(0, np.uint64), none
+        return none, none, np.empty(0, np.uint64), none, np.empty(0, np.uint64), none, none
     number, unit, name = _kinds(w, units)
     slot = number | unit | name
     shape = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, w.hash)))
@@ -96,7 +96,8 @@ def template_windows(w: Words, units: np.ndarray, only: np.ndarray | None = None
     at = np.repeat(where - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
     open_slot = slot[at] & ~np.repeat(few, size)
     held = np.add.reduceat(open_slot, np.cumsum(size) - size) if len(size) else np.empty(0, np.int64)
-    return text, pos, h, n, w.hash[at[open_slot]], held.astype(np.int64)
+    held = held.astype(np.int64)
+    return text, pos, h, n, w.hash[at[open_slot]], held, at[open_slot] - np.repeat(begin[text], held)
 
 
 def whole_windows(w: Words, units: np.ndarray, only: np.ndarray | None = None, widest: int | None = None) -> tuple[np.ndarray, ...]:
@@ -124,7 +125,7 @@ def whole_windows(w: Words, units: np.ndarray, only: np.ndarray | None = None, w
         open_slot = slot[word]
         held = np.add.reduceat(open_slot, np.cumsum(size) - size, dtype=np.int64) if len(size) else np.empty(0, np.int64)
         text = w.text[at]
-        out.append((text, at - begin[text], h, np.maximum(counts[text] - WINDOW + 1, 1), w.hash[word[open_slot]], held))
+        out.append((text, at - begin[text], h, np.maximum(counts[text] - WINDOW + 1, 1), w.hash[word[open_slot]], held, word[open_slot] - np.repeat(begin[text], held)))
 
     number, unit, name = _kinds(w, units)
     add(w.hash, np.zeros(len(w.hash), bool), at, at, size)
@@ -161,15 +162,30 @@ def _windows_table(df: DataFrame, id_col: str, text_col: str, only: np.ndarray |
         for b in batches:
             ids = b.column(0)
             for w in chunks(b.column(1)):
-                text, pos, h, n, values, held = of(w, units, only) if widest is None else of(w, units, only, widest)
+                text, pos, h, n, values, held, places = of(w, units, only) if widest is None else of(w, units, only, widest)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32))
-                slots = pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + w.first)), pa.array(pos), pa.array(h.view(np.int64)), slots, pa.array(n)], schema=_SCHEMA)
+                slots, places = (pa.ListArray.from_arrays(offsets, pa.array(x.view(np.int64))) for x in (values, places))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + w.first)), pa.array(pos), pa.array(h.view(np.int64)), slots, places, pa.array(n)], schema=_SCHEMA)
 
     text = F.col(text_col)
     if of is whole_windows:  # in upper case sharp s is two letters
         text = F.replace(F.replace(text, F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("SS"))
-    return df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).mapInArrow(run, "id long, pos long, hash long, slots array<long>, n long")
+    return df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).mapInArrow(run, "id long, pos long, hash long, slots array<long>, places array<long>, n long")
+
+
+def agreeing(held: list | None) -> list[int] | None:
+    """Positions of a run's windows that are verbatim or agree with its one-to-one mapping of most item words; of pairs with as many words, equal values come first."""
+    if held is None:
+        return None
+    votes: dict[tuple[int, int], set[int]] = {}
+    for _, slots, places in held:
+        for (a, b), place in zip(slots, places, strict=True):
+            votes.setdefault((a, b), set()).add(place)
+    to, back = {}, {}
+    for a, b in sorted(votes, key=lambda p: (-len(votes[p]), p[0] != p[1], p)):
+        if a not in to and b not in back:
+            to[a], back[b] = b, a
+    return sorted({pos for pos, slots, _ in held if all(a == b for a, b in slots) or all(to.get(a) == b for a, b in slots)})
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, of=template_windows) -> DataFrame:
@@ -191,19 +207,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, of=temp
     if only is None and of is whole_windows:  # a wider window is in no item
         widest = (items.agg(F.max("n")).first()[0] or 0) + WINDOW - 1
     found = _windows_table(docs, "doc_id", "text", only, of, widest).select(F.col("id").alias("doc_id"), "pos", "hash", "slots")
-    wanted = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("hash").alias("item_hash"), F.col("slots").alias("item_slots"))
+    wanted = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("hash").alias("item_hash"), F.col("slots").alias("item_slots"), "places")
     pairs = found.join(wanted, (F.col("hash") == F.col("item_hash")) & (F.size("slots") == F.size("item_slots")))
-    pairs = pairs.select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("slots"))
-    runs = pairs.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_pos").alias("hit"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("map"))
+    pairs = pairs.select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("slots"), "places")
+    found_in = [F.collect_set("item_pos").alias("hit"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("map")]
+    if of is whole_windows:
+        found_in.append(F.collect_list(F.struct("item_pos", "slots", "places")).alias("held"))
+    runs = pairs.groupBy("doc_id", "item_id", "shift").agg(*found_in)
     one_to_one = (F.size("map") == F.size(F.array_distinct(F.transform("map", lambda s: s["a"])))) & (F.size("map") == F.size(F.array_distinct(F.transform("map", lambda s: s["b"]))))
-    hits = runs.where(one_to_one).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("matched"))
+    if of is whole_windows:
+        agreed = F.udf(agreeing, "array<long>")(F.when(~one_to_one, F.col("held")))
+        runs = runs.select("doc_id", "item_id", F.coalesce(agreed, "hit").alias("hit"))
+    else:
+        runs = runs.where(one_to_one)
+    hits = runs.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("matched"))
     sizes = items.groupBy(F.col("id").alias("of")).agg(F.max("n").alias("windows"))
     joined = hits.join(sizes, F.col("item_id") == F.col("of")).select("doc_id", "item_id", "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"))
     return joined.where(F.col("coverage") >= cover)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
-    """What matches gives, with an item's window also found where only its letter case differs, or that of its names, and with few plain words by the words around it."""
+    """What matches gives, with an item's window also found where only its letter case differs, or that of its names, and with few plain words by the words around it.
+
+    Where a run of windows isn't one to one as a whole, those that agree with its mapping count.
+    """
     return matches(docs, benchmark, cover, whole_windows)
 
 

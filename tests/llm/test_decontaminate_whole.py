@@ -41,3 +41,20 @@ def test_dense_windows(spark, monkeypatch, hashes):
     docs = ["Here it comes: " + other + " And the text goes on." for _, other in DENSE]
     docs.append("Numbers 1 2 3 4 5 6 7 8 9 and Names Anna Bob Carl " * 50 + "do not make an item of a table")
     assert left(spark, docs, *[item for item, _ in DENSE]) == [4]
+
+
+def test_windows_that_agree(spark):
+    item = TRAIN + " while Anna still keeps the list of all 12 bridges in a small red book that lies open on the table of the slow train"
+    at = item.rindex("Anna")
+    one_name = item[:at] + "Clara" + item[at + 4 :]
+    one_number = item.replace("all 12", "all 13")
+    other = item.replace("Rome", "Oslo").replace("Anna", "Boris").replace("40", "85").replace("Pisa", "Bergen")
+    docs = [one_name, one_number, other.replace("all 12", "all 19"), one_name.replace("Clara", "Rome"), other.replace("Bergen", "Boris")]
+    docs.append("Anna and Rome and Anna and Pisa meet Boris in Rome")
+    assert left(spark, docs, item) == [5]
+
+
+def test_agreeing_is_one_to_one():
+    assert D.agreeing(None) is None
+    held = [(0, [(1, 2)], [0]), (1, [(1, 2)], [3]), (2, [(1, 3)], [6]), (3, [(4, 2)], [8]), (4, [(5, 5)], [9]), (5, [], [])]
+    assert D.agreeing(held) == [0, 1, 4, 5]
