@@ -11,7 +11,11 @@ is left are segments: an anchor's starts and the bytes of their strings.
 Equal segments are counted.  A segment that occurs more than once is repeated
 at every start.  One that occurs once is compared with the other segments of
 its anchor: the suffix array of them all is built and strings that are equal
-on LENGTH bytes stand side by side in it.
+on LENGTH bytes stand side by side in it.  Where the segments of an anchor hold
+too many bytes for one suffix array, they are dealt out: strings whose starts
+lie within a few bytes of each other, seen from the anchor, share the bytes
+that all of them cover, so those that share these meet in a suffix array of
+their own; and so on with fewer starts, down to one.
 
 The suffix array is built in two linear phases.  First, groups of suffixes,
 from the highest down, hand their order on: for each suffix the pointer to the
@@ -25,6 +29,7 @@ front.  No names are given and nothing is sorted again.
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,35 +43,38 @@ LENGTH, S = 200, 8
 K = (LENGTH + S) // 2
 #: Repeated anchors and pairs up to which they go to every task (8 bytes each); beyond, each text is joined with its own.
 KNOWN = 3_000_000
-#: Numbers in all verdicts (two for a segment's hash and its ranges' ends) up to which they go to every task; beyond, segments are joined with theirs.
+#: Numbers in all verdicts (two for a segment's key and its ranges' ends) up to which they go to every task; beyond, segments are joined with theirs.
 VERDICTS = 6_000_000
-#: Distinct segments of one anchor beyond which their strings are compared by a shuffle of hashes rather than in one suffix array.
-CROWD = 4000
+#: Bytes of distinct segments that one suffix array takes (its lists hold some 100 times as many); those of an anchor with more are dealt out by DEALS, numbers of starts.
+CROWD = 1 << 18
+DEALS = (49, 12, 1)
+#: Bytes of distinct segments that a task holds before it sends them on.
+HELD = 12 << 20
 _BLOCK = 1 << 18
 
 
 # ---------------------------------------------------------------- suffix arrays
 
 
-def suffix_array(data: bytes) -> list[int]:
+def suffix_array(data: bytes) -> array:
     """The starts of the suffixes of data in ascending order, in linear time."""
     n = len(data)
     if n < 2:
-        return list(range(n))
+        return array("i", range(n))
     # groups, in ascending order as a doubly linked list; group 0 is below all
     letters = sorted(set(data))
     of_letter = {c: g for g, c in enumerate(letters, 1)}
-    group = [of_letter[c] for c in data]
+    group = array("i", [of_letter[c] for c in data])
     members: list[list[int]] = [[] for _ in range(len(letters) + 1)]
     for i, g in enumerate(group):
         members[g].append(i)
-    below = list(range(-1, len(letters)))
-    above = list(range(1, len(letters) + 1)) + [-1]
-    size = [len(m) for m in members]
-    previous, done = [-1] * n, bytearray(n)
+    below = array("i", range(-1, len(letters)))
+    above = array("i", [*range(1, len(letters) + 1), -1])
+    size = array("i", map(len, members))
+    previous, done = array("i", [-1]) * n, bytearray(n)
     g = len(letters)
     while g > 0:
-        own = members[g]
+        own, members[g] = members[g], ()  # not asked for again
         if len(own) != size[g]:
             own = [i for i in own if group[i] == g]
         if len(own) == 1:
@@ -126,12 +134,12 @@ def suffix_array(data: bytes) -> list[int]:
             for p in level:
                 group[p] = new
         g = below[g]
-    front, at, g = [0] * len(members), 0, above[0]
+    front, at, g = array("i", bytes(4 * len(members))), 0, above[0]
     while g >= 0:
         front[g] = at
         at += size[g]
         g = above[g]
-    out, placed = [0] * n, bytearray(n)
+    out, placed = array("i", bytes(4 * n)), bytearray(n)
     i = n - 1  # the end of data is the least suffix: its predecessors go first
     while i >= 0 and not placed[i]:
         out[front[group[i]]] = i
@@ -161,11 +169,10 @@ def repeated_starts(segments: list[bytes], length: int = LENGTH) -> list[list[in
     owner = np.full(len(data), -1, dtype=np.int32)
     for k, (a, b) in enumerate(zip(base, bounds, strict=True)):
         owner[a : b + 1] = k
-    order = np.array(suffix_array(data), dtype=np.int64)
-    order = order[owner[order] >= 0].tolist()
+    order = np.frombuffer(suffix_array(data), dtype=np.int32)
     hit = set()
     before, string = -1, None
-    for i in order:
+    for i in order[owner[order] >= 0].tolist():
         now = data[i : i + length]
         if now == string:
             hit.add(before)
@@ -214,11 +221,11 @@ class Batch:
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         return h ^ (h >> np.uint64(31))
 
-    def segments(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Text, anchor hash, begin and end of each segment; known: the sorted hashes of repeated anchors and pairs."""
+    def segments(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, anchor hash, begin, end and the anchor's place in it of each segment; known: the sorted hashes of repeated anchors and pairs."""
         at, n = self.at, len(self.at)
         if not n:
-            return self.text, self.hashes, at, at
+            return self.text, self.hashes, at, at, at
         whole = np.append(self.paired & _in(known, self.pairs()), False)  # an anchor and the next may be in one string
         stop = np.minimum.accumulate(np.where(whole, n, np.arange(n))[::-1])[::-1] + 1  # the first anchor that no string may reach
         last, next_ = self.ends[self.text], np.minimum(stop, n - 1)
@@ -227,11 +234,18 @@ class Batch:
         before = np.append(-1, np.where(self.paired, at[:-1], -1)) + 1
         begin = np.maximum(np.maximum(before, self.starts[self.text]), at - (LENGTH - K))
         keep = (end - begin >= LENGTH) & _in(known, self.hashes)
-        return self.text[keep], self.hashes[keep], begin[keep], end[keep]
+        return self.text[keep], self.hashes[keep], begin[keep], end[keep], (at - begin)[keep]
 
-    def keys(self, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+    def keys(self, h: np.ndarray, begin: np.ndarray, end: np.ndarray, lead: np.ndarray) -> list[bytes]:
+        """128 bits for each segment's anchor, the anchor's place and the bytes."""
         digest, data = xxhash.xxh3_128_digest, self.data
-        return [digest(data[x:y], seed=g) for g, x, y in zip(h.tolist(), begin.tolist(), end.tolist(), strict=True)]
+        seeds = h + lead.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return [digest(data[x:y], seed=g) for g, x, y in zip(seeds.tolist(), begin.tolist(), end.tolist(), strict=True)]
+
+
+def _halves(keys: list[bytes]) -> np.ndarray:
+    """128-bit keys as rows of two longs."""
+    return np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
 
 
 def _in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -308,46 +322,63 @@ def _found(b, known):
             yield k, t, t.segments(np.sort(np.array(own.as_py() or [], dtype=np.int64).view(np.uint64)))
 
 
-def _distinct_segments(rows: DataFrame, known) -> DataFrame:
-    """(h, key, n, body): each task's distinct segments and how often they occur in it."""
-    schema = pa.schema([("h", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("body", pa.binary())])
+_PARTS = "h long, k1 long, k2 long, n long, lead long, body binary"
+_SAID = "crowd int, k1 long, k2 long, n long, lead long, body binary, covered array<long>"
+_KEY = pa.schema([("h", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("lead", pa.int64()), ("body", pa.binary())])
 
-    def run(batches):
-        held: dict[bytes, list] = {}
 
-        def sent():
-            values = list(held.values())
-            batch = pa.RecordBatch.from_arrays([_long(np.array([v[0] for v in values], np.uint64)), pa.array(list(held), pa.binary()), pa.array([v[1] for v in values]), pa.array([v[2] for v in values], pa.binary())], schema=schema)
-            held.clear()
-            return batch
+class _Held:
+    """Distinct segments of a task: anchor hash, count, lead and bytes by key."""
 
+    def __init__(self):
+        self.rows: dict[bytes, list] = {}
+        self.bytes = 0
+
+    def add(self, key: bytes, h: int, n: int, lead: int, body: bytes) -> None:
+        got = self.rows.get(key)
+        if got is not None:
+            got[1] += n
+        else:
+            self.rows[key] = [h, n, lead, body]
+            self.bytes += len(body)
+
+    def sent(self) -> pa.RecordBatch:
+        keys, (h, n, lead, body) = _halves(list(self.rows)), zip(*self.rows.values(), strict=True)
+        batch = pa.RecordBatch.from_arrays([_long(np.array(h, np.uint64)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(n), pa.array(lead), pa.array(body, pa.binary())], schema=_KEY)
+        self.rows, self.bytes = {}, 0
+        return batch
+
+
+def _distinct_segments(rows: DataFrame, known) -> DataFrame:
+    """(h, k1, k2, n, lead, body): each task's distinct segments, how often they occur in it and where the anchor is in them."""
+
+    def run(batches):
+        held = _Held()
         for b in batches:
-            for _, t, (_, h, begin, end) in _found(b, known):
+            for _, t, (_, h, begin, end, lead) in _found(b, known):
                 data = t.data
-                for key, g, x, y in zip(t.keys(h, begin, end), h.tolist(), begin.tolist(), end.tolist(), strict=True):
-                    if key in held:
-                        held[key][1] += 1
-                    else:
-                        held[key] = [g, 1, data[x:y]]
-                if len(held) >= 150_000:
-                    yield sent()
-        if held:
-            yield sent()
+                for key, g, x, y, a in zip(t.keys(h, begin, end, lead), h.tolist(), begin.tolist(), end.tolist(), lead.tolist(), strict=True):
+                    held.add(key, g, 1, a, data[x:y])
+                if held.bytes >= HELD:
+                    yield held.sent()
+        if held.rows:
+            yield held.sent()
 
-    return rows.mapInArrow(run, "h long, key binary, n long, body binary")
+    return rows.mapInArrow(run, _PARTS)
 
 
 def _occurrences(rows: DataFrame, known) -> DataFrame:
-    """(doc_id, of, key, begin, size) of each segment; of: a hash of the text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("key", pa.binary()), ("begin", pa.int64()), ("size", pa.int64())])
+    """(doc_id, of, k1, k2, begin, size) of each segment; of: a hash of the text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("begin", pa.int64()), ("size", pa.int64())])
 
     def run(batches):
         for b in batches:
-            for first, t, (text, h, begin, end) in _found(b, known):
+            for first, t, (text, h, begin, end, lead) in _found(b, known):
                 of = np.array([xxhash.xxh3_64_intdigest(t.data[x:y]) for x, y in zip(t.starts.tolist(), t.ends.tolist(), strict=True)], np.uint64)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text + first)), _long(of[text]), pa.array(t.keys(h, begin, end), pa.binary()), pa.array(begin - t.starts[text]), pa.array(end - begin)], schema=schema)
+                keys = _halves(t.keys(h, begin, end, lead))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text + first)), _long(of[text]), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(begin - t.starts[text]), pa.array(end - begin)], schema=schema)
 
-    return rows.mapInArrow(run, "doc_id long, of long, key binary, begin long, size long")
+    return rows.mapInArrow(run, "doc_id long, of long, k1 long, k2 long, begin long, size long")
 
 
 def _runs(starts: list[int]) -> list[int]:
@@ -362,81 +393,138 @@ def _runs(starts: list[int]) -> list[int]:
 
 
 def _settled(parts: DataFrame) -> DataFrame:
-    """Tasks' segments by anchor -> (crowd, key, n, body, covered).
+    """Tasks' segments by anchor -> (crowd, k1, k2, n, lead, body, covered).
 
     crowd 0: the verdict on a segment, with the ranges that its repeated
     strings cover, null for all of it.  crowd 1: segments of an anchor that has
-    more than CROWD, sent on as they are; so no task holds more at a time.
+    more than CROWD bytes of them, sent on as they are; so no task holds more.
     """
-    schema = pa.schema([("crowd", pa.int32()), ("key", pa.binary()), ("n", pa.int64()), ("body", pa.binary()), ("covered", pa.list_(pa.int64()))])
+    schema = pa.schema([("crowd", pa.int32()), *[_KEY.field(i) for i in range(1, 6)], ("covered", pa.list_(pa.int64()))])
 
     def run(batches):
         held: list[list] = []
         out: list[tuple] = []
-        anchor, crowd = None, False
+        anchor, crowd, total, waiting = None, False, 0, 0
 
         def settle():
+            nonlocal waiting
             if crowd:
-                out.extend((1, k, n, body, None) for k, n, body in held)
+                out.extend((1, a, b, n, lead, body, None) for (a, b), n, lead, body in held)
+                waiting += total
             else:
-                out.extend((0, k, None, None, None) for k, n, _ in held if n > 1)
-                if len(held) > 1 and min(n for _, n, _ in held) == 1:
-                    starts = repeated_starts([body for _, _, body in held])
-                    out.extend((0, k, None, None, _runs(at)) for (k, n, _), at in zip(held, starts, strict=True) if n == 1 and at)
+                out.extend((0, a, b, None, None, None, None) for (a, b), n, _, _ in held if n > 1)
+                if len(held) > 1 and any(n == 1 for _, n, _, _ in held):
+                    starts = repeated_starts([body for _, _, _, body in held])
+                    out.extend((0, a, b, None, None, None, _runs(at)) for ((a, b), n, _, _), at in zip(held, starts, strict=True) if n == 1 and at)
             held.clear()
 
         def sent():
+            nonlocal waiting
             batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
             out.clear()
+            waiting = 0
             return batch
 
         for b in batches:
-            for h, key, n, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for h, k1, k2, n, lead, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if h != anchor:
                     settle()
-                    anchor, crowd = h, False
-                if held and held[-1][0] == key:
+                    anchor, crowd, total = h, False, 0
+                if held and held[-1][0] == (k1, k2):
                     held[-1][1] += n
                     continue
-                if len(held) >= CROWD:
+                if total >= CROWD:
                     crowd = True
                     settle()
-                held.append([key, n, body])
-                if len(out) >= 5000:
+                    total = 0
+                held.append([(k1, k2), n, lead, body])
+                total += len(body)
+                if len(out) >= 5000 or waiting >= 1 << 20:
                     yield sent()
         settle()
         if out:
             yield sent()
 
-    met = parts.repartition("h").sortWithinPartitions("h", "key")
-    return met.mapInArrow(run, "crowd int, key binary, n long, body binary, covered array<long>")
+    met = parts.repartition("h").sortWithinPartitions("h", "k1", "k2")
+    return met.mapInArrow(run, _SAID)
+
+
+def deals(lead: int, body: bytes, width: int):
+    """(group, begin, end, lead) of the parts of a segment with up to width starts each; strings in parts of one group agree on the bytes that all of its starts' strings cover."""
+    most = len(body) - LENGTH
+    for j in range(max(lead - most, 0) // width, lead // width + 1):
+        low, high = max(0, lead - (j + 1) * width + 1), min(most, lead - j * width)
+        if low <= high:
+            group = xxhash.xxh3_64_intdigest(body[lead - j * width : lead - (j + 1) * width + 1 + LENGTH], seed=j)
+            yield group, low, high + LENGTH, lead - low
+
+
+def _part_key(group: int, lead: int, body: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(body, seed=(group + lead * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
 
 
-def _by_hashes(rows: DataFrame) -> DataFrame:
-    """rows (key, n, body) of anchors with a crowd of segments -> (key, covered) of those with n = 1: every string's 128-bit hash is shuffled and counted, no group is gathered."""
-    kinds = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("start", pa.int64()), ("string", pa.binary())])
+def _dealt(own: DataFrame, width: int) -> DataFrame:
+    """The parts of segments own (k1, k2, n, lead, body), distinct in each task: columns as of _distinct_segments, h is the group."""
 
     def run(batches):
+        held = _Held()
         for b in batches:
-            for key, n, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                m = len(body) - LENGTH + 1
-                yield pa.RecordBatch.from_arrays([pa.array([key] * m, pa.binary()), pa.array([n] * m), pa.array(list(range(m))), pa.array([xxhash.xxh3_128_digest(body[s : s + LENGTH]) for s in range(m)], pa.binary())], schema=kinds)
+            for n, lead, body in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
+                for group, x, y, at in deals(lead, body, width):
+                    part = body[x:y]
+                    held.add(_part_key(group, at, part), group, n, at, part)
+                if held.bytes >= HELD:
+                    yield held.sent()
+        if held.rows:
+            yield held.sent()
 
-    strings = rows.mapInArrow(run, "key binary, n long, start long, string binary")
-    often = strings.groupBy("string").agg(F.sum("n").alias("all")).where("`all` > 1").select(F.col("string").alias("again"))
-    hits = strings.where("n = 1").join(often, F.col("string") == F.col("again"))
-    return hits.groupBy("key").agg(F.array_sort(F.collect_set("start")).alias("starts")).select("key", F.flatten(F.transform("starts", lambda s: F.array(s, s + LENGTH))).alias("covered"))
+    return own.mapInArrow(run, _PARTS)
 
 
-def verdicts(rows: DataFrame, known) -> DataFrame:
-    """(key, covered): the segments with repeated strings and the ranges these cover; null: all of it."""
-    settled = cut(_settled(_distinct_segments(rows, known)))
-    said, crowds = settled.where("crowd = 0").select("key", "covered"), settled.where("crowd = 1")
+def _parts_of(own: DataFrame, width: int) -> DataFrame:
+    """(k1, k2, p1, p2, begin, size): where each part of a segment lies in it."""
+    names = ["k1", "k2", "p1", "p2", "begin", "size"]
+
+    def run(batches):
+        for b in batches:
+            for row in range(0, b.num_rows, 4096):
+                out: list[tuple] = []
+                keys: list[bytes] = []
+                for k1, k2, _, lead, body in zip(*(c.slice(row, 4096).to_pylist() for c in b.columns), strict=True):
+                    for group, x, y, at in deals(lead, body, width):
+                        keys.append(_part_key(group, at, body[x:y]))
+                        out.append((k1, k2, x, y - x))
+                if out:
+                    p, (k1, k2, begin, size) = _halves(keys), zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (k1, k2, p[:, 0], p[:, 1], begin, size)], names=names)
+
+    return own.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _same(a: str, b: str, c: str, d: str):
+    return (F.col(a) == F.col(c)) & (F.col(b) == F.col(d))
+
+
+def _verdicts(parts: DataFrame, widths: tuple[int, ...]) -> DataFrame:
+    """(k1, k2, covered) of tasks' segments; those of anchors with too many bytes are dealt out by the first of widths."""
+    settled = cut(_settled(parts))
+    said, crowds = settled.where("crowd = 0").select("k1", "k2", "covered"), settled.where("crowd = 1")
     if crowds.isEmpty():
         return said
-    own = crowds.groupBy("key").agg(F.sum("n").alias("n"), F.first("body").alias("body"))
-    often = own.where("n > 1").select("key", F.lit(None).cast("array<bigint>").alias("covered"))
-    return cut(said.union(often).union(_by_hashes(own)))
+    own = cut(crowds.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.first("lead").alias("lead"), F.first("body").alias("body")))
+    if not widths:  # parts of one start: all segments of a group are the same string, so what occurs twice is repeated
+        return said.union(own.where("n > 1").select("k1", "k2", F.lit(None).cast("array<bigint>")))
+    often = own.where("n > 1").select("k1", "k2", F.lit(None).cast("array<bigint>").alias("covered"))
+    inner = _verdicts(_dealt(own, widths[0]), widths[1:]).select(F.col("k1").alias("v1"), F.col("k2").alias("v2"), F.col("covered").alias("inner"))
+    hits = _parts_of(own.where("n = 1"), widths[0]).join(inner, _same("p1", "p2", "v1", "v2"))
+    ranges = F.when(F.col("inner").isNull(), F.array("begin", F.col("begin") + F.col("size"))).otherwise(F.transform("inner", lambda x: x + F.col("begin")))
+    gathered = hits.select("k1", "k2", ranges.alias("r")).groupBy("k1", "k2").agg(F.flatten(F.collect_list("r")).alias("covered"))
+    return cut(said.union(often).union(gathered))
+
+
+def verdicts(rows: DataFrame, known) -> DataFrame:
+    """(k1, k2, covered): the segments with repeated strings and the ranges these cover, which may overlap; null: all of it."""
+    return _verdicts(_distinct_segments(rows, known), DEALS)
 
 
 def _merged(hits: DataFrame) -> DataFrame:
@@ -479,26 +567,25 @@ def _without(ids: pa.Array, data: bytes, starts: np.ndarray, ends: np.ndarray, b
 
 def _by_lookup(rows: DataFrame, known: np.ndarray, said: DataFrame) -> DataFrame:
     """The result where all verdicts fit into every task: no text is shuffled."""
-    table = said.toArrow()
-    raw = np.frombuffer(b"".join(table.column("key").to_pylist()), "<u8").reshape(-1, 2)
-    order = np.argsort(raw[:, 0], kind="stable")
-    low, high = raw[order, 0].copy(), raw[order, 1].copy()
-    ranges = table.column("covered").combine_chunks().take(pa.array(order))
-    every = np.asarray(ranges.is_null())
-    count = np.asarray(ranges.value_lengths().fill_null(0), dtype=np.int64) // 2
-    first = np.cumsum(count) - count
-    values = np.asarray(ranges.flatten(), dtype=np.int64).reshape(-1, 2)
+    table = said.orderBy("k1").toArrow()  # sorted by the executors
+    low, high = (np.asarray(table.column(c)) for c in ("k1", "k2"))
+    ranges = table.column("covered").combine_chunks()
+    count = np.asarray(ranges.value_lengths().fill_null(0)) // 2
+    edge = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)  # a segment without ranges is repeated as a whole
+    values = np.asarray(ranges.flatten()).astype(np.int16).reshape(-1, 2)
+    del table, ranges, count
 
     def run(batches):
         for b in batches:
-            for k, t, (_, h, begin, end) in _found(b, known):
-                mine = np.frombuffer(b"".join(t.keys(h, begin, end)), "<u8").reshape(-1, 2)
+            for k, t, (_, h, begin, end, lead) in _found(b, known):
+                mine = _halves(t.keys(h, begin, end, lead))
                 at = np.minimum(np.searchsorted(low, mine[:, 0]), max(len(low) - 1, 0))
                 hit = (low[at] == mine[:, 0]) & (high[at] == mine[:, 1]) if len(low) else np.zeros(len(mine), bool)
                 begin, end, at = begin[hit], end[hit], at[hit]
-                full = every[at]
-                n = count[at[~full]]
-                which = np.repeat(first[at[~full]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                n = (edge[at + 1] - edge[at]).astype(np.int64)
+                full = n == 0
+                n, first = n[~full], edge[at[~full]].astype(np.int64)
+                which = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 base = np.repeat(begin[~full], n)
                 yield _without(b.column(0).slice(k, len(t.ends)), t.data, t.starts, t.ends, np.concatenate([begin[full], base + values[which, 0]]), np.concatenate([end[full], base + values[which, 1]]))
 
@@ -507,7 +594,7 @@ def _by_lookup(rows: DataFrame, known: np.ndarray, said: DataFrame) -> DataFrame
 
 def _by_join(rows: DataFrame, known, said: DataFrame) -> DataFrame:
     """The result by joins: each segment with its verdict, each text with its ranges."""
-    hits = _occurrences(rows, known).join(said.withColumnRenamed("key", "v_key"), F.col("key") == F.col("v_key"))
+    hits = _occurrences(rows, known).join(said.withColumnsRenamed({"k1": "v1", "k2": "v2"}), _same("k1", "k2", "v1", "v2"))
     hits = hits.select("doc_id", "of", "begin", F.coalesce("covered", F.array(F.lit(0).cast("long"), "size")).alias("covered"))
     found = cut(_merged(hits)).select(F.col("doc_id").alias("c_doc"), F.col("of").alias("c_of"), "ranges")
 

@@ -15,7 +15,7 @@ def test_suffix_arrays():
     cases += [bytes(rng.choices(b"ab\0"[: rng.randint(1, 3)], k=rng.randint(1, 60))) for _ in range(1500)]
     cases += [bytes(rng.choices(range(256), k=300)) for _ in range(20)]
     for d in cases:
-        assert X.suffix_array(d) == sorted(range(len(d)), key=lambda i: d[i:]), d
+        assert list(X.suffix_array(d)) == sorted(range(len(d)), key=lambda i: d[i:]), d
 
 
 def plain(texts, length=200):
@@ -51,9 +51,10 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("crowd,known,verdicts", [(4000, 3_000_000, 6_000_000), (2, 3_000_000, 6_000_000), (4000, 0, 6_000_000), (4000, 3_000_000, 0)])
-def test_against_every_string(spark, monkeypatch, crowd, known, verdicts):
+@pytest.mark.parametrize("crowd,known,verdicts,deals", [(1 << 18, 3_000_000, 6_000_000, (49, 12, 1)), (400, 3_000_000, 6_000_000, (49, 12, 1)), (400, 3_000_000, 0, (5, 1)), (900, 3_000_000, 6_000_000, (97, 30, 1)), (1 << 18, 0, 6_000_000, (49, 12, 1)), (1 << 18, 3_000_000, 0, (49, 12, 1))])
+def test_against_every_string(spark, monkeypatch, crowd, known, verdicts, deals):
     monkeypatch.setattr(X, "CROWD", crowd)
+    monkeypatch.setattr(X, "DEALS", deals)
     monkeypatch.setattr(X, "VERDICTS", verdicts)
     monkeypatch.setattr(X, "KNOWN", known)
     texts = corpus()
