@@ -6,17 +6,19 @@ or left out) turns one into the other: every line's variants with one word left
 out are emitted as hashed keys and equal variants are joined.  Two lines of one
 length that share a variant and the place of the gap differ there alone, and a
 line that equals another's variant lacks just that word; so the earliest line
-of a key stands for the whole key and no pairs within it are made.  Before, a
+of a key stands for the whole key and no pairs within it are made.  Earliest
+lines are minima that tasks take before the shuffle, so a line that varies in
+one word over all the corpus gathers in no task.  Before, a
 filter that loses nothing keeps the lines that share their first or second
 half with another: with one edit, one half stays as it is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, free_name
+from .common import BROADCAST_ROWS, cut, free_name, small
 
 MIN_WORDS = 5
 _BREAK = "\n"
@@ -28,10 +30,22 @@ def line_words(line: Column) -> Column:
     return F.array_remove(parts, "")
 
 
+def _joined(line: Column) -> Column:
+    """The line's words with single spaces; most lines are that already, but for spaces at their ends."""
+    return F.when(line.rlike(r"[\x00-\x1f]|  "), F.array_join(line_words(line), " ")).otherwise(F.trim(line))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, of, lines): of is a hash of the text, by which rows of one id are told apart."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("of"), F.split(text, _BREAK).alias("lines"))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, words) of each line with words."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), _BREAK)).alias("pos", "line"))
-    return rows.select("doc_id", "pos", line_words(F.col("line")).alias("words")).where(F.size("words") > 0)
+    """(doc_id, of, pos, line, h1, h2) of each line with words, with hashes of its words."""
+    rows = _texts(docs).select("doc_id", "of", F.posexplode("lines").alias("pos", "line"))
+    own = rows.withColumn("joined", _joined(F.col("line"))).where("joined <> ''")
+    return own.select("doc_id", "of", "pos", "line", F.xxhash64("joined").alias("h1"), F.xxhash64(F.lit(7), "joined").alias("h2"))
 
 
 def _halves(words: Column, n: Column) -> Column:
@@ -45,56 +59,64 @@ def _halves(words: Column, n: Column) -> Column:
 
 
 def _place(*cols: str) -> Column:
-    return F.struct(*[F.col(c).alias(a) for c, a in zip(cols, ("doc_id", "pos"), strict=True)])
+    """A line's place; places are in the order of doc_id, hash of the text and line."""
+    return F.struct(*[F.col(c).alias(a) for c, a in zip(cols, ("doc_id", "of", "pos"), strict=True)])
+
+
+def _own_place() -> Column:
+    return _place("doc_id", "of", "pos")
+
+
+def _at(place: str, doc: str, of: str, pos: str) -> Column:
+    """Whether a place is that of the columns."""
+    return F.col(f"{place}.doc_id").eqNullSafe(F.col(doc)) & (F.col(f"{place}.of") == F.col(of)) & (F.col(f"{place}.pos") == F.col(pos))
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
-    """Each distinct line: hashes, number of words, how many there are, the earliest's place, and its halves' keys."""
+    """Each distinct line: hashes, how many there are, the earliest's place, and its halves' keys."""
+    split = rows.withColumn("words", line_words(F.col("line")))
     n = F.size("words")
-    keys = F.when(n >= MIN_WORDS, _halves(F.col("words"), n))
-    hashed = rows.select("doc_id", "pos", n.alias("n"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), keys.alias("keys"))
-    return hashed.groupBy("h1", "h2", "n").agg(F.min(_place("doc_id", "pos")).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
+    hashed = split.select("h1", "h2", _own_place().alias("at"), F.when(n >= MIN_WORDS, _halves(F.col("words"), n)).alias("keys"))
+    return hashed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
 
 
 def _candidates(lines: DataFrame) -> DataFrame:
-    """(doc_id, pos, before, after): lines that share a half with a line they may be one edit from; whether the edit may lie in the first or in the second half."""
+    """(doc_id, of, pos, before, after): lines that share a half with a line they may be one edit from; whether the edit may lie in the first or in the second half."""
     keyed = lines.where(F.col("keys").isNotNull()).select("at", F.posexplode("keys").alias("slot", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.sum(F.when(F.col("slot") < 2, 1).otherwise(0)).alias("own"))
-    shared = shared.where("`all` > 1 and own > 0").select(F.col("key").alias("of"))
-    met = keyed.join(shared, F.col("key") == F.col("of"))
-    return met.groupBy("at.doc_id", "at.pos").agg(F.max(F.col("slot") % 2 == 1).alias("before"), F.max(F.col("slot") % 2 == 0).alias("after"))
+    shared = shared.where("`all` > 1 and own > 0").select(F.col("key").alias("k"))
+    met = keyed.join(shared, F.col("key") == F.col("k"))
+    return met.groupBy("at.doc_id", "at.of", "at.pos").agg(F.max(F.col("slot") % 2 == 1).alias("before"), F.max(F.col("slot") % 2 == 0).alias("after"))
 
 
 def _with_hashes(docs: DataFrame, found: DataFrame, n_found: int) -> DataFrame:
     """found with the hashes of each line's words."""
-    wanted = found.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("pos", "before", "after")).alias("wanted"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = rows.join(F.broadcast(wanted) if n_found <= BROADCAST_ROWS else wanted, F.col("doc_id").eqNullSafe(F.col("of")))
-    split = joined.select("doc_id", F.split(F.coalesce("text", F.lit("")), _BREAK).alias("lines"), "wanted")
-    each = split.select("doc_id", "lines", F.explode("wanted").alias("w")).select("doc_id", "w.*", F.get("lines", F.col("w.pos")).alias("line"))
+    wanted = found.groupBy(F.col("doc_id").alias("w_doc"), F.col("of").alias("w_of")).agg(F.collect_list(F.struct("pos", "before", "after")).alias("wanted"))
+    joined = _texts(docs).join(F.broadcast(wanted) if n_found <= BROADCAST_ROWS else wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("of") == F.col("w_of")))
+    each = joined.select("doc_id", "of", "lines", F.explode("wanted").alias("w")).select("doc_id", "of", "w.*", F.get("lines", F.col("w.pos")).alias("line"))
     hashes = F.transform(line_words(F.coalesce("line", F.lit(""))), lambda w: F.xxhash64(w))
-    return each.select("doc_id", "pos", "before", "after", hashes.alias("words"))
+    return each.select("doc_id", "of", "pos", "before", "after", hashes.alias("words")).dropDuplicates(["doc_id", "of", "pos"])
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(key, gap, doc_id, pos): each line's variants with a word left out where an edit may lie, and the line itself (gap -1)."""
+    """(key, gap, at): each line's variants with a word left out where an edit may lie, and the line itself (gap -1)."""
     n = F.size("words")
     first = F.when(F.col("before"), F.lit(0)).otherwise(F.floor((n - 1) / 2).cast("int"))
     last = F.when(F.col("after"), n - 1).otherwise(F.floor(n / 2).cast("int"))
     gaps = F.transform(F.sequence(first, last), lambda i: F.struct(i.alias("gap"), F.xxhash64(n - 1, F.slice("words", F.lit(1), i), F.slice("words", i + 2, n)).alias("key")))
     own = F.array(F.struct(F.lit(-1).alias("gap"), F.xxhash64(n, "words").alias("key")))
-    return lines.where(n >= MIN_WORDS).select("doc_id", "pos", F.explode(F.concat(own, gaps)).alias("v")).select("v.key", "v.gap", "doc_id", "pos")
+    return lines.where(n >= MIN_WORDS).select(_own_place().alias("at"), F.explode(F.concat(own, gaps)).alias("v")).select("v.key", "v.gap", "at")
 
 
 def _met(variants: DataFrame) -> DataFrame:
-    """(doc_id, pos, kept_doc_id, kept_pos): lines that share a key with an earlier one, and the earliest of it."""
-    at = _place("doc_id", "pos")
-    by_key, by_gap = Window.partitionBy("key"), Window.partitionBy("key", "gap")
-    dealt = variants.repartition("key")
-    seen = dealt.withColumn("least", F.min(at).over(by_gap)).withColumn("whole", F.min(F.when(F.col("gap") < 0, at)).over(by_key)).withColumn("gapped", F.min(F.when(F.col("gap") >= 0, at)).over(by_key))
+    """(at, kept): lines that share a key with an earlier one, and the earliest of it: of the lines with the key as a variant, at the same gap; and of those that are the key."""
+    whole, gapped = (F.min(F.when(c, F.col("at"))) for c in (F.col("gap") < 0, F.col("gap") >= 0))
+    shared = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), whole.alias("whole"), gapped.alias("gapped")).where("n > 1").withColumnRenamed("key", "k")
+    met = cut(variants.join(shared, F.col("key") == F.col("k")).select("key", "gap", "at", "whole", "gapped"))
+    least = met.where("gap >= 0").groupBy(F.col("key").alias("l_key"), F.col("gap").alias("l_gap")).agg(F.min("at").alias("least"))
+    joined = met.join(least, (F.col("key") == F.col("l_key")) & (F.col("gap") == F.col("l_gap")), "left")
     earlier = F.when(F.col("gap") < 0, F.array("gapped")).otherwise(F.array("least", "whole"))
-    pairs = seen.select("doc_id", "pos", F.explode(earlier).alias("kept"))
-    return pairs.where(F.col("kept") < at).select("doc_id", "pos", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.pos").alias("kept_pos")).distinct()
+    return joined.select("at", F.explode(earlier).alias("kept")).where(F.col("kept") < F.col("at")).distinct()
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -110,35 +132,38 @@ def _one_edit(a: Column, b: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The earliest line each line of pairs is truly one edit from."""
-    a = lines.select(F.col("doc_id").alias("a_doc"), F.col("pos").alias("a_pos"), F.col("words").alias("a"))
-    b = lines.select(F.col("doc_id").alias("b_doc"), F.col("pos").alias("b_pos"), F.col("words").alias("b"))
-    joined = pairs.join(a, F.col("doc_id").eqNullSafe(F.col("a_doc")) & (F.col("pos") == F.col("a_pos"))).join(b, F.col("kept_doc_id").eqNullSafe(F.col("b_doc")) & (F.col("kept_pos") == F.col("b_pos")))
-    return joined.where(_one_edit(F.col("a"), F.col("b"))).groupBy("doc_id", "pos").agg(F.min(_place("kept_doc_id", "kept_pos")).alias("near"))
+    """(at, near): the earliest line each line of pairs is truly one edit from."""
+    a, b = (lines.select(F.col("doc_id").alias(x + "_doc"), F.col("of").alias(x + "_of"), F.col("pos").alias(x + "_pos"), F.col("words").alias(x)) for x in "ab")
+    joined = pairs.join(a, _at("at", "a_doc", "a_of", "a_pos")).join(b, _at("kept", "b_doc", "b_of", "b_pos"))
+    return joined.where(_one_edit(F.col("a"), F.col("b"))).groupBy("at").agg(F.min("kept").alias("near"))
+
+
+def _repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, of, pos, kept, edits): each line that repeats an earlier one, and the place of the earliest it repeats."""
+    lines = cut(_distinct(_lines(docs)))
+    found = cut(_candidates(lines))
+    hashed = cut(_with_hashes(docs, found, found.count()))
+    near = _verified(cut(_met(_variants(hashed))), hashed).select(F.col("at.doc_id").alias("n_doc"), F.col("at.of").alias("n_of"), F.col("at.pos").alias("n_pos"), "near")
+    repeats = lines.join(near, _at("at", "n_doc", "n_of", "n_pos"), "left").where("copies > 1 or near is not null")
+    repeats = cut(repeats.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "at", F.least("at", "near").alias("kept")))
+    same = (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))
+    joined = _lines(docs).drop("line").join(small(repeats), same).where(F.col("kept") < _own_place())
+    return joined.select("doc_id", "of", "pos", "kept", F.when(F.col("kept") == F.col("at"), 0).otherwise(1).alias("edits"))
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no, edits): each line that repeats an earlier one, and the earliest it repeats.
 
-    Earlier: by doc_id (null first), then by the line's number from 0.  A line
-    is a repeat if an earlier one has the same words (edits 0), or has one edit
-    (1) and both have MIN_WORDS words or more; whether that one itself is a
-    repeat doesn't matter.  Lines without words, so null and empty texts, are
-    never repeats.  Rows with equal ids and texts are one document.
+    Earlier: by doc_id (null first), then by the line's number from 0; of rows
+    with equal ids and different texts, those whose text has the lesser hash.  A
+    line is a repeat if an earlier one has the same words (edits 0), or has one
+    edit (1) and both have MIN_WORDS words or more, however long they are;
+    whether that one itself is a repeat doesn't matter.  Lines without words, so
+    null and empty texts, are never repeats.  Rows with equal ids and texts are
+    one document.  Other columns of docs are left out.
     """
-    lines = cut(_distinct(_lines(docs)))
-    found = cut(_candidates(lines))
-    hashed = cut(_with_hashes(docs, found, found.count()).dropDuplicates(["doc_id", "pos"]))
-    near = _verified(cut(_met(_variants(hashed))), hashed).select(F.col("doc_id").alias("n_doc"), F.col("pos").alias("n_pos"), "near")
-    repeats = lines.join(near, F.col("at.doc_id").eqNullSafe(F.col("n_doc")) & (F.col("at.pos") == F.col("n_pos")), "left").where("copies > 1 or near is not null")
-    repeats = cut(repeats.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("n").alias("rn"), "at", F.least("at", "near").alias("kept")))
-    size = repeats.count()
-    rows = _lines(docs).select("doc_id", "pos", F.size("words").alias("n"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"))
-    same = (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & (F.col("n") == F.col("rn"))
-    joined = rows.join(F.broadcast(repeats) if size <= BROADCAST_ROWS else repeats, same).where(F.col("kept") < _place("doc_id", "pos"))
-    return joined.select(
-        "doc_id", F.col("pos").cast("long").alias("line_no"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.pos").cast("long").alias("kept_line_no"), F.when(F.col("kept") == F.col("at"), 0).otherwise(1).alias("edits")
-    )
+    found = _repeats(docs)
+    return found.select("doc_id", F.col("pos").cast("long").alias("line_no"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.pos").cast("long").alias("kept_line_no"), "edits")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -146,9 +171,10 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     A column n_chars, if there, is set to the new text's length in code points.
     """
-    removed = cut(duplicates(docs).groupBy("doc_id").agg(F.collect_set(F.col("line_no").cast("int")).alias("_cut_lines")).withColumnRenamed("doc_id", "_cut_of"))
+    removed = cut(_repeats(docs).groupBy(F.col("doc_id").alias("_cut_id"), F.col("of").alias("_cut_of")).agg(F.collect_set("pos").alias("_cut_lines")))
     size = removed.agg(F.coalesce(F.sum(F.size("_cut_lines")), F.lit(0))).first()[0]
-    joined = docs.join(F.broadcast(removed) if size <= BROADCAST_ROWS else removed, F.col("doc_id").cast("long").eqNullSafe(F.col("_cut_of")), "left")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_cut_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_cut_of"))
+    joined = docs.join(F.broadcast(removed) if size <= BROADCAST_ROWS else removed, same, "left")
     left = F.filter(F.split("text", _BREAK), lambda line, i: ~F.array_contains("_cut_lines", i))
     name = free_name(docs, "_kept_text")
     joined = joined.withColumn(name, F.when(F.col("_cut_lines").isNull(), F.col("text")).otherwise(F.array_join(left, _BREAK)))
