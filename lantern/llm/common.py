@@ -11,8 +11,20 @@ from ..ship import ship
 BROADCAST_ROWS = 1_000_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Bytes of an Arrow batch on its way to Python or back, where the session has the default of 64 MB: batches are held outside the heap, several at a time.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Code on the executors, and small Arrow batches unless the session asks for a size of its own."""
     ship(spark)
+    if spark.conf.get(_BATCH) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -24,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of df in the shared folder; lost executors don't lose it."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))

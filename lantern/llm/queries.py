@@ -92,7 +92,7 @@ FROM h
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of 200-byte strings that also start elsewhere."""
-    return suffixes.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+    return suffixes.deduplicate(table(spark, sf_dir, "documents"), texts=False)
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,22 +56,27 @@ _BLOCK = 1 << 18
 # ---------------------------------------------------------------- suffix arrays
 
 
-def suffix_array(data: bytes) -> array:
+def _numbers(values, n: int):
+    """A list, or for large n an array: lists are faster, arrays need a tenth of the memory."""
+    return list(values) if n < 1 << 15 else array("i", values)
+
+
+def suffix_array(data: bytes) -> list[int] | array:
     """The starts of the suffixes of data in ascending order, in linear time."""
     n = len(data)
     if n < 2:
-        return array("i", range(n))
+        return list(range(n))
     # groups, in ascending order as a doubly linked list; group 0 is below all
     letters = sorted(set(data))
     of_letter = {c: g for g, c in enumerate(letters, 1)}
-    group = array("i", [of_letter[c] for c in data])
+    group = _numbers([of_letter[c] for c in data], n)
     members: list[list[int]] = [[] for _ in range(len(letters) + 1)]
     for i, g in enumerate(group):
         members[g].append(i)
-    below = array("i", range(-1, len(letters)))
-    above = array("i", [*range(1, len(letters) + 1), -1])
-    size = array("i", map(len, members))
-    previous, done = array("i", [-1]) * n, bytearray(n)
+    below = _numbers(range(-1, len(letters)), n)
+    above = _numbers([*range(1, len(letters) + 1), -1], n)
+    size = _numbers(map(len, members), n)
+    previous, done = _numbers([-1], n) * n, bytearray(n)
     g = len(letters)
     while g > 0:
         own, members[g] = members[g], ()  # not asked for again
@@ -134,12 +139,12 @@ def suffix_array(data: bytes) -> array:
             for p in level:
                 group[p] = new
         g = below[g]
-    front, at, g = array("i", bytes(4 * len(members))), 0, above[0]
+    front, at, g = _numbers([0], n) * len(members), 0, above[0]
     while g >= 0:
         front[g] = at
         at += size[g]
         g = above[g]
-    out, placed = array("i", bytes(4 * n)), bytearray(n)
+    out, placed = _numbers([0], n) * n, bytearray(n)
     i = n - 1  # the end of data is the least suffix: its predecessors go first
     while i >= 0 and not placed[i]:
         out[front[group[i]]] = i
@@ -169,7 +174,7 @@ def repeated_starts(segments: list[bytes], length: int = LENGTH) -> list[list[in
     owner = np.full(len(data), -1, dtype=np.int32)
     for k, (a, b) in enumerate(zip(base, bounds, strict=True)):
         owner[a : b + 1] = k
-    order = np.frombuffer(suffix_array(data), dtype=np.int32)
+    order = np.array(suffix_array(data), dtype=np.int32)
     hit = set()
     before, string = -1, None
     for i in order[owner[order] >= 0].tolist():
@@ -548,10 +553,14 @@ def _merged(hits: DataFrame) -> DataFrame:
     return gathered.mapInArrow(merge, "doc_id long, of long, ranges array<long>")
 
 
-_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _schema(texts: bool) -> str:
+    return _OUT + ", kept binary" if texts else _OUT
 
 
-def _without(ids: pa.Array, data: bytes, starts: np.ndarray, ends: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+def _without(ids: pa.Array, data: bytes, starts: np.ndarray, ends: np.ndarray, begin: np.ndarray, end: np.ndarray, texts: bool) -> pa.RecordBatch:
     """The rows of texts data[starts:ends] without the bytes of ranges begin:end."""
     change = np.bincount(begin, minlength=len(data) + 1) - np.bincount(end, minlength=len(data) + 1)
     gone = np.cumsum(change)[:-1] > 0
@@ -561,11 +570,13 @@ def _without(ids: pa.Array, data: bytes, starts: np.ndarray, ends: np.ndarray, b
     removed, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, opens))
     left = np.frombuffer(data, np.uint8)[~gone].tobytes()
     kept = [left[x:y] for x, y in zip((starts - removed[starts]).tolist(), (ends - removed[ends]).tolist(), strict=True)]
-    cols = [pa.array(ends - starts), pa.array(removed[ends] - removed[starts]), pa.array(spans[ends] - spans[starts]), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary())]
-    return pa.RecordBatch.from_arrays([ids, *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+    cols = [pa.array(ends - starts), pa.array(removed[ends] - removed[starts]), pa.array(spans[ends] - spans[starts]), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+    if texts:
+        cols.append(pa.array(kept, pa.binary()))
+    return pa.RecordBatch.from_arrays([ids, *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(cols) + 1])
 
 
-def _by_lookup(rows: DataFrame, known: np.ndarray, said: DataFrame) -> DataFrame:
+def _by_lookup(rows: DataFrame, known: np.ndarray, said: DataFrame, texts: bool) -> DataFrame:
     """The result where all verdicts fit into every task: no text is shuffled."""
     table = said.orderBy("k1").toArrow()  # sorted by the executors
     low, high = (np.asarray(table.column(c)) for c in ("k1", "k2"))
@@ -587,12 +598,12 @@ def _by_lookup(rows: DataFrame, known: np.ndarray, said: DataFrame) -> DataFrame
                 n, first = n[~full], edge[at[~full]].astype(np.int64)
                 which = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 base = np.repeat(begin[~full], n)
-                yield _without(b.column(0).slice(k, len(t.ends)), t.data, t.starts, t.ends, np.concatenate([begin[full], base + values[which, 0]]), np.concatenate([end[full], base + values[which, 1]]))
+                yield _without(b.column(0).slice(k, len(t.ends)), t.data, t.starts, t.ends, np.concatenate([begin[full], base + values[which, 0]]), np.concatenate([end[full], base + values[which, 1]]), texts)
 
-    return rows.mapInArrow(run, _OUT)
+    return rows.mapInArrow(run, _schema(texts))
 
 
-def _by_join(rows: DataFrame, known, said: DataFrame) -> DataFrame:
+def _by_join(rows: DataFrame, known, said: DataFrame, texts: bool) -> DataFrame:
     """The result by joins: each segment with its verdict, each text with its ranges."""
     hits = _occurrences(rows, known).join(said.withColumnsRenamed({"k1": "v1", "k2": "v2"}), _same("k1", "k2", "v1", "v2"))
     hits = hits.select("doc_id", "of", "begin", F.coalesce("covered", F.array(F.lit(0).cast("long"), "size")).alias("covered"))
@@ -610,20 +621,21 @@ def _by_join(rows: DataFrame, known, said: DataFrame) -> DataFrame:
         for b in batches:
             for k in range(b.num_rows):
                 data, r = b.column(1)[k].as_py(), np.array(b.column(2)[k].as_py() or [], np.int64)
-                yield _without(b.column(0).slice(k, 1), data, np.array([0]), np.array([len(data)]), r[::2], r[1::2])
+                yield _without(b.column(0).slice(k, 1), data, np.array([0]), np.array([len(data)]), r[::2], r[1::2], texts)
 
-    return joined.mapInArrow(run, _OUT)
+    return joined.mapInArrow(run, _schema(texts))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, texts: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row: its bytes without those of strings of LENGTH bytes that also start elsewhere.
 
     A null text is empty; texts under LENGTH bytes stay whole; all copies lose
     what repeats, rows with equal ids and texts too.  kept is binary, as cuts
-    may fall within a character.
+    may fall within a character; without texts it is left out.  Very long texts
+    are one row; other columns of docs are left out.
     """
     rows, known = _knowing(_rows(docs), cut(repeated_anchors(_rows(docs))))
     said = verdicts(rows, known)
     if known is not None and said.agg(F.coalesce(F.sum(2 + F.coalesce(F.size("covered"), F.lit(0))), F.lit(0))).first()[0] <= VERDICTS:
-        return _by_lookup(rows, known, said)
-    return _by_join(rows, known, said)
+        return _by_lookup(rows, known, said, texts)
+    return _by_join(rows, known, said, texts)
