@@ -30,22 +30,23 @@ def line_words(line: Column) -> Column:
     return F.array_remove(parts, "")
 
 
-def _joined(line: Column) -> Column:
-    """The line's words with single spaces; most lines are that already, but for spaces at their ends."""
-    return F.when(line.rlike(r"[\x00-\x1f]|  "), F.array_join(line_words(line), " ")).otherwise(F.trim(line))
-
-
 def _texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, of, lines): of is a hash of the text, by which rows of one id are told apart."""
+    """(doc_id, of, plain, lines): of is a hash of the text, by which rows of one id are told apart; plain texts have no white space but single spaces and line breaks, seen once for all lines."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("of"), F.split(text, _BREAK).alias("lines"))
+    plain = ~F.contains(text, F.lit("  ")) & ~text.rlike(r"[\x00-\x09\x0b-\x1f]")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("of"), plain.alias("plain"), F.split(text, _BREAK).alias("lines"))
+
+
+def _joined(line: Column, plain: Column) -> Column:
+    """The line's words with single spaces between them."""
+    return F.when(plain, F.trim(line)).otherwise(F.array_join(line_words(line), " "))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, of, pos, line, h1, h2) of each line with words, with hashes of its words."""
-    rows = _texts(docs).select("doc_id", "of", F.posexplode("lines").alias("pos", "line"))
-    own = rows.withColumn("joined", _joined(F.col("line"))).where("joined <> ''")
-    return own.select("doc_id", "of", "pos", "line", F.xxhash64("joined").alias("h1"), F.xxhash64(F.lit(7), "joined").alias("h2"))
+    """(doc_id, of, pos, joined, h1, h2) of each line with words: its words with single spaces, and hashes of these."""
+    rows = _texts(docs).select("doc_id", "of", "plain", F.posexplode("lines").alias("pos", "line"))
+    own = rows.select("doc_id", "of", "pos", _joined(F.col("line"), F.col("plain")).alias("joined")).where("joined <> ''")
+    return own.withColumn("h1", F.xxhash64("joined")).withColumn("h2", F.xxhash64(F.lit(7), "joined"))
 
 
 def _halves(words: Column, n: Column) -> Column:
@@ -74,7 +75,7 @@ def _at(place: str, doc: str, of: str, pos: str) -> Column:
 
 def _distinct(rows: DataFrame) -> DataFrame:
     """Each distinct line: hashes, how many there are, the earliest's place, and its halves' keys."""
-    split = rows.withColumn("words", line_words(F.col("line")))
+    split = rows.withColumn("words", F.split("joined", " "))
     n = F.size("words")
     hashed = split.select("h1", "h2", _own_place().alias("at"), F.when(n >= MIN_WORDS, _halves(F.col("words"), n)).alias("keys"))
     return hashed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
@@ -93,8 +94,8 @@ def _with_hashes(docs: DataFrame, found: DataFrame, n_found: int) -> DataFrame:
     """found with the hashes of each line's words."""
     wanted = found.groupBy(F.col("doc_id").alias("w_doc"), F.col("of").alias("w_of")).agg(F.collect_list(F.struct("pos", "before", "after")).alias("wanted"))
     joined = _texts(docs).join(F.broadcast(wanted) if n_found <= BROADCAST_ROWS else wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("of") == F.col("w_of")))
-    each = joined.select("doc_id", "of", "lines", F.explode("wanted").alias("w")).select("doc_id", "of", "w.*", F.get("lines", F.col("w.pos")).alias("line"))
-    hashes = F.transform(line_words(F.coalesce("line", F.lit(""))), lambda w: F.xxhash64(w))
+    each = joined.select("doc_id", "of", "plain", "lines", F.explode("wanted").alias("w")).select("doc_id", "of", "w.*", _joined(F.get("lines", F.col("w.pos")), F.col("plain")).alias("joined"))
+    hashes = F.transform(F.split("joined", " "), lambda w: F.xxhash64(w))
     return each.select("doc_id", "of", "pos", "before", "after", hashes.alias("words")).dropDuplicates(["doc_id", "of", "pos"])
 
 
@@ -112,7 +113,8 @@ def _met(variants: DataFrame) -> DataFrame:
     """(at, kept): lines that share a key with an earlier one, and the earliest of it: of the lines with the key as a variant, at the same gap; and of those that are the key."""
     whole, gapped = (F.min(F.when(c, F.col("at"))) for c in (F.col("gap") < 0, F.col("gap") >= 0))
     shared = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), whole.alias("whole"), gapped.alias("gapped")).where("n > 1").withColumnRenamed("key", "k")
-    met = cut(variants.join(shared, F.col("key") == F.col("k")).select("key", "gap", "at", "whole", "gapped"))
+    shared = cut(shared)
+    met = cut(variants.join(small(shared), F.col("key") == F.col("k")).select("key", "gap", "at", "whole", "gapped"))
     least = met.where("gap >= 0").groupBy(F.col("key").alias("l_key"), F.col("gap").alias("l_gap")).agg(F.min("at").alias("least"))
     joined = met.join(least, (F.col("key") == F.col("l_key")) & (F.col("gap") == F.col("l_gap")), "left")
     earlier = F.when(F.col("gap") < 0, F.array("gapped")).otherwise(F.array("least", "whole"))
@@ -147,7 +149,7 @@ def _repeats(docs: DataFrame) -> DataFrame:
     repeats = lines.join(near, _at("at", "n_doc", "n_of", "n_pos"), "left").where("copies > 1 or near is not null")
     repeats = cut(repeats.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "at", F.least("at", "near").alias("kept")))
     same = (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))
-    joined = _lines(docs).drop("line").join(small(repeats), same).where(F.col("kept") < _own_place())
+    joined = _lines(docs).drop("joined").join(small(repeats), same).where(F.col("kept") < _own_place())
     return joined.select("doc_id", "of", "pos", "kept", F.when(F.col("kept") == F.col("at"), 0).otherwise(1).alias("edits"))
 
 
