@@ -512,13 +512,13 @@ def _same(a: str, b: str, c: str, d: str):
 
 def _verdicts(parts: DataFrame, widths: tuple[int, ...]) -> DataFrame:
     """(k1, k2, covered) of tasks' segments; those of anchors with too many bytes are dealt out by the first of widths."""
+    if not widths:  # parts of one start are strings: what occurs twice is repeated
+        return cut(parts.groupBy("k1", "k2").agg(F.sum("n").alias("n")).where("n > 1").select("k1", "k2", F.lit(None).cast("array<bigint>").alias("covered")))
     settled = cut(_settled(parts))
     said, crowds = settled.where("crowd = 0").select("k1", "k2", "covered"), settled.where("crowd = 1")
     if crowds.isEmpty():
         return said
     own = cut(crowds.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.first("lead").alias("lead"), F.first("body").alias("body")))
-    if not widths:  # parts of one start: all segments of a group are the same string, so what occurs twice is repeated
-        return said.union(own.where("n > 1").select("k1", "k2", F.lit(None).cast("array<bigint>")))
     often = own.where("n > 1").select("k1", "k2", F.lit(None).cast("array<bigint>").alias("covered"))
     inner = _verdicts(_dealt(own, widths[0]), widths[1:]).select(F.col("k1").alias("v1"), F.col("k2").alias("v2"), F.col("covered").alias("inner"))
     hits = _parts_of(own.where("n = 1"), widths[0]).join(inner, _same("p1", "p2", "v1", "v2"))
