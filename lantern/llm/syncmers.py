@@ -1,28 +1,35 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A window of K words is chosen if the least of its inner runs of S words stands
-at either edge.  Whether a window is chosen depends on its own words alone, so
-two texts choose the same anchors wherever they agree, whatever surrounds them.
-Short texts have few words, so theirs are joined by anchors of characters.  A
-fingerprint is the anchors' least hashes (all of a text with few anchors).
+A window of K units (words; longer ones are cut into pieces) is chosen if the
+least of its inner runs of S units stands at either edge.  Whether a window is
+chosen depends on its own units alone, so two texts choose the same anchors
+wherever they agree, whatever surrounds them, and whatever their lengths.  A
+sketch is the anchors of least hash (all of a text with few) in the order of
+the text.  Two sketches are matched by position: the anchors that both have
+count, less one for each place where the one's order breaks off in the other,
+so scattered meetings count for little and runs of agreement for much.
+
+Every text has a sketch of words.  A short one has few words, so it has a second
+sketch, of characters, kept apart: two short texts are compared by that, and any
+other two by their words, so only like is compared with like.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, small
 
-K, S, SIZE = 5, 2, 64
-#: Texts of at most so many code points also have anchors of CHAR_K characters.
+K, S, SIZE = 3, 1, 64
+#: Texts of at most so many code points have a sketch of characters too, by windows of CHAR_K and runs of CHAR_S.
 SHORT, CHAR_K, CHAR_S = 256, 4, 2
-#: Rows with neighbouring ids, this many ids at most, meet in one window frame.
-STRETCH = 1024
-
-
-def _at(array: Column, i: Column) -> Column:
-    return F.get(array, i)
+#: A unit is a word or a piece of one, of at most so many characters.
+PIECE = 16
+#: Rows with neighbouring ids meet in one window frame: so many ids at least, more where that gives over STRETCHES frames.
+STRETCH, STRETCHES = 64, 500_000
 
 
 def _let(value: Column, body) -> Column:
@@ -30,55 +37,105 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _closed(units: Column, k: int, s: int) -> Column:
-    """Hashes of the windows of k units whose least run of s units is their first or last.  Fewer than k units are one window; none have none."""
-    inner = k - s  # runs after a window's first
+def _from(array: Column, i: int) -> Column:
+    """array from its i-th element on, counted from 0."""
+    return array if i == 0 else F.slice(array, F.lit(i + 1), F.size(array))
+
+
+def units(text: Column, piece: int = PIECE) -> Column:
+    """A lower-cased text's words, those of over piece characters in pieces."""
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"[^\x00-\x20]{{1,{piece}}}"), F.lit(0))
+
+
+def _windows(hashes: Column, k: int, s: int) -> Column:
+    """Closed syncmers of an array of k hashes or more: a hash of each chosen window, in order."""
+    n, inner = F.size(hashes) - (k - 1), k - s  # windows; runs after a window's first
+
+    def rolled(h: Column) -> Column:
+        runs = h if s == 1 else reduce(lambda a, j: F.zip_with(a, F.slice(_from(h, j), F.lit(1), F.size(h) - (s - 1)), lambda x, y: F.xxhash64(x, y)), range(1, s), F.slice(h, F.lit(1), F.size(h) - (s - 1)))
+        shifted = lambda r, j: F.slice(_from(r, j), F.lit(1), n).alias(f"r{j}")
+        own = [F.slice(_from(h, j), F.lit(1), n).alias(f"u{j}") for j in range(k)] if s > 1 else []
+        return _let(runs, lambda r: F.arrays_zip(*[shifted(r, j) for j in range(inner + 1)], *own))
+
+    middle = [f"r{j}" for j in range(1, inner)]
 
-    def edge(runs: Column, i: Column) -> Column:
-        return _let(F.array_min(F.slice(runs, i + 1, inner + 1)), lambda least: (_at(runs, i) == least) | (_at(runs, i + inner) == least))
+    def chosen(w: Column) -> Column:
+        least = w[middle[0]] if len(middle) == 1 else F.least(*[w[m] for m in middle])
+        return (w["r0"] <= least) | (w[f"r{inner}"] <= least)
 
-    def picked(u: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(u) - F.lit(s)), lambda i: F.xxhash64(*[_at(u, i + j) for j in range(s)]))
-        chosen = _let(runs, lambda r: F.filter(F.sequence(F.lit(0), F.size(r) - F.lit(inner + 1)), lambda i: edge(r, i)))
-        hashed = F.transform(chosen, lambda i: F.xxhash64(*[_at(u, i + j) for j in range(k)]))
-        return F.when(F.size(u) == 0, F.array().cast("array<bigint>")).when(F.size(u) < k, F.array(F.xxhash64(u))).otherwise(hashed)
+    units_of = [f"u{j}" for j in range(k)] if s > 1 else [f"r{j}" for j in range(k)]
+    return F.transform(F.filter(_let(hashes, rolled), chosen) if middle else _let(hashes, rolled), lambda w: F.xxhash64(*[w[u] for u in units_of]))
 
-    return _let(units, picked)
 
+def anchors(text: Column, k: int = K, s: int = S, piece: int = PIECE) -> Column:
+    """The hashes of a text's closed syncmers, in order; fewer than k units are one anchor, none have none."""
+    few = lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(h)))
+    hashed = F.transform(units(text, piece), lambda u: F.xxhash64(u))
+    return _let(hashed, lambda h: F.when(F.size(h) < k, few(h)).otherwise(_windows(h, k, s)))
 
-def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """The hashes of a text's closed syncmers of lower-cased words and, if it is short, of characters."""
-    low = F.lower(text)
-    words = F.array_remove(F.split(low, r"[\x00-\x20]+"), "")
-    chars = F.when(F.char_length(text) <= SHORT, _closed(F.filter(F.split(low, ""), lambda c: c != ""), CHAR_K, CHAR_S)).otherwise(F.array().cast("array<bigint>"))
-    return F.concat(_closed(words, k, s), chars)
 
+def _least(found: Column, size: int) -> Column:
+    """The size least of the hashes, as 32-bit numbers in the order of their first places."""
+    numbers = F.array_distinct(F.transform(found, lambda h: F.shiftrightunsigned(h, 32)))
+    return _let(numbers, lambda d: F.when(F.size(d) <= size, d).otherwise(_let(F.get(F.sort_array(d), F.lit(size - 1)), lambda last: F.filter(d, lambda h: h <= last))))
 
-def sketch(text: Column, size: int = SIZE, k: int = K, s: int = S) -> Column:
-    """The least size anchors, as 32-bit numbers in ascending order.  A null text is an empty one."""
-    found = F.transform(anchors(F.coalesce(text, F.lit("")), k, s), lambda h: F.shiftrightunsigned(h, 32))
-    return F.slice(F.array_sort(F.array_distinct(found)), 1, size)
+
+def sketch(text: Column, size: int = SIZE, k: int = K, s: int = S, short: int = SHORT) -> Column:
+    """struct<words, chars>: the anchors of least hash of each kind; chars is empty for texts of over short code points.  A null text is an empty one."""
+    whole = F.coalesce(text, F.lit(""))
+    chars = F.when(F.char_length(whole) <= short, _least(anchors(whole, CHAR_K, CHAR_S, 1), size)).otherwise(F.array().cast("array<bigint>"))
+    return F.struct(_least(anchors(whole, k, s), size).alias("words"), chars.alias("chars"))
 
 
 def as_text(fingerprint: Column) -> Column:
-    """8 hex digits a number."""
-    return F.array_join(F.transform(fingerprint, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), "")
+    """8 hex digits a number: those of words, a dot, those of characters."""
+    digits = lambda a: F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), "")
+    return F.concat(digits(fingerprint["words"]), F.lit("."), digits(fingerprint["chars"]))
+
+
+def _breaks(common: Column, other: Column) -> Column:
+    """How often numbers that follow one another in common don't in other."""
+    at = F.transform(common, lambda h: F.array_position(other, h))
+    return _let(at, lambda p: F.size(F.filter(F.zip_with(p, _from(p, 1), lambda x, y: y < x), lambda d: d)))
+
+
+def matched(a: Column, b: Column, size: int = SIZE) -> Column:
+    """The share of two sketches' least size numbers that both have, less the breaks of order between these (of either in the other, whichever are more).  Two empty sketches: 1."""
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
+
+    def of(least: Column) -> Column:
+        top = F.get(least, F.size(least) - 1)
+        same = lambda x, y: F.filter(F.array_intersect(x, y), lambda h: h <= top)
+        run = F.size(same(a, b)) - F.greatest(_breaks(same(a, b), b), _breaks(same(b, a), a))
+        return F.greatest(run, F.lit(0)) / F.size(least).cast("double")
+
+    return F.when(a == b, F.lit(1.0)).otherwise(_let(union, of))
 
 
 def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
-    """The share of both sketches' least size numbers that both have: an estimate of the anchors' Jaccard similarity.  Two empty sketches: 1."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
-    both = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.size(union).cast("double"))
+    """How much of two fingerprints is matched, from 0 to 1: by characters if both are of short texts with some, else by words."""
+    both = (F.size(a["chars"]) > 0) & (F.size(b["chars"]) > 0)
+    return F.when(both, matched(a["chars"], b["chars"], size)).otherwise(matched(a["words"], b["words"], size))
+
+
+def _stretch(rows: DataFrame, key: str) -> int:
+    """How many neighbouring ids make a stretch; where most rows would be in few of so many stretches, as ids are uneven, STRETCH."""
+    low, high, n = rows.agg(F.min(key), F.max(key), F.count(key)).first()
+    wide = -(-(high - low + 1) // STRETCHES) if n else 1
+    if wide <= STRETCH:
+        return STRETCH
+    most = rows.groupBy(F.floor(F.col(key) / wide)).count().agg(F.max("count")).first()[0]
+    return wide if most <= 16 * (n // STRETCHES + STRETCH) else STRETCH
 
 
-def with_next(rows: DataFrame, key: str, columns: list[str], derived: dict[str, Column] | None = None, stretch: int = STRETCH) -> DataFrame:
+def with_next(rows: DataFrame, key: str, columns: list[str], derived: dict[str, Column] | None = None, stretch: int | None = None) -> DataFrame:
     """rows with next_<column>: that of the row after it by key (null first), then by the columns; after the last comes the first.  Derived columns are added to rows and have a next one too.
 
     Rows are dealt by stretches of the key, and the first row of each stretch is
     also sent to the stretch before it, so no frame holds more than a stretch
-    and no task sees all rows.
+    and no task sees all rows.  Rows with equal keys are in one stretch.
     """
+    stretch = stretch or _stretch(rows, key)
     part = F.coalesce(F.floor(F.col(key) / stretch), F.lit(-(2**62))).cast("long")
     cut_up = rows.withColumn("_part", part)
     slim = cut(cut_up.select("_part", key).groupBy("_part").agg(F.min(key).alias("_least")))

@@ -1,6 +1,7 @@
 """Closed syncmers against a plain choice, the next row, and edge cases."""
 
 import hashlib
+import re
 
 import pytest
 
@@ -10,14 +11,76 @@ from pyspark.sql import functions as F  # noqa: E402
 from lantern.llm import syncmers as Y  # noqa: E402
 
 
-def test_choice_matches_plain(spark):
-    text = " ".join(f"w{i * 7919 % 97}" for i in range(300))
-    words = text.split()
-    df = spark.createDataFrame([(text,)], "t string")
-    runs = [r[0] for r in spark.createDataFrame([(words[i], words[i + 1]) for i in range(299)], "a string, b string").select(F.xxhash64("a", "b")).collect()]
-    hashes = [r[0] for r in spark.createDataFrame([words[i : i + 5] for i in range(296)], "a string, b string, c string, d string, e string").select(F.xxhash64("a", "b", "c", "d", "e")).collect()]
-    want = [hashes[i] for i in range(296) if min(runs[i : i + 4]) in (runs[i], runs[i + 3])]
-    assert df.select(Y.anchors(F.col("t"))).first()[0] == want
+def hashes_of(spark, rows):
+    """xxhash64 of each tuple of one width, by Spark."""
+    rows = sorted(set(rows))
+    if not rows:
+        return {}
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], ["i", *[f"c{j}" for j in range(len(rows[0]))]])
+    got = {r[0]: r[1] for r in df.select("i", F.xxhash64(*[f"c{j}" for j in range(len(rows[0]))])).collect()}
+    return {r: got[i] for i, r in enumerate(rows)}
+
+
+def plain_anchors(spark, texts, k, s):
+    units = [re.findall(r"[^\x00-\x20]{1,16}", t.lower()) for t in texts]
+    of = {u: h for (u,), h in hashes_of(spark, [(u,) for x in units for u in x]).items()}
+    own = [[of[u] for u in x] for x in units]
+    runs = hashes_of(spark, [tuple(x[i : i + s]) for x in own for i in range(len(x) - s + 1)]) if s > 1 else {(h,): h for x in own for h in x}
+    wholes = hashes_of(spark, [tuple(x[i : i + k]) for x in own for i in range(len(x) - k + 1)])
+    out = []
+    for x in own:
+        if len(x) < k:
+            out.append(None if x else [])  # a short text is one anchor
+            continue
+        r = [runs[tuple(x[i : i + s])] for i in range(len(x) - s + 1)]
+        out.append([wholes[tuple(x[i : i + k])] for i in range(len(x) - k + 1) if min(r[i : i + k - s + 1]) in (r[i], r[i + k - s])])
+    return out
+
+
+def plain_sketch(anchors, size):
+    seen = list(dict.fromkeys((h & (2**64 - 1)) >> 32 for h in anchors))
+    least = set(sorted(seen)[:size])
+    return [h for h in seen if h in least]
+
+
+def plain_likeness(a, b, size):
+    union = sorted(set(a) | set(b))[:size]
+    if not union:
+        return 1.0
+    breaks = lambda x, y: sum(y.index(q) < y.index(p) for p, q in zip(x, x[1:]))
+    x, y = ([h for h in u if h in v and h in union] for u, v in ((a, b), (b, a)))
+    return max(len(x) - max(breaks(x, b), breaks(y, a)), 0) / len(union)
+
+
+TEXTS = ["", "one", "two words", "Three little words", "a b c d e f g", "x" * 50, " ".join(f"w{i * 7919 % 97}" for i in range(300)), " ".join(f"v{i * i % 1009}é" for i in range(400)), "rep eat " * 40]
+
+
+@pytest.mark.parametrize("k,s", [(3, 1), (5, 2), (4, 1), (3, 2)])
+def test_choice_matches_plain(spark, k, s):
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(TEXTS)), "i int, t string").orderBy("i").select(Y.anchors(F.col("t"), k, s)).collect()]
+    for t, mine, want in zip(TEXTS, got, plain_anchors(spark, TEXTS, k, s)):
+        assert mine == want if want is not None else len(mine) == 1, t
+
+
+def test_sketch_and_likeness_match_plain(spark):
+    long = TEXTS[6]
+    texts = [*TEXTS, long[: len(long) * 3 // 4] + " other tail " * 20, long[600:] + " " + long[:600], " ".join(reversed(long.split()))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("m", Y.sketch(F.col("t"), 16)["words"])
+    marks = {r.i: r.m for r in df.collect()}
+    for i, want in enumerate(plain_anchors(spark, texts, Y.K, Y.S)):
+        assert want is None or marks[i] == plain_sketch(want, 16)
+    pairs = df.select(F.col("i").alias("a"), F.col("m").alias("x")).crossJoin(df.select(F.col("i").alias("b"), F.col("m").alias("y")))
+    for r in pairs.withColumn("near", Y.matched(F.col("x"), F.col("y"), 16)).collect():
+        assert r.near == pytest.approx(plain_likeness(marks[r.a], marks[r.b], 16)), (r.a, r.b)
+
+
+def test_long_and_short_near_copies(spark):
+    """A text against its beginning is as like as it is long, on both sides of the length from which there are no character anchors."""
+    words = [f"w{i * 7919 % 9973}" for i in range(60)]
+    assert len(" ".join(words)) > Y.SHORT > len(" ".join(words[:43]))
+    df = spark.createDataFrame([(" ".join(words), " ".join(words[:n])) for n in (43, 50, 55)], "a string, b string")
+    got = [r[0] for r in df.select(Y.likeness(Y.sketch(F.col("a")), Y.sketch(F.col("b")))).collect()]
+    assert all(abs(g - n / 60) < 0.12 for g, n in zip(got, (43, 50, 55)))
 
 
 def test_edits_and_next(spark):
