@@ -6,7 +6,9 @@ other: elements that both have are merged, what only one has becomes optional,
 and a lone element beside a repeated one joins the group.  The wrapper also
 counts the text and link text in each element over the host's pages; from names
 and counts it is decided where the article lies and what in it is not article.
-Pages are then read by their host's decision.
+Pages are then read by their host's decision.  Where a page has no article or
+main element to go by, strings that stay the same in a slot on most of the
+host's pages are template, as in the expression, and not article.
 
 Wrappers are merged within each task first, then by host in two steps, so a
 host with a third of all pages sends few small wrappers, not its pages.
@@ -18,7 +20,9 @@ import html
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,10 +52,12 @@ _JUNK = frozenset(
     "related recommended recommendations more-stories widget widgets pagination pager skip-link paywall disclaimer".split()
 )
 _ROOT = re.compile(r"(?:^|[-_])(?:article|post|entry|story|content)(?:[-_]?(?:body|text|content|main))?$|^main$")
-#: Elements below this depth are taken into their ancestor there.
+#: Blocks below this depth stand in their ancestor there, still apart from each other; what is never article is left out at any depth.
 _DEEPEST = 200
-#: Sequences of siblings whose lengths multiply to more are aligned by name only.
-_LONGEST = 40_000
+#: Bits of the table by which sequences of siblings are aligned; longer sequences are halved first.
+_TABLE = 1 << 28
+#: A string is template if its slot holds it on so many of a host's different pages, and on this share of them.
+SAME_PAGES, SAME_SHARE = 3, 0.5
 
 
 def host_of(url):
@@ -100,6 +106,7 @@ def parse(page: str | None) -> Element:
     """A forgiving tree of a page; scripts, styles and the like are left out."""
     root = Element("", "", False, True)
     stack, at, page = [root], 0, page or ""
+    below: dict[str, int] = {}  # open elements that stand in their ancestor
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             stack[-1].parts.append(page[at : m.start()])
@@ -110,6 +117,11 @@ def parse(page: str | None) -> Element:
         tag, closing, attrs = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
         block = tag in _BLOCK
         if closing:
+            if below.get(tag):
+                below[tag] -= 1
+                if block:
+                    stack[-1].parts.append(Element(tag, tag, False, True))
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -128,8 +140,12 @@ def parse(page: str | None) -> Element:
         name, drop = _name(tag, attrs)
         own = Element(tag, name, drop, block)
         stack[-1].parts.append(own)
-        if tag not in _VOID and not attrs.rstrip().endswith("/") and len(stack) < _DEEPEST:
+        if tag in _VOID or attrs.rstrip().endswith("/"):
+            continue
+        if len(stack) < _DEEPEST or (drop and not stack[-1].drop):
             stack.append(own)
+        else:
+            below[tag] = below.get(tag, 0) + 1
     if at < len(page):
         stack[-1].parts.append(page[at:])
     return root
@@ -184,12 +200,38 @@ def fold(kids: list[list]) -> list[list]:
     return kids
 
 
-def _gathered(kids: list[list]) -> list[list]:
-    """One node, repeated and optional, for all of a name: for sequences too long to align in their order."""
-    by: dict[str, list] = {}
-    for k in kids:
-        by[k[0]] = [*_joined(by[k[0]], k, pages=1)[:5], 1, 1] if k[0] in by else [*k[:6], 1]
-    return list(by.values())
+def _rows(a: list, b: list) -> list[int]:
+    """After each element of a: a bit for each element of b, 0 where a longest common subsequence grows there."""
+    where: dict = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    mask = row = (1 << len(b)) - 1
+    out = []
+    for x in a:
+        same = row & where.get(x, 0)
+        row = ((row + same) | (row - same)) & mask
+        out.append(row)
+    return out
+
+
+def common(a: list, b: list) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence of two sequences, by rows of bits; where all rows would be too many, a is halved and b cut where both halves find most."""
+    if len(a) * len(b) > _TABLE and len(a) > 1:
+        half = len(a) // 2
+        grown = lambda row: np.concatenate([[0], np.cumsum(1 - np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)].astype(np.int64))])
+        at = int(np.argmax(grown(_rows(a[:half], b)[-1]) + grown(_rows(a[half:][::-1], b[::-1])[-1])[::-1]))
+        return common(a[:half], b[:at]) + [(i + half, j + at) for i, j in common(a[half:], b[at:])]
+    rows = _rows(a[::-1], b[::-1])
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if a[-i] == b[-j]:
+            out.append((len(a) - i, len(b) - j))
+            i, j = i - 1, j - 1
+        elif rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+    return out
 
 
 def align(a: list[list], b: list[list]) -> list[list]:
@@ -197,26 +239,12 @@ def align(a: list[list], b: list[list]) -> list[list]:
     keys_a, keys_b = [x[0] for x in a], [x[0] for x in b]
     if keys_a == keys_b:
         return [_joined(x, y) for x, y in zip(a, b, strict=True)]
-    if len(a) * len(b) > _LONGEST:
-        a, b = _gathered(a), _gathered(b)
-        keys_a, keys_b = [x[0] for x in a], [x[0] for x in b]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if keys_a[i] == keys_b[j] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    only = lambda x: [*x[:6], 1]
-    while i < n or j < m:
-        if i < n and j < m and keys_a[i] == keys_b[j]:
-            out.append(_joined(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append(only(a[i]))
-            i += 1
-        else:
-            out.append(only(b[j]))
-            j += 1
+    for x, y in [*common(keys_a, keys_b), (len(a), len(b))]:
+        out += [[*n[:6], 1] for n in a[i:x] + b[j:y]]
+        if x < len(a):
+            out.append(_joined(a[x], b[y]))
+        i, j = x + 1, y + 1
     return fold(out)
 
 
@@ -263,12 +291,70 @@ def _dropped(name: str) -> bool:
     return _name(tag, f'class="{marks}" role="{roles}"' if marks or roles else "")[1]
 
 
+def _slot(path: str, text: str) -> int:
+    """A string in a slot of the wrapper, as a signed long."""
+    return xxhash.xxh3_64_intdigest(f"{path}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _blocks(e: Element, path: str, article: bool, out: list[tuple[str, str]]) -> None:
+    """Adds (path, text) of e's blocks in page order, without what is never article; an article's own headers have its title and stay."""
+    held: list[str] = []
+
+    def end(path: str) -> None:
+        text = " ".join(html.unescape("".join(held)).split())
+        held.clear()
+        if text:
+            out.append((path, text))
+
+    def walk(e: Element, path: str, article: bool) -> None:
+        for p in e.parts:
+            if isinstance(p, str):
+                held.append(p)
+            elif p.tag == "br":
+                held.append(" ")
+            elif p.drop or (p.tag == "header" and not article):
+                end(path)
+            elif p.block:
+                end(path)
+                own = path + ">" + p.name
+                walk(p, own, article or p.tag == "article")
+                end(own)
+            else:
+                walk(p, path, article)
+
+    walk(e, path, article)
+    end(path)
+
+
+def _explicit(tree: Element) -> bool:
+    """Whether a page has an article or main element to go by."""
+    open_ = [tree]
+    while open_:
+        for p in open_.pop().parts:
+            if not isinstance(p, str) and not p.drop:
+                if p.tag in ("article", "main"):
+                    return True
+                open_.append(p)
+    return False
+
+
+def slots_of(tree: Element) -> tuple[int, list[int]] | None:
+    """A page's digest (of its longest block, so copies of an article are one page) and the strings in its slots; None for pages with an article or main element, which need none."""
+    if _explicit(tree):
+        return None
+    out: list[tuple[str, str]] = []
+    _blocks(tree, "", False, out)
+    longest = max((text for _, text in out), key=len, default="")
+    return _slot("", longest), sorted({_slot(*x) for x in out})
+
+
 def text_of(page: str | None, decision: dict | None) -> str:
     """The article's blocks, one a line.  Without the decided element: the page's first article, main or body, or all of it."""
     tree = parse(page)
-    roots: list[Element] = []
-    by_tag: dict[str, Element] = {}
+    roots: list[tuple[Element, str]] = []
+    by_tag: dict[str, tuple[Element, str]] = {}
     want = (decision or {}).get("root")
+    same = frozenset((decision or {}).get("same") or ())
 
     def seek(e: Element, path: str, dropped: bool) -> None:
         for p in e.parts:
@@ -278,63 +364,54 @@ def text_of(page: str | None, decision: dict | None) -> str:
             drop = dropped or p.drop
             if not drop:
                 if p.block and own == want:
-                    roots.append(p)
+                    roots.append((p, own))
                     continue
-                by_tag.setdefault(p.tag, p)
+                by_tag.setdefault(p.tag, (p, own))
             seek(p, own, drop)
 
     seek(tree, "", False)
     if not roots:
-        roots = [by_tag.get("article") or by_tag.get("main") or by_tag.get("body") or tree]
-    blocks: list[str] = []
-    held: list[str] = []
-
-    def end() -> None:
-        text = " ".join(html.unescape("".join(held)).split())
-        held.clear()
-        if text:
-            blocks.append(text)
-
-    def walk(e: Element, top: bool) -> None:
-        for p in e.parts:
-            if isinstance(p, str):
-                held.append(p)
-            elif p.tag == "br":
-                held.append(" ")
-            elif p.drop or (p.tag == "header" and not top):
-                end()
-            elif p.block:
-                end()
-                walk(p, False)
-                end()
-            else:
-                walk(p, top)
-
-    for r in roots:
-        end()
-        walk(r, r.tag == "article")  # an article's own header has its title
-        end()
-    return "\n".join(blocks)
+        roots = [by_tag.get("article") or by_tag.get("main") or by_tag.get("body") or (tree, "")]
+    out: list[tuple[str, str]] = []
+    for r, path in roots:
+        _blocks(r, path, r.tag == "article", out)
+    if same and not _explicit(tree):
+        out = [x for x in out if _slot(*x) not in same]
+    return "\n".join(text for _, text in out)
 
 
 # ---------------------------------------------------------------- Spark
 
 _KINDS = "host string, wrapper string"
+_PARTS = pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("page", pa.int64()), ("slots", pa.list_(pa.int64()))])
 
 
 def _partial(batches):
-    """A wrapper for each host of a task's pages; when many hosts are open, those so far are sent on."""
+    """A wrapper for each host of a task's pages, and the strings in the slots of pages that need them; when many hosts are open, those so far are sent on."""
     open_: dict[str, list] = {}
 
+    def rows(host, wrapper=None, page=None, slots=None):
+        n = len(host)
+        cols = [host, wrapper or [None] * n, page or [None] * n, slots or [None] * n]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _PARTS.types, strict=True)], schema=_PARTS)
+
     def sent():
-        out = pa.RecordBatch.from_pydict({"host": list(open_), "wrapper": [json.dumps(w, separators=(",", ":")) for w in open_.values()]}, schema=pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
+        out = rows(list(open_), [json.dumps(w, separators=(",", ":")) for w in open_.values()])
         open_.clear()
         return out
 
     for b in batches:
+        seen = []
         for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            own = skeleton(page)
+            tree = parse(page)
+            own = _skeleton(tree, False, "")
             open_[host] = _joined(open_[host], own) if host in open_ else own
+            found = slots_of(tree)
+            if found:
+                seen.append((host, *found))
+        if seen:
+            host, page, slots = (list(x) for x in zip(*seen, strict=True))
+            yield rows(host, page=page, slots=slots)
         if len(open_) > 5000:
             yield sent()
     if open_:
@@ -351,22 +428,50 @@ def _merge(key, frame):
     return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(wrapper, separators=(",", ":"))]})
 
 
-def infer(pages: DataFrame, fan: int = 64) -> DataFrame:
-    """pages (url, html) -> (host, wrapper) as JSON.  A null url belongs to host ''."""
-    parts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_partial, _KINDS)
+def _merged(parts: DataFrame, fan: int = 64) -> DataFrame:
+    """Tasks' wrappers -> (host, wrapper) as JSON."""
     some = parts.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(fan)).alias("part")).applyInPandas(_merge, _KINDS)
     return some.groupBy("host").applyInPandas(_merge, _KINDS)
 
 
+def _parts(pages: DataFrame) -> DataFrame:
+    kinds = "host string, wrapper string, page long, slots array<long>"
+    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_partial, kinds)
+
+
+def infer(pages: DataFrame, fan: int = 64) -> DataFrame:
+    """pages (url, html) -> (host, wrapper) as JSON.  A null url belongs to host ''."""
+    return _merged(_parts(pages).where("wrapper is not null").select("host", "wrapper"), fan)
+
+
+def template_strings(slots: DataFrame) -> DataFrame:
+    """(host, page, slots) of pages -> (same_host, same): the strings that stay the same in their slot on most of a host's different pages.
+
+    A host has at most 1 / SAME_SHARE times as many as its pages have on average.
+    """
+    pages = slots.groupBy("host").agg(F.count_distinct("page").alias("pages"))
+    each = slots.select("host", "page", F.explode("slots").alias("slot")).distinct().groupBy(F.col("host").alias("h"), "slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAME_PAGES)
+    often = each.join(pages, F.col("h") == F.col("host")).where(F.col("n") >= SAME_SHARE * F.col("pages"))
+    return often.groupBy(F.col("h").alias("same_host")).agg(F.array_sort(F.collect_list("slot")).alias("same"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of pages (page_id, url, html); a null or empty page, or one without article text, has text ''."""
-    wrappers = infer(pages)
+    """(page_id, url, text, n_chars) of every row of pages (page_id, url, html); a null or empty page, or one without article text, has text ''.
+
+    A page is read alike wherever it stands and however often: rows that repeat
+    each have their text, and copies of an article count once in what is
+    template.  Very long pages and deep nesting are read whole; other columns
+    of pages are left out.
+    """
+    parts = cut(_parts(pages))
 
     def decided(batches):
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"own_host": b.column(0), "decision": [json.dumps(decide(json.loads(w))) for w in b.column(1).to_pylist()]}, schema=pa.schema([("own_host", pa.string()), ("decision", pa.string())]))
+            yield pa.RecordBatch.from_pydict({"own_host": b.column(0), "root": [decide(json.loads(w))["root"] for w in b.column(1).to_pylist()]}, schema=pa.schema([("own_host", pa.string()), ("root", pa.string())]))
 
-    decisions = cut(wrappers.mapInArrow(decided, "own_host string, decision string"))
+    roots = _merged(parts.where("wrapper is not null").select("host", "wrapper")).mapInArrow(decided, "own_host string, root string")
+    same = template_strings(parts.where("page is not null").select("host", "page", "slots"))
+    decisions = cut(roots.join(same, F.col("own_host") == F.col("same_host"), "left").select("own_host", F.to_json(F.struct("root", "same")).alias("decision")))
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(small(decisions), F.col("host") == F.col("own_host"), "left").select("page_id", "url", "html", "decision")
     kind = rows.drop("html", "decision").schema
 
