@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+def let(value: Column, body) -> Column:
+    """body of value, which is evaluated once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
@@ -24,8 +29,12 @@ def softmax(logits: Column) -> Column:
 
 
 def min_gap(a: Column, b: Column) -> Column:
-    """The least distance between a position of a and one of b."""
-    return F.array_min(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.abs(x - y)))))
+    """The least distance between a position of a and one of b: of the positions of both in order, the nearest neighbours of different lists, or 0 if one is in both."""
+    marked = F.sort_array(F.concat(F.transform(a, lambda x: F.struct(x.alias("p"), F.lit(0).alias("s"))), F.transform(b, lambda y: F.struct(y.alias("p"), F.lit(1).alias("s")))))
+    far = F.lit(2**31 - 1)
+    start = F.struct(far.alias("gap"), F.lit(None).cast("int").alias("p"), F.lit(None).cast("int").alias("s"))
+    step = lambda acc, x: F.struct(F.when(acc["s"] != x["s"], F.least(acc["gap"], x["p"] - acc["p"])).otherwise(acc["gap"]).alias("gap"), x["p"].alias("p"), x["s"].alias("s"))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.aggregate(marked, start, step, lambda acc: acc["gap"]))
 
 
 def margin(probs: Column) -> Column:
@@ -45,18 +54,6 @@ def soft_one_hot(chosen: Column, confidence: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i == chosen, confidence).otherwise((1 - confidence) / 3))
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """values sorted at index round((n - 1) * p), halves to even; null for none."""
-    ranked = F.array_sort(values)
-    return F.get(ranked, F.bround((F.size(values) - 1) * F.lit(p), 0).cast("int"))
-
-
-def dashboard_rank(values: Column, p: float) -> Column:
-    """values sorted at index min(int(n * p), n - 1)."""
-    ranked = F.array_sort(values)
-    return F.get(ranked, F.least(F.floor(F.size(values) * F.lit(p)).cast("int"), F.size(values) - 1))
-
-
 def gcd(a: Column, b: Column) -> Column:
     """Euclid's, in at most 92 steps: enough for any two longs."""
     start = F.struct(F.abs(a).cast("bigint").alias("x"), F.abs(b).cast("bigint").alias("y"))
@@ -79,13 +76,21 @@ def mod_power(base: Column, exponent: Column, modulus: Column) -> Column:
     return F.pmod(F.aggregate(F.sequence(F.lit(1), F.lit(63)), start, step, lambda s: s["r"]), modulus)
 
 
-def binomial_at_least(n: Column, k: Column, p: Column) -> Column:
-    """P(X >= k) for X ~ Bin(n, p), summed from its terms."""
-    def term(i):
-        ways = F.aggregate(F.when(i > 0, F.sequence(F.lit(1), i)).otherwise(F.array().cast("array<int>")), F.lit(1.0), lambda c, j: c * (n - i + j) / j)
-        return ways * F.pow(p, i) * F.pow(1 - p, n - i)
+def binomial_between(n: Column, low: Column, high: Column, p: Column) -> Column:
+    """P(low <= X <= high) for X ~ Bin(n, p) with 0 < p < 1, summed from its terms, each from the one before in logarithms."""
+    start = F.struct((n * F.log(1 - p)).alias("log"), F.when(low <= 0, F.pow(1 - p, n)).otherwise(0.0).alias("sum"))
+
+    def step(acc, i):
+        log = acc["log"] + F.log((n - i + 1) / i) + F.log(p / (1 - p))
+        return F.struct(log.alias("log"), (acc["sum"] + F.when((i >= low) & (i <= high), F.exp(log)).otherwise(0.0)).alias("sum"))
+
+    terms = F.when(F.least(high, n) > 0, F.sequence(F.lit(1), F.least(high, n))).otherwise(F.array().cast("array<int>"))
+    return F.when(low > n, 0.0).when(n.isNotNull() & low.isNotNull() & high.isNotNull() & p.isNotNull(), F.aggregate(terms, start, step, lambda acc: acc["sum"]))
 
-    return F.when(k > n, 0.0).otherwise(F.aggregate(F.sequence(k, n), F.lit(0.0), lambda s, i: s + term(i)))
+
+def binomial_at_least(n: Column, k: Column, p: Column) -> Column:
+    """P(X >= k) for X ~ Bin(n, p)."""
+    return binomial_between(n, k, n, p)
 
 
 _BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Mod: operator.mod, ast.FloorDiv: operator.floordiv}
@@ -134,9 +139,10 @@ def arithmetic(text: pd.Series) -> pd.Series:
 
 
 def option_value(option: Column) -> Column:
-    """An option's number, without currency signs, thousands commas and a unit; null if it has none."""
-    bare = F.regexp_replace(F.trim(option), r"[$€£,%\s]", "")
-    return F.nullif(F.regexp_extract(bare, r"^(-?\d+(?:\.\d+)?)(?:[A-Za-z²³°]*)$", 1), F.lit("")).try_cast("double")
+    """An option's number, without currency signs, thousands commas, a unit after a blank and a full stop; null if it has none."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(option, r"[€$£,]", ""), r"(?s)\s+[a-zA-Z].*", ""), r"^\s+|\s+$", "")
+    bare = F.regexp_replace(bare, r"\.+$", "")
+    return F.when(bare.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), bare.try_cast("double"))
 
 
 def match_option(result: Column, options: Column) -> Column:

@@ -1,7 +1,8 @@
 """Deterministic tools: questions in words to numbers, and numbers to options.
 
 Rules are regular expressions and closed forms as Column expressions; only the
-general expression and the normal distribution need a pandas UDF.
+general expression and the normal distribution need a pandas UDF.  What asks for
+algebra is in closed.py.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ IN_WORDS = (
     (rf"(?i){_NUM}\s*(?:%|percent)\s+of\s+{_NUM}", "$1/100*$2"), (rf"(?i){_NUM}\s+to\s+the\s+power\s+of\s+{_NUM}", "$1**$2"), (rf"(?i)square\s+root\s+of\s+{_NUM}", "sqrt($1)"), (r"(?i)\s*\bsquared\b", "**2"), (r"(?i)\s*\bcubed\b", "**3"),
     (r"(?i)\btimes\b|×", "*"), (r"(?i)\bdivided\s+by\b|÷", "/"), (r"(?i)\bplus\b", "+"), (r"(?i)\bminus\b", "-"),
 )
+KEPT = r"[^0-9+\-*/().,a-zA-Z_\s]"
 ASKED = r"(?is)(?:what\s+is(?:\s+the(?:\s+\w+){0,3})?|calculate|compute|find\s+the\s+value\s+of|evaluate|simplify|how\s+(?:many|much|far|long)|(?:find|determine)\s+the\s+(?:total|sum|product|result|answer))\s+(.+)"
 
 
@@ -45,7 +47,7 @@ def to_expression(question: Column) -> Column:
         q = F.regexp_replace(q, pattern, new)
     asked = F.regexp_extract(q, ASKED, 1)
     asked = F.element_at(F.split(F.regexp_replace(asked, r"[?\s]+\z", ""), r"(?i)\b(?:where|if|given)\b"), 1)
-    bare = F.trim(F.regexp_replace(F.regexp_replace(asked, r"[^0-9+\-*/().,a-zA-Z_\s]", " "), r"\s+", " "))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(asked, KEPT, " "), r"\s+", " "))
     return F.nullif(bare, F.lit(""))
 
 
@@ -57,94 +59,87 @@ def _long(text: Column, pattern: str, i: int) -> Column:
     return _group(text, pattern, i).cast("bigint")
 
 
-def _ways(n: Column, k: Column) -> Column:
-    return F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("bigint"), k)).otherwise(F.array().cast("array<bigint>")), F.lit(1.0), lambda c, j: c * (n - k + j) / j)
-
-
-def closed_form(question: Column) -> Column:
-    """The first rule that fits, in a fixed order; null if none does."""
-    q, d = question, digits(question)
-    rules: list[Column] = []
-    # remainder of b^e (+ c) by m
-    p = r"(?i)remainder\s+(?:when|of)\s+(\d+)\s*\^\s*\{?(\d+)\}?\s*(?:([+-])\s*(\d+)\s*)?(?:is\s+)?divided\s+by\s+(\d+)"
-    m = _long(q, p, 5)
-    shift = F.coalesce(F.when(F.regexp_extract(q, p, 3) == "-", -_long(q, p, 4)).otherwise(_long(q, p, 4)), F.lit(0).cast("bigint"))
-    rules.append(F.when(m > 0, F.pmod(N.mod_power(_long(q, p, 1), _long(q, p, 2), F.when(m > 0, m).otherwise(1)) + shift, F.when(m > 0, m).otherwise(1)).cast("double")))
-    # binomial coefficient, and so many chosen from so many
-    for p, n, k in ((r"\\binom\{(\d+)\}\{(\d+)\}", 1, 2), (r"(?i)(\d+)\s+\w+\s+(?:are\s+)?(?:chosen|selected)\s+from\s+(?:a\s+group\s+of\s+)?(\d+)", 2, 1)):
-        rules.append(F.when(_long(d, p, n) >= _long(d, p, k), _ways(_long(d, p, n), _long(d, p, k))))
-    p = r"\\log_\{?(\d+)\}?\s*\{?(\d+)\}?"
-    rules.append(F.when((_group(q, p, 1) > 1) & (_group(q, p, 2) > 0), F.log(_group(q, p, 2)) / F.log(_group(q, p, 1))))
-    # sum of squares
-    p = r"\\sum_\{i=(\d+)\}\^\{?(\d+)\}?\s*i\^\{?2\}?"
-    upto = lambda n: n * (n + 1) * (2 * n + 1) / 6
-    rules.append(upto(_group(q, p, 2)) - upto(_group(q, p, 1) - 1))
-    # two or three periods that meet again
-    p = r"(?i)every\s+(\d+)\s+min\D+every\s+(\d+)\s+min\D+24\s+hours"
-    rules.append(F.floor(F.lit(1440) / N.lcm(_long(d, p, 1), _long(d, p, 2))).cast("double"))
-    p = r"(?i)every\s+(\d+)(?:\s+sec\w*)?,\s+(\d+)(?:\s+sec\w*)?,?\s+and\s+(\d+)\s+sec\D+(\d+)\s+min"
-    rules.append((F.floor(_long(d, p, 4) * 60 / N.lcm(N.lcm(_long(d, p, 1), _long(d, p, 2)), _long(d, p, 3))) + 1).cast("double"))
-    # both of two sets
-    p = r"(?is)(\d+)\s+\w+.*?(\d+)\s+\w+\s+(?:like|play|study|take|speak).*?(\d+)\s+(?:\w+\s+)?(?:like|play|study|take|speak).*?(\d+)\s+\w*\s*neither"
-    rules.append(_group(d, p, 2) + _group(d, p, 3) - (_group(d, p, 1) - _group(d, p, 4)))
-    # ratio of areas, arrangements, a square by its diagonal
-    p = r"(?i)radii\s+(?:of\s+)?(\d+(?:\.\d+)?)\s+and\s+(\d+(?:\.\d+)?).*?ratio\s+of\s+(?:their|the)\s+areas"
-    rules.append(F.when(_group(q, p, 2) != 0, F.pow(_group(q, p, 1) / _group(q, p, 2), 2)))
-    p = r"(?i)(\d+)\s+\w+\s+(?:be\s+)?arranged"
-    n = _long(d, p, 1)
-    rules.append(F.when(n.between(0, 20), F.aggregate(F.when(n > 0, F.sequence(F.lit(1).cast("bigint"), n)).otherwise(F.array().cast("array<bigint>")), F.lit(1.0), lambda a, x: a * x)))
-    p = r"(?i)opposite\s+vertices[^(]*\(\s*(-?\d+)\s*,\s*(-?\d+)\s*\)[^(]*\(\s*(-?\d+)\s*,\s*(-?\d+)\s*\)"
-    rules.append((F.pow(_group(q, p, 1) - _group(q, p, 3), 2) + F.pow(_group(q, p, 2) - _group(q, p, 4), 2)) / 2)
-    # a year between two
-    p = r"(?is)(\d+(?:\.\d+)?)\s+in\s+(\d{4}).*?(\d+(?:\.\d+)?)\s+in\s+(\d{4}).*?\bin\s+(\d{4})"
-    inside = (_group(q, p, 5) > F.least(_group(q, p, 2), _group(q, p, 4))) & (_group(q, p, 5) < F.greatest(_group(q, p, 2), _group(q, p, 4)))
-    rules.append(F.when(inside, _group(q, p, 1) + (_group(q, p, 3) - _group(q, p, 1)) * (_group(q, p, 5) - _group(q, p, 2)) / (_group(q, p, 4) - _group(q, p, 2))))
-    # h(ax + b) = cx + d, where h(x) = x
-    p = r"h\((-?\d+)x\s*([+-]\s*\d+)\)\s*=\s*(-?\d+)x\s*([+-]\s*\d+)"
-    part = lambda i: F.nullif(F.replace(F.regexp_extract(q, p, i), F.lit(" "), F.lit("")), F.lit("")).try_cast("double")
-    rules.append(F.when(part(1) != part(3), (part(4) * part(1) - part(3) * part(2)) / (part(1) - part(3))))
-    # 0.a repeating b
-    p = r"(\d+)\.(\d*)\\overline\{(\d+)\}"
-    head, tail = F.regexp_extract(q, p, 2), F.regexp_extract(q, p, 3)
-    whole = F.concat(F.regexp_extract(q, p, 1), head, tail).try_cast("double")
-    stem = F.concat(F.regexp_extract(q, p, 1), head).try_cast("double")
-    rules.append(F.when(tail != "", (whole - stem) / ((F.pow(F.lit(10.0), F.length(tail)) - 1) * F.pow(F.lit(10.0), F.length(head)))))
-    return F.coalesce(*rules)
-
-
-def linear_system(question: Column) -> Column:
-    """struct<x, y> of two equations a x + b y = c, or null."""
-    p = r"(-?\d*)x\s*([+-])\s*(\d*)y\s*=\s*(-?\d+).*?(-?\d*)x\s*([+-])\s*(\d*)y\s*=\s*(-?\d+)"
-
-    def factor(i: int, sign: int | None = None) -> Column:
-        t = F.regexp_extract(question, p, i)
-        v = F.when(t.isin("", "-"), F.concat(t, F.lit("1"))).otherwise(t).try_cast("double")
-        return v if sign is None else F.when(F.regexp_extract(question, p, sign) == "-", -v).otherwise(v)
-
-    a, b, c, d, e, f = factor(1), factor(3, 2), _group(question, p, 4), factor(5), factor(7, 6), _group(question, p, 8)
-    det = a * e - b * d
-    return F.when(question.rlike(p) & (det != 0), F.struct(((c * e - b * f) / det).alias("x"), ((a * f - c * d) / det).alias("y")))
+# How a text states a probability, how many trials there are, and how many successes.
+RATE = r"(?i)(\d+(?:\.\d+)?)\s+(?:became|are|were|out\s+of)\s+\S*\s*(?:\S+\s+)?(\d+(?:\.\d+)?)|(\d+(?:\.\d+)?)\s+of\s+(?:the\s+)?(\d+(?:\.\d+)?)"
+TRIALS = r"(?i)(\d+)\s+(?:cyclones?|tosses?|trials?|rolls?|children|patients?|flips?|at[\s\-]?bats?|games?|attempts?|observations?|people|students?)"
+SUCCESSES = r"(?i)(\d+)\s+(?:hits?|successes?)\s+in\s+(\d+)"
+EVERY_TIME = r"(?i)(\d+)\s+(?:hits?|successes?)\s+in\s+\1"
+SAMPLE = r"(?i)(\d+)\s+(?:jars?|samples?|observations?|subjects?|tablets?|items?)|(?:sample\s+of\s+|selected\s+at\s+random\s*)(\d+)"
+PERCENTILE = r"(?i)(\d+)(?:st|nd|rd|th)\s+percentile"
+#: Trials up to which a binomial tail is summed.
+MOST_TRIALS = 1_000_000
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    """The smaller of two different positive numbers over the larger."""
+    return F.when((a > 0) & (b > 0) & (a != b), F.least(a, b) / F.greatest(a, b))
 
 
 def probability(text: Column) -> Column:
-    """A probability that a text states: 'a out of b', a fraction, a decimal under 1, or a percentage."""
-    rate = r"(?i)(\d+(?:\.\d+)?)\s+(?:out\s+of|of\s+the|of)\s+(\d+(?:\.\d+)?)"
-    frac = r"\b(\d+)\s*/\s*(\d+)\b"
-    share = lambda p: F.when(_group(text, p, 1) < _group(text, p, 2), _group(text, p, 1) / _group(text, p, 2))
-    dot = F.nullif(F.regexp_extract(text, r"(?<![\d.])0?(\.\d+)\b", 1), F.lit("")).try_cast("double")
-    return F.coalesce(share(rate), share(frac), dot, _group(text, rf"{_NUM}\s*%", 1) / 100)
+    """A probability that a text states: a rate, the first two different numbers, a decimal or a percentage, whichever is first among these."""
+    rate = _ratio(F.coalesce(_group(text, RATE, 1), _group(text, RATE, 3)), F.coalesce(_group(text, RATE, 2), _group(text, RATE, 4)))
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"\b(\d+(?:\.\d+)?)\b"), F.lit(1)), lambda n: n.cast("double"))
+    some = F.array_distinct(F.filter(found, lambda n: n.between(0.01, 100.0)))
+    dot = F.nullif(F.regexp_extract(text, r"(?<!\d)0?(\.\d+)\b", 1), F.lit("")).try_cast("double")
+    return F.coalesce(rate, _ratio(F.get(some, F.lit(0)), F.get(some, F.lit(1))), F.when(dot > 0, dot), _group(text, r"(\d+(?:\.\d+)?)\s*%", 1) / 100)
+
+
+def _binomials(question: Column) -> Column:
+    """array of P(X >= k), p^k and P(X = k), each null unless a question asks for it."""
+    asked = N.let(
+        digits(question),
+        lambda d: F.struct(
+            F.coalesce(_long(d, TRIALS, 1), _long(d, SUCCESSES, 2)).cast("int").alias("n"), _long(d, r"(?i)at\s+least\s+(\d+)", 1).cast("int").alias("least"),
+            _long(d, r"(?i)exactly\s+(\d+)", 1).cast("int").alias("just"), _long(d, EVERY_TIME, 1).alias("again"), probability(question).alias("p"),
+        ),
+    )
+
+    def results(x):
+        ok = (x["p"] > 0) & (x["p"] < 1)
+        p, n = F.when(ok, x["p"]), F.when(x["n"] <= MOST_TRIALS, x["n"])
+        return F.array(N.binomial_between(n, x["least"], n, p), F.pow(p, x["again"]), N.binomial_between(n, x["just"], x["just"], p))
+
+    return N.let(asked, results)
 
 
 def binomial(question: Column) -> Column:
-    """P(X >= k), p^k or P(X = k), by what a question asks."""
-    d, p = digits(question), probability(question)
-    trials = r"(?i)(\d+)\s+(?:cyclones?|tosses?|trials?|rolls?|children|patients?|flips?|at[\s\-]?bats?|games?|attempts?|observations?|people|students?)"
-    n, least, just = _long(d, trials, 1).cast("int"), _long(d, r"(?i)at\s+least\s+(\d+)", 1).cast("int"), _long(d, r"(?i)exactly\s+(\d+)", 1).cast("int")
-    again = _long(d, r"(?i)(\d+)\s+(?:hits?|successes?)\s+in\s+\1\b", 1)
-    ok = (p > 0) & (p < 1)
-    some, one = ok & least.isNotNull() & n.isNotNull() & (n <= 1000), ok & just.isNotNull() & n.isNotNull() & (just <= n) & (n <= 1000)
-    whole = lambda c, x: F.when(c, x).otherwise(F.lit(0))
-    return F.when(some, N.binomial_at_least(whole(some, n), whole(some, least), p)).when(ok & again.isNotNull(), F.pow(p, again)).when(one, _ways(whole(one, n).cast("bigint"), whole(one, just).cast("bigint")) * F.pow(p, just) * F.pow(1 - p, n - just))
+    """P(X >= k), p^k or P(X = k), by what a question asks first."""
+    return N.let(_binomials(question), lambda r: F.coalesce(r[0], r[1], r[2]))
+
+
+def _normal_parts(question: Column, mean: str) -> tuple[Column, Column, Column]:
+    """Number words as digits, mean and standard deviation."""
+    d = digits(question)
+    return d, _group(d, rf"(?i){mean}\s+(?:of\s+)?(\d+(?:\.\d+)?)", 1), _group(d, r"(?i)standard\s+deviation\s+(?:of\s+)?(\d+(?:\.\d+)?)", 1)
+
+
+def percentile(question: Column) -> Column:
+    """struct<value, distance>: the percentile of a normal distribution that a question asks for, and how far from the mean it is, to two places."""
+    d, mean, deviation = _normal_parts(question, "mean")
+    at = normal_quantile(_group(d, PERCENTILE, 1) / 100, mean, deviation)
+    return F.when(at.isNotNull(), F.struct(at.alias("value"), F.bround(F.abs(at - mean), 2).alias("distance")))
+
+
+def sample_mean(question: Column) -> Column:
+    """P(mean of a sample < x) of a normal distribution."""
+    d, mean, deviation = _normal_parts(question, "(?:average|mean)")
+    n = F.coalesce(_group(d, SAMPLE, 1), _group(d, SAMPLE, 2))
+    return normal_cdf(_group(d, r"(?i)less\s+than\s+(\d+(?:\.\d+)?)", 1), mean, deviation / F.sqrt(F.nullif(n, F.lit(0.0))))
+
+
+def match_probability(value: Column, options: Column) -> Column:
+    """The option with the value to four places, else the first whose first number is within half a percentage point."""
+    return F.coalesce(N.match_option(F.bround(value, 4), options), match_near(value, options, 0.005))
+
+
+def solve_statistics(question: Column, options: Column) -> Column:
+    """The option of the first statistics rule whose result is among them: a binomial tail, repeated success, exactly so many, a percentile, a sample's mean."""
+    def of(x):
+        of_binomials = [match_probability(x["binomials"][i], options) for i in range(3)]
+        of_percentile = [N.match_option(x["at"]["value"], options), N.match_option(x["at"]["distance"], options), match_near(x["at"]["distance"], options)]
+        return F.coalesce(*of_binomials, *of_percentile, match_probability(x["mean"], options))
+
+    return N.let(F.struct(_binomials(question).alias("binomials"), percentile(question).alias("at"), sample_mean(question).alias("mean")), of)
 
 
 @F.pandas_udf(DoubleType())

@@ -105,9 +105,11 @@ def chunk(articles: DataFrame, size: int = 300, overlap: int = 50, least: int |
 
 
 def embedding_text(source: Column, aliases: Column, section: Column, text: Column) -> Column:
-    """'source (also known as: a; b) - section: text' with what there is."""
+    """'source (also known as: a; b) - section: text' with what there is; the text alone without a source."""
+    title = F.trim(F.coalesce(source, F.lit("")))
     known = F.when(F.size(F.coalesce(aliases, F.array().cast("array<string>"))) > 0, F.concat(F.lit(" (also known as: "), F.array_join(aliases, "; "), F.lit(")"))).otherwise("")
-    return F.concat(source, known, F.when(section.isNotNull(), F.concat(F.lit(" — "), section)).otherwise(""), F.lit(": "), text)
+    part = F.when(F.coalesce(section, F.lit("")) != "", F.concat(F.lit(" — "), section)).otherwise("")
+    return F.when(title == "", text).otherwise(F.concat(title, known, part, F.lit(": "), text))
 
 
 def surface_text(text: Column, aliases: Column) -> Column:

@@ -11,28 +11,43 @@ from . import retrieve as R
 from .decide import score_gate
 
 
-def retrieve(dense: DataFrame | None, lexical: DataFrame | None, sources: DataFrame, k: int = 3, *, scorer: Column | None = None, oversearch: int = 5, spread: bool = True) -> DataFrame:
+def pool_size(k: int, rerank: bool, spread: bool, oversearch: int = 5) -> int:
+    """How many passages each ranking has to give: k * oversearch to be reranked, k * 2 to be diversified, else k."""
+    return k * oversearch if rerank else k * 2 if spread else k
+
+
+def retrieve(
+    dense: DataFrame | None, lexical: DataFrame | None, sources: DataFrame, k: int = 3, *, hybrid: bool | None = None, rerank: bool | None = None, scorer: Column | None = None, oversearch: int = 5, spread: bool = True, weights: DataFrame | None = None
+) -> DataFrame:
     """Rankings (query, rank, key) of one or both kinds to the k passages of each query, with score.
 
-    The pool is k * oversearch if it is reranked, k * 2 if it is diversified,
-    else k.  Both rankings are fused; the pool is reranked by scorer, an
-    expression over query and sources' columns (key, source, ...); then each
-    source's best comes before any second of a source.
+    hybrid fuses both rankings, rerank scores the pool anew by scorer, an
+    expression over query and sources' columns (key, source, ...); each is an
+    error where its part is missing, and done if its part is there when it
+    isn't said.  Then each source's best comes before any second of a source.
     """
-    pool = k * oversearch if scorer is not None else k * 2 if spread else k
+    if rerank and scorer is None:
+        raise ValueError("rerank needs a scorer")
+    if hybrid and lexical is None:
+        raise ValueError("hybrid needs a lexical ranking")
+    if hybrid and dense is None:
+        raise ValueError("hybrid needs a dense ranking")
+    scored, both = scorer is not None and rerank is not False, dense is not None and lexical is not None and hybrid is not False
+    pool = pool_size(k, scored, spread, oversearch)
     lists = [x.where(F.col("rank") <= pool).select("query", F.lit(i).alias("list_id"), "rank", "key") for i, x in enumerate((dense, lexical)) if x is not None]
     if not lists:
         raise ValueError("a ranking is needed")
-    merged = R.fuse(lists[0].unionByName(lists[1]), pool) if len(lists) == 2 else lists[0].select("query", "key", (1.0 / (60 + F.col("rank"))).alias("score"), "rank")
+    merged = R.fuse(lists[0].unionByName(lists[1]), pool, weights=weights) if both else lists[0].select("query", "key", (1.0 / (60 + F.col("rank"))).alias("score"), "rank")
     joined = merged.join(sources, "key")
-    if scorer is not None:
+    if scored:
         joined = R.rerank(joined, scorer, pool).drop("pool_rank")
     return R.diversify(joined, k).drop("pool_rank") if spread else joined.where(F.col("rank") <= k)
 
 
-def multi_query(per_query: DataFrame, sources: DataFrame, k: int, scorer: Column | None = None) -> DataFrame:
-    """Rankings (query, list_id, rank, key) of a question's variants: fused, reranked once by the question, cut to k."""
-    fused = R.fuse(per_query, k * 5 if scorer is not None else k).join(sources, "key")
+def multi_query(per_query: DataFrame, sources: DataFrame, k: int, scorer: Column | None = None, oversearch: int = 5) -> DataFrame:
+    """Rankings (query, list_id, rank, key) of a question's variants, the question's first: fused, reranked once by the question, cut to k and not diversified again."""
+    pool = k * oversearch if scorer is not None else k
+    fused = R.fuse(per_query.where(F.col("rank") <= pool), pool).join(sources, "key")
     return R.rerank(fused, scorer, k).drop("pool_rank") if scorer is not None else fused.where(F.col("rank") <= k)
 
 

@@ -21,16 +21,6 @@ def postings(rows: DataFrame) -> DataFrame:
     return rows.groupBy("token", "doc").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-def lengths(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, dl): tokens in each document."""
-    return docs.select(F.col(doc).alias("doc"), F.size(T.tokens(F.col(text))).alias("dl"))
-
-
-def corpus_stats(lens: DataFrame) -> DataFrame:
-    """One row: n, avgdl."""
-    return lens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-
-
 def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
@@ -40,20 +30,39 @@ def query_tokens(queries: DataFrame, query: str, text: str) -> DataFrame:
     return queries.select(F.col(query).alias("query"), F.posexplode(T.tokens(F.col(text))).alias("qi", "token"))
 
 
-def matched(docs: DataFrame, doc: str, text: str, q: DataFrame) -> DataFrame:
-    """(query, qi, doc, tf, positions, dl, idf) of the documents' tokens that occur in a query.
+#: Distinct query tokens up to which they go to every task, counted before.
+VOCABULARY = 500_000
+_ALL = "\0"  # no token: stands for the corpus as a whole
+
 
-    Documents are pruned to the queries' vocabulary before the shuffle;
-    statistics are of the whole corpus.
+def corpus_stats(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(token, df, dl): how many documents have each wanted token; for the token _ALL, how many there are and their tokens in all.  One pass, summed up in the tasks."""
+    each = docs.select(T.tokens(F.col(text)).alias("t"))
+    rows = each.select(F.size("t").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(_ALL)))).alias("token"))
+    kept = wanted.select("token").union(docs.sparkSession.createDataFrame([(_ALL,)], "token string"))
+    return rows.join(F.broadcast(kept), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("token") == _ALL, F.col("dl"))).alias("dl"))
+
+
+def matched(docs: DataFrame, doc: str, text: str, q: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """(query, qi, token, doc, tf, positions, dl, idf, avgdl) of the documents' tokens that occur in a query.
+
+    A first pass takes the statistics of the whole corpus (unless stats has
+    them), a second the queries' tokens in each document.  These are dealt out
+    by document once; all further groups hold that key and stay where they are.
+    Positions that nobody asks for are not gathered.
     """
-    lens = lengths(docs, doc, text)
-    stats = corpus_stats(lens)
-    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
+    vocabulary = q.select("token").distinct()
+    if vocabulary.count() > VOCABULARY:
+        raise ValueError("too many query tokens at once: retrieve for fewer queries, or join written postings")
+    have = {r["token"]: (r["df"], r["dl"]) for r in (corpus_stats(docs, text, vocabulary) if stats is None else stats).collect()}
+    n, total = have.pop(_ALL, (0, 0))
+    spark = docs.sparkSession
+    known = spark.createDataFrame([(t, df) for t, (df, _) in have.items()], "token string, df long")
     rows = docs.select(F.col(doc).alias("doc"), T.tokens(F.col(text)).alias("_t")).select("doc", F.size("_t").alias("dl"), F.posexplode("_t").alias("pos", "token"))
-    wanted = rows.join(q.select("token").distinct(), "token", "left_semi")
-    posted = wanted.groupBy("token", "doc").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.max("dl").alias("dl"))
-    df = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    return q.join(posted, "token").join(df, "token").select("query", "qi", "token", "doc", "tf", "positions", "dl", idf(n, F.col("df")).alias("idf"), avgdl.alias("avgdl"))
+    own = rows.join(F.broadcast(known.select("token")), "token", "left_semi").repartition("doc")
+    posted = own.groupBy("doc", "token").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    weighed = q.join(known, "token").select("query", "qi", "token", idf(F.lit(n), F.col("df")).alias("idf"))
+    return posted.join(F.broadcast(weighed), "token").withColumn("avgdl", F.lit(total / n if n else 0.0))
 
 
 def bm25(hits: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -83,14 +92,26 @@ def top_k(scored: DataFrame, k: int, order: list[Column], by: str | list[str] =
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact inner products of queries (query, qv) with vectors (vec, v): the k best of each query.
+#: Queries up to which their vectors go to every task, counted before.
+DENSE_QUERIES = 100_000
+
+
+def dense(queries: DataFrame, vectors: DataFrame, k: int, *on: str) -> DataFrame:
+    """Exact inner products of queries (query, qv, q_<on>...) with vectors (vec, v, <on>...), rounded to 6 places: the k best of each query among the vectors that are equal in on.
 
-    Queries are few and go to the vectors' tasks; each task keeps k of each
-    query before the shuffle.  A filter on vectors belongs below this.
+    Queries go to the vectors' tasks, in parts if they are many; each task keeps
+    k of each query before the shuffle.  A filter on vectors belongs below this.
     """
-    scored = vectors.join(F.broadcast(queries)).select("query", "vec", N.dot(F.col("qv"), F.col("v")).alias("score"))
-    return top_k(scored, k, [F.desc("score"), F.asc("vec")])
+    n = queries.count()
+    parts = -(-n // DENSE_QUERIES) or 1
+    out = None
+    for part in range(parts):
+        own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part)
+        pairs = vectors.join(F.broadcast(own), [F.col(c) == F.col(f"q_{c}") for c in on]) if on else vectors.crossJoin(F.broadcast(own))
+        scored = pairs.select("query", "vec", *on, F.round(N.dot(F.col("qv"), F.col("v")), 6).alias("score"))
+        best = top_k(scored, k, [F.desc("score"), F.asc("vec")])
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def fuse(lists: DataFrame, k: int, rrf_k: int = 60, weights: DataFrame | None = None) -> DataFrame:

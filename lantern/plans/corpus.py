@@ -28,35 +28,39 @@ def stopword_filter(spark, d):
     return by_doc.groupBy("token").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("docs")).where("docs >= 3")
 
 
-_ARTICLES = [
-    (1, "Intro [1] text.[2][3]\n== Life ==\nBorn  here.\n\n\n\nDied.\n== See also ==\nlist\n== More ==\nx"),
-    (2, "No headings, but [12] cites. "), (3, "== References ==\nall gone"), (4, "A\t\tB\n=== Notes ===\nz"), (5, ""), (6, "Lead one. Lead two!\n== Part ==\nBody? Yes.\n== Empty ==\n\n== Last ==\nEnd."),
-]
-_ART_SQL = "(VALUES " + ", ".join(f"({i}, '" + t.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "')" for i, t in _ARTICLES) + ") AS a(id, text)"
+#: Articles from documents: citations after sentences, a heading where a line breaks, and a tail on every third.
+_ART_SQL = (
+    "(SELECT doc_id, replace(replace(coalesce(text, ''), '. ', '. [' || doc_id % 40 || '] '), chr(10), chr(10) || '== Part ' || source || ' ==' || chr(10))"
+    " || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '=== See also ===' || chr(10) || 'list' || chr(10) || '== More ==' || chr(10) || 'x' ELSE chr(10) || '== Empty ==' || chr(10) || chr(10) || '== Last ==' || chr(10) || 'End.' END AS text FROM documents)"
+)
 
 
-def _articles(spark):
-    return spark.createDataFrame(_ARTICLES, "id int, text string")
+def _articles(spark, d):
+    k, line = F.col("doc_id"), F.lit("\n")
+    cited = F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.concat(F.lit(". ["), k % 40, F.lit("] ")))
+    headed = F.replace(cited, line, F.concat(F.lit("\n== Part "), F.col("source"), F.lit(" ==\n")))
+    tail = F.when(k % 3 == 0, "\n=== See also ===\nlist\n== More ==\nx").otherwise("\n== Empty ==\n\n== Last ==\nEnd.")
+    return table(spark, d, "documents").select("doc_id", F.concat(headed, tail).alias("text"))
 
 
 @query(
-    "SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\[\\d+\\]', '', 'g'),"
-    f" '(?ims)^={{2,}}\\s*(?:{T.TAIL_HEADINGS})\\s*={{2,}}\\s*?$.*\\z', ''), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+\\z', '', 'g') AS cleaned FROM {_ART_SQL}"
+    "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\[\\d+\\]', '', 'g'),"
+    f" '(?ims)^={{2,}}\\s*(?:{T.TAIL_HEADINGS})\\s*={{2,}}\\s*?$.*\\z', ''), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+\\z', '', 'g')) AS cleaned FROM {_ART_SQL}"
 )
 def clean_text(spark, d):
     """X-02: article cleaning."""
-    return _articles(spark).select("id", T.clean_article(F.col("text")).alias("cleaned"))
+    return _articles(spark, d).select("doc_id", F.md5(T.clean_article(F.col("text"))).alias("cleaned"))
 
 
 @query(
-    "WITH m AS (SELECT id, string_split(regexp_replace(text, '(?m)^={2,}[ \\t]*(.+?)[ \\t]*={2,}[ \\t]*$', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p FROM " + _ART_SQL + "),"
-    " e AS (SELECT id, unnest(p) AS part, unnest(range(len(p))) AS i FROM m),"
-    " s AS (SELECT id, i, CASE WHEN i = 0 THEN '' ELSE trim(string_split(part, chr(2))[1]) END AS header, regexp_replace(CASE WHEN i = 0 THEN part ELSE string_split(part, chr(2))[2] END, '^\\s+|\\s+\\z', '', 'g') AS body FROM e)"
-    " SELECT id, header, body FROM s WHERE body <> ''"
+    "WITH m AS (SELECT doc_id, string_split(regexp_replace(text, '(?m)^={2,}[ \\t]*(.+?)[ \\t]*={2,}[ \\t]*$', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p FROM " + _ART_SQL + "),"
+    " e AS (SELECT doc_id, unnest(p) AS part, unnest(range(len(p))) AS i FROM m),"
+    " s AS (SELECT doc_id, i, CASE WHEN i = 0 THEN '' ELSE trim(string_split(part, chr(2))[1]) END AS header, regexp_replace(CASE WHEN i = 0 THEN part ELSE string_split(part, chr(2))[2] END, '^\\s+|\\s+\\z', '', 'g') AS body FROM e)"
+    " SELECT doc_id, header, md5(body) AS body FROM s WHERE body <> ''"
 )
 def section_split(spark, d):
     """X-04: sections by heading lines."""
-    return _articles(spark).select("id", F.explode(T.sections(F.col("text"))).alias("s")).select("id", "s.header", "s.body")
+    return _articles(spark, d).select("doc_id", F.explode(T.sections(F.col("text"))).alias("s")).select("doc_id", "s.header", F.md5("s.body").alias("body"))
 
 
 @query(
@@ -68,34 +72,41 @@ def sentence_words(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("sentences"), T.word_count(F.col("text")).cast("bigint").alias("words"))
 
 
-_DATES = [
-    "News of 2026-05-17 today", "on 2026.05.06", "on 2026/5/6.", "spoken 2026.0518 here", "On 17 May 2026, x", "16th Sept. 2025", "May 17, 2026", "none", "2026-13-45 then 3 June 2024", "31 Foo 2020", "Feb 30, 2021",
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {x})" for i, x in enumerate(["DATE '2026-05-17'", "DATE '2026-05-06'", "DATE '2026-05-06'", "DATE '2026-05-18'", "DATE '2026-05-17'", "DATE '2025-09-16'", "DATE '2026-05-17'", "NULL", "DATE '2024-06-03'", "NULL", "NULL"])) + ") AS t(id, day)")
+@query("SELECT event_id, CASE WHEN event_id % 9 < 7 THEN CAST(ts AS DATE) END AS day FROM events")
 def question_date(spark, d):
-    """D-01: dates that questions state."""
-    return spark.createDataFrame(list(enumerate(_DATES)), "id int, q string").select("id", T.question_date(F.col("q")).alias("day"))
-
+    """D-01: dates that questions state, in each form; what is no date is passed over."""
+    k, ts = F.col("event_id"), F.col("ts")
+    day = lambda p: F.date_format(ts, p)
+    forms = [
+        F.concat(F.lit("News of "), day("yyyy-MM-dd"), F.lit(" today")), F.concat(F.lit("on "), day("yyyy.MM.dd")), F.concat(F.lit("on "), day("yyyy/M/d"), F.lit(".")), F.concat(F.lit("spoken "), day("yyyy.MMdd"), F.lit(" here")),
+        F.concat(F.lit("On "), day("d MMMM yyyy"), F.lit(", x")), F.concat(day("MMM d"), F.lit("th, "), day("yyyy")), F.concat(F.lit("2026-13-45 then "), day("dd"), F.lit("st "), day("MMM"), F.lit(". "), day("yyyy")),
+        F.concat(F.lit("31 Foo "), day("yyyy")), F.concat(F.lit("Feb 30, "), day("yyyy")),
+    ]
+    said = F.lit("none")
+    for i, form in enumerate(forms):
+        said = F.when(k % 9 == i, form).otherwise(said)
+    return table(spark, d, "events").select("event_id", T.question_date(said).alias("day"))
 
-_PHRASES = [
-    ('Who wrote "On the Waterfront" about Roman Empire?', ["Carl Rogers", "x"]), ("What describes the bystander effect in 'group life'?", []), ("which of Washington It did Pink Floyd of the Moon", ["The Beatles"]), (None, None),
-]
 
-
-@query("""SELECT * FROM (VALUES (0, ['On the Waterfront', 'Roman Empire', 'Carl Rogers']), (1, ['group life', 'bystander effect']), (2, ['Pink Floyd', 'Moon The Beatles']), (3, CAST([] AS VARCHAR[]))) AS t(id, phrases)""")
+@query(
+    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Waterfront ' || doc_id || '|Roman Empire' || doc_id || '|Carl X' || upper(lang) WHEN 1 THEN 'group life ' || lang || '|bystander effect' WHEN 2 THEN 'Pink Floyd|Moon The Beatles' ELSE '' END AS phrases FROM documents"
+)
 def phrase_extract(spark, d):
-    """X-13: candidate titles of questions."""
-    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(_PHRASES)], "id int, q string, o array<string>")
-    return rows.select("id", T.candidate_phrases(F.col("q"), F.col("o")).alias("phrases"))
+    """X-13: candidate titles of questions: quoted, capitalised, and concepts."""
+    k, lang = F.col("doc_id").cast("string"), F.col("lang")
+    q = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit('Who wrote "Waterfront '), k, F.lit('" about Roman Empire'), k, F.lit("?"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("What describes the bystander effect in 'group life "), lang, F.lit("'?")))
+    q = q.when(F.col("doc_id") % 4 == 2, "which of Washington It did Pink Floyd of the Moon")
+    o = F.when(F.col("doc_id") % 4 == 0, F.array(F.concat(F.lit("Carl X"), F.upper(lang)), F.lit("x"))).when(F.col("doc_id") % 4 == 2, F.array(F.lit("The Beatles")))
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.candidate_phrases(q, o), "|").alias("phrases"))
 
 
-@query("SELECT * FROM (VALUES (0, 'budget vote in Parliament'), (1, 'the sports day'), (2, 'plain question')) AS t(id, q)")
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'budget ' || event_type || ' in Parliament' WHEN 1 THEN 'the ' || event_type || ' day' ELSE 'plain ' || event_type END AS q FROM events")
 def news_query(spark, d):
     """D-02: questions without dates and lead-ins."""
-    rows = [(0, "According to the article published on 2026-05-17, budget vote in Parliament"), (1, "On 17 May 2026 the sports day".replace("On ", "")), (2, " plain question ")]
-    return spark.createDataFrame(rows, "id int, q string").select("id", T.news_query(F.col("q")).alias("q"))
+    k, kind, ts = F.col("event_id"), F.col("event_type"), F.col("ts")
+    q = F.when(k % 3 == 0, F.concat(F.lit("According to the article published on "), F.date_format(ts, "yyyy-MM-dd"), F.lit(", budget "), kind, F.lit(" in Parliament")))
+    q = q.when(k % 3 == 1, F.concat(F.date_format(ts, "d MMMM yyyy"), F.lit(" the "), kind, F.lit(" day"))).otherwise(F.concat(F.lit(" plain "), kind, F.lit(" ")))
+    return table(spark, d, "events").select("event_id", T.news_query(q).alias("q"))
 
 
 @query("SELECT doc_id, source, lang, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
@@ -148,28 +159,38 @@ def tail_merge(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(C.merge_short(lines, 20)).alias("chunk_id", "t")).select("doc_id", "chunk_id", F.md5("t").alias("digest"))
 
 
-@query("SELECT doc_id, source || ': ' || left(text, 40) AS plain, source || ' (also known as: ' || lang || '; x) — S: ' || left(text, 40) AS full FROM documents".replace("AS full", "AS rich"))
+@query(
+    "SELECT doc_id, md5(CASE WHEN doc_id % 9 = 0 THEN '' ELSE source || ': ' END || text) AS plain, md5(source || ' (also known as: ' || lang || '; x) — S: ' || text) AS rich, md5(CASE WHEN doc_id % 9 = 0 THEN '' ELSE source || ' — S: ' END || text) AS part FROM documents"
+)
 def embedding_projection(spark, d):
-    """F-14, F-15: the text that is embedded."""
-    head = F.substring("text", 1, 40)
-    none = F.lit(None).cast("array<string>")
-    return table(spark, d, "documents").select("doc_id", C.embedding_text(F.col("source"), none, F.lit(None).cast("string"), head).alias("plain"), C.embedding_text(F.col("source"), F.array("lang", F.lit("x")), F.lit("S"), head).alias("rich"))
-
+    """F-14, F-15: the text that is embedded, of whole texts; without a source just the text."""
+    none, no_text = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
+    source = F.when(F.col("doc_id") % 18 == 0, " ").when(F.col("doc_id") % 9 != 0, F.col("source"))
+    made = {"plain": C.embedding_text(source, none, no_text, F.col("text")), "rich": C.embedding_text(F.col("source"), F.array("lang", F.lit("x")), F.lit("S"), F.col("text")), "part": C.embedding_text(source, none, F.lit("S"), F.col("text"))}
+    return table(spark, d, "documents").select("doc_id", *[F.md5(text).alias(name) for name, text in made.items()])
 
-_EDGES = [("root", "a"), ("root", "b"), ("a", "c"), ("b", "c"), ("c", "root"), ("c", "d"), ("d", "e"), ("x", "y")]
 
-
-@query("WITH RECURSIVE e(parent, child) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _EDGES) + "), r(node, depth) AS (SELECT 'root', 0 UNION SELECT e.child, r.depth + 1 FROM r JOIN e ON e.parent = r.node WHERE r.depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY node")
+@query(
+    "WITH RECURSIVE e(parent, child) AS (SELECT CASE WHEN doc_id % 7 = 0 THEN lang ELSE 'n' || doc_id // 3 END, 'n' || doc_id FROM documents UNION SELECT 'n' || doc_id, source FROM documents WHERE doc_id % 5 = 0 UNION SELECT source, lang FROM documents),"
+    " r(node, depth) AS (SELECT 'en', 0 UNION SELECT e.child, r.depth + 1 FROM r JOIN e ON e.parent = r.node WHERE r.depth < 4) SELECT node, min(depth) AS depth FROM r GROUP BY node"
+)
 def category_closure(spark, d):
-    """S-21: what a bounded walk of the category graph reaches."""
-    return C.closure(spark.createDataFrame(_EDGES, "parent string, child string"), ["root"], 3)
+    """S-21: what a bounded walk of a graph of languages, sources and documents, with cycles, reaches."""
+    docs, name = table(spark, d, "documents"), lambda k: F.concat(F.lit("n"), k.cast("string"))
+    k = F.col("doc_id")
+    edges = docs.select(F.when(k % 7 == 0, F.col("lang")).otherwise(name(F.floor(k / 3))).alias("parent"), name(k).alias("child"))
+    edges = edges.union(docs.where(k % 5 == 0).select(name(k), "source")).union(docs.select("source", "lang")).distinct()
+    return C.closure(edges, ["en"], 4)
 
 
-@query("SELECT title, resolved FROM (VALUES ('a b', 'AB (disambiguated)'), ('C', 'C'), ('d', 'D'), ('Old', 'New')) AS t(title, resolved)")
+@query("SELECT DISTINCT source || '/' || lang AS title, CASE WHEN lang = 'fr' THEN upper(source) || ' (page)' WHEN lang = 'de' THEN upper(source) WHEN lang = 'es' THEN source || '/moved' ELSE source || '/' || lang END AS resolved FROM documents")
 def title_resolution(spark, d):
-    """J-13: titles through normalisation and redirects."""
-    titles = spark.createDataFrame([("a b",), ("C",), ("d",), ("Old",)], "title string")
-    return C.resolve_titles(titles, spark.createDataFrame([("a b", "A b"), ("d", "D")], "from string, to string"), spark.createDataFrame([("A b", "AB (disambiguated)"), ("Old", "New")], "from string, to string"))
+    """J-13: titles through a normalisation and a redirect, either alone, and neither."""
+    titles = table(spark, d, "documents").select("source", "lang", F.concat_ws("/", "source", "lang").alias("title")).distinct()
+    normal = titles.where("lang in ('fr', 'de')").select(F.col("title").alias("from"), F.when(F.col("lang") == "de", F.upper("source")).otherwise(F.concat(F.upper("source"), F.lit("/f"))).alias("to"))
+    moved = titles.where("lang = 'es'").select(F.col("title").alias("from"), F.concat("source", F.lit("/moved")).alias("to"))
+    moved = moved.union(titles.where("lang = 'fr'").select(F.concat(F.upper("source"), F.lit("/f")), F.concat(F.upper("source"), F.lit(" (page)"))))
+    return C.resolve_titles(titles.select("title"), normal, moved)
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN regexp_extract(left(text, 201), '(?s)\\A(.{0,199}[.!?])(?:\\s|\\z)', 1) <> '' THEN regexp_extract(left(text, 201), '(?s)\\A(.{0,199}[.!?])(?:\\s|\\z)', 1) WHEN regexp_extract(left(text, 200), '(?s)\\A(.+) ', 1) <> '' THEN regexp_extract(left(text, 200), '(?s)\\A(.+) ', 1) ELSE left(text, 200) END AS snippet FROM documents")

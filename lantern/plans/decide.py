@@ -106,32 +106,42 @@ def priority_fallback(spark, d):
     return top_by_priority(hits, "question_text", "priority").select("question_text", "source")
 
 
-_OUTPUTS = [
-    (0, r"so \boxed{b} or A", 1), (1, "Answer: (C)", 2), (2, "the final answer is D", 3), (3, "I pick option a.", 0), (4, "Let A be x.\nB) no", 1), (5, "Let A be the area, so C", 2), (6, "nothing", None), (7, "", None), (8, None, None), (9, "A then D", 3),
-]
+_LETTERS = "['A', 'B', 'C', 'D']"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, CAST({'NULL' if a is None else a} AS BIGINT))" for i, _, a in _OUTPUTS) + ") t(id, answer)")
+@query("SELECT event_id, CAST(CASE WHEN event_id % 9 < 7 THEN event_id % 4 END AS BIGINT) AS answer FROM events")
 def parse_answer(spark, d):
-    """X-10: the letter a model's output settles on."""
-    return spark.createDataFrame([(i, s) for i, s, _ in _OUTPUTS], "id int, s string").select("id", T.parse_answer(F.col("s")).alias("answer"))
-
-
-_RAW = [
-    (0, "<think>hm</think>\nJulius Caesar", "Julius Caesar"), (1, "<think>cut off", "Q"), (2, "Thinking Process:\nTitle: \"Roman Empire\"", "Roman Empire"), (3, "Okay, the user wants\n**Pi**", "Pi"), (4, "one two three four five six seven", "Q"), (5, None, "Q"),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, _, t in _RAW) + ") t(id, title)")
+    """X-10: the letter a model's output settles on, by each pattern and by the last bare letter."""
+    n = F.col("event_id")
+    right, other = (F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), ((n + k) % 4 + 1).cast("int")) for k in (0, 1))
+    forms = [
+        F.concat(F.lit("so \\boxed{"), F.lower(right), F.lit("} or "), other), F.concat(F.lit("Answer: ("), right, F.lit(") and not "), other), F.concat(F.lit("the final answer is "), right), F.concat(F.lit("I pick option "), F.lower(right), F.lit(".")),
+        F.concat(F.lit("Let "), other, F.lit(" be x.\n"), right, F.lit(") no")), F.concat(F.lit("Let "), other, F.lit(" be the area, so "), right), F.concat(other, F.lit(" then "), right), F.lit("nothing"), F.lit(None).cast("string"),
+    ]
+    said = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        said = F.when(n % 9 == i, form).otherwise(said)
+    return table(spark, d, "events").select("event_id", T.parse_answer(said).alias("answer"))
+
+
+@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Title ' || doc_id WHEN 2 THEN 'Empire of ' || lang WHEN 3 THEN source ELSE 'Q' || doc_id END AS title FROM documents")
 def distill_title(spark, d):
-    """X-09: a title from a model's output."""
-    return spark.createDataFrame([(i, s) for i, s, _ in _RAW], "id int, s string").select("id", T.distill_title(F.col("s"), F.lit("Q")).alias("title"))
-
-
-@query("SELECT event_id, CAST(power(7, 1) AS BIGINT) AS seven, CAST(m AS BIGINT) AS remainder, n * (n + 1) * (2 * n + 1) // 6 AS squares, 1440 // lcm(a, b) AS meetings, greatest(0, a + b - 30) AS both_sets, round(n * n / 2.0, 6) AS area FROM (SELECT event_id, event_id % 20 + 1 AS n, event_id % 13 + 2 AS a, event_id % 7 + 3 AS b, [1, 3, 2, 6, 4, 5][event_id % 6 + 1] AS m FROM events WHERE event_id < 500)".replace("CAST(power(7, 1) AS BIGINT) AS seven, ", ""))
+    """X-09: a title from a model's output, or else the question."""
+    k, lang, source = F.col("doc_id").cast("string"), F.col("lang"), F.col("source")
+    forms = [
+        F.concat(F.lit("<think>hm "), lang, F.lit("</think>\nTitle "), k), F.concat(F.lit("<think>cut off in "), source), F.concat(F.lit('Thinking Process:\nTitle: "Empire of '), lang, F.lit('"')), F.concat(F.lit("Okay, the user wants\n**"), source, F.lit("**")),
+        F.concat(F.lit("one two three four five six "), lang), F.lit(None).cast("string"),
+    ]
+    raw = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        raw = F.when(F.col("doc_id") % 6 == i, form).otherwise(raw)
+    return table(spark, d, "documents").select("doc_id", T.distill_title(raw, F.concat(F.lit("Q"), k)).alias("title"))
+
+
+@query("SELECT event_id, CAST(m AS BIGINT) AS remainder, n * (n + 1) * (2 * n + 1) // 6 AS squares, 1440 // lcm(a, b) AS meetings, greatest(0, a + b - 30) AS both_sets, round(n * n / 2.0, 6) AS area FROM (SELECT event_id, event_id % 20 + 1 AS n, event_id % 13 + 2 AS a, event_id % 7 + 3 AS b, [1, 3, 2, 6, 4, 5][event_id % 6 + 1] AS m FROM events)")
 def closed_form_maths(spark, d):
     """§2.8.1, rows 8, 11, 13, 14, 20: remainders, sums of squares, coincidences, set sizes, areas."""
-    e = table(spark, d, "events").where("event_id < 500").select("event_id", (F.col("event_id") % 20 + 1).alias("n"), (F.col("event_id") % 13 + 2).alias("a"), (F.col("event_id") % 7 + 3).alias("b"))
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") % 20 + 1).alias("n"), (F.col("event_id") % 13 + 2).alias("a"), (F.col("event_id") % 7 + 3).alias("b"))
     n, a, b = F.col("n"), F.col("a"), F.col("b")
     return e.select(
         "event_id", N.mod_power(F.lit(3).cast("bigint"), F.col("event_id") % 6, F.lit(7).cast("bigint")).alias("remainder"), (n * (n + 1) * (2 * n + 1) / 6).cast("bigint").alias("squares"), F.floor(F.lit(1440) / N.lcm(a, b)).cast("bigint").alias("meetings"),
@@ -139,12 +149,25 @@ def closed_form_maths(spark, d):
     )
 
 
-@query("SELECT * FROM (VALUES (0, CAST(14.0 AS DOUBLE), CAST(2 AS BIGINT)), (1, NULL, NULL), (2, 0.5, 0), (3, 120.0, 3)) t(id, value, choice)")
+@query(
+    "WITH e AS (SELECT event_id, event_id % 7 + 2 AS a, event_id % 5 + 3 AS b, event_id % 11 + 1 AS c FROM events),"
+    " v AS (SELECT *, CAST(CASE event_id % 4 WHEN 0 THEN a + b * c WHEN 1 THEN NULL WHEN 2 THEN a WHEN 3 THEN factorial(CAST(b AS INTEGER)) END AS DOUBLE) AS value FROM e)"
+    " SELECT event_id, value, CAST(CASE WHEN value IS NOT NULL AND c <> 4 THEN event_id % 3 END AS BIGINT) AS choice FROM v"
+)
 def arithmetic_tools(spark, d):
-    """M-06, M-08: expressions that differ by row are evaluated from their syntax tree, and matched with options."""
-    rows = [(0, "2 + 3 * 4", ["12", "20", "$14", "x"]), (1, "__import__('os')", ["1", "2", "3", "4"]), (2, "sqrt(0.25)", ["0.5", "1", "2", "3"]), (3, "factorial(5)", ["1", "60 km", "119", "120 km"])]
-    value = N.arithmetic(F.col("x")).alias("value")
-    return spark.createDataFrame(rows, "id int, x string, options array<string>").select("id", "options", value).select("id", "value", N.match_option(F.col("value"), F.col("options")).alias("choice"))
+    """M-06, M-08: expressions that differ by row are evaluated from their syntax tree, and matched with options; two numbers among four options are too few."""
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") % 7 + 2).alias("a"), (F.col("event_id") % 5 + 3).alias("b"), (F.col("event_id") % 11 + 1).alias("c"))
+    k = F.col("event_id")
+    said = F.when(k % 4 == 0, F.format_string("%d + %d * %d", "a", "b", "c")).when(k % 4 == 1, "__import__('os')").when(k % 4 == 2, F.format_string("sqrt(%d)", F.expr("a * a"))).otherwise(F.format_string("factorial(%d)", "b"))
+    value = e.withColumn("value", N.arithmetic(said))
+    shown = F.format_number(F.coalesce("value", F.lit(0.0)), 0)
+    few = F.col("c") == 4
+    own = [F.concat(F.lit("€"), shown), F.concat(shown, F.lit(" km.")), F.concat(shown, F.lit("."))]
+    others = [F.when(few, "none").otherwise("-1"), F.when(few, "both").otherwise("-2e0"), F.lit("x")]
+    options = F.lit(None).cast("array<string>")
+    for i in range(3):
+        options = F.when(k % 3 == i, F.array(*[own[i] if j == i else others[(j - i) % 3 - 1] for j in range(3)], others[2])).otherwise(options)
+    return value.select("event_id", "value", N.match_option(F.col("value"), options).cast("bigint").alias("choice"))
 
 
 @query(LOG + ", b AS (SELECT DISTINCT 2 + event_id % 9 AS n, 1 + event_id % 3 AS k, (1 + event_id % 4) / 5.0 AS p FROM runlog) SELECT CAST(n AS INTEGER) AS n, CAST(k AS INTEGER) AS k, CAST(p AS DOUBLE) AS p, (SELECT round(sum(factorial(CAST(n AS INTEGER)) / (factorial(CAST(i AS INTEGER)) * factorial(CAST(n - i AS INTEGER))) * power(p, i) * power(1 - p, n - i)), 9) FROM range(k, n + 1) r(i)) AS tail FROM b")

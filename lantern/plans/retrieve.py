@@ -73,22 +73,17 @@ def _vectors(spark, d):
     return v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"), F.col("label").alias("q_label")), v.select(F.col("vec_id").alias("vec"), F.col("embedding").alias("v"), "label")
 
 
-def _dense(spark, d, same_label, k):
-    q, v = _vectors(spark, d)
-    scored = v.join(F.broadcast(q)) if not same_label else v.join(F.broadcast(q), F.col("label") == F.col("q_label"))
-    return R.top_k(scored.select("query", "vec", "label", F.round(N.dot(F.col("qv"), F.col("v")), 6).alias("score")), k, [F.desc("score"), F.asc("vec")])
-
-
 @query("WITH " + _DENSE.format("") + ", r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec) AS rank FROM v) SELECT query, vec, label, score, rank FROM r WHERE rank <= 10")
 def dense_topk(spark, d):
     """R-14, J-06, M-01: exact nearest vectors of every fiftieth."""
-    return _dense(spark, d, False, 10)
+    q, v = _vectors(spark, d)
+    return R.dense(q, v, 10).join(v.select("vec", "label"), "vec").select("query", "vec", "label", "score", "rank")
 
 
 @query("WITH " + _DENSE.format("AND a.label = b.label") + ", r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec) AS rank FROM v) SELECT query, vec, label, score, rank FROM r WHERE rank <= 10")
 def dense_topk_category(spark, d):
     """F-09, O-2: the same within the query's label; the filter is below the top k."""
-    return _dense(spark, d, True, 10)
+    return R.dense(*_vectors(spark, d), 10, "label").select("query", "vec", "label", "score", "rank")
 
 
 _LISTS = (
@@ -145,14 +140,28 @@ def rerank_topk(spark, d):
 _GOLD = ", gold AS (SELECT i.item_id AS query, min(d.doc_id) AS gold FROM benchmark i JOIN documents d ON contains(d.text, i.text) GROUP BY i.item_id), fd AS (SELECT g.query, b.rank AS found_at FROM gold g LEFT JOIN b ON b.query = g.query AND b.doc = g.gold AND b.rank <= 20)"
 
 
+#: Items up to which all of them, or those too short for windows, go to every task, counted before.
+_ITEMS = 20_000
+
+
 def _gold(spark, d):
-    """(query, gold): the first document that contains the item, by its windows of five tokens rather than every pair of texts."""
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    head = items.select(F.col("item_id").alias("query"), F.col("text").alias("item"), F.slice(T.tokens(F.col("text"), False), 2, 4).alias("k")).where("size(k) = 4")
-    tokens = docs.select("doc_id", "text", T.tokens(F.col("text"), False).alias("t"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - 3)), lambda i: F.xxhash64(F.slice("t", i, F.lit(4)))))
-    rows = tokens.select("doc_id", F.explode(grams).alias("h")).join(F.broadcast(head.select(F.xxhash64("k").alias("h"), "query", "item")), "h").select("doc_id", "query", "item").distinct()
-    return rows.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("item"))).groupBy("query").agg(F.min("doc_id").alias("gold"))
+    """(query, gold): the first document that contains the item.
+
+    A document is compared with the items that share four inner tokens with it;
+    items of under six tokens have no such window and are looked for as they are.
+    """
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").where("text is not null").select(F.col("item_id").alias("query"), F.col("text").alias("item"))
+    if items.count() > _ITEMS:
+        raise ValueError("too many items at once")
+    own = items.withColumn("t", T.tokens(F.col("item"), False))
+    head = own.where(F.size("t") > 5).select("query", "item", F.xxhash64(F.slice("t", 2, 4)).alias("h"))
+    wanted = F.array(*[F.lit(r[0]) for r in head.select("h").distinct().collect()]).cast("array<bigint>")
+    tokens = docs.select("doc_id", "text", T.tokens(F.col("text"), False).alias("t")).where(F.size("t") > 3)
+    grams = F.transform(F.sequence(F.lit(1), F.size("t") - 3), lambda i: F.xxhash64(F.slice("t", i, F.lit(4))))
+    met = tokens.select("doc_id", "text", F.explode(F.array_intersect(grams, wanted)).alias("h")).join(F.broadcast(head), "h")
+    short = docs.select("doc_id", "text").join(F.broadcast(own.where(F.size("t") <= 5).select("query", "item")), F.col("text").contains(F.col("item")))
+    found = met.where(F.col("text").contains(F.col("item"))).select("query", "doc_id").union(short.select("query", "doc_id"))
+    return found.groupBy("query").agg(F.min("doc_id").alias("gold"))
 
 
 def _found(spark, d):
@@ -195,14 +204,14 @@ def recall_chunk_rank(spark, d):
 
 
 @query(
-    _HITS + _TOP + ", z AS (SELECT b.query, b.doc, b.rank, length('[' || rank || '] ' || source || chr(10) || left(text, 300)) AS n FROM b JOIN documents d ON d.doc_id = b.doc WHERE rank <= 10),"
-    " y AS (SELECT *, sum(n) OVER (PARTITION BY query ORDER BY rank) AS used FROM z) SELECT query, doc, rank, CAST(used AS BIGINT) AS used FROM y WHERE used <= 1200"
+    _HITS + _TOP + ", z AS (SELECT b.query, b.doc, b.rank, length('[' || rank || '] ' || source || chr(10) || left(text, 800)) AS n FROM b JOIN documents d ON d.doc_id = b.doc WHERE rank <= 10),"
+    " y AS (SELECT *, sum(n) OVER (PARTITION BY query ORDER BY rank) AS used FROM z) SELECT query, doc, rank, CAST(used AS BIGINT) AS used FROM y WHERE used <= 2400"
 )
 def context_budget(spark, d):
-    """W-13, X-08: passages until the first that would exceed 1,200 characters."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source", F.substring("text", 1, 300).alias("head"))
+    """W-13, X-08: passages until the first that would exceed 2,400 characters; each has at most 800 of its text."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source", F.substring("text", 1, 800).alias("head"))
     entry = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "source", F.lit("\n"), "head")
-    return R.context_budget(_bm25(spark, d, 10).join(docs, "doc").withColumn("entry", entry), 1200).select("query", "doc", "rank", "used")
+    return R.context_budget(_bm25(spark, d, 10).join(docs, "doc").withColumn("entry", entry), 2400).select("query", "doc", "rank", "used")
 
 
 @query("SELECT item_id AS question_id, i AS list_id, CASE WHEN i = 0 THEN text ELSE text || ' ' || ['alpha', 'beta'][i] END AS text FROM benchmark, (VALUES (0), (1), (2)) AS t(i)")

@@ -1,99 +1,173 @@
-"""Queries of the tools, prompts and the composed retrieval; expected values of inline rows are stated in SQL."""
+"""Queries of the tools, prompts and the composed retrieval.  Questions are made from rows of the tables; SQL computes their answers from the same rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import closed as C
 from ..functions import numbers as N
 from ..functions import prompts as P
 from ..functions import text as T
 from ..functions import tools as X
 from ..operators import rag
+from ..operators import retrieve as R
 from ..operators.corpus import with_prefix
 from .common import LOG, query, runlog, table
-from .retrieve import _FUSED, _LISTS, _lists
-
-
-def _values(rows, names):
-    def lit(v):
-        if v is None:
-            return "NULL"
-        if isinstance(v, bool):
-            return str(v).upper()
-        if isinstance(v, float):
-            return f"CAST({v!r} AS DOUBLE)"
-        return str(v) if isinstance(v, int) else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") AS t({names})"
-
-
-_FORMS = [
-    (0, "What is the remainder when 7^100 is divided by 13?", 9.0), (1, "Evaluate \\binom{10}{3}", 120.0), (2, "\\log_{2} 8", 3.0), (3, "\\sum_{i=3}^{10} i^2", 380.0),
-    (4, "One bus every 12 minutes, another every 18 minutes: how often in 24 hours?", 40.0), (5, "Lights blink every 4, 6 and 10 seconds. In 3 minutes how often together?", 4.0),
-    (6, "Of 30 students, 18 students play chess, 15 play cards and 4 play neither", None), (7, "Two circles have radii 3 and 4. What is the ratio of their areas?", 0.5625), (8, "How many ways can five books be arranged?", 120.0),
-    (9, "Opposite vertices of a square are (1, 2) and (5, 5). Area?", 12.5), (10, "It was 100 in 1990 and 200 in 2000. What was it in 1995?", 150.0), (11, "h(5x - 3) = 2x + 9, for which x is h(x) = x?", 17.0), (12, "0.1\\overline{6}", 1 / 6), (13, "Who painted it?", None),
-    (14, "three people are chosen from a group of 7", 35.0),
+from .corpus import KEPT
+from .retrieve import _FUSED, _HITS
+
+
+#: Parameters of the questions that are made from events.
+_E = "SELECT event_id, event_id % 23 AS r, event_id % 7 + 2 AS a, event_id % 5 + 3 AS b, event_id % 11 + 1 AS c FROM events"
+_LCM = "({0} // gcd({0}, {1}) * {1})"
+_THREE = "lcm(lcm(a, b), c)"
+
+
+def _events(spark, d, kinds):
+    e = table(spark, d, "events").select("event_id")
+    return e.select("event_id", (F.col("event_id") % kinds).alias("r"), (F.col("event_id") % 7 + 2).alias("a"), (F.col("event_id") % 5 + 3).alias("b"), (F.col("event_id") % 11 + 1).alias("c"))
+
+
+def _said(forms):
+    """The text of form r: a printf format and its arguments, columns or expressions."""
+    out = F.lit(None).cast("string")
+    for i, (text, *args) in enumerate(forms):
+        out = F.when(F.col("r") == i, F.format_string(text, *[F.expr(x) for x in args])).otherwise(out)
+    return out
+
+
+# By r: wording, arguments, the rule that answers it, and SQL of both parts of the answer.
+_SYMBOLIC = [
+    (("What is the remainder when $%d^{%d}+%d$ is divided by $7$?", "a", "b", "c"), 8, "(CAST(power(a, b) AS BIGINT) + c) % 7", "NULL"),
+    (("Compute $\\dbinom{%d}{%d}$.", "a + b", "b"), 4, "factorial(CAST(a + b AS INTEGER)) / (factorial(CAST(a AS INTEGER)) * factorial(CAST(b AS INTEGER)))", "0"),
+    (("What is \\log_%d %d", "a", "cast(pow(a, b) as bigint)"), 10, "b", "NULL"),
+    (("What is the value of %d^2 + %d^2 + ... + %d^2?", "a", "a + 1", "a + b"), 11, "(SELECT sum(i * i) FROM range(a, a + b + 1) t(i))", "NULL"),
+    (("One bus leaves every %d minutes, another every %d minutes. How many times do they leave together?", "a", "b"), 13, "1440 // lcm(a, b)", "NULL"),
+    (("Red blinks every %d seconds, blue every %d seconds and green every %d seconds. How often together in a %d-minute show?", "a", "b", "c", "c"), 7, f"c * 60 // {_THREE} + 1", "NULL"),
+    (("A shop has %d boxes; %d contain pens, %d contain ink and %d contain neither.", "a + b + c", "a + b", "b + c", "a"), 14, "a + b + b + c - (b + c)", "NULL"),
+    (("A correlation of 0.%d is how many times a correlation of 0.%d?", "a", "b"), 15, "power(CAST(a AS DOUBLE) / b, 2)", "NULL"),
+    (("In how many ways can %d different books be arranged on a shelf?", "a"), 17, "factorial(CAST(a AS INTEGER))", "NULL"),
+    (("Points (%d, %d) and (%d, %d) are opposite vertices of a square. What is the area?", "a", "b", "b + 1", "c"), 20, "((a - b - 1) * (a - b - 1) + (b - c) * (b - c)) / 2.0", "NULL"),
+    (("In 1990 there were %d cases and in 2000 there were %d cases. How many in 199%d?", "a * 100", "c * 100", "b"), 21, "a * 100 + (c - a) * 100 * b / 10.0", "NULL"),
+    (("Let h(%dx - 1) = %dx + %d. For what value of x is h(x) = x?", "a + 9", "b", "c"), 6, "(c * (a + 9) + b) / CAST(a + 9 - b AS DOUBLE)", "NULL"),
+    (("What is the reciprocal of 0.%d\\overline{%d}?", "b", "a"), 1, "90.0 / (b * 10 + a - b)", "NULL"),
+    (("How many combinations of %d from %d are there?", "b", "a + b"), 16, "factorial(CAST(a + b AS INTEGER)) / (factorial(CAST(a AS INTEGER)) * factorial(CAST(b AS INTEGER)))", "NULL"),
+    (("The equation x^2 - %dx + %d = 0 has which positive difference of solutions?", "2 * a + b", "a * (a + b)"), 12, "b", "0"),
+    (("If %dx + %d = %d, then x = ?", "a", "b", "b + a * c"), 18, "c", "0"),
+    (("What is the maximum value of $-x^2+%dx+%d$?", "a", "c"), 19, "a * a / 4.0 + c", "0"),
+    (("What is the range of y = %d + %d*sin(pi - x)?", "a", "b"), 3, "a - b", "a + b"),
+    (("2x + 3y = %d and 1x - 1y = %d, what is x + y?", "2 * a + 3 * b", "a - b"), 2, "a + b", "NULL"),
+    (("Find the equation of the line tangent to y = %dx^2 at x = %d.", "a", "b"), 5, "2 * a * b", "-a * b * b"),
+    (("(i + %d)(%d - %di) =", "a", "b", "c"), 22, "a * b + c", "b - a * c"),
+    (("Evaluate $\\frac{%d}{%d}+%d\\cdot 2$", "a", "b", "c"), 4, "CAST(a AS DOUBLE) / b + 2 * c", "0"),
+    (("It is $%d^{2}-%d$ in all.", "a", "b"), 23, "a * a - b", "0"),
 ]
+_BY_R = lambda i, kind: "CASE r " + " ".join(f"WHEN {r} THEN CAST({f[i]} AS {kind})" for r, f in enumerate(_SYMBOLIC)) + " END"
 
 
-@query(_values([(i, None if v is None else round(v, 9)) for i, _, v in _FORMS if i != 6] + [(6, 7.0)], "id, value"))
+@query(f"WITH e AS ({_E}) SELECT event_id, {_BY_R(1, 'INTEGER')} AS rule, round({_BY_R(2, 'DOUBLE')}, 6) AS value, round({_BY_R(3, 'DOUBLE')}, 6) AS other FROM e")
 def symbolic_rules(spark, d):
-    """M-11, §2.8.1 rows 1, 6-11, 13-17, 20, 21: closed forms by pattern."""
-    return spark.createDataFrame([(i, q) for i, q, _ in _FORMS], "id int, q string").select("id", F.round(X.closed_form(F.col("q")), 9).alias("value"))
+    """M-11, §2.8.1 rows 1 to 23: a question in each rule's wording, the rule that answers it and its answer."""
+    asked = _events(spark, d, len(_SYMBOLIC)).withColumn("q", _said([f[0] for f in _SYMBOLIC]))
+    return asked.select("event_id", C.closed_form(F.col("q")).alias("s")).select("event_id", "s.rule", F.round("s.a", 6).alias("value"), F.round("s.b", 6).alias("other"))
+
+
+# By r: wording, arguments, and options with the right one first.
+_CHOICES = [
+    (("What is the remainder when %d^%d is divided by 13?", "a", "b"), ["pmod(cast(pow(a, b) as bigint), 13)", "13", "14", "15"], "%d"),
+    (("What is 0.%d\\overline{%d}?", "b", "a"), ["b * 10 + a - b", "1", "2", "3"], "\\frac{%d}{90}"),
+    (("What is the range of y = %d - %d*cos(x)?", "a", "b"), ["a", "a + 1", "a + 2", "a + 3"], None),
+    (("The line tangent to y = %dx^2 at x = %d is", "a", "b"), ["2 * a * b", "2 * a * b + 1", "2 * a * b + 2", "2 * a * b + 3"], "y = %dx"),
+    (("(%d + 2i)(1 - i) =", "a"), ["a + 2", "a + 3", "a + 4", "a + 5"], "%d + 5i"),
+    (("Nothing to solve in %d", "a"), ["a", "b", "c", "r"], "%d"),
+]
 
 
-@query(_values([(0, 2.0, 1.0), (1, 1.5, -0.5), (2, None, None)], "id, x, y"))
+@query("SELECT event_id, CASE WHEN event_id % 6 = 5 THEN NULL ELSE event_id % 4 END AS choice FROM events")
+def matched_options(spark, d):
+    """M-12: numbers, fractions, ranges, lines and complex numbers among options, the right one at event_id % 4."""
+    asked = _events(spark, d, len(_CHOICES)).withColumn("q", _said([f[0] for f in _CHOICES]))
+    options = F.lit(None).cast("array<string>")
+    for i, (_, values, form) in enumerate(_CHOICES):
+        if form is None:
+            each = [F.format_string("%d <= y <= %d", F.expr(f"{v} - b"), F.expr("a + b")) for v in values]
+        elif i == 3:
+            each = [F.format_string("y = %dx - %d", F.expr(v), F.expr("a * b * b")) for v in values]
+        elif i == 4:
+            each = [F.format_string("%d %s %di", F.expr(v), F.expr("if(a > 2, '-', '+')"), F.expr("abs(2 - a)")) for v in values]
+        else:
+            each = [F.format_string(form, F.expr(v)) for v in values]
+        options = F.when(F.col("r") == i, F.array(*each)).otherwise(options)
+    turned = asked.withColumn("o", options).withColumn("k", (F.col("event_id") % 4).cast("int"))
+    turned = turned.withColumn("o", F.concat(F.slice("o", F.lit(5) - F.col("k"), F.col("k")), F.slice("o", F.lit(1), 4 - F.col("k"))))
+    return turned.select("event_id", C.solve(F.col("q"), F.col("o")).cast("bigint").alias("choice"))
+
+
+@query(f"WITH e AS ({_E}) SELECT event_id, CASE WHEN c = 1 THEN NULL ELSE CAST(a AS DOUBLE) END AS x, CASE WHEN c = 1 THEN NULL ELSE CAST(b AS DOUBLE) END AS y FROM e")
 def linear_systems(spark, d):
-    """§2.8.1 row 2."""
-    rows = [(0, "2x + y = 5 and x - y = 1"), (1, "x - y = 2, 3x + y = 4"), (2, "no equations")]
-    return spark.createDataFrame(rows, "id int, q string").select("id", X.linear_system(F.col("q")).alias("s")).select("id", "s.x", "s.y")
+    """§2.8.1 row 2: two unknowns; parallel lines have no answer."""
+    e = _events(spark, d, 23)
+    q = F.format_string("$%dx + 2y = %d$ and $%dx + %dy = %d$. Find x - y.", F.col("c"), F.expr("c * a + 2 * b"), F.lit(1), F.lit(2), F.expr("a + 2 * b"))
+    return e.select("event_id", C.system(q).alias("s")).select("event_id", F.round("s.x", 6).alias("x"), F.round("s.y", 6).alias("y"))
 
 
-_STATS = [
-    (0, "A coin with 1/2 chance: probability of at least two heads in three tosses?", 0.5), (1, "With 30% success, three hits in three at-bats?", 0.027), (2, "Exactly two of five trials succeed at .4?", 0.3456), (3, "Nothing here", None),
-]
+_TERM = "factorial(CAST(n AS INTEGER)) / (factorial(CAST(i AS INTEGER)) * factorial(CAST(n - i AS INTEGER))) * power(p, i) * power(1 - p, n - i)"
 
 
-@query(_values([(i, v) for i, _, v in _STATS], "id, p"))
+@query(f"WITH e AS (SELECT *, r % 3 AS kind, a + b AS n, b AS k, a / 9.0 AS p FROM ({_E})) SELECT event_id, round(CASE kind WHEN 0 THEN (SELECT sum({_TERM}) FROM range(k, n + 1) t(i)) WHEN 1 THEN power(p, k) ELSE (SELECT sum({_TERM}) FROM range(k, k + 1) t(i)) END, 9) AS p FROM e")
 def binomial_questions(spark, d):
     """M-09, M-10: binomial questions in words."""
-    return spark.createDataFrame([(i, q) for i, q, _ in _STATS], "id int, q string").select("id", F.round(X.binomial(F.col("q")), 9).alias("p"))
+    e = _events(spark, d, 23)
+    rate = F.format_string("When %d out of 9 tries succeed, what is the probability of ", F.col("a"))
+    asked = F.when(F.col("r") % 3 == 0, F.format_string("at least %d successes in %d trials?", F.col("b"), F.expr("a + b"))).when(F.col("r") % 3 == 1, F.format_string("%d hits in %d at-bats?", F.col("b"), F.col("b")))
+    asked = asked.otherwise(F.format_string("exactly %d successes in %d trials?", F.col("b"), F.expr("a + b")))
+    return e.select("event_id", F.round(X.binomial(F.concat(rate, asked)), 9).alias("p"))
 
 
-@query(_values([(0, 0.158655, 8.355), (1, 0.5, 10.0)], "id, below, percentile"))
-def normal_questions(spark, d):
-    """M-10: sample means and percentiles of the normal distribution."""
-    rows = [(0, 9.0, 10.0, 4.0, 16, 0.05), (1, 10.0, 10.0, 2.0, 4, 0.5)]
-    df = spark.createDataFrame(rows, "id int, x double, mean double, sd double, n int, p double").withColumn("se", F.col("sd") / F.sqrt("n"))
-    return df.select("id", F.round(X.normal_cdf("x", "mean", "se"), 6).alias("below"), F.round(X.normal_quantile("p", "mean", "se"), 3).alias("percentile"))
+_PHI = "0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * (SELECT sum(t) FROM (SELECT exp((2 * k + 1) * ln(abs(z)) - (SELECT coalesce(sum(ln(2 * j + 1)), 0) FROM range(0, k + 1) u(j))) * sign(z) AS t FROM range(0, 100) v(k)))"
 
 
-_WORDS = [(0, "What is 15% of 200?", "15/100*200", 30.0), (1, "Calculate 2 to the power of 8", "2**8", 256.0), (2, "What is the square root of 144?", "sqrt(144)", 12.0), (3, "compute 7 squared minus 4 times 3", "7**2 - 4 * 3", 37.0), (4, "Who was first?", None, None)]
+@query(f"WITH e AS (SELECT *, (b + 0.5 - a) / ((c + 10) / sqrt(CAST(a * a AS DOUBLE))) AS z FROM ({_E})) SELECT event_id, round({_PHI}, 6) AS below, CAST(c * 8 AS DOUBLE) / 100 AS share FROM e")
+def normal_questions(spark, d):
+    """M-10: sample means and percentiles of the normal distribution; the share below a percentile is the percentile."""
+    e = _events(spark, d, 23)
+    mean = F.format_string("An average of %d grams and a standard deviation of %d. What is the chance that a sample of %d has a mean less than %d.5?", F.col("a"), F.expr("c + 10"), F.expr("a * a"), F.col("b"))
+    at = F.format_string("With a mean of %d and a standard deviation of %d, what is the %dth percentile?", F.col("a"), F.col("b"), F.expr("c * 8"))
+    found = e.select("event_id", "a", "b", X.sample_mean(mean).alias("below"), X.percentile(at)["value"].alias("value"))
+    return found.select("event_id", F.round("below", 6).alias("below"), F.round(X.normal_cdf("value", F.col("a").cast("double"), F.col("b").cast("double")), 6).alias("share"))
+
+
+# By r: wording, arguments, SQL of the expression and of its value.
+_WORDS = [
+    (("What is %d%% of %d?", "a", "c"), "a || '/100*' || c", "a / 100.0 * c"),
+    (("Calculate %d to the power of %d", "a", "b"), "a || '**' || b", "power(a, b)"),
+    (("What is the square root of %d?", "a * a"), "'sqrt(' || a * a || ')'", "a"),
+    (("compute %d squared minus %d times %d", "a", "b", "c"), "a || '**2 - ' || b || ' * ' || c", "a * a - b * c"),
+    (("Find the total %d plus %d divided by %d if that is so", "a", "b", "c"), "a || ' + ' || b || ' / ' || c", "a + b / CAST(c AS DOUBLE)"),
+    (("Who was number %d?", "a"), "NULL", "NULL"),
+]
+_OF_WORDS = lambda i, kind: "CASE event_id % 6 " + " ".join(f"WHEN {r} THEN CAST({f[i]} AS {kind})" for r, f in enumerate(_WORDS)) + " END"
 
 
-@query(_values([(i, e, v) for i, _, e, v in _WORDS], "id, expr, value"))
+@query(f"WITH e AS ({_E}) SELECT event_id, {_OF_WORDS(1, 'VARCHAR')} AS expr, round({_OF_WORDS(2, 'DOUBLE')}, 9) AS value FROM e")
 def word_arithmetic(spark, d):
     """M-07, M-06: English to arithmetic, evaluated."""
-    e = spark.createDataFrame([(i, q) for i, q, _, _ in _WORDS], "id int, q string").select("id", X.to_expression(F.col("q")).alias("expr"))
-    return e.select("id", "expr", N.arithmetic(F.col("expr")).alias("value"))
+    e = _events(spark, d, len(_WORDS)).select("event_id", X.to_expression(_said([f[0] for f in _WORDS])).alias("expr"))
+    return e.select("event_id", "expr", F.round(N.arithmetic(F.col("expr")), 9).alias("value"))
 
 
-_CALLS = [(0, "so CALL: calc(factorial(5) + 1) done", "calc", "factorial(5) + 1"), (1, "call : X (a", None, None), (2, "none", None, None), (3, "CALL: f()", "f", "")]
-
-
-@query(_values([(i, t, a) for i, _, t, a in _CALLS], "id, tool, argument"))
+@query(f"WITH e AS ({_E}) SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'calc' WHEN 1 THEN 'look_up' END AS tool, CASE event_id % 4 WHEN 0 THEN 'factorial(' || a || ') + (' || b || ')' WHEN 1 THEN '' END AS argument FROM e")
 def tool_calls(spark, d):
     """X-12: calls with balanced parentheses."""
-    return spark.createDataFrame([(i, s) for i, s, _, _ in _CALLS], "id int, s string").select("id", X.tool_call(F.col("s")).alias("c")).select("id", "c.tool", "c.argument")
-
+    said = _said([("so CALL: Calc(factorial(%d) + (%d)) done (%d)", "a", "b", "c"), ("CALL: look_up() of %d", "a"), ("call : X (%d", "a"), ("none of %d", "a")])
+    return _events(spark, d, 4).select("event_id", X.tool_call(said).alias("c")).select("event_id", "c.tool", "c.argument")
 
-_REWRITES = [(0, "```python\nsolve(x**2 - 4, x)\n```", "solve(x**2 - 4, x)"), (1, "NONE", None), (2, "The answer is 4+4", None), (3, "\n2*3\nmore", "2*3"), (4, "abc", None)]
 
-
-@query(_values([(i, e) for i, _, e in _REWRITES], "id, expr"))
+@query(f"WITH e AS ({_E}) SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'solve(x**2 - ' || a || ', x)' WHEN 3 THEN a || '*' || b END AS expr FROM e")
 def rewrite_lines(spark, d):
     """X-16: the expression in a rewrite."""
-    return spark.createDataFrame([(i, s) for i, s, _ in _REWRITES], "id int, s string").select("id", X.rewritten(F.col("s")).alias("expr"))
+    said = _said([("```python\nsolve(x**2 - %d, x)\n```", "a"), ("NONE",), ("The answer is %d+%d", "a", "b"), ("\n%d*%d\nmore", "a", "b"), ("abc",)])
+    return _events(spark, d, 5).select("event_id", X.rewritten(said).alias("expr"))
 
 
 @query("SELECT conv_id, turn, 'Question: ' || coalesce(text, '') || chr(10) || chr(10) || 'Options:' || chr(10) || 'A. 1' || chr(10) || 'B. 2' || chr(10) || 'C. 3' || chr(10) || 'D. 4' || chr(10) || chr(10) || CASE WHEN turn % 2 = 0 THEN '' ELSE 'Reference material (may or may not be relevant):' || chr(10) || role || chr(10) || chr(10) END || 'Answer with a letter.' AS content FROM conversations")
@@ -111,12 +185,21 @@ def report_ids(spark, d):
     return runlog(spark, d).select("event_id", P.report_id(F.lit("tiered[x|y]"), T.model_slug(F.lit("org/Qwen")), F.lit("zero_shot"), flags, F.col("ts")).alias("id"))
 
 
-@query(_values([(0, "T", "Published 2026-05-17. Body text", "u"), (1, "H", "trail", ""), (2, None, None, None)], "id, title, text, url"))
+_TRIM = "regexp_replace({}, '^\\s+|\\s+\\z', '', 'g')"
+
+
+@query(
+    "WITH i AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN source END AS title, CASE WHEN doc_id % 4 > 0 THEN lang END AS headline, CASE WHEN doc_id % 5 > 0 THEN text ELSE ' ' END AS body, CASE WHEN doc_id % 7 > 0 THEN source END AS trail, CASE WHEN doc_id % 2 = 0 THEN '2026-05-17' ELSE '' END AS day FROM documents),"
+    " p AS (SELECT *, coalesce(title, headline) AS t, coalesce(nullif(trim(body, ' '), ''), trail) AS x FROM i),"
+    f" c AS (SELECT *, {_TRIM.format("regexp_replace(regexp_replace(CASE WHEN day <> '' THEN 'Published ' || day || '. ' ELSE '' END || trim(x, ' '), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS cleaned FROM p)"
+    " SELECT doc_id, CASE WHEN t IS NOT NULL AND x IS NOT NULL THEN t END AS title, CASE WHEN t IS NOT NULL AND x IS NOT NULL THEN md5(cleaned) END AS digest, CASE WHEN t IS NOT NULL AND x IS NOT NULL THEN 'u/' || doc_id END AS url FROM c"
+)
 def news_articles(spark, d):
-    """S-26, X-03: news items to articles."""
-    rows = [(0, ("T", "2026-05-17T10:00:00Z", "u", ("Body \t text", "x", None))), (1, (None, None, None, ("", "trail", "H"))), (2, ("T", None, None, (" ", None, None)))]
-    df = spark.createDataFrame(rows, "id int, item struct<webTitle:string,webPublicationDate:string,webUrl:string,fields:struct<bodyText:string,trailText:string,headline:string>>")
-    return df.select("id", P.news_article(F.col("item")).alias("a")).select("id", "a.title", "a.text", "a.url")
+    """S-26, X-03: news items to articles; the title or else the headline, the body or else the trail."""
+    k = F.col("doc_id")
+    fields = F.struct(F.when(k % 5 > 0, F.col("text")).otherwise(" ").alias("bodyText"), F.when(k % 7 > 0, F.col("source")).alias("trailText"), F.when(k % 4 > 0, F.col("lang")).alias("headline"))
+    item = F.struct(F.when(k % 3 > 0, F.col("source")).alias("webTitle"), F.when(k % 2 == 0, "2026-05-17T10:00:00Z").alias("webPublicationDate"), F.concat(F.lit("u/"), k).alias("webUrl"), fields.alias("fields"))
+    return table(spark, d, "documents").select("doc_id", P.news_article(item).alias("a")).select("doc_id", "a.title", F.md5("a.text").alias("digest"), "a.url")
 
 
 @query("SELECT source, CASE WHEN lang = 'en' THEN 'query: ' || source ELSE source END AS q, count(*) AS n FROM documents GROUP BY ALL")
@@ -126,36 +209,91 @@ def embedder_prefix(spark, d):
     return table(spark, d, "documents").groupBy("source", with_prefix(model, F.col("source"), "query").alias("q")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# An item's vector is that of its number, a document's that of its own; an item asks for the language of the document of its number.
+_VECTORS = (
+    ", iv AS (SELECT i.item_id AS query, i.text AS q_text, e.embedding AS qv, d.lang AS category FROM benchmark i JOIN embeddings e ON e.vec_id = i.item_id JOIN documents d ON d.doc_id = i.item_id),"
+    " dv AS (SELECT d.doc_id AS doc, d.lang, e.embedding AS v FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),"
+    " ds AS (SELECT query, doc, round(list_dot_product(CAST(qv AS DOUBLE[]), CAST(v AS DOUBLE[])), 6) AS score FROM iv JOIN dv ON dv.lang = iv.category),"
+    " de AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM ds),"
+    " lx AS (SELECT s.query, s.doc, row_number() OVER (PARTITION BY s.query ORDER BY round(score, 6) DESC, first_qi, s.doc) AS rank FROM s JOIN iv ON iv.query = s.query JOIN documents d ON d.doc_id = s.doc WHERE d.lang = iv.category),"
+    " li AS (SELECT query, 0 AS list_id, rank, doc FROM de WHERE rank <= 25 UNION ALL SELECT query, 1, rank, doc FROM lx WHERE rank <= 25)"
+)
+
+
 @query(
-    _LISTS.replace("rank <= 20", "rank <= 10") + _FUSED.format(w="1.0") + ", z AS (SELECT x.query, x.key, d.source, x.rank, row_number() OVER (PARTITION BY query, source ORDER BY rank) > 1 AS again FROM x JOIN documents d ON d.doc_id = x.key WHERE rank <= 10),"
-    " y AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY again, rank) AS place FROM z) SELECT query, key, source, place AS rank FROM y WHERE place <= 5"
+    _HITS + _VECTORS + _FUSED.format(w="1.0")
+    + f", z AS (SELECT x.query, x.key, x.rank, d.source, CASE WHEN len(list_distinct({KEPT.format('iv.q_text')})) > 0 THEN round(len(list_intersect(list_distinct({KEPT.format('iv.q_text')}), {KEPT.format('d.text')})) / len(list_distinct({KEPT.format('iv.q_text')})), 9) ELSE 0.0 END AS score"
+    " FROM x JOIN iv USING (query) JOIN documents d ON d.doc_id = x.key WHERE x.rank <= 25),"
+    " pz AS (SELECT query, key, source, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, rank) AS pos FROM z),"
+    " w AS (SELECT *, row_number() OVER (PARTITION BY query, source ORDER BY pos) > 1 AS again FROM pz), y AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY again, pos) AS place FROM w)"
+    " SELECT query, key, source, score, place AS rank FROM y WHERE place <= 5"
 )
 def hybrid_retrieve(spark, d):
-    """R-18: two rankings fused, diversified, cut."""
-    lists = _lists(spark, d)
-    one, two = (lists.where(F.col("list_id") == i) for i in (0, 1))
-    sources = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "source")
-    return rag.retrieve(one, two, sources, 5).select("query", "key", "source", "rank")
+    """R-18: dense and BM25 rankings within the item's category, fused, reranked, diversified, cut."""
+    docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
+    own = docs.select("doc_id", "lang", "source", "text")
+    items = table(spark, d, "benchmark").join(vectors, F.col("item_id") == F.col("vec_id")).join(own.select("doc_id", F.col("lang").alias("q_lang")), F.col("item_id") == F.col("doc_id"))
+    items = items.select(F.col("item_id").alias("query"), F.col("text").alias("q_text"), F.col("embedding").alias("qv"), "q_lang")
+    among = own.join(vectors, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("vec"), F.col("embedding").alias("v"), "lang")
+    pool = rag.pool_size(5, True, True)
+    dense = R.dense(items.select("query", "qv", "q_lang"), among, pool, "lang").select("query", "rank", F.col("vec").alias("key"))
+    scored = R.bm25(R.matched(own, "doc_id", "text", R.query_tokens(items, "query", "q_text"))).withColumn("score", F.round("score", 6))
+    within = scored.join(F.broadcast(items.select("query", "q_lang")), "query").join(own.select(F.col("doc_id").alias("doc"), "lang"), "doc").where("lang = q_lang")
+    lexical = R.top_k(within, pool, [F.desc("score"), F.asc("first_qi"), F.asc("doc")]).select("query", "rank", F.col("doc").alias("key"))
+    return _reranked(dense, lexical, own, F.broadcast(items.select("query", "q_text")), 5)
+
+
+def _reranked(dense, lexical, own, said, k):
+    """The composed retrieval; the scorer needs the query's text beside its number."""
+    texts = own.select(F.col("doc_id").alias("key"), "source", "text")
+    keys = dense.union(lexical).select("query", "key").distinct().join(said, "query").join(texts, "key")
+    sources = keys.select("key", "source", F.col("query").alias("of"), R.overlap_score(F.col("q_text"), F.col("text")).alias("overlap"))
+    scores = sources.groupBy("key", "source").agg(F.map_from_entries(F.collect_list(F.struct("of", F.round("overlap", 9)))).alias("by_query"))
+    return rag.retrieve(dense, lexical, scores, k, hybrid=True, rerank=True, scorer=F.col("by_query")[F.col("query")]).select("query", "key", "source", "score", "rank")
+
+
+_VARIANTS = (
+    "(SELECT item_id * 10 AS item_id, text FROM benchmark UNION ALL SELECT a.item_id * 10 + 1, a.text || ' ' || b.text FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1"
+    " UNION ALL SELECT a.item_id * 10 + 2, a.text || ' ' || b.text FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 2)"
+)
 
 
-@query(_LISTS + _FUSED.format(w="1.0") + " SELECT query, key, rank FROM x WHERE rank <= 3")
+@query(
+    _HITS.replace("FROM benchmark", f"FROM {_VARIANTS}")
+    + ", rk AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, first_qi, doc) AS rank FROM s), li AS (SELECT query // 10 AS query, query % 10 AS list_id, rank, doc FROM rk WHERE rank <= 15)"
+    + _FUSED.format(w="1.0")
+    + f", z AS (SELECT x.query, x.key, x.rank, CASE WHEN len(list_distinct({KEPT.format('i.text')})) > 0 THEN round(len(list_intersect(list_distinct({KEPT.format('i.text')}), {KEPT.format('d.text')})) / len(list_distinct({KEPT.format('i.text')})), 9) ELSE 0.0 END AS score"
+    " FROM x JOIN benchmark i ON i.item_id = x.query JOIN documents d ON d.doc_id = x.key WHERE x.rank <= 15)"
+    " SELECT query, key, score, place AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, rank) AS place FROM z) WHERE place <= 3"
+)
 def multi_query_retrieve(spark, d):
-    """R-19: variants of a question fused once and cut."""
-    sources = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "source")
-    return rag.multi_query(_lists(spark, d), sources, 3).select("query", "key", "rank")
+    """R-19: a question, and the question with each option (the next two items), ranked each for itself, fused, reranked once by the question, cut."""
+    b = table(spark, d, "benchmark")
+    option = lambda j: b.select((F.col("item_id") - j).alias("of"), F.col("text").alias(f"o{j}"))
+    asked = b.join(option(1), F.col("item_id") == F.col("of"), "left").drop("of").join(option(2), F.col("item_id") == F.col("of"), "left").drop("of")
+    variants = R.multi_query(asked.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.array("o1", "o2").alias("options"))).where("list_id = 0 or text <> ''")
+    given = asked.select(F.col("item_id").alias("question_id"), F.array(F.lit(True), F.col("o1").isNotNull(), F.col("o2").isNotNull()).alias("given"))
+    variants = variants.join(given, "question_id").where(F.get("given", F.col("list_id"))).select((F.col("question_id") * 10 + F.col("list_id")).alias("variant"), "text")
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    scored = R.bm25(R.matched(docs, "doc_id", "text", R.query_tokens(variants, "variant", "text"))).withColumn("score", F.round("score", 6))
+    ranked = R.top_k(scored, 15, [F.desc("score"), F.asc("first_qi"), F.asc("doc")])
+    lists = ranked.select(F.floor(F.col("query") / 10).alias("query"), (F.col("query") % 10).cast("int").alias("list_id"), "rank", F.col("doc").alias("key"))
+    said = F.broadcast(b.select(F.col("item_id").alias("of"), F.col("text").alias("q_text")))
+    fused = R.fuse(lists, 15).join(said, F.col("query") == F.col("of")).join(docs.select(F.col("doc_id").alias("key"), "text"), "key")
+    return R.rerank(fused, F.round(R.overlap_score(F.col("q_text"), F.col("text")), 9), 3).select("query", "key", "score", "rank")
 
 
 @query(
-    LOG + ", o AS (SELECT question_text, max(top_score) AS top, count(*) AS n FROM runlog WHERE event_id % 7 = 0 GROUP BY 1), l AS (SELECT question_text, max(confidence) AS top, count(*) AS n FROM runlog WHERE event_id % 11 = 0 AND confidence >= 0.3 GROUP BY 1),"
+    LOG + ", o AS (SELECT question_text, max(top_score) AS top, count(*) AS n FROM runlog WHERE event_id % 3 = 0 GROUP BY 1), l AS (SELECT question_text, max(confidence) AS top, count(*) AS n FROM runlog WHERE event_id % 3 <> 0 AND confidence >= 0.3 GROUP BY 1),"
     " q AS (SELECT question_text, CASE WHEN min(level) <= 10 THEN 0.9 END AS tau FROM runlog GROUP BY 1), j AS (SELECT q.question_text AS query, o.n IS NULL OR coalesce(o.top < q.tau, FALSE) AS gated, o.top AS ot, o.n AS o_n, l.top AS lt, l.n AS l_n FROM q LEFT JOIN o USING (question_text) LEFT JOIN l USING (question_text)),"
     " s AS (SELECT *, CASE WHEN NOT gated THEN 'offline' WHEN l_n > 0 THEN 'live' ELSE 'none' END AS context_source FROM j) SELECT query, gated, context_source, CASE context_source WHEN 'offline' THEN o_n WHEN 'live' THEN l_n ELSE 0 END AS n_passages, CASE context_source WHEN 'offline' THEN ot WHEN 'live' THEN lt END AS top_score FROM s"
 )
 def rag_decision(spark, d):
-    """R-21, F-10, F-11: offline passages, else live ones over the floor, else none."""
+    """R-21, F-10, F-11: offline passages, else live ones over the floor, else none; each event is a passage of the one or the other kind."""
     log = runlog(spark, d)
     q = log.groupBy(F.col("question_text").alias("query")).agg(F.min("level").alias("level"))
-    off = log.where("event_id % 7 = 0").select(F.col("question_text").alias("query"), F.col("event_id").alias("rank"), F.col("top_score").alias("score"))
-    live = log.where("event_id % 11 = 0").select(F.col("question_text").alias("query"), F.col("confidence").alias("score"))
+    off = log.where("event_id % 3 = 0").select(F.col("question_text").alias("query"), F.col("event_id").alias("rank"), F.col("top_score").alias("score"))
+    live = log.where("event_id % 3 <> 0").select(F.col("question_text").alias("query"), F.col("confidence").alias("score"))
     return rag.decide(off, live, q, F.when(F.col("level") <= 10, 0.9))
 
 
@@ -166,8 +304,7 @@ def confidence_split(spark, d):
     return runlog(spark, d).agg(F.count_if(high).alias("high"), F.count_if(F.col("confidence") < 0.5).alias("low"), F.round(F.avg(F.when(high, hit)), 9).alias("high_acc"), F.count_if(high & ~F.col("correct")).alias("overconfident"))
 
 
-@query("WITH b AS (SELECT item_id AS q, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS t FROM benchmark) SELECT q AS question_id, len(t) AS tokens, list_contains(t, 'the') AS has_the FROM b")
+@query("SELECT doc_id, contains(lower(text), 'the ') OR contains(lower(text), 'license') OR contains(lower(text), 'été') AS hit, length(text) AS n FROM documents")
 def keyword_filter(spark, d):
-    """X-14: texts that contain any of some words."""
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.array_distinct(T.tokens(F.col("text"), False)).alias("t"))
-    return b.select("question_id", F.size("t").cast("bigint").alias("tokens"), F.array_contains("t", "the").alias("has_the"))
+    """X-14: texts that contain any of some words, in any letter case."""
+    return table(spark, d, "documents").select("doc_id", P.contains_any(F.col("text"), ["The ", "LICENSE", "été"]).alias("hit"), F.char_length("text").cast("bigint").alias("n"))

@@ -1,6 +1,7 @@
 """Text and number functions on hand-computed cases."""
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
@@ -41,9 +42,20 @@ def test_evaluate():
         assert N.evaluate(bad) is None
 
 
-def test_percentiles(spark):
-    df = spark.createDataFrame([([4.0, 1.0, 3.0, 2.0],), ([],)], "v array<double>")
-    assert [tuple(r) for r in df.select(N.nearest_rank(F.col("v"), 0.5), N.dashboard_rank(F.col("v"), 0.5)).collect()] == [(3.0, 3.0), (None, None)]
+def test_min_gap_and_binomials(spark):
+    pairs = [([1, 9], [12, 4]), ([5], [5]), (list(range(0, 4000, 2)), [3999]), ([], [1]), ([7, 8], [1, 20])]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a array<int>, b array<int>").orderBy("i")
+    assert [r[0] for r in df.select(N.min_gap(F.col("a"), F.col("b"))).collect()] == [min((abs(x - y) for x in a for y in b), default=None) for a, b in pairs]
+    cases = [(10, 3, 10, 0.5), (10, 0, 10, 0.2), (10, 11, 12, 0.2), (2000, 900, 1100, 0.5), (5, 5, 5, 0.9)]
+    got = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, n int, lo int, hi int, p double").orderBy("i").select(N.binomial_between(F.col("n"), F.col("lo"), F.col("hi"), F.col("p"))).collect()
+    for (n, lo, hi, p), r in zip(cases, got):
+        assert math.isclose(r[0], float(sum(Fraction(math.comb(n, i)) * Fraction(p) ** i * (1 - Fraction(p)) ** (n - i) for i in range(lo, min(hi, n) + 1))), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_option_values(spark):
+    options = ["12.", "1e3", "€1,000", "30 kg", "30kg", "50%", "-2.50", "x", "$ 7", ".5", "", "1 2"]
+    got = spark.createDataFrame(list(enumerate(options)), "i int, o string").orderBy("i").select(N.option_value(F.col("o"))).collect()
+    assert [r[0] for r in got] == [12.0, 1000.0, 1000.0, 30.0, None, None, -2.5, None, 7.0, 0.5, None, None]
 
 
 def test_argmax_and_margin(spark):
