@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from .text import clean_news
 
 
+# What stands before context in a prompt, and the order of flags in a report's id.
+REFERENCE_LEAD = "Reference material (may or may not be relevant):\n"
+FLAGS = ("rag", "rerank", "hybrid", "mq", "math", "agent", "livesearch")
+
+
 def options_block(options: Column) -> Column:
     return F.array_join(F.zip_with(F.array(*[F.lit(x) for x in "ABCD"]), options, lambda letter, text: F.concat_ws(". ", letter, text)), "\n")
 
 
 def messages(question: Column, options: Column, system: Column, instruction: str, context: Column | None = None) -> Column:
     """array<struct<role, content>>: system and user; the context, if there is one, stands between the options and the instruction."""
-    extra = F.lit("") if context is None else F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit("Reference material (may or may not be relevant):\n"), context, F.lit("\n\n"))).otherwise("")
+    extra = F.lit("") if context is None else F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit(REFERENCE_LEAD), context, F.lit("\n\n"))).otherwise("")
     user = F.concat(F.lit("Question: "), question, F.lit("\n\nOptions:\n"), options_block(options), F.lit("\n\n"), extra, F.lit(instruction))
     turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return F.array(turn("system", system), turn("user", user))
@@ -50,7 +55,7 @@ def days(first: Column, last: Column) -> Column:
 
 def report_id(strategy: Column, model: Column, style: Column, flags: Column, at: Column) -> Column:
     """strategy__model__style__flags__stamp, with 'base' for no flags; flags in a fixed order."""
-    order = F.array(*[F.lit(x) for x in ("rag", "rerank", "hybrid", "mq", "math", "agent", "livesearch")])
+    order = F.array(*[F.lit(x) for x in FLAGS])
     on = F.filter(order, lambda f: F.array_contains(flags, f))
     return F.concat_ws("__", F.element_at(F.split(strategy, r"\["), 1), model, style, F.when(F.size(on) > 0, F.array_join(on, "-")).otherwise("base"), utc_stamp(at))
 
@@ -58,3 +63,14 @@ def report_id(strategy: Column, model: Column, style: Column, flags: Column, at:
 def contains_any(text: Column, keywords: list[str]) -> Column:
     low = F.lower(text)
     return F.exists(F.array(*[F.lit(k.lower()) for k in keywords]), lambda k: F.contains(low, k))
+
+
+def passage_trace(passages: Column) -> Column:
+    """array<struct<source, chunk_id, score, text_preview>> for a log: scores to four places, the first 200 characters of the text."""
+    return F.transform(passages, lambda p: F.struct(p["source"].alias("source"), p["chunk_id"].alias("chunk_id"), F.bround(p["score"], 4).alias("score"), F.substring(p["text"], 1, 200).alias("text_preview")))
+
+
+def merged(left: Column, right: Column) -> Column:
+    """Two maps as one; where both have a key the right one's value stands."""
+    kept = F.map_filter(left, lambda k, v: ~F.map_contains_key(right, k))
+    return F.when(left.isNull(), right).when(right.isNull(), left).otherwise(F.map_concat(kept, right))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import numbers as N
 from ..functions import text as T
 
 
@@ -50,8 +51,7 @@ def pack(sentences: Column, size: int, overlap: int) -> Column:
     tail = lambda a: F.when(F.size(a) > overlap, F.slice(a, F.size(a) - (overlap - 1), F.lit(overlap))).otherwise(a) if overlap else empty
     flushed = lambda acc: F.when(F.size(acc["buf"]) > 0, F.concat(acc["out"], F.array(acc["buf"]))).otherwise(acc["out"])
 
-    def step(acc, sentence):
-        w = T.words(sentence)
+    def step(acc, w):
         n = F.size(w)
         last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(stride))).cast("int")
         windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(w, i * stride + 1, F.lit(size)))
@@ -60,7 +60,7 @@ def pack(sentences: Column, size: int, overlap: int) -> Column:
         fits = F.struct(acc["out"].alias("out"), F.concat(acc["buf"], w).alias("buf"))
         return F.when(n == 0, acc).when(n > size, long).when(F.size(acc["buf"]) + n > size, over).otherwise(fits)
 
-    return F.aggregate(sentences, start, step, flushed)
+    return F.aggregate(F.transform(sentences, T.words), start, step, flushed)
 
 
 def merge_short(chunks: Column, least: int) -> Column:
@@ -91,13 +91,19 @@ def chunk(articles: DataFrame, size: int = 300, overlap: int = 50, least: int |
         ),
     )
 
-    def step(acc, c):
-        short = (T.word_count(c["text"]) < least) & (F.size(acc) > 0) & F.lit(least > 1)
-        last = F.element_at(acc, -1)
-        joined = F.struct(F.concat_ws(" ", last["text"], c["text"]).alias("text"), last["section_title"].alias("section_title"), last["is_lead"].alias("is_lead"))
-        return F.when(short, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(c)))
+    def groups(every: Column) -> Column:
+        """Each chunk that isn't short, with the short ones up to the next."""
+        starts = F.filter(F.sequence(F.lit(0), F.size(every) - 1), lambda i: (i == 0) | ~((T.word_count(F.get(every, i)["text"]) < least) & F.lit(least > 1)))
+        ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(every)))
+
+        def joined(a: Column, b: Column) -> Column:
+            own = F.transform(F.slice(every, a + 1, b - a), lambda c: c["text"])
+            return F.struct(F.array_join(own, " ").alias("text"), F.get(every, a)["section_title"].alias("section_title"), F.get(every, a)["is_lead"].alias("is_lead"))
+
+        return F.zip_with(starts, ends, joined)
 
-    merged = F.aggregate(F.flatten(parts), F.array().cast("array<struct<text:string,section_title:string,is_lead:boolean>>"), step)
+    none = F.array().cast("array<struct<text:string,section_title:string,is_lead:boolean>>")
+    merged = N.let(F.flatten(parts), lambda e: F.when(F.size(e) > 0, groups(e)).otherwise(none))
     others = [c for c in articles.columns if c not in ("text", "aliases")]
     out = articles.withColumn("_chunks", merged).select(*others, *(["aliases"] if "aliases" in articles.columns else []), F.posexplode("_chunks").alias("chunk_id", "_c"))
     own = [*others, "chunk_id", "_c.*"]
@@ -143,3 +149,31 @@ def top_by_priority(df: DataFrame, key: str, priority: str) -> DataFrame:
     """Rows of each key's least priority: the first source that gave anything."""
     w = Window.partitionBy(key)
     return df.withColumn("_least", F.min(priority).over(w)).where(F.col(priority) == F.col("_least")).drop("_least")
+
+
+def with_aliases(articles: DataFrame, aliases: DataFrame) -> DataFrame:
+    """articles with the aliases (title, alias) of their titles added to their own, each once, in alphabetical order."""
+    own = aliases.where("alias <> ''").groupBy("title").agg(F.collect_set("alias").alias("_more"))
+    none = F.array().cast("array<string>")
+    return articles.join(own, "title", "left").withColumn("aliases", F.sort_array(F.array_distinct(F.concat(F.coalesce("aliases", none), F.coalesce("_more", none))))).drop("_more")
+
+
+def titles_to_fetch(explicit: DataFrame, harvested: DataFrame) -> DataFrame:
+    """(title, origin, place) of both, each title once, the explicit ones first, each in its own order (place)."""
+    both = explicit.select("title", "place", F.lit(0).alias("o")).union(harvested.select("title", "place", F.lit(1)))
+    firsts = both.groupBy("title").agg(F.min(F.struct("o", "place")).alias("f"))
+    return firsts.select("title", F.when(F.col("f.o") == 0, "explicit").otherwise("harvested").alias("origin"), F.col("f.place").alias("place"))
+
+
+def display_name(category: Column, names: dict[str, str]) -> Column:
+    """A category's display name, '' for others."""
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, category), F.lit(""))
+
+
+def in_categories(category: Column, wanted: list[str], known: list[str]) -> Column:
+    """Whether a category is one of wanted; a wanted one that isn't known is an error."""
+    strange = sorted(set(wanted) - set(known))
+    if strange:
+        raise ValueError(f"unknown categories: {', '.join(strange)}")
+    return category.isin(wanted)

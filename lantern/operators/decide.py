@@ -78,3 +78,11 @@ def safe_amount(pyramid: Column, level: Column) -> Column:
 def fresh(cached_at: Column, now: Column, empty: Column, ttl_seconds: int = 900) -> Column:
     """A cached answer: one with content stays, an empty one for ttl seconds; without a time it stays."""
     return ~empty | cached_at.isNull() | (F.unix_timestamp(now) - F.unix_timestamp(cached_at) <= ttl_seconds)
+
+
+def source_counters(calls: DataFrame) -> DataFrame:
+    """One row from calls (cached, failed, found: booleans) of a news source: calls, hits of its cache and their share, failures, calls that found nothing."""
+    return calls.agg(
+        F.count(F.lit(1)).alias("calls"), F.count_if("cached").alias("cache_hits"), F.round(F.coalesce(F.avg(F.when(F.col("cached"), 1.0).otherwise(0.0)), F.lit(0.0)), 9).alias("hit_rate"), F.count_if("failed").alias("failures"),
+        F.count_if(~F.col("found") & ~F.col("failed")).alias("empty"),
+    )

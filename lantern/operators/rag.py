@@ -76,3 +76,16 @@ def decide(passages: DataFrame, live: DataFrame, questions: DataFrame, threshold
     source = F.when(~F.col("gated"), "offline").when(F.col("live_n") > 0, "live").otherwise("none")
     pick = lambda a, b, none: F.when(F.col("context_source") == "offline", F.col(a)).when(F.col("context_source") == "live", F.col(b)).otherwise(F.lit(none))
     return joined.withColumn("context_source", source).select("query", "gated", "context_source", pick("off_n", "live_n", 0).alias("n_passages"), pick("off_top", "live_top", None).alias("top_score"))
+
+
+def merged_pool(offline: DataFrame, live: DataFrame, k: int) -> DataFrame:
+    """(query, source, origin, score, rank): the k best live passages of each query by score, then the offline ones in their order, 2 k at most."""
+    best = R.top_k(live.select("query", "source", "score"), k, [F.desc("score"), F.asc("source")]).withColumn("o", F.lit(0))
+    both = best.unionByName(offline.select("query", "source", "score", "rank").withColumn("o", F.lit(1)))
+    placed = R.top_k(both.withColumnRenamed("rank", "own"), 2 * k, [F.asc("o"), F.asc("own")])
+    return placed.select("query", "source", F.when(F.col("o") == 0, "live").otherwise("offline").alias("origin"), "score", "rank")
+
+
+def skips_offline(threshold: float | None, has_live: bool) -> bool:
+    """Whether the offline search needn't be planned: with a threshold of 1 or more every score is gated, if there are live passages to turn to."""
+    return threshold is not None and threshold >= 1.0 and has_live

@@ -21,6 +21,18 @@ def postings(rows: DataFrame) -> DataFrame:
     return rows.groupBy("token", "doc").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def token_runs(tokens: Column) -> Column:
+    """array<struct<token, tf, a, b>>: each distinct token of an array, how often it occurs, and its first and last place; so a document sends one row a token to a shuffle."""
+    placed = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["t"] != F.get(s, i - 1)["t"]))
+        ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(s)))
+        return F.zip_with(starts, ends, lambda x, y: F.struct(F.get(s, x)["t"].alias("token"), (y - x).alias("tf"), F.get(s, x)["i"].alias("a"), F.get(s, y - 1)["i"].alias("b")))
+
+    return F.when(F.size(tokens) > 0, N.let(placed, runs)).otherwise(F.array().cast("array<struct<token:string,tf:int,a:int,b:int>>"))
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import decide as D
 from ..operators import evaluate as E
 from .common import CAT_SQL, LOG, categories, query, runlog, table
 
@@ -55,12 +56,89 @@ def recovery_rate(spark, d):
     return E.wrong_harvest(log, E.gold_harvest(log)).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("correct_index") >= 0, 1.0).otherwise(0.0)), 9).alias("rate"))
 
 
-@query(_GOLD + " SELECT coalesce(b.competition_id, a.competition_id) AS competition_id, coalesce(b.question_text, a.question_text) AS question_text, CASE WHEN b.question_text IS NOT NULL THEN 'right' ELSE 'left' END AS side FROM (SELECT * FROM gold WHERE level <= 10) a FULL JOIN (SELECT * FROM gold WHERE level >= 6) b ON a.competition_id = b.competition_id AND a.question_text = b.question_text")
+@query(
+    _GOLD + " SELECT coalesce(b.competition_id, a.competition_id) AS competition_id, coalesce(b.question_text, a.question_text) AS question_text, CASE WHEN b.question_text IS NOT NULL THEN 'right' ELSE 'left' END AS side, coalesce(a.level, b.level + 100) AS place"
+    " FROM (SELECT * FROM gold WHERE level <= 10) a FULL JOIN (SELECT * FROM gold WHERE level >= 6) b ON a.competition_id = b.competition_id AND a.question_text = b.question_text"
+)
 def goldset_union(spark, d):
-    """U-01: union by key, the right side wins."""
+    """U-01: union by key; the right side wins, the left side's place is kept."""
     g = E.gold_harvest(runlog(spark, d)).select("competition_id", "question_text", "level")
-    left, right = (g.where(c).withColumn("side", F.lit(s)).drop("level") for c, s in (("level <= 10", "left"), ("level >= 6", "right")))
-    return E.set_union(left, right, E.KEY)
+    left, right = (g.where(c).select("competition_id", "question_text", F.lit(s).alias("side"), (F.col("level") + more).alias("place")) for c, s, more in (("level <= 10", "left", 0), ("level >= 6", "right", 100)))
+    return E.set_union(left, right, E.KEY, "place")
+
+
+_INDEX = "CAST(round_even((max(n) - 1) * {}, 0) AS BIGINT)"
+
+
+@query(
+    _GOLD
+    + f", o AS (SELECT runlog.*, g.correct_index, coalesce(category, 'unknown') AS own, CASE WHEN event_id % 3 = 0 THEN 'calc' END AS tool FROM runlog JOIN gold g ON g.competition_id = runlog.competition_id AND g.question_text = runlog.question_text LEFT JOIN {CAT_SQL} AS c(cid, category) ON cid = runlog.competition_id),"
+    " r AS (SELECT own AS category, chosen_index = correct_index AS hit, confidence, latency_seconds, tool FROM o UNION ALL SELECT 'all', chosen_index = correct_index, confidence, latency_seconds, tool FROM o),"
+    " b AS (SELECT category, least(CAST(floor(confidence * 10) AS BIGINT), 9) AS bin, count(*) AS cnt, sum(confidence) AS conf, count(*) FILTER (WHERE hit) AS hit, count(tool) AS fired FROM r GROUP BY ALL),"
+    " w AS (SELECT category, CAST(sum(cnt) AS BIGINT) AS n, CAST(sum(hit) AS BIGINT) AS correct, round(sum(hit) / sum(cnt), 9) AS accuracy, round(sum(abs(hit - conf)) / sum(cnt), 6) AS ece, CAST(sum(fired) AS BIGINT) AS n_tool FROM b GROUP BY category),"
+    " l AS (SELECT category, latency_seconds AS v, row_number() OVER (PARTITION BY category ORDER BY latency_seconds) - 1 AS i, count(*) OVER (PARTITION BY category) AS n FROM r),"
+    " p AS (SELECT category, max(v) FILTER (WHERE i = CAST(round_even((n - 1) * 0.5, 0) AS BIGINT)) AS latency_p50, max(v) FILTER (WHERE i = CAST(round_even((n - 1) * 0.95, 0) AS BIGINT)) AS latency_p95 FROM l GROUP BY category)"
+    " SELECT w.*, latency_p50, latency_p95 FROM w JOIN p USING (category)"
+)
+def evaluation_report(spark, d):
+    """R-34, A-01..A-08: outputs joined with the gold set, by category and as a whole."""
+    log = _with_category(spark, d).withColumn("tool", F.when(F.col("event_id") % 3 == 0, "calc"))
+    named = E.gold_harvest(runlog(spark, d)).join(F.broadcast(categories(spark)), "competition_id", "left")
+    return E.report(log.drop("category"), named, E.KEY)
+
+
+_PASSAGES = "[(event_id % 60 + (event_id // 60 + j * j) % 5) % 60 for j in range(0, 6)]"
+
+
+@query(
+    LOG + f", x AS (SELECT question_text, event_id % 60 AS q, event_id, {_PASSAGES} AS s FROM runlog WHERE event_id % 7 <> 0 AND event_id % 3 <> 0), e AS (SELECT event_id, q, unnest(s) AS t, unnest(range(1, 7)) AS i FROM x),"
+    " f AS (SELECT event_id, q, t, min(i) AS i FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY i) AS place FROM f),"
+    " g AS (SELECT event_id, q, max(place) FILTER (WHERE t = (q + 1) % 60) AS found_at FROM r GROUP BY ALL)"
+    " SELECT q % 2 = 0 AS even, count(*) AS n, round(avg(CASE WHEN found_at <= 1 THEN 1.0 ELSE 0.0 END), 9) AS recall_1, round(avg(CASE WHEN found_at <= 3 THEN 1.0 ELSE 0.0 END), 9) AS recall_3, round_even(avg(coalesce(1.0 / found_at, 0)), 4) AS mrr FROM g GROUP BY 1"
+)
+def recall_from_runs(spark, d):
+    """R-35, J-08: recall from passages that runs have logged; every seventh run has none, every third question no label."""
+    q = F.col("event_id") % 60
+    place = lambda j: (q + (F.floor(F.col("event_id") / 60) + j * j) % 5) % 60
+    passages = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda j: F.struct(F.concat(F.lit(" q"), place(j).cast("string")).alias("source")))
+    log = runlog(spark, d).withColumn("passages", F.when(F.col("event_id") % 7 != 0, passages))
+    gold = log.select("question_text", F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("q"), ((q + 1) % 60).cast("string"))).alias("gold_article_title"), (q % 2 == 0).alias("even")).distinct()
+    return E.recall_from_runs(log, gold, (1, 3), ["even"])
+
+
+@query(LOG + f", t AS (SELECT DISTINCT round_even(top_score, 3) AS tau FROM runlog UNION SELECT 0.0 UNION SELECT 1.0), j AS (SELECT tau, count(event_id) AS n, count(*) FILTER (WHERE correct) AS c FROM t LEFT JOIN runlog ON top_score >= tau GROUP BY tau), e AS (SELECT tau, round(CASE WHEN n > 0 THEN c / n ELSE 0 END * n / (SELECT count(*) FROM runlog) + 0.25 * (1 - n / (SELECT count(*) FROM runlog)), 9) AS expected FROM j) SELECT * FROM e ORDER BY expected DESC, tau LIMIT 5")
+def best_thresholds(spark, d):
+    """T-06: thresholds by expected accuracy."""
+    return E.best_thresholds(E.calibrate_threshold(runlog(spark, d).select("top_score", "correct"), 0.25), 5).select("tau", "expected")
+
+
+@query(LOG + " SELECT count(*) AS calls, count(*) FILTER (WHERE event_id % 3 = 0) AS cache_hits, round(avg(CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.0 END), 9) AS hit_rate, count(*) FILTER (WHERE event_id % 11 = 0) AS failures, count(*) FILTER (WHERE NOT (top_score >= 0.2) AND event_id % 11 <> 0) AS empty FROM runlog")
+def source_counters(spark, d):
+    """A-30: what a news source's calls came to."""
+    k = F.col("event_id")
+    return D.source_counters(runlog(spark, d).select((k % 3 == 0).alias("cached"), (k % 11 == 0).alias("failed"), (F.col("top_score") >= 0.2).alias("found")))
+
+
+@query("SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ALL")
+def inventory(spark, d):
+    """A-11, A-32: documents by kind, as views by category and source."""
+    return table(spark, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query(LOG + f", a AS (SELECT category, {_ACC} AS acc FROM runlog {_CAT} WHERE event_id % 2 = 0 AND category <> 'news' GROUP BY category), b AS (SELECT category, {_ACC} AS acc FROM runlog {_CAT} WHERE event_id % 2 = 1 AND category <> 'maths' GROUP BY category) SELECT coalesce(a.category, b.category) AS category, a.acc AS before, b.acc AS after, round(b.acc - a.acc, 9) AS delta, CASE WHEN round(b.acc - a.acc, 9) >= 0.01 THEN '✓' WHEN round(b.acc - a.acc, 9) < 0.01 THEN '✗' END AS mark FROM a FULL JOIN b ON a.category = b.category")
+def delta_table(spark, d):
+    """A-34: accuracy of two runs by category, with a mark for gains of a hundredth."""
+    log = _with_category(spark, d)
+    side = lambda c: log.where(c).groupBy("category").agg(E.accuracy(F.col("correct")).alias("acc"))
+    return E.delta_table(side("event_id % 2 = 0 and category <> 'news'"), side("event_id % 2 = 1 and category <> 'maths'"), "category", "acc", 0.01)
+
+
+@query(LOG + f" SELECT event_id, CASE WHEN event_id % 4 = 0 THEN question_text WHEN category IS NOT NULL AND event_id % 5 > 0 THEN category ELSE '' END AS gold_source FROM runlog {_CAT}")
+def gold_source_overlay(spark, d):
+    """J-09, J-03: a gold source where a run lacks one, '' where there is none."""
+    log = _with_category(spark, d).withColumn("own", F.when(F.col("event_id") % 4 == 0, F.col("question_text")).when(F.col("event_id") % 2 == 0, ""))
+    known = log.select("event_id", F.when(F.col("event_id") % 5 > 0, F.col("category")).alias("label")).where("label is not null")
+    return log.join(known, "event_id", "left").select("event_id", F.coalesce(F.nullif("own", F.lit("")), "label", F.lit("")).alias("gold_source"))
 
 
 @query(_GOLD + " SELECT competition_id, question_text, correct_index FROM gold WHERE level <= 10 AND question_text NOT IN (SELECT question_text FROM gold WHERE level BETWEEN 6 AND 15)")
@@ -160,8 +238,8 @@ def threshold_calibration(spark, d):
 def cumulative_gate(spark, d):
     """W-08: accuracy of all rows with at least a score."""
     c = runlog(spark, d).groupBy("top_score").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("k"))
-    w = Window.orderBy(F.desc("top_score"))  # over distinct scores
-    return c.select("top_score", F.sum("n").over(w).alias("n_ungated"), F.round(F.sum("k").over(w) / F.sum("n").over(w), 9).alias("acc"))
+    summed = E.cumulative(c, [], "top_score", {"n_ungated": "n", "hits": "k"}, descending=True)
+    return summed.select("top_score", "n_ungated", F.round(F.col("hits") / F.col("n_ungated"), 9).alias("acc"))
 
 
 _GAP = "category NOT IN ('news', 'maths') AND (correct = FALSE OR top_score < 0.5)"

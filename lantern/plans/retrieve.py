@@ -8,7 +8,8 @@ from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import retrieve as R
 from ..operators.evaluate import recall
-from .common import query, table
+from ..sources import lexical
+from .common import query, shared_folder, table
 from .corpus import KEPT
 
 _Q = f"q AS (SELECT item_id AS query, unnest(t) AS token, unnest(range(len(t))) AS qi FROM (SELECT item_id, {KEPT.format('text')} AS t FROM benchmark))"
@@ -51,19 +52,37 @@ def postings_stats(spark, d):
     """A-21, A-22: document frequency, IDF and extreme positions of tokens in two documents or more."""
     docs = table(spark, d, "documents")
     n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    rows = R.token_rows(docs, "doc_id", "text").groupBy("token", "doc").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("a"), F.max("pos").alias("b"))
+    rows = docs.select(F.explode(R.token_runs(T.tokens(F.col("text")))).alias("r")).select("r.*")
     out = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("b").cast("bigint").alias("last_pos"), F.min("a").cast("bigint").alias("first_pos")).where("df >= 2")
     return out.select("token", "df", "cf", F.round(R.idf(n, F.col("df")), 9).alias("idf"), "last_pos", "first_pos")
 
 
-@query()
+_NEAR = (
+    ", pr AS (SELECT x.query, x.doc, x.qi AS a, y.qi AS b, x.idf + y.idf AS w, x.positions AS p, y.positions AS o FROM h x JOIN h y ON x.query = y.query AND x.doc = y.doc AND x.qi < y.qi),"
+    " m AS (SELECT query, doc, a, b, any_value(w) AS w, min(gap) AS gap FROM (SELECT query, doc, a, b, w, CASE WHEN s <> lag(s) OVER z THEN v - lag(v) OVER z END AS gap"
+    " FROM (SELECT query, doc, a, b, w, unnest(p) AS v, 0 AS s FROM pr UNION ALL SELECT query, doc, a, b, w, unnest(o), 1 FROM pr) WINDOW z AS (PARTITION BY query, doc, a, b ORDER BY v, s)) GROUP BY query, doc, a, b),"
+    " bo AS (SELECT query, doc, sum(0.25 * w / (1 + gap)) AS bonus FROM m WHERE gap <= 10 GROUP BY query, doc),"
+    " t AS (SELECT s.query, s.doc, round(s.score + coalesce(bonus, 0), 6) AS score, first_qi FROM s LEFT JOIN bo ON bo.query = s.query AND bo.doc = s.doc),"
+    " pb AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, first_qi, doc) AS rank FROM t)"
+)
+
+
+@query(_HITS + _NEAR + " SELECT query, doc, score, rank FROM pb WHERE rank <= 10")
 def bm25_proximity(spark, d):
-    """J-05, M-02, M-03: BM25 with the bonus for near query tokens; pairs of long lists are too slow for SQL, a test holds it against a plain version."""
+    """J-05, M-02, M-03: BM25 with the bonus for near query tokens."""
     hits = _hits(spark, d)
     scored = R.bm25(hits).join(R.proximity(hits), ["query", "doc"], "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0)))
     return _ranked(scored, 10).select("query", "doc", "score", "rank")
 
 
+@query(_HITS + _NEAR + " SELECT query, doc, score, rank FROM pb WHERE rank <= 5")
+def lexical_index(spark, d):
+    """S-09, R-13: an index of two thirds of the documents is saved, the others are appended, and it is loaded and searched."""
+    docs, path = table(spark, d, "documents").select("doc_id", "text", "lang"), shared_folder(spark, "lexical")
+    lexical.append(lexical.save(docs.where("doc_id % 3 <> 0"), "doc_id", "text", path), docs.where("doc_id % 3 = 0"), "doc_id", "text")
+    return lexical.load(spark, path).search(table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text"))
+
+
 _DOT = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 _DENSE = f"v AS (SELECT a.vec_id AS query, b.vec_id AS vec, b.label, round({_DOT}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 {{}})"
 

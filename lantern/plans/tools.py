@@ -9,6 +9,7 @@ from ..functions import numbers as N
 from ..functions import prompts as P
 from ..functions import text as T
 from ..functions import tools as X
+from ..operators import corpus as C2
 from ..operators import rag
 from ..operators import retrieve as R
 from ..operators.corpus import with_prefix
@@ -304,6 +305,61 @@ def confidence_split(spark, d):
     return runlog(spark, d).agg(F.count_if(high).alias("high"), F.count_if(F.col("confidence") < 0.5).alias("low"), F.round(F.avg(F.when(high, hit)), 9).alias("high_acc"), F.count_if(high & ~F.col("correct")).alias("overconfident"))
 
 
+@query("SELECT doc_id, source, doc_id % 7 AS chunk_id, round_even(n_chars / 7.0, 4) AS score, md5(left(text, 200)) AS preview FROM documents")
+def passage_triples(spark, d):
+    """F-17, R-03: what is logged of passages."""
+    p = F.array(F.struct("source", (F.col("doc_id") % 7).alias("chunk_id"), (F.col("n_chars") / F.lit(7.0)).alias("score"), "text"))
+    traced = table(spark, d, "documents").select("doc_id", F.explode(P.passage_trace(p)).alias("t"))
+    return traced.select("doc_id", "t.source", "t.chunk_id", "t.score", F.md5("t.text_preview").alias("preview"))
+
+
+@query(
+    LOG + ", lv AS (SELECT question_text AS query, event_id AS source, confidence AS score, row_number() OVER (PARTITION BY question_text ORDER BY confidence DESC, event_id) AS own, 0 AS o FROM runlog WHERE event_id % 2 = 0),"
+    " fl AS (SELECT question_text AS query, event_id AS source, top_score AS score, row_number() OVER (PARTITION BY question_text ORDER BY event_id) AS own, 1 AS o FROM runlog WHERE event_id % 2 = 1),"
+    " b AS (SELECT * FROM lv WHERE own <= 4 UNION ALL SELECT * FROM fl), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY o, own) AS rank FROM b)"
+    " SELECT query, source, CASE o WHEN 0 THEN 'live' ELSE 'offline' END AS origin, score, rank FROM r WHERE rank <= 8"
+)
+def merged_pool(spark, d):
+    """T-05: live passages by score before offline ones."""
+    log = runlog(spark, d).select(F.col("question_text").alias("query"), F.col("event_id").alias("source"), "confidence", "top_score")
+    offline = R.top_k(log.where("source % 2 = 1").withColumnRenamed("top_score", "score"), 2**31 - 1, [F.asc("source")])
+    return rag.merged_pool(offline, log.where("source % 2 = 0").withColumnRenamed("confidence", "score"), 4)
+
+
+@query("SELECT event_id, 'a' || CASE WHEN event_id % 2 = 0 THEN 'R' ELSE 'L' END || CASE WHEN event_id % 3 = 0 THEN ' bR' ELSE '' END || ' cL' AS pairs FROM events")
+def extras_merge(spark, d):
+    """R-04: maps as one; the right side's values win."""
+    left = F.map_from_arrays(F.array(F.lit("a"), F.lit("c")), F.array(F.lit("L"), F.lit("L")))
+    k, right = F.col("event_id"), F.lit("R")
+    both = F.when((k % 2 == 0) & (k % 3 == 0), F.create_map(F.lit("a"), right, F.lit("b"), right)).when(k % 2 == 0, F.create_map(F.lit("a"), right)).when(k % 3 == 0, F.create_map(F.lit("b"), right))
+    m = P.merged(left, both)
+    shown = F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], e["value"]))
+    return table(spark, d, "events").select("event_id", F.array_join(shown, " ").alias("pairs"))
+
+
+@query("SELECT doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN lang || '|' || source WHEN doc_id % 3 = 0 THEN source ELSE '' END AS aliases FROM documents")
+def alias_merge(spark, d):
+    """J-14: articles with the aliases that redirects add."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("title"), F.when(F.col("doc_id") % 3 == 0, F.array("source")).alias("aliases"), "lang", "source")
+    own = docs.where("title % 2 = 0")
+    more = own.select("title", F.col("source").alias("alias")).union(own.select("title", "lang"))
+    return C2.with_aliases(docs, more).select("title", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query("SELECT source AS title, CASE WHEN min(doc_id) FILTER (WHERE lang = 'fr') IS NOT NULL THEN 'explicit' ELSE 'harvested' END AS origin, coalesce(min(doc_id) FILTER (WHERE lang = 'fr'), min(doc_id)) AS place FROM documents GROUP BY source")
+def titles_to_fetch(spark, d):
+    """U-07: explicit titles before harvested ones, each once."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("title"), F.col("doc_id").alias("place"), "lang")
+    return C2.titles_to_fetch(docs.where("lang = 'fr'"), docs.where("lang <> 'fr'"))
+
+
+@query("SELECT doc_id, lang, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'Français' ELSE '' END AS name FROM documents WHERE lang IN ('en', 'de')")
+def category_filter(spark, d):
+    """F-02, J-03: a list of categories, which must be known, and their display names."""
+    names = C2.display_name(F.col("lang"), {"en": "English", "fr": "Français"})
+    return table(spark, d, "documents").where(C2.in_categories(F.col("lang"), ["en", "de"], ["en", "de", "es", "fr"])).select("doc_id", "lang", names.alias("name"))
+
+
 @query("SELECT doc_id, contains(lower(text), 'the ') OR contains(lower(text), 'license') OR contains(lower(text), 'été') AS hit, length(text) AS n FROM documents")
 def keyword_filter(spark, d):
     """X-14: texts that contain any of some words, in any letter case."""

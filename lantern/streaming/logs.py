@@ -28,26 +28,44 @@ def confirmed(fetched: DataFrame, outcomes: DataFrame, wait: str = "30 minutes",
     return joined.select("title", "session_id", "question_text", "fetched_at", "confirmed_at")
 
 
-def grow(learned: DataFrame, path: str, checkpoint: str, chunks: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+def grow(learned: DataFrame, path: str, checkpoint: str, chunks: Callable[[DataFrame], DataFrame], order: list[str] | None = None) -> StreamingQuery:
     """Appends chunks of confirmed articles whose title is new to an index; each micro-batch is written once.
 
-    A batch goes to a folder of its own number, so a batch that is run again
-    after a failure replaces itself.
+    Of a batch's articles of one title the first by order (else by the least of
+    all columns) stays.  A batch goes to a folder of its own number, so one that
+    is run again after a failure replaces itself.  Titles are kept beside the
+    chunks, by a hash, so a batch reads the parts that its own titles fall in
+    and no chunk.
     """
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(["title"])
+        columns = order or sorted(batch.columns)
+        first = batch.groupBy("title").agg(F.min_by(F.struct(*batch.columns), F.struct(*columns)).alias("a")).select("a.*").withColumn("part", F.pmod(F.xxhash64("title"), F.lit(TITLE_PARTS)).cast("int"))
+        first = first.persist()
         try:
-            known = spark.read.option("recursiveFileLookup", True).parquet(path).where(F.col("batch") != number).select(F.col("source").alias("title")).distinct()
-            new = new.join(known, "title", "left_anti")
-        except Exception as e:  # noqa: BLE001  nothing is there before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        chunks(new).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}.d")
-
+            parts = [r[0] for r in first.select("part").distinct().collect()]
+            known = spark.read.schema("title string, batch long, part int").option("pathGlobFilter", "*.parquet").option("ignoreMissingFiles", True)
+            have = known.parquet(f"{path}/titles").where(F.col("part").isin(parts) & (F.col("batch") != number)).select("title")
+            new = first.join(have, "title", "left_anti").drop("part")
+            new.select("title", F.lit(number).cast("long").alias("batch"), F.pmod(F.xxhash64("title"), F.lit(TITLE_PARTS)).cast("int").alias("part")).write.mode("append").partitionBy("part").parquet(f"{path}/titles")
+            chunks(new).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/chunks/batch={number}.d")
+        finally:
+            first.unpersist()
+
+    spark = learned.sparkSession
+    spark.createDataFrame([], "title string, batch long, part int").write.mode("append").partitionBy("part").parquet(f"{path}/titles")  # a folder to read at first
     return learned.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Parts of an index's titles.
+TITLE_PARTS = 64
+
+
+def grown(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks of a grown index."""
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{path}/chunks")
+
+
 def running_accuracy(rows: DataFrame) -> DataFrame:
     """By session, for complete or update mode; a null outcome counts as not correct."""
     return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("n_correct"), F.avg(F.when(F.col("correct"), 1.0).otherwise(0.0)).alias("accuracy"))
