@@ -6,7 +6,8 @@ host, and each path within a host, a posterior share of good documents.  A
 host's share is shrunk toward the global one and a path's toward its host's, by
 prior strengths that the method of moments estimates from the spread between
 groups; sparse sites so stay near the prior.  A document's posterior joins its
-evidence with its path's share, in log-odds.
+evidence, in log-odds, with the share of its path's and host's other documents:
+its own evidence counts once.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 from .common import cut, small
 from .tokens import CHUNK, DIGIT, Words, chunks, words_of
 
-#: The classifier is fitted on at most so many labelled rows, those whose ids have the least hashes.
+#: The classifier is fitted on at most so many labelled rows, those whose ids have the least hashes, and at most so many characters of them in all.
 FIT_ROWS = 6000
+FIT_CHARS = 24_000_000
 KEEP = 0.5
+#: Marker words of each kind of rejected documents, those that mark it most.
 MARKERS = 200
 #: About 3 words of a million pass this log-likelihood ratio by chance.
 CHANCE = 22.0
@@ -131,8 +134,13 @@ def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Fits on at most rows labelled documents.  Good: quality 1 and not toxic (a null toxic is not toxic; a null quality is no label)."""
     own = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("_toxic"))
     picked = cut(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "_quality", "_toxic", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
-    got = sample.collect()
+    met = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("_h", F.xxhash64("doc_id"))
+    sizes = met.select("_h", "doc_id", F.xxhash64("text").alias("_t"), F.coalesce(F.char_length("text"), F.lit(0)).alias("_n")).orderBy("_h", "doc_id", "_t").limit(rows).collect()
+    kept = int(np.searchsorted(np.cumsum([r[3] for r in sizes]), FIT_CHARS, side="right")) if sizes else 0
+    if kept < len(sizes):
+        last = sizes[max(kept, 1) - 1]
+        met = met.where(F.struct("_h", "doc_id", F.xxhash64("text").alias("_t")) <= F.struct(F.lit(last[0]).alias("_h"), F.lit(last[1]).alias("doc_id"), F.lit(last[2]).alias("_t")))
+    got = met.select("text", "_quality", "_toxic", "doc_id", "_h").orderBy("_h", "doc_id", F.xxhash64("text")).limit(rows).select("text", "_quality", "_toxic").collect()
     texts = [r[0] for r in got]
     low, toxic = np.array([r[1] != 1 for r in got], dtype=bool), np.array([r[2] != 0 for r in got], dtype=bool)
     del got
@@ -171,25 +179,34 @@ def _strength(groups: DataFrame, mean) -> float:
 
 
 def site_shares(scored: DataFrame, prior: float) -> DataFrame:
-    """scored (host, path, evidence) -> (host, path, n, host_share, path_share): posterior shares of good documents.  Null hosts and paths are groups of their own."""
+    """scored (host, path, evidence) -> (host, path, n, s, host_n, host_s, host_share, path_share, mean, k_host, k_path): posterior shares of good documents, and what they are made of.  Null hosts and paths are groups of their own."""
     p = _share(F.col("evidence") + F.lit(prior))
     paths = cut(scored.withColumn("p", p).groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     every = paths.agg(F.sum("n"), F.sum("s")).first()
-    if not every[0]:
-        return paths.select("host", "path", "n", F.lit(0.5).alias("host_share"), F.lit(0.5).alias("path_share"))
-    mean = float(every[1] / every[0])
-    k_host = _strength(hosts, F.lit(mean))
-    hosts = hosts.select(F.col("host").alias("_h"), ((F.lit(k_host * mean) + F.col("s")) / (F.lit(k_host) + F.col("n"))).alias("host_share"))
+    mean = float(every[1] / every[0]) if every[0] else 0.5
+    k_host = _strength(hosts, F.lit(mean)) if every[0] else 1e3
+    hosts = hosts.select(F.col("host").alias("_h"), F.col("n").alias("host_n"), F.col("s").alias("host_s"), _shrunk(F.lit(mean), k_host, F.col("s"), F.col("n")).alias("host_share"))
     joined = paths.join(hosts, F.col("host").eqNullSafe(F.col("_h"))).drop("_h")
-    k_path = _strength(joined, F.col("host_share"))
-    return joined.select("host", "path", "n", "host_share", ((F.lit(k_path) * F.col("host_share") + F.col("s")) / (F.lit(k_path) + F.col("n"))).alias("path_share"))
+    k_path = _strength(joined, F.col("host_share")) if every[0] else 1e3
+    return joined.select(
+        "host", "path", "n", "s", "host_n", "host_s", "host_share", _shrunk(F.col("host_share"), k_path, F.col("s"), F.col("n")).alias("path_share"), F.lit(mean).alias("mean"), F.lit(k_host).alias("k_host"), F.lit(k_path).alias("k_path")
+    )
 
 
-def _posterior(scored: DataFrame, shares: DataFrame) -> DataFrame:
-    slim = shares.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "host_share", "path_share")
+def _shrunk(toward, strength, total, n):
+    """The share of n documents with a sum of shares, shrunk toward a prior."""
+    k = F.lit(strength) if isinstance(strength, float) else strength
+    return (k * toward + total) / (k + n)
+
+
+def _posterior(scored: DataFrame, shares: DataFrame, prior: float) -> DataFrame:
+    slim = shares.select(F.col("host").alias("_h"), F.col("path").alias("_p"), *[F.col(c).alias(f"_s_{c}") for c in ("n", "s", "host_n", "host_s", "mean", "k_host", "k_path")], "host_share", "path_share")
     joined = scored.join(small(cut(slim)), F.col("_q_host").eqNullSafe(F.col("_h")) & F.col("_q_path").eqNullSafe(F.col("_p")))
-    edge = F.least(F.greatest("path_share", F.lit(1e-6)), F.lit(1 - 1e-6))
+    own = _share(F.col("evidence") + F.lit(prior))
+    host = _shrunk(F.col("_s_mean"), F.col("_s_k_host"), F.greatest(F.col("_s_host_s") - own, F.lit(0.0)), F.col("_s_host_n") - 1)
+    path = _shrunk(host, F.col("_s_k_path"), F.greatest(F.col("_s_s") - own, F.lit(0.0)), F.col("_s_n") - 1)
+    edge = F.least(F.greatest(path, F.lit(1e-6)), F.lit(1 - 1e-6))
     return joined.withColumn("posterior", _share(F.col("evidence") + F.log(edge / (1 - edge))))
 
 
@@ -204,7 +221,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path:
     frame = docs.select("doc_id", F.col(host).cast("string").alias("_q_host"), F.col(path).cast("string").alias("_q_path"), "text")
     scored = cut(scores(frame, model, ["doc_id", "_q_host", "_q_path"]))
     shares = site_shares(scored.select(F.col("_q_host").alias("host"), F.col("_q_path").alias("path"), "evidence"), model.prior)
-    out = _posterior(scored, shares)
+    out = _posterior(scored, shares, model.prior)
     return out.select("doc_id", F.col("_q_host").alias("host"), F.col("_q_path").alias("path"), "evidence", "host_share", "path_share", "posterior", (F.col("posterior") >= keep).alias("keep"))
 
 
@@ -215,5 +232,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, host: str = "source", path:
     shares = site_shares(scores(sites, model, ["host", "path"]), model.prior)
     columns = docs.columns
     frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_q_row"), F.col(host).cast("string").alias("_q_host"), F.col(path).cast("string").alias("_q_path"))
-    found = _posterior(scores(frame, model, ["_q_row", "_q_host", "_q_path"], columns.index("text")), shares)
+    found = _posterior(scores(frame, model, ["_q_row", "_q_host", "_q_path"], columns.index("text")), shares, model.prior)
     return found.where(F.col("posterior") >= keep).select("_q_row.*")
