@@ -165,26 +165,59 @@ def link_groups(fps: np.ndarray, sizes: np.ndarray, radius: int, at_once: int =
     return root
 
 
-def link_large(fps: np.ndarray, radius: int) -> np.ndarray:
-    """Like link_groups for one large group: what is linked leaves the planes, so a dense group costs little."""
-    root, left = np.arange(len(fps)), np.arange(len(fps))
-    while len(left):
-        seed, queue = left[0], left[:1]
-        left = left[1:]
-        while len(queue) and len(left):
-            sizes = np.array([len(left)])
-            lanes, idle, index, _, blocks = _lanes(fps[left], sizes)
-            planes, ask = planes_of(lanes), queue[:512]
-            queue = queue[512:]
-            n = int(blocks[0])
-            at, hit = within(planes, idle, np.repeat(fps[ask], n), np.tile(np.arange(n), len(ask)), radius)
-            row, bit = _set_bits(hit)
-            found = np.unique(index[(at[row] % n) * 64 + bit])
-            if len(found):
-                root[left[found]] = seed
-                queue = np.concatenate([queue, left[found]])
-                left = np.delete(left, found)
-    return root
+def link_large(fps: np.ndarray, radius: int, at_once: int = 1 << 20) -> np.ndarray:
+    """Like link_groups for one large group, over planes that are built once; lanes that need no further comparison hold nothing.
+
+    Where little is found, many are asked for at once, and each leaves the
+    planes when it was asked for.  Where much is found, one starts a component
+    and what it finds leaves at once, as all of it is linked; it is still asked
+    for itself before another component starts, so no link is lost.
+    """
+    n = len(fps)
+    lanes, idle, index, _, blocks = _lanes(fps, np.array([n]))
+    planes, slot, count = planes_of(lanes), np.flatnonzero(index >= 0), int(blocks[0])
+    waiting, queued, a, b = np.ones(n, dtype=bool), np.zeros(n, dtype=bool), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    queue, single = np.empty(0, np.int64), 1  # single: so many components more are started one by one
+
+    def leave(which: np.ndarray) -> None:
+        which = which[waiting[which]]
+        at = slot[which]
+        np.bitwise_or.at(idle, at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
+        waiting[which] = False
+
+    while True:
+        live = np.flatnonzero(idle != _ALL)
+        if len(live) < count // 2:  # blocks that hold nothing are left out
+            keep = np.repeat(live * 64, 64) + np.tile(np.arange(64), len(live))
+            place = np.full(count * 64, -1, dtype=np.int64)
+            place[keep] = np.arange(len(keep))
+            planes, idle, index, slot, count = planes[:, live], idle[live], index[keep], place[slot], len(live)
+            live = np.arange(count)
+        width = int(min(512, max(1, at_once // max(len(live), 1))))
+        start = not len(queue)
+        if start:
+            ask = np.flatnonzero(waiting)[: 1 if single else width]
+        else:
+            ask, queue = queue[:width], queue[width:]
+        if not len(ask) or not len(live):
+            break
+        at, hit = within(planes, idle, np.repeat(fps[ask], len(live)), np.tile(live, len(ask)), radius)
+        if start and not single and int(np.bitwise_count(hit).sum()) > 16 * len(ask):
+            single = len(ask)  # asked for again, one by one
+            continue
+        row, bit = _set_bits(hit)
+        found = index[live[at[row] % len(live)] * 64 + bit]
+        a.append(ask[at[row] // len(live)])
+        b.append(found)
+        leave(ask)
+        new = np.unique(found)
+        new = new[waiting[new] & ~queued[new]]
+        queued[new] = True
+        queue = np.concatenate([queue, new])
+        if single:
+            leave(new)
+            single -= not len(queue)
+    return _roots(n, np.concatenate(a), np.concatenate(b))
 
 
 def _link_batches(radius: int):

@@ -116,3 +116,18 @@ def test_query_on_whole_table(spark):
     got = op2_simhash_near_dedup(spark, d).collect()
     assert {r.doc_id: r.component_id for r in got} == want
     assert {r.doc_id: r.fingerprint for r in got} == {r.doc_id: f"{plain_fingerprint(r.text):016x}" for r in docs}
+
+
+def test_large_groups():
+    import numpy as np
+
+    from lantern.llm import simhash as S
+
+    rng = np.random.default_rng(5)
+    for near, radius in ((0, 2), (40, 2), (300, 3)):
+        base = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+        copies = base[rng.integers(0, 5, near)] ^ (np.uint64(1) << rng.integers(0, 64, near).astype(np.uint64)) if near else base[:0]
+        chain = np.array([(1 << k) - 1 for k in range(60)], dtype=np.uint64)  # each a bit from the next
+        fps = rng.permutation(np.unique(np.concatenate([base, copies, chain])))
+        want = S.link_groups(fps, np.array([len(fps)]), radius)
+        assert (S.link_large(fps, radius) == want).all() and (S.link_large(fps, radius, at_once=50) == want).all()
