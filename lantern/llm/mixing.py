@@ -97,5 +97,6 @@ def mix(
     drawn = joined.withColumn("_mix_u", unit_hash(seed, F.col(id_col))).withColumn("_mix_n", copies).drop("_mix_source", "_mix_cdf", "_mix_u", "_mix_parts")
     out = drawn.where("_mix_n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_mix_n") - 1))).drop("_mix_n")
     out = out.withColumn("shuffle_key", unit_hash(seed + "/order", F.col(id_col), F.col("copy_no")))
-    dealt = out.repartitionByRange(partitions, "shuffle_key") if partitions else out.repartitionByRange("shuffle_key")
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = out.repartitionById(n, F.floor(F.col("shuffle_key") * n).cast("int"))  # the key is uniform, so nothing need be sampled to find ranges
     return dealt.sortWithinPartitions("shuffle_key")
