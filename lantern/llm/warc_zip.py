@@ -256,13 +256,14 @@ def record_ranges(packages: DataFrame, span: int = 4 << 20) -> DataFrame:
                         raise ValueError("members must be stored, not deflated")
                     base = data_start(read_at, base)
                     lines = read_at(data_start(read_at, offset), size).splitlines()
-                spans, cuts, start = [], [], None
+                spans, cuts, start, total = [], [], None, 0
                 for x in map(json.loads, lines):
                     start = x["offset"] if start is None else start
                     cuts.append(x["length"])
-                    if sum(cuts) >= span:
+                    total += x["length"]
+                    if total >= span:
                         spans.append((start, cuts))
-                        cuts, start = [], None
+                        cuts, start, total = [], None, 0
                 if cuts:
                     spans.append((start, cuts))
                 yield pa.RecordBatch.from_pydict({"path": [path] * len(spans), "start": [base + s for s, _ in spans], "length": [sum(c) for _, c in spans], "cuts": [c for _, c in spans]}, schema=schema)
