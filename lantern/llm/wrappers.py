@@ -106,7 +106,7 @@ def parse(page: str | None) -> Element:
     """A forgiving tree of a page; scripts, styles and the like are left out."""
     root = Element("", "", False, True)
     stack, at, page = [root], 0, page or ""
-    below: dict[str, int] = {}  # open elements that stand in their ancestor
+    below: list[dict[str, int]] = [{}]  # for each of stack the open elements that stand in it, by tag
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             stack[-1].parts.append(page[at : m.start()])
@@ -117,14 +117,14 @@ def parse(page: str | None) -> Element:
         tag, closing, attrs = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
         block = tag in _BLOCK
         if closing:
-            if below.get(tag):
-                below[tag] -= 1
+            if below[-1].get(tag):
+                below[-1][tag] -= 1
                 if block:
                     stack[-1].parts.append(Element(tag, tag, False, True))
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    del stack[k:], below[k:]
                     break
                 if stack[k].block and not block:
                     break  # an inline end tag doesn't close blocks
@@ -133,7 +133,7 @@ def parse(page: str | None) -> Element:
             shut = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in shut or (stack[k].tag == "p" and tag != "label" and tag != "button"):
-                    del stack[k:]
+                    del stack[k:], below[k:]
                     break
                 if stack[k].block and stack[k].tag != "p":
                     break
@@ -144,8 +144,9 @@ def parse(page: str | None) -> Element:
             continue
         if len(stack) < _DEEPEST or (drop and not stack[-1].drop):
             stack.append(own)
+            below.append({})
         else:
-            below[tag] = below.get(tag, 0) + 1
+            below[-1][tag] = below[-1].get(tag, 0) + 1
     if at < len(page):
         stack[-1].parts.append(page[at:])
     return root

@@ -54,3 +54,49 @@ def test_edge_cases(spark):
     by = {r.page_id: r for r in got}
     assert by[1].text == by[2].text == "" and by[3].text == "just text & more" and by[None].text == "deep" and by[6].n_chars == 599999 and by[7].text == "A"
     assert W.extract(df.limit(0)).collect() == []
+
+
+def lcs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_alignment_is_a_longest_common_subsequence(monkeypatch):
+    rng = random.Random(7)
+    for table in (1 << 28, 40):
+        monkeypatch.setattr(W, "_TABLE", table)
+        for _ in range(300):
+            a, b = ([rng.choice("abcd"[: rng.randint(1, 4)]) for _ in range(rng.randint(0, 25))] for _ in range(2))
+            got = W.common(a, b)
+            assert all(a[i] == b[j] for i, j in got) and all(p < q and r < s for (p, r), (q, s) in zip(got, got[1:]))
+            assert len(got) == lcs(a, b)
+
+
+def neutral(i, rng):
+    """A page with class names that say nothing; what is the same on all pages is template."""
+    words = lambda n: " ".join(rng.choice(["ember", "slate", "willow", "cobalt", "hazel", "onyx"]) + str(rng.randrange(900)) for _ in range(n))
+    blocks = [words(rng.randint(4, 40)) for _ in range(rng.randint(1, 5))]
+    body = "".join(f"<p>{b}</p>" for b in blocks)
+    return f'<html><body><div class="k1"><p>Welcome to our site, the best of all.</p></div><div class="k2"><h1>{blocks[0]} {i}</h1><p>Read more about us here.</p>{body}</div><div class="k3"><p>All rights belong to us.</p></div></body></html>', "\n".join([f"{blocks[0]} {i}", *blocks])
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 64])
+def test_neutral_template(spark, partitions):
+    rng = random.Random(9)
+    pages = [neutral(i, rng) for i in range(40)]
+    rows = [(i, "http://n.example/x", *p) for i, p in enumerate(pages)] + [(100 + k, "http://copies.example/x", *pages[0]) for k in range(6)]
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").repartition(partitions)
+    got = {r.page_id: r.text for r in W.extract(df).collect()}
+    assert all(got[i] == text for i, _, _, text in rows if i < 100)
+    whole = "Welcome to our site, the best of all.\n" + pages[0][1].replace("\n", "\nRead more about us here.\n", 1) + "\nAll rights belong to us."
+    assert {got[100 + k] for k in range(6)} == {whole} or {got[100 + k] for k in range(6)} <= {whole, pages[0][1], whole.split("\n", 1)[1].rsplit("\n", 1)[0]}  # copies of one page show no template
+
+
+def test_deep_nesting_and_nested_headers(spark):
+    deep = "<div>" * 500 + "<p>kept one</p><div class='ad'><div>buy <p>now</p></div> and here</div><p>kept two</p>" + "</div>" * 500 + "<p>after</p>"
+    rows = [(1, "http://a/", f"<article>{deep}</article>"), (2, "http://b/", "<body><header>site</header><article><div><header><h1>Title</h1></header><p>text</p></div></article></body>")]
+    got = {r.page_id: r.text for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "kept one\nkept two\nafter", 2: "Title\ntext"}
