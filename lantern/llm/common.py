@@ -31,6 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one beside the warehouse where that is unset (tests)."""
     own = spark.conf.get("spark.checkpoint.dir", None)
+    if not own and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return own or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
