@@ -46,6 +46,11 @@ def confidence_or_tools(chosen: Column, confidence: Column, tools: list[Column],
     return F.when(confidence >= least, chosen).otherwise(F.coalesce(*tools, chosen))
 
 
+def rewrite_chain(tools: list[Column], pinned: Column, confidence: Column, rewritten: Column, category: Column, least: float = 0.70) -> Column:
+    """The first tool's answer; else the pinned one if it is confident; else, in maths, what the rewritten question gave; else the pinned one."""
+    return F.coalesce(*tools, F.when(confidence >= least, pinned), F.when(category == "maths", rewritten), pinned)
+
+
 def ensemble_weighted(arms: DataFrame, weights: DataFrame) -> DataFrame:
     """arms (question_id, arm, chosen_index, is_abstain, probs array<double>) -> (question_id, chosen_index, confidence): weighted mean of probs, abstainers left out, weights renormalised; the lowest index wins ties."""
     live = arms.where("not is_abstain").join(F.broadcast(weights), "arm").select("question_id", "weight", F.posexplode("probs").alias("idx", "p"))

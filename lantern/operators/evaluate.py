@@ -209,3 +209,20 @@ def streaks(df: DataFrame, by: str, order: str, failed: Column) -> DataFrame:
     w = Window.partitionBy(by).orderBy(order)
     runs = df.withColumn("_run", F.sum(F.when(failed, 0).otherwise(1)).over(w))
     return runs.withColumn("streak", F.sum(F.when(failed, 1).otherwise(0)).over(Window.partitionBy(by, "_run").orderBy(order))).drop("_run")
+
+
+def standings(scores: DataFrame, player: str, score: str, limit: int = 10) -> DataFrame:
+    """The best players (limit is held between 1 and 100), equal ones by name, with their place."""
+    best = scores.orderBy(F.desc(score), F.asc(player)).limit(min(max(limit, 1), 100))
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc(score), F.asc(player))))  # 100 rows at most
+
+
+def of_player(scores: DataFrame, player: str, name: str) -> DataFrame:
+    """Rows of a player, whatever the letter case."""
+    return scores.where(F.lower(player) == name.lower())
+
+
+def traces(log: DataFrame, n: int = 5, ascending: bool = False) -> DataFrame:
+    """n wrong answers to look at: the most confident (or the least), equal ones by event; no confidence counts as 0."""
+    at = F.coalesce("confidence", F.lit(0.0))
+    return log.where(~F.col("correct")).orderBy(at.asc() if ascending else at.desc(), "event_id").limit(n)

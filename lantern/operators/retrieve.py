@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,9 +130,10 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, *on: str) -> DataFrame
 
 
 def fuse(lists: DataFrame, k: int, rrf_k: int = 60, weights: DataFrame | None = None) -> DataFrame:
-    """Reciprocal rank fusion of lists (query, list_id, rank, key): (query, key, score, rank).  A list of weight 0 adds no keys."""
+    """Reciprocal rank fusion of lists (query, list_id, rank, key): (query, key, score, rank).  A list of weight 0 adds no keys, one without a weight is an error."""
     if weights is not None:
-        lists = lists.join(F.broadcast(weights), "list_id").where("weight > 0")
+        said = F.concat(F.lit("no weight for list "), F.col("list_id").cast("string"))
+        lists = lists.join(F.broadcast(weights), "list_id", "left").withColumn("weight", F.coalesce("weight", F.raise_error(said).cast("double"))).where("weight > 0")
     w = F.col("weight") if weights is not None else F.lit(1.0)
     fused = lists.groupBy("query", "key").agg(F.sum(w / (rrf_k + F.col("rank"))).alias("score"), F.min(F.struct("list_id", "rank")).alias("first"))
     return top_k(fused.withColumn("score", F.round("score", 9)), k, [F.desc("score"), F.asc("first")]).drop("first")
@@ -147,6 +151,32 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, t)) / F.size(q)).otherwise(0.0)
 
 
+def batch_scorer(score: Callable[[list[str], list[str]], list[float]]) -> Callable[[Column, Column], Column]:
+    """A model's scorer of (queries, texts), called with whole Arrow batches, as a function of Columns; another number of scores than of pairs is an error."""
+
+    @F.pandas_udf("double")
+    def run(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        out = list(score(queries.fillna("").tolist(), texts.fillna("").tolist()))
+        if len(out) != len(queries):
+            raise ValueError(f"{len(out)} scores for {len(queries)} pairs")
+        return pd.Series(out, dtype="float64")
+
+    return run
+
+
+def batch_encoder(encode: Callable[[list[str]], list[list[float]]], dim: int) -> Callable[[Column], Column]:
+    """A model's encoder, called with whole Arrow batches, as a function of a Column; another number or length of vectors is an error."""
+
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        out = [list(map(float, v)) for v in encode(texts.fillna("").tolist())]
+        if len(out) != len(texts) or any(len(v) != dim for v in out):
+            raise ValueError(f"the encoder must give {len(texts)} vectors of {dim} numbers")
+        return pd.Series(out)
+
+    return run
+
+
 def rerank(pool: DataFrame, score: Column, k: int) -> DataFrame:
     """pool (query, rank, ...) by a new score, ties in the pool's order."""
     return top_k(pool.withColumn("score", score).withColumnRenamed("rank", "pool_rank"), k, [F.desc("score"), F.asc("pool_rank")])

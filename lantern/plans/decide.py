@@ -84,6 +84,18 @@ def tool_coalesce(spark, d):
     return p.select("question_id", D.tool_chain(tools, F.col("c")).alias("chain"), D.confidence_or_tools(F.col("c"), F.col("f"), tools).alias("gated"))
 
 
+@query(
+    LOG + _ARMS_SQL + f", p AS (SELECT question_id, max(competition_id) AS cid, max(chosen_index) FILTER (WHERE arm = 0) AS c, max(confidence) FILTER (WHERE arm = 0) AS f, max(chosen_index) FILTER (WHERE arm = 1 AND question_id % 4 = 1) AS t, max(chosen_index) FILTER (WHERE arm = 2) AS r FROM arms GROUP BY question_id)"
+    f" SELECT question_id, coalesce(t, CASE WHEN f >= 0.7 THEN c WHEN category = 'maths' THEN r ELSE c END) AS choice FROM p LEFT JOIN {CAT_SQL} AS x(xid, category) ON xid = cid"
+)
+def rewrite_chain(spark, d):
+    """R-30: tools, a confident answer, the rewritten question's in maths, the answer at hand."""
+    at = lambda i, c, cond=F.lit(True): F.max(F.when((F.col("arm") == i) & cond, F.col(c)))
+    p = _arms(spark, d).groupBy("question_id").agg(F.max("competition_id").alias("competition_id"), at(0, "chosen_index").alias("c"), at(0, "confidence").alias("f"), at(1, "chosen_index", F.col("question_id") % 4 == 1).alias("t"), at(2, "chosen_index").alias("r"))
+    named = p.join(F.broadcast(categories(spark)), "competition_id", "left")
+    return named.select("question_id", D.rewrite_chain([F.col("t")], F.col("c"), F.col("f"), F.col("r"), F.col("category")).alias("choice"))
+
+
 @query(LOG + " SELECT CASE WHEN question_text LIKE '%7' THEN 'tool' ELSE 'llm' END AS tool, count(*) AS fired, count(*) FILTER (WHERE correct) AS correct, round(avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM runlog GROUP BY 1")
 def tool_split(spark, d):
     """A-05: accuracy with and without a tool."""

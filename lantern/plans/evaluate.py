@@ -364,4 +364,11 @@ def failure_streaks(spark, d):
 @query(LOG + " SELECT event_id, question_text, confidence FROM runlog WHERE NOT correct ORDER BY coalesce(confidence, 0) DESC, event_id LIMIT 5")
 def worst_misses(spark, d):
     """T-08, T-14: the most confident wrong answers."""
-    return runlog(spark, d).where(~F.col("correct")).orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), "event_id").limit(5).select("event_id", "question_text", "confidence")
+    return E.traces(runlog(spark, d)).select("event_id", "question_text", "confidence")
+
+
+@query(LOG + f", a AS (SELECT session_id, count(*) FILTER (WHERE correct) AS score FROM runlog GROUP BY session_id) SELECT session_id, score, CAST(row_number() OVER (ORDER BY score DESC, session_id) AS INTEGER) AS place FROM a ORDER BY place LIMIT 100")
+def player_standings(spark, d):
+    """T-12: the best of all sessions; a limit of 1,000 is held at 100."""
+    scores = runlog(spark, d).groupBy("session_id").agg(F.count_if("correct").alias("score"))
+    return E.standings(scores, "session_id", "score", 1000)

@@ -3,11 +3,13 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from lantern.operators import corpus as C
 from lantern.operators import decide as D
 from lantern.operators import evaluate as E
+from lantern.operators import rag
 from lantern.operators import retrieve as R
 
 
@@ -133,3 +135,59 @@ def test_keep_first_and_append(spark):
     df = spark.createDataFrame([(3, None), (1, "a"), (2, "a"), (5, None), (4, "b")], "i int, k string")
     assert sorted(r.i for r in C.keep_first(df, ["k"], ["i"]).collect()) == [1, 3, 4]
     assert [r.i for r in C.append_new(df.where("i < 3"), df.where("i >= 4 and k is not null"), "k", ["i"]).collect()] == [4]
+
+
+def test_batch_models_check_their_lengths(spark):
+    df = spark.createDataFrame([("a", "abc"), ("b", None)], "q string, t string")
+    good = R.batch_scorer(lambda q, t: [len(x) + len(y) for x, y in zip(q, t)])
+    assert [r[0] for r in df.select(good(F.col("q"), F.col("t"))).collect()] == [4.0, 1.0]
+    with pytest.raises(Exception, match="scores for"):
+        df.coalesce(1).select(R.batch_scorer(lambda q, t: [])(F.col("q"), F.col("t"))).collect()
+    encode = R.batch_encoder(lambda t: [[len(x), 1] for x in t], 2)
+    assert [list(r[0]) for r in df.select(encode(F.col("t"))).collect()] == [[3.0, 1.0], [0.0, 1.0]]
+    with pytest.raises(Exception, match="vectors of 3"):
+        df.select(R.batch_encoder(lambda t: [[1, 2] for _ in t], 3)(F.col("t"))).collect()
+
+
+def test_fusion_needs_every_weight(spark):
+    lists = spark.createDataFrame([(1, 0, 1, "a"), (1, 1, 1, "b"), (1, 2, 1, "c")], "query int, list_id int, rank int, key string")
+    weights = spark.createDataFrame([(0, 1.0), (1, 0.0)], "list_id int, weight double")
+    assert [r.key for r in R.fuse(lists.where("list_id < 2"), 5, weights=weights).collect()] == ["a"]
+    with pytest.raises(Exception, match="no weight for list 2"):
+        R.fuse(lists, 5, weights=weights).collect()
+
+
+def test_retrieve_needs_its_parts(spark):
+    ranked = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c")], "query int, rank int, key string")
+    sources = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "key string, source string")
+    for bad in ({"rerank": True}, {"hybrid": True}):
+        with pytest.raises(ValueError):
+            rag.retrieve(ranked, None, sources, 2, **bad)
+    with pytest.raises(ValueError):
+        rag.retrieve(None, ranked, sources, 2, hybrid=True)
+    got = rag.retrieve(ranked, ranked, sources, 2, hybrid=True, rerank=True, scorer=F.when(F.col("key") == "c", 2.0).otherwise(1.0)).orderBy("rank").collect()
+    assert [r.key for r in got] == ["c", "a"]
+    assert rag.skips_offline(1.0, True) and not rag.skips_offline(1.0, False) and not rag.skips_offline(None, True)
+
+
+def test_running_sums_in_parts(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice([rng.random(), 0.5]), rng.randrange(5)) for _ in range(3000)] + [(None, 1.0, 1), (None, 0.0, 2)]
+    df = spark.createDataFrame(rows, "g string, v double, n int")
+    for descending in (False, True):
+        got = sorted((r.g or "", r.v, r.s) for r in E.cumulative(df, ["g"], "v", {"s": "n"}, descending=descending, parts=7).collect())
+        assert got == sorted((g or "", v, sum(m for h, w, m in rows if h == g and (w >= v if descending else w <= v))) for g, v, _ in rows)
+
+
+def test_standings_and_traces(spark):
+    df = spark.createDataFrame([("Ann", 3, 0.5, False, 1), ("bob", 5, 0.9, False, 2), ("Cy", 5, None, False, 3), ("ann", 1, 0.7, True, 4)], "player string, score int, confidence double, correct boolean, event_id int")
+    assert [(r.player, r.place) for r in E.standings(df, "player", "score", 0).collect()] == [("Cy", 1)]
+    assert E.of_player(df, "player", "ANN").count() == 2
+    assert [r.event_id for r in E.traces(df, 2).collect()] == [2, 1] and [r.event_id for r in E.traces(df, 2, ascending=True).collect()] == [3, 1]
+
+
+def test_category_lists(spark):
+    with pytest.raises(ValueError, match="sport"):
+        C.in_categories(F.col("c"), ["maths", "sport"], ["maths"])
