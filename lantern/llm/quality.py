@@ -202,7 +202,7 @@ def _shrunk(toward, strength, total, n):
 
 def _posterior(scored: DataFrame, shares: DataFrame, prior: float) -> DataFrame:
     slim = shares.select(F.col("host").alias("_h"), F.col("path").alias("_p"), *[F.col(c).alias(f"_s_{c}") for c in ("n", "s", "host_n", "host_s", "mean", "k_host", "k_path")], "host_share", "path_share")
-    joined = scored.join(small(cut(slim)), F.col("_q_host").eqNullSafe(F.col("_h")) & F.col("_q_path").eqNullSafe(F.col("_p")))
+    joined = scored.join(small(slim), F.col("_q_host").eqNullSafe(F.col("_h")) & F.col("_q_path").eqNullSafe(F.col("_p")))
     own = _share(F.col("evidence") + F.lit(prior))
     host = _shrunk(F.col("_s_mean"), F.col("_s_k_host"), F.greatest(F.col("_s_host_s") - own, F.lit(0.0)), F.col("_s_host_n") - 1)
     path = _shrunk(host, F.col("_s_k_path"), F.greatest(F.col("_s_s") - own, F.lit(0.0)), F.col("_s_n") - 1)
