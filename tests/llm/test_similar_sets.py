@@ -38,3 +38,30 @@ def test_ids_that_are_null_or_repeated(spark):
     rows = [(None, " ".join(words)), (None, "something else altogether"), (4, near), (4, "short text here"), (9, " ".join(["start", *words]))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in S.similar_groups(df).collect()) == [(0, 0), (0, 4), (4, 4), (4, 4), (9, 4)]
+
+
+def test_recall_against_all_pairs(spark):
+    """Documents of the table: every pair of a similarity of 0.8 or more has one component, and components are those of such pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.component_id for r in S.similar_groups(docs).collect()}
+    sets = {r.doc_id: frozenset(S.set_of(r.text, 5)[0].tolist()) for r in docs.select("doc_id", "text").collect()}
+    holders, root = {}, {d: d for d in sets}
+    for d, s in sets.items():
+        for x in s or {None}:
+            holders.setdefault(x, []).append(d)
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    asked = {(a, b) for own in holders.values() for a in own for b in own if a < b}
+    pairs = 0
+    for a, b in asked:
+        both = len(sets[a] & sets[b])
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+            pairs += sets[a] != sets[b]
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    assert pairs > 3
+    assert got == {d: min(e for e in sets if find(e) == find(d)) for d in sets}
