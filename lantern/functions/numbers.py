@@ -33,7 +33,8 @@ def min_gap(a: Column, b: Column) -> Column:
     marked = F.sort_array(F.concat(F.transform(a, lambda x: F.struct(x.alias("p"), F.lit(0).alias("s"))), F.transform(b, lambda y: F.struct(y.alias("p"), F.lit(1).alias("s")))))
     far = F.lit(2**31 - 1)
     start = F.struct(far.alias("gap"), F.lit(None).cast("int").alias("p"), F.lit(None).cast("int").alias("s"))
-    step = lambda acc, x: F.struct(F.when(acc["s"] != x["s"], F.least(acc["gap"], x["p"] - acc["p"])).otherwise(acc["gap"]).alias("gap"), x["p"].alias("p"), x["s"].alias("s"))
+    step = lambda acc, x: F.struct(F.when(acc["s"] != x["s"], F.least(acc["gap"], x["p"] - acc["p"])).otherwise(acc["gap"]).alias("gap"),
+        x["p"].alias("p"), x["s"].alias("s"))
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.aggregate(marked, start, step, lambda acc: acc["gap"]))
 
 
@@ -57,7 +58,8 @@ def soft_one_hot(chosen: Column, confidence: Column) -> Column:
 def gcd(a: Column, b: Column) -> Column:
     """Euclid's, in at most 92 steps: enough for any two longs."""
     start = F.struct(F.abs(a).cast("bigint").alias("x"), F.abs(b).cast("bigint").alias("y"))
-    step = lambda s, _: F.struct(F.when(s["y"] == 0, s["x"]).otherwise(s["y"]).alias("x"), F.when(s["y"] == 0, F.lit(0).cast("bigint")).otherwise(s["x"] % F.when(s["y"] == 0, F.lit(1)).otherwise(s["y"])).alias("y"))
+    step = lambda s, _: F.struct(F.when(s["y"] == 0, s["x"]).otherwise(s["y"]).alias("x"),
+        F.when(s["y"] == 0, F.lit(0).cast("bigint")).otherwise(s["x"] % F.when(s["y"] == 0, F.lit(1)).otherwise(s["y"])).alias("y"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s["x"])
 
 
@@ -95,7 +97,8 @@ def binomial_at_least(n: Column, k: Column, p: Column) -> Column:
 
 _BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Mod: operator.mod, ast.FloorDiv: operator.floordiv}
 _CALLS = {
-    "abs": abs, "round": round, "min": min, "max": max, "sqrt": math.sqrt, "log": math.log, "log2": math.log2, "log10": math.log10, "sin": math.sin, "cos": math.cos, "tan": math.tan,
+    "abs": abs, "round": round, "min": min, "max": max, "sqrt": math.sqrt, "log": math.log, "log2": math.log2, "log10": math.log10, "sin": math.sin,
+        "cos": math.cos, "tan": math.tan,
     "gcd": math.gcd, "comb": math.comb, "perm": math.perm, "factorial": math.factorial,
 }
 

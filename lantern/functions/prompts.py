@@ -37,7 +37,8 @@ def news_article(item: Column) -> Column:
     title = F.coalesce(empty(item["webTitle"]), empty(item["fields"]["headline"]))
     day = F.substring(F.coalesce(item["webPublicationDate"], F.lit("")), 1, 10)
     text = clean_news(F.concat(F.when(day != "", F.concat(F.lit("Published "), day, F.lit(". "))).otherwise(""), body))
-    return F.when(title.isNotNull() & body.isNotNull(), F.struct(title.alias("title"), text.alias("text"), F.lit("news").alias("category"), F.coalesce(item["webUrl"], F.lit("")).alias("url")))
+    return F.when(title.isNotNull() & body.isNotNull(), F.struct(title.alias("title"), text.alias("text"), F.lit("news").alias("category"),
+        F.coalesce(item["webUrl"], F.lit("")).alias("url")))
 
 
 def seconds_left(deadline: Column, now: Column) -> Column:
@@ -67,7 +68,8 @@ def contains_any(text: Column, keywords: list[str]) -> Column:
 
 def passage_trace(passages: Column) -> Column:
     """array<struct<source, chunk_id, score, text_preview>> for a log: scores to four places, the first 200 characters of the text."""
-    return F.transform(passages, lambda p: F.struct(p["source"].alias("source"), p["chunk_id"].alias("chunk_id"), F.bround(p["score"], 4).alias("score"), F.substring(p["text"], 1, 200).alias("text_preview")))
+    return F.transform(passages, lambda p: F.struct(p["source"].alias("source"), p["chunk_id"].alias("chunk_id"),
+        F.bround(p["score"], 4).alias("score"), F.substring(p["text"], 1, 200).alias("text_preview")))
 
 
 def merged(left: Column, right: Column) -> Column:

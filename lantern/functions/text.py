@@ -21,7 +21,8 @@ PREAMBLES = r"thinking|thought|reasoning|analysis|process|let me|let's|okay|so\b
 
 # Month names.
 MONTHS = (
-    ("january", 1), ("february", 2), ("march", 3), ("april", 4), ("may", 5), ("june", 6), ("july", 7), ("august", 8), ("september", 9), ("october", 10), ("november", 11), ("december", 12),
+    ("january", 1), ("february", 2), ("march", 3), ("april", 4), ("may", 5), ("june", 6), ("july", 7), ("august", 8), ("september", 9),
+        ("october", 10), ("november", 11), ("december", 12),
     ("jan", 1), ("feb", 2), ("mar", 3), ("apr", 4), ("jun", 6), ("jul", 7), ("aug", 8), ("sep", 9), ("sept", 9), ("oct", 10), ("nov", 11), ("dec", 12),
 )
 

@@ -18,7 +18,8 @@ from . import numbers as N
 
 # Number words.
 NUMBER_WORDS = (
-    ("one", 1), ("two", 2), ("three", 3), ("four", 4), ("five", 5), ("six", 6), ("seven", 7), ("eight", 8), ("nine", 9), ("ten", 10), ("eleven", 11), ("twelve", 12), ("thirteen", 13), ("fourteen", 14),
+    ("one", 1), ("two", 2), ("three", 3), ("four", 4), ("five", 5), ("six", 6), ("seven", 7), ("eight", 8), ("nine", 9), ("ten", 10), ("eleven", 11),
+        ("twelve", 12), ("thirteen", 13), ("fourteen", 14),
     ("fifteen", 15), ("twenty", 20), ("thirty", 30), ("forty", 40), ("fifty", 50), ("sixty", 60), ("seventy", 70), ("eighty", 80), ("ninety", 90), ("hundred", 100),
 )
 _NUM = r"(-?\d+(?:\.\d+)?)"
@@ -33,7 +34,8 @@ def digits(text: Column) -> Column:
 
 # Arithmetic in words, and what introduces it.
 IN_WORDS = (
-    (rf"(?i){_NUM}\s*(?:%|percent)\s+of\s+{_NUM}", "$1/100*$2"), (rf"(?i){_NUM}\s+to\s+the\s+power\s+of\s+{_NUM}", "$1**$2"), (rf"(?i)square\s+root\s+of\s+{_NUM}", "sqrt($1)"), (r"(?i)\s*\bsquared\b", "**2"), (r"(?i)\s*\bcubed\b", "**3"),
+    (rf"(?i){_NUM}\s*(?:%|percent)\s+of\s+{_NUM}", "$1/100*$2"), (rf"(?i){_NUM}\s+to\s+the\s+power\s+of\s+{_NUM}", "$1**$2"),
+        (rf"(?i)square\s+root\s+of\s+{_NUM}", "sqrt($1)"), (r"(?i)\s*\bsquared\b", "**2"), (r"(?i)\s*\bcubed\b", "**3"),
     (r"(?i)\btimes\b|×", "*"), (r"(?i)\bdivided\s+by\b|÷", "/"), (r"(?i)\bplus\b", "+"), (r"(?i)\bminus\b", "-"),
 )
 KEPT = r"[^0-9+\-*/().,a-zA-Z_\s]"
@@ -150,7 +152,8 @@ def normal_cdf(x: pd.Series, mean: pd.Series, deviation: pd.Series) -> pd.Series
 
 @F.pandas_udf(DoubleType())
 def normal_quantile(p: pd.Series, mean: pd.Series, deviation: pd.Series) -> pd.Series:
-    return pd.Series([NormalDist(m, s).inv_cdf(v) if pd.notna(v) and 0 < v < 1 and pd.notna(m) and s > 0 else None for v, m, s in zip(p, mean, deviation, strict=True)], dtype="float64")
+    return pd.Series([NormalDist(m, s).inv_cdf(v) if pd.notna(v) and 0 < v < 1 and pd.notna(m) and s > 0 else None for v, m,
+        s in zip(p, mean, deviation, strict=True)], dtype="float64")
 
 
 def match_near(value: Column, options: Column, tolerance: float = 0.01) -> Column:

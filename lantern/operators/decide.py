@@ -22,7 +22,8 @@ def gated(primary: DataFrame, fallback: DataFrame, commit: Column) -> DataFrame:
     marked = primary.withColumn("_commit", commit)
     kept = marked.where("_commit").select("question_id", "chosen_index", F.lit("primary").alias("arm"), F.lit(False).alias("disagree"))
     f = fallback.select("question_id", F.col("chosen_index").alias("f_index"))
-    other = marked.where("not _commit").join(f, "question_id").select("question_id", F.col("f_index").alias("chosen_index"), F.lit("fallback").alias("arm"), (F.col("f_index") != F.col("chosen_index")).alias("disagree"))
+    other = marked.where("not _commit").join(f, "question_id").select("question_id", F.col("f_index").alias("chosen_index"),
+        F.lit("fallback").alias("arm"), (F.col("f_index") != F.col("chosen_index")).alias("disagree"))
     return kept.unionByName(other)
 
 
@@ -88,6 +89,8 @@ def fresh(cached_at: Column, now: Column, empty: Column, ttl_seconds: int = 900)
 def source_counters(calls: DataFrame) -> DataFrame:
     """One row from calls (cached, failed, found: booleans) of a news source: calls, hits of its cache and their share, failures, calls that found nothing."""
     return calls.agg(
-        F.count(F.lit(1)).alias("calls"), F.count_if("cached").alias("cache_hits"), F.round(F.coalesce(F.avg(F.when(F.col("cached"), 1.0).otherwise(0.0)), F.lit(0.0)), 9).alias("hit_rate"), F.count_if("failed").alias("failures"),
+        F.count(F.lit(1)).alias("calls"), F.count_if("cached").alias("cache_hits"),
+            F.round(F.coalesce(F.avg(F.when(F.col("cached"), 1.0).otherwise(0.0)), F.lit(0.0)), 9).alias("hit_rate"),
+            F.count_if("failed").alias("failures"),
         F.count_if(~F.col("found") & ~F.col("failed")).alias("empty"),
     )

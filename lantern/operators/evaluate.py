@@ -17,7 +17,8 @@ def gold_harvest(log: DataFrame) -> DataFrame:
     )
     left = F.array_except(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint")), "wrong")
     how = F.when(F.col("hit").isNotNull(), "confirmed").when((F.size("wrong") == 3) & (F.size(left) == 1), "elimination")
-    return grouped.withColumn("how", how).where("how is not null").select(*KEY, F.when(F.col("how") == "confirmed", F.col("hit.chosen_index")).otherwise(F.get(left, F.lit(0))).alias("correct_index"), "how", "level")
+    return grouped.withColumn("how", how).where("how is not null").select(*KEY,
+        F.when(F.col("how") == "confirmed", F.col("hit.chosen_index")).otherwise(F.get(left, F.lit(0))).alias("correct_index"), "how", "level")
 
 
 def wrong_harvest(log: DataFrame, gold: DataFrame) -> DataFrame:
@@ -36,7 +37,8 @@ def set_union(left: DataFrame, right: DataFrame, keys: list[str], order: str | N
     rest = [c for c in left.columns if c not in keys]
     rank = F.struct(*([order] if order else []), *[c for c in rest if c != order])
     both = left.select(*keys, *rest, F.lit(1).alias("_side")).unionByName(right.select(*keys, *rest, F.lit(0).alias("_side")))
-    best = both.groupBy(*keys).agg(F.min(F.struct("_side", rank.alias("_row"))).alias("_best"), F.max("_side").alias("_in_left"), *([F.min(F.when(F.col("_side") == 1, F.col(order))).alias("_place")] if order else []))
+    best = both.groupBy(*keys).agg(F.min(F.struct("_side", rank.alias("_row"))).alias("_best"), F.max("_side").alias("_in_left"),
+        *([F.min(F.when(F.col("_side") == 1, F.col(order))).alias("_place")] if order else []))
     out = [F.when(F.col("_in_left") == 1, F.col("_place")).otherwise(F.col("_best._row")[c]).alias(c) if c == order else F.col("_best._row")[c].alias(c) for c in rest]
     return best.select(*keys, *out).select(*left.columns)
 
@@ -72,10 +74,12 @@ def bins_edges(df: DataFrame, n: int = 10) -> DataFrame:
     edges = [1.0 if i == n else i * step for i in range(n + 1)]
     inner = F.array(*[F.lit(e) for e in edges[1:-1]])
     bin_ = F.size(F.filter(inner, lambda e: e <= F.col("confidence"))).cast("bigint")
-    placed = df.where(F.col("confidence").between(0.0, 1.0)).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("cnt"), F.avg("confidence").alias("conf"), F.avg(F.when(F.col("correct"), 1.0).otherwise(0.0)).alias("acc"))
+    placed = df.where(F.col("confidence").between(0.0, 1.0)).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("cnt"),
+        F.avg("confidence").alias("conf"), F.avg(F.when(F.col("correct"), 1.0).otherwise(0.0)).alias("acc"))
     bins = spark.createDataFrame([(i, edges[i], edges[i + 1]) for i in range(n)], "bin long, lo double, hi double")
     joined = bins.join(placed, "bin", "left")
-    return joined.select("bin", F.coalesce("cnt", F.lit(0)).alias("cnt"), F.round(F.coalesce("conf", (F.col("lo") + F.col("hi")) / 2), 9).alias("conf"), F.round(F.coalesce("acc", F.lit(0.0)), 9).alias("acc"))
+    return joined.select("bin", F.coalesce("cnt", F.lit(0)).alias("cnt"),
+        F.round(F.coalesce("conf", (F.col("lo") + F.col("hi")) / 2), 9).alias("conf"), F.round(F.coalesce("acc", F.lit(0.0)), 9).alias("acc"))
 
 
 def ece(bins: DataFrame, total: Column) -> DataFrame:
@@ -106,7 +110,8 @@ def cumulative(rows: DataFrame, by: list[str], at: str, sums: dict[str, str], de
     cut_up = joined.withColumn("_part", F.size(F.filter("_edges", before))).drop("_edges")
     totals = cut_up.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in sums.items()])
     ahead = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # parts + 1 rows a group
-    offsets = totals.select(*[F.col(c).alias(f"_o_{c}") for c in by], F.col("_part").alias("_o"), *[F.coalesce(F.sum(f"_t_{k}").over(ahead), F.lit(0)).alias(f"_b_{k}") for k in sums])
+    offsets = totals.select(*[F.col(c).alias(f"_o_{c}") for c in by], F.col("_part").alias("_o"),
+        *[F.coalesce(F.sum(f"_t_{k}").over(ahead), F.lit(0)).alias(f"_b_{k}") for k in sums])
     within = Window.partitionBy(*by, "_part").orderBy(F.desc(at) if descending else F.asc(at)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     placed = cut_up.join(offsets, [F.col("_part") == F.col("_o"), *[F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in by]])
     return placed.select(*rows.columns, *[(F.col(f"_b_{k}") + F.sum(c).over(within)).alias(k) for k, c in sums.items()])
@@ -121,12 +126,14 @@ def calibrate_threshold(pairs: DataFrame, base: float) -> DataFrame:
     scores = pairs.groupBy(F.col("top_score").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("correct"), 1).otherwise(0)).alias("c"))
     taus = scores.select(F.bround("s", 3).alias("tau")).union(pairs.sparkSession.createDataFrame([(0.0,), (1.0,)], "tau double")).distinct()
     none = F.lit(0).cast("bigint")
-    points = scores.select(F.col("s").alias("at"), F.lit(0).alias("is_tau"), "n", "c").unionByName(taus.select(F.col("tau").alias("at"), F.lit(1).alias("is_tau"), none.alias("n"), none.alias("c")))
+    points = scores.select(F.col("s").alias("at"), F.lit(0).alias("is_tau"), "n",
+        "c").unionByName(taus.select(F.col("tau").alias("at"), F.lit(1).alias("is_tau"), none.alias("n"), none.alias("c")))
     summed = cumulative(points, [], "at", {"n_ungated": "n", "hits": "c"}, descending=True).where("is_tau = 1")
     total = scores.agg(F.sum("n").alias("t")).scalar()
     p = F.col("n_ungated") / total
     acc = F.when(F.col("n_ungated") > 0, F.col("hits") / F.col("n_ungated")).otherwise(0.0)
-    return summed.select(F.col("at").alias("tau"), "n_ungated", F.round(p, 9).alias("p_ungated"), F.round(acc, 9).alias("acc_ungated"), F.round(acc * p + base * (1 - p), 9).alias("expected"))
+    return summed.select(F.col("at").alias("tau"), "n_ungated", F.round(p, 9).alias("p_ungated"), F.round(acc, 9).alias("acc_ungated"),
+        F.round(acc * p + base * (1 - p), 9).alias("expected"))
 
 
 def best_thresholds(calibrated: DataFrame, k: int) -> DataFrame:
@@ -167,9 +174,11 @@ def report(outputs: DataFrame, gold: DataFrame, keys: list[str], category: str =
     rows = joined.withColumn("correct", F.coalesce(F.col("chosen_index") == F.col("correct_index"), F.lit(False)))
     rows = rows.select("correct", "confidence", "latency_seconds", "tool", F.explode(F.array("own", F.lit("all"))).alias("category"))
     b = F.least(F.floor(F.col("confidence") * 10).cast("bigint"), F.lit(9).cast("bigint"))
-    bins = rows.groupBy("category", b.alias("bin")).agg(F.count(F.lit(1)).alias("cnt"), F.sum("confidence").alias("conf"), F.count_if("correct").alias("hit"), F.count("tool").alias("fired"))
+    bins = rows.groupBy("category", b.alias("bin")).agg(F.count(F.lit(1)).alias("cnt"), F.sum("confidence").alias("conf"),
+        F.count_if("correct").alias("hit"), F.count("tool").alias("fired"))
     whole = bins.groupBy("category").agg(
-        F.sum("cnt").alias("n"), F.sum("hit").alias("correct"), F.round(F.sum("hit") / F.sum("cnt"), 9).alias("accuracy"), F.round(F.sum(F.abs(F.col("hit") - F.col("conf"))) / F.sum("cnt"), 6).alias("ece"), F.sum("fired").alias("n_tool"),
+        F.sum("cnt").alias("n"), F.sum("hit").alias("correct"), F.round(F.sum("hit") / F.sum("cnt"), 9).alias("accuracy"),
+            F.round(F.sum(F.abs(F.col("hit") - F.col("conf"))) / F.sum("cnt"), 6).alias("ece"), F.sum("fired").alias("n_tool"),
     )
     return whole.join(percentiles(rows, ["category"], "latency_seconds", {"latency_p50": 0.5, "latency_p95": 0.95}), "category")
 
@@ -201,7 +210,8 @@ def crosstab(df: DataFrame, rows: str, columns: str) -> DataFrame:
 
 def running_accuracy(df: DataFrame, by: list[str], order: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(order))).withColumn("running", F.round(F.avg(F.when(F.col("correct"), 1.0).otherwise(0.0)).over(w), 9))
+    return df.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(order))).withColumn("running",
+        F.round(F.avg(F.when(F.col("correct"), 1.0).otherwise(0.0)).over(w), 9))
 
 
 def streaks(df: DataFrame, by: str, order: str, failed: Column) -> DataFrame:

@@ -17,7 +17,8 @@ def pool_size(k: int, rerank: bool, spread: bool, oversearch: int = 5) -> int:
 
 
 def retrieve(
-    dense: DataFrame | None, lexical: DataFrame | None, sources: DataFrame, k: int = 3, *, hybrid: bool | None = None, rerank: bool | None = None, scorer: Column | None = None, oversearch: int = 5, spread: bool = True, weights: DataFrame | None = None
+    dense: DataFrame | None, lexical: DataFrame | None, sources: DataFrame, k: int = 3, *, hybrid: bool | None = None, rerank: bool | None = None,
+        scorer: Column | None = None, oversearch: int = 5, spread: bool = True, weights: DataFrame | None = None
 ) -> DataFrame:
     """Rankings (query, rank, key) of one or both kinds to the k passages of each query, with score.
 
@@ -60,7 +61,8 @@ def labeling_template(gold: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame
     """gold with the distinct titles of its k best hits (question_text, rank, title), in rank order, and an empty gold title."""
     firsts = hits.where(F.col("rank") <= k).groupBy("question_text", "title").agg(F.min("rank").alias("at"))
     lists = firsts.groupBy("question_text").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "title"))), lambda s: s["title"]).alias("candidates"))
-    return gold.join(lists, "question_text", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>"))).withColumn("gold_article_title", F.lit(None).cast("string"))
+    return gold.join(lists, "question_text", "left").withColumn("candidates",
+        F.coalesce("candidates", F.array().cast("array<string>"))).withColumn("gold_article_title", F.lit(None).cast("string"))
 
 
 def decide(passages: DataFrame, live: DataFrame, questions: DataFrame, threshold: Column, floor: float = 0.3) -> DataFrame:
@@ -75,7 +77,8 @@ def decide(passages: DataFrame, live: DataFrame, questions: DataFrame, threshold
     joined = questions.join(off, "query", "left").withColumn("gated", F.col("off_n").isNull() | score_gate(F.col("off_top"), threshold)).join(on, "query", "left")
     source = F.when(~F.col("gated"), "offline").when(F.col("live_n") > 0, "live").otherwise("none")
     pick = lambda a, b, none: F.when(F.col("context_source") == "offline", F.col(a)).when(F.col("context_source") == "live", F.col(b)).otherwise(F.lit(none))
-    return joined.withColumn("context_source", source).select("query", "gated", "context_source", pick("off_n", "live_n", 0).alias("n_passages"), pick("off_top", "live_top", None).alias("top_score"))
+    return joined.withColumn("context_source", source).select("query", "gated", "context_source", pick("off_n", "live_n", 0).alias("n_passages"),
+        pick("off_top", "live_top", None).alias("top_score"))
 
 
 def merged_pool(offline: DataFrame, live: DataFrame, k: int) -> DataFrame:

@@ -142,7 +142,8 @@ def fuse(lists: DataFrame, k: int, rrf_k: int = 60, weights: DataFrame | None =
 def diversify(ranked: DataFrame, k: int, source: str = "source") -> DataFrame:
     """The k first of (query, rank, source), each source's best before any second of a source."""
     w = Window.partitionBy("query", source).orderBy("rank")
-    return top_k(ranked.withColumn("_again", (F.row_number().over(w) > 1).cast("int")).withColumnRenamed("rank", "pool_rank"), k, [F.asc("_again"), F.asc("pool_rank")]).drop("_again")
+    return top_k(ranked.withColumn("_again", (F.row_number().over(w) > 1).cast("int")).withColumnRenamed("rank", "pool_rank"), k,
+        [F.asc("_again"), F.asc("pool_rank")]).drop("_again")
 
 
 def overlap_score(query: Column, text: Column) -> Column:

@@ -14,13 +14,16 @@ TOK = "regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\p{{N}}_]+')"
 KEPT = "list_filter(" + TOK + f", lambda t: t NOT IN ({_STOP}))"
 
 
-@query(f"SELECT lang, count(*) AS docs, CAST(sum(len({TOK.format('text')})) AS BIGINT) AS tokens, CAST(sum(len({KEPT.format('text')})) AS BIGINT) AS kept FROM documents GROUP BY lang")
+@query(f"SELECT lang, count(*) AS docs, CAST(sum(len({TOK.format('text')})) AS BIGINT) AS tokens"
+    f", CAST(sum(len({KEPT.format('text')})) AS BIGINT) AS kept FROM documents GROUP BY lang")
 def tokenize_counts(spark, d):
     """X-01: tokens with and without stopwords, by language."""
-    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size(T.tokens(F.col("text"), False))).alias("tokens"), F.sum(F.size(T.tokens(F.col("text")))).alias("kept"))
+    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"),
+        F.sum(F.size(T.tokens(F.col("text"), False))).alias("tokens"), F.sum(F.size(T.tokens(F.col("text")))).alias("kept"))
 
 
-@query(f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({KEPT.format('text')}) AS token FROM documents) GROUP BY token HAVING count(DISTINCT doc_id) >= 3")
+@query(f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({KEPT.format('text')}) AS token FROM documents)"
+    f" GROUP BY token HAVING count(DISTINCT doc_id) >= 3")
 def stopword_filter(spark, d):
     """X-01, A-21: frequencies of tokens that are left, in three documents or more."""
     rows = table(spark, d, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
@@ -31,7 +34,8 @@ def stopword_filter(spark, d):
 #: Articles from documents: citations after sentences, a heading where a line breaks, and a tail on every third.
 _ART_SQL = (
     "(SELECT doc_id, replace(replace(coalesce(text, ''), '. ', '. [' || doc_id % 40 || '] '), chr(10), chr(10) || '== Part ' || source || ' ==' || chr(10))"
-    " || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '=== See also ===' || chr(10) || 'list' || chr(10) || '== More ==' || chr(10) || 'x' ELSE chr(10) || '== Empty ==' || chr(10) || chr(10) || '== Last ==' || chr(10) || 'End.' END AS text FROM documents)"
+    " || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '=== See also ===' || chr(10) || 'list' || chr(10) || '== More ==' || chr(10) || 'x'"
+        " ELSE chr(10) || '== Empty ==' || chr(10) || chr(10) || '== Last ==' || chr(10) || 'End.' END AS text FROM documents)"
 )
 
 
@@ -45,7 +49,8 @@ def _articles(spark, d):
 
 @query(
     "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\[\\d+\\]', '', 'g'),"
-    f" '(?ims)^={{2,}}\\s*(?:{T.TAIL_HEADINGS})\\s*={{2,}}\\s*?$.*\\z', ''), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+\\z', '', 'g')) AS cleaned FROM {_ART_SQL}"
+    f" '(?ims)^={{2,}}\\s*(?:{T.TAIL_HEADINGS})\\s*={{2,}}\\s*?$.*\\z', ''), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+\\z', '', 'g')) AS cleaned"
+        f" FROM {_ART_SQL}"
 )
 def clean_text(spark, d):
     """X-02: article cleaning."""
@@ -53,9 +58,11 @@ def clean_text(spark, d):
 
 
 @query(
-    "WITH m AS (SELECT doc_id, string_split(regexp_replace(text, '(?m)^={2,}[ \\t]*(.+?)[ \\t]*={2,}[ \\t]*$', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p FROM " + _ART_SQL + "),"
+    "WITH m AS (SELECT doc_id, string_split(regexp_replace(text, '(?m)^={2,}[ \\t]*(.+?)[ \\t]*={2,}[ \\t]*$', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p"
+        " FROM " + _ART_SQL + "),"
     " e AS (SELECT doc_id, unnest(p) AS part, unnest(range(len(p))) AS i FROM m),"
-    " s AS (SELECT doc_id, i, CASE WHEN i = 0 THEN '' ELSE trim(string_split(part, chr(2))[1]) END AS header, regexp_replace(CASE WHEN i = 0 THEN part ELSE string_split(part, chr(2))[2] END, '^\\s+|\\s+\\z', '', 'g') AS body FROM e)"
+    " s AS (SELECT doc_id, i, CASE WHEN i = 0 THEN '' ELSE trim(string_split(part, chr(2))[1]) END AS header, regexp_replace(CASE WHEN i = 0 THEN part"
+        " ELSE string_split(part, chr(2))[2] END, '^\\s+|\\s+\\z', '', 'g') AS body FROM e)"
     " SELECT doc_id, header, md5(body) AS body FROM s WHERE body <> ''"
 )
 def section_split(spark, d):
@@ -64,12 +71,14 @@ def section_split(spark, d):
 
 
 @query(
-    "WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS p, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS w FROM documents)"
+    "WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS p, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS w"
+        " FROM documents)"
     " SELECT doc_id, len(p) AS sentences, w AS words FROM s"
 )
 def sentence_words(spark, d):
     """X-05, X-06: sentences and words of each document."""
-    return table(spark, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("sentences"), T.word_count(F.col("text")).cast("bigint").alias("words"))
+    return table(spark, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("sentences"),
+        T.word_count(F.col("text")).cast("bigint").alias("words"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 9 < 7 THEN CAST(ts AS DATE) END AS day FROM events")
@@ -78,8 +87,10 @@ def question_date(spark, d):
     k, ts = F.col("event_id"), F.col("ts")
     day = lambda p: F.date_format(ts, p)
     forms = [
-        F.concat(F.lit("News of "), day("yyyy-MM-dd"), F.lit(" today")), F.concat(F.lit("on "), day("yyyy.MM.dd")), F.concat(F.lit("on "), day("yyyy/M/d"), F.lit(".")), F.concat(F.lit("spoken "), day("yyyy.MMdd"), F.lit(" here")),
-        F.concat(F.lit("On "), day("d MMMM yyyy"), F.lit(", x")), F.concat(day("MMM d"), F.lit("th, "), day("yyyy")), F.concat(F.lit("2026-13-45 then "), day("dd"), F.lit("st "), day("MMM"), F.lit(". "), day("yyyy")),
+        F.concat(F.lit("News of "), day("yyyy-MM-dd"), F.lit(" today")), F.concat(F.lit("on "), day("yyyy.MM.dd")),
+            F.concat(F.lit("on "), day("yyyy/M/d"), F.lit(".")), F.concat(F.lit("spoken "), day("yyyy.MMdd"), F.lit(" here")),
+        F.concat(F.lit("On "), day("d MMMM yyyy"), F.lit(", x")), F.concat(day("MMM d"), F.lit("th, "), day("yyyy")),
+            F.concat(F.lit("2026-13-45 then "), day("dd"), F.lit("st "), day("MMM"), F.lit(". "), day("yyyy")),
         F.concat(F.lit("31 Foo "), day("yyyy")), F.concat(F.lit("Feb 30, "), day("yyyy")),
     ]
     said = F.lit("none")
@@ -89,18 +100,21 @@ def question_date(spark, d):
 
 
 @query(
-    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Waterfront ' || doc_id || '|Roman Empire' || doc_id || '|Carl X' || upper(lang) WHEN 1 THEN 'group life ' || lang || '|bystander effect' WHEN 2 THEN 'Pink Floyd|Moon The Beatles' ELSE '' END AS phrases FROM documents"
+    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Waterfront ' || doc_id || '|Roman Empire' || doc_id || '|Carl X' || upper(lang)"
+        " WHEN 1 THEN 'group life ' || lang || '|bystander effect' WHEN 2 THEN 'Pink Floyd|Moon The Beatles' ELSE '' END AS phrases FROM documents"
 )
 def phrase_extract(spark, d):
     """X-13: candidate titles of questions: quoted, capitalised, and concepts."""
     k, lang = F.col("doc_id").cast("string"), F.col("lang")
-    q = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit('Who wrote "Waterfront '), k, F.lit('" about Roman Empire'), k, F.lit("?"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("What describes the bystander effect in 'group life "), lang, F.lit("'?")))
+    q = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit('Who wrote "Waterfront '), k, F.lit('" about Roman Empire'), k,
+        F.lit("?"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("What describes the bystander effect in 'group life "), lang, F.lit("'?")))
     q = q.when(F.col("doc_id") % 4 == 2, "which of Washington It did Pink Floyd of the Moon")
     o = F.when(F.col("doc_id") % 4 == 0, F.array(F.concat(F.lit("Carl X"), F.upper(lang)), F.lit("x"))).when(F.col("doc_id") % 4 == 2, F.array(F.lit("The Beatles")))
     return table(spark, d, "documents").select("doc_id", F.array_join(T.candidate_phrases(q, o), "|").alias("phrases"))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'budget ' || event_type || ' in Parliament' WHEN 1 THEN 'the ' || event_type || ' day' ELSE 'plain ' || event_type END AS q FROM events")
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'budget ' || event_type || ' in Parliament' WHEN 1 THEN 'the ' || event_type || ' day'"
+    " ELSE 'plain ' || event_type END AS q FROM events")
 def news_query(spark, d):
     """D-02: questions without dates and lead-ins."""
     k, kind, ts = F.col("event_id"), F.col("event_type"), F.col("ts")
@@ -142,11 +156,14 @@ def chunk_fixed(spark, d):
 # A buffer is a range s..e of a text's words; what is flushed is one too.
 _LAST = "CAST(greatest(0, ceil((n - 300) / 250.0)) AS BIGINT)"
 _CHUNKS = (
-    "WITH RECURSIVE p AS (SELECT doc_id, lang, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: list_filter(string_split_regex(x, '\\s+'), lambda w: w <> '')), lambda x: len(x) > 0) AS w FROM documents),"
+    "WITH RECURSIVE p AS (SELECT doc_id, lang, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: list_filter(string_split_regex(x, '\\s+'), lambda w: w <> '')), lambda x: len(x) > 0) AS w"
+        " FROM documents),"
     " z AS (SELECT doc_id, lang, flatten(w) AS words, list_transform(w, lambda x: len(x)) AS n FROM p),"
     " f AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS s, CAST(0 AS BIGINT) AS e, CAST([] AS BIGINT[][]) AS done FROM z UNION ALL"
     " SELECT doc_id, i + 1, CASE WHEN n > 300 THEN greatest(e + 1 + last * 250, e + n - 49) WHEN e - s + 1 + n > 300 THEN greatest(s, e - 49) ELSE s END, e + n,"
-    " CASE WHEN n > 300 THEN list_concat(done, CASE WHEN e >= s THEN [[s, e]] ELSE [] END, [[e + 1 + k * 250, least(e + 300 + k * 250, e + n)] for k in range(0, last + 1)]) WHEN e - s + 1 + n > 300 THEN list_append(done, [s, e]) ELSE done END"
+    " CASE WHEN n > 300 THEN list_concat(done, CASE WHEN e >= s THEN [[s, e]]"
+        " ELSE [] END, [[e + 1 + k * 250, least(e + 300 + k * 250, e + n)] for k in range(0, last + 1)])"
+        " WHEN e - s + 1 + n > 300 THEN list_append(done, [s, e]) ELSE done END"
     f" FROM (SELECT *, {_LAST} AS last FROM (SELECT f.*, z.n[i + 1] AS n FROM f JOIN z USING (doc_id) WHERE i < len(z.n)))),"
     " c AS (SELECT f.doc_id, CASE WHEN e >= s THEN list_append(done, [s, e]) ELSE done END AS done FROM f JOIN z ON z.doc_id = f.doc_id AND i = len(z.n)),"
     " u AS (SELECT doc_id, unnest(done) AS r, unnest(range(len(done))) AS k FROM c),"
@@ -155,7 +172,8 @@ _CHUNKS = (
 )
 
 
-@query(_CHUNKS + " SELECT CAST(t.doc_id AS VARCHAR) AS source, lang AS category, CAST(grp - 1 AS INTEGER) AS chunk_id, CAST(NULL AS VARCHAR) AS section_title, TRUE AS is_lead, md5(t.text) AS digest FROM t JOIN z USING (doc_id)")
+@query(_CHUNKS + " SELECT CAST(t.doc_id AS VARCHAR) AS source, lang AS category, CAST(grp - 1 AS INTEGER) AS chunk_id"
+    ", CAST(NULL AS VARCHAR) AS section_title, TRUE AS is_lead, md5(t.text) AS digest FROM t JOIN z USING (doc_id)")
 def chunk_sentences(spark, d):
     """R-10: chunks bounded by sections and sentences."""
     articles = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), "text", F.col("lang").alias("category"))
@@ -176,19 +194,25 @@ def tail_merge(spark, d):
 
 
 @query(
-    "SELECT doc_id, md5(CASE WHEN doc_id % 9 = 0 THEN '' ELSE source || ': ' END || text) AS plain, md5(source || ' (also known as: ' || lang || '; x) — S: ' || text) AS rich, md5(CASE WHEN doc_id % 9 = 0 THEN '' ELSE source || ' — S: ' END || text) AS part FROM documents"
+    "SELECT doc_id, md5(CASE WHEN doc_id % 9 = 0 THEN ''"
+        " ELSE source || ': ' END || text) AS plain, md5(source || ' (also known as: ' || lang || '; x) — S: ' || text) AS rich, md5(CASE"
+        " WHEN doc_id % 9 = 0 THEN '' ELSE source || ' — S: ' END || text) AS part FROM documents"
 )
 def embedding_projection(spark, d):
     """F-14, F-15: the text that is embedded, of whole texts; without a source just the text."""
     none, no_text = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
     source = F.when(F.col("doc_id") % 18 == 0, " ").when(F.col("doc_id") % 9 != 0, F.col("source"))
-    made = {"plain": C.embedding_text(source, none, no_text, F.col("text")), "rich": C.embedding_text(F.col("source"), F.array("lang", F.lit("x")), F.lit("S"), F.col("text")), "part": C.embedding_text(source, none, F.lit("S"), F.col("text"))}
+    made = {"plain": C.embedding_text(source, none, no_text, F.col("text")),
+        "rich": C.embedding_text(F.col("source"), F.array("lang", F.lit("x")), F.lit("S"), F.col("text")),
+        "part": C.embedding_text(source, none, F.lit("S"), F.col("text"))}
     return table(spark, d, "documents").select("doc_id", *[F.md5(text).alias(name) for name, text in made.items()])
 
 
 @query(
-    "WITH RECURSIVE e(parent, child) AS (SELECT CASE WHEN doc_id % 7 = 0 THEN lang ELSE 'n' || doc_id // 3 END, 'n' || doc_id FROM documents UNION SELECT 'n' || doc_id, source FROM documents WHERE doc_id % 5 = 0 UNION SELECT source, lang FROM documents),"
-    " r(node, depth) AS (SELECT 'en', 0 UNION SELECT e.child, r.depth + 1 FROM r JOIN e ON e.parent = r.node WHERE r.depth < 4) SELECT node, min(depth) AS depth FROM r GROUP BY node"
+    "WITH RECURSIVE e(parent, child) AS (SELECT CASE WHEN doc_id % 7 = 0 THEN lang ELSE 'n' || doc_id // 3 END, 'n' || doc_id FROM documents UNION"
+        " SELECT 'n' || doc_id, source FROM documents WHERE doc_id % 5 = 0 UNION SELECT source, lang FROM documents),"
+    " r(node, depth) AS (SELECT 'en', 0 UNION SELECT e.child, r.depth + 1 FROM r JOIN e ON e.parent = r.node WHERE r.depth < 4)"
+        " SELECT node, min(depth) AS depth FROM r GROUP BY node"
 )
 def category_closure(spark, d):
     """S-21: what a bounded walk of a graph of languages, sources and documents, with cycles, reaches."""
@@ -199,26 +223,34 @@ def category_closure(spark, d):
     return C.closure(edges, ["en"], 4)
 
 
-@query("SELECT DISTINCT source || '/' || lang AS title, CASE WHEN lang = 'fr' THEN upper(source) || ' (page)' WHEN lang = 'de' THEN upper(source) WHEN lang = 'es' THEN source || '/moved' ELSE source || '/' || lang END AS resolved FROM documents")
+@query("SELECT DISTINCT source || '/' || lang AS title, CASE WHEN lang = 'fr' THEN upper(source) || ' (page)' WHEN lang = 'de' THEN upper(source)"
+    " WHEN lang = 'es' THEN source || '/moved' ELSE source || '/' || lang END AS resolved FROM documents")
 def title_resolution(spark, d):
     """J-13: titles through a normalisation and a redirect, either alone, and neither."""
     titles = table(spark, d, "documents").select("source", "lang", F.concat_ws("/", "source", "lang").alias("title")).distinct()
-    normal = titles.where("lang in ('fr', 'de')").select(F.col("title").alias("from"), F.when(F.col("lang") == "de", F.upper("source")).otherwise(F.concat(F.upper("source"), F.lit("/f"))).alias("to"))
+    normal = titles.where("lang in ('fr', 'de')").select(F.col("title").alias("from"),
+        F.when(F.col("lang") == "de", F.upper("source")).otherwise(F.concat(F.upper("source"), F.lit("/f"))).alias("to"))
     moved = titles.where("lang = 'es'").select(F.col("title").alias("from"), F.concat("source", F.lit("/moved")).alias("to"))
     moved = moved.union(titles.where("lang = 'fr'").select(F.concat(F.upper("source"), F.lit("/f")), F.concat(F.upper("source"), F.lit(" (page)"))))
     return C.resolve_titles(titles.select("title"), normal, moved)
 
 
-@query("SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN regexp_extract(left(text, 201), '(?s)\\A(.{0,199}[.!?])(?:\\s|\\z)', 1) <> '' THEN regexp_extract(left(text, 201), '(?s)\\A(.{0,199}[.!?])(?:\\s|\\z)', 1) WHEN regexp_extract(left(text, 200), '(?s)\\A(.+) ', 1) <> '' THEN regexp_extract(left(text, 200), '(?s)\\A(.+) ', 1) ELSE left(text, 200) END AS snippet FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) <= 200 THEN text"
+    " WHEN regexp_extract(left(text, 201), '(?s)\\A(.{0,199}[.!?])(?:\\s|\\z)', 1) <> '' THEN regexp_extract(left(text, 201), '(?s)\\A(.{0,199}[.!?])(?:\\s|\\z)', 1)"
+    " WHEN regexp_extract(left(text, 200), '(?s)\\A(.+) ', 1) <> '' THEN regexp_extract(left(text, 200), '(?s)\\A(.+) ', 1)"
+    " ELSE left(text, 200) END AS snippet FROM documents")
 def truncate_sentence(spark, d):
     """X-07: passages cut at a sentence's end."""
     return table(spark, d, "documents").select("doc_id", T.truncate(F.col("text"), 200).alias("snippet"))
 
 
-@query("SELECT d.source, count(*) AS n, round(avg(l.quality), 9) AS quality, round(avg(l.toxic), 9) AS toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.source")
+@query("SELECT d.source, count(*) AS n, round(avg(l.quality), 9) AS quality, round(avg(l.toxic), 9) AS toxic FROM documents d"
+    " JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.source")
 def label_quality_by_source(spark, d):
     """A-04's shape: labels by source."""
-    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("quality"), 9).alias("quality"), F.round(F.avg("toxic"), 9).alias("toxic"))
+    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"),
+        "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("quality"), 9).alias("quality"),
+        F.round(F.avg("toxic"), 9).alias("toxic"))
 
 
 @query("SELECT DISTINCT source FROM documents")

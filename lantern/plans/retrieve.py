@@ -18,7 +18,8 @@ _HITS = (
     " r AS (SELECT doc, len(t) AS dl, unnest(t) AS token, unnest(range(len(t))) AS pos FROM l),"
     " p AS (SELECT token, doc, any_value(dl) AS dl, count(*) AS tf, list(pos ORDER BY pos) AS positions FROM r WHERE token IN (SELECT token FROM q) GROUP BY token, doc),"
     " d AS (SELECT token, count(*) AS df FROM p GROUP BY token),"
-    " h AS (SELECT q.query, q.qi, q.token, p.doc, p.tf, p.positions, p.dl, ln((n - df + 0.5) / (df + 0.5) + 1) AS idf, avgdl FROM q JOIN p ON p.token = q.token JOIN d ON d.token = q.token, st),"
+    " h AS (SELECT q.query, q.qi, q.token, p.doc, p.tf, p.positions, p.dl, ln((n - df + 0.5) / (df + 0.5) + 1) AS idf, avgdl FROM q"
+        " JOIN p ON p.token = q.token JOIN d ON d.token = q.token, st),"
     " s AS (SELECT query, doc, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score, min(qi) AS first_qi FROM h GROUP BY query, doc)"
 )
 _TOP = ", b AS (SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, first_qi, doc) AS rank FROM s)"
@@ -46,21 +47,26 @@ def bm25_topk(spark, d):
 @query(
     f"WITH l AS (SELECT doc_id AS doc, {KEPT.format('text')} AS t FROM documents), r AS (SELECT doc, unnest(t) AS token, unnest(range(len(t))) AS pos FROM l),"
     " p AS (SELECT token, doc, count(*) AS tf, min(pos) AS first_pos, max(pos) AS last_pos FROM r GROUP BY token, doc)"
-    " SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, round(ln(((SELECT count(*) FROM l) - count(*) + 0.5) / (count(*) + 0.5) + 1), 9) AS idf, max(last_pos) AS last_pos, min(first_pos) AS first_pos FROM p GROUP BY token HAVING count(*) >= 2"
+    " SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, round(ln(((SELECT count(*)"
+        " FROM l) - count(*) + 0.5) / (count(*) + 0.5) + 1), 9) AS idf, max(last_pos) AS last_pos, min(first_pos) AS first_pos FROM p"
+        " GROUP BY token HAVING count(*) >= 2"
 )
 def postings_stats(spark, d):
     """A-21, A-22: document frequency, IDF and extreme positions of tokens in two documents or more."""
     docs = table(spark, d, "documents")
     n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     rows = docs.select(F.explode(R.token_runs(T.tokens(F.col("text")))).alias("r")).select("r.*")
-    out = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("b").cast("bigint").alias("last_pos"), F.min("a").cast("bigint").alias("first_pos")).where("df >= 2")
+    out = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("b").cast("bigint").alias("last_pos"),
+        F.min("a").cast("bigint").alias("first_pos")).where("df >= 2")
     return out.select("token", "df", "cf", F.round(R.idf(n, F.col("df")), 9).alias("idf"), "last_pos", "first_pos")
 
 
 _NEAR = (
-    ", pr AS (SELECT x.query, x.doc, x.qi AS a, y.qi AS b, x.idf + y.idf AS w, x.positions AS p, y.positions AS o FROM h x JOIN h y ON x.query = y.query AND x.doc = y.doc AND x.qi < y.qi),"
+    ", pr AS (SELECT x.query, x.doc, x.qi AS a, y.qi AS b, x.idf + y.idf AS w, x.positions AS p, y.positions AS o FROM h x"
+        " JOIN h y ON x.query = y.query AND x.doc = y.doc AND x.qi < y.qi),"
     " m AS (SELECT query, doc, a, b, any_value(w) AS w, min(gap) AS gap FROM (SELECT query, doc, a, b, w, CASE WHEN s <> lag(s) OVER z THEN v - lag(v) OVER z END AS gap"
-    " FROM (SELECT query, doc, a, b, w, unnest(p) AS v, 0 AS s FROM pr UNION ALL SELECT query, doc, a, b, w, unnest(o), 1 FROM pr) WINDOW z AS (PARTITION BY query, doc, a, b ORDER BY v, s)) GROUP BY query, doc, a, b),"
+    " FROM (SELECT query, doc, a, b, w, unnest(p) AS v, 0 AS s FROM pr UNION ALL SELECT query, doc, a, b, w, unnest(o), 1"
+        " FROM pr) WINDOW z AS (PARTITION BY query, doc, a, b ORDER BY v, s)) GROUP BY query, doc, a, b),"
     " bo AS (SELECT query, doc, sum(0.25 * w / (1 + gap)) AS bonus FROM m WHERE gap <= 10 GROUP BY query, doc),"
     " t AS (SELECT s.query, s.doc, round(s.score + coalesce(bonus, 0), 6) AS score, first_qi FROM s LEFT JOIN bo ON bo.query = s.query AND bo.doc = s.doc),"
     " pb AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, first_qi, doc) AS rank FROM t)"
@@ -89,17 +95,20 @@ _DENSE = f"v AS (SELECT a.vec_id AS query, b.vec_id AS vec, b.label, round({_DOT
 
 def _vectors(spark, d):
     v = table(spark, d, "embeddings")
-    return v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"), F.col("label").alias("q_label")), v.select(F.col("vec_id").alias("vec"), F.col("embedding").alias("v"), "label")
+    return v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"),
+        F.col("label").alias("q_label")), v.select(F.col("vec_id").alias("vec"), F.col("embedding").alias("v"), "label")
 
 
-@query("WITH " + _DENSE.format("") + ", r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec) AS rank FROM v) SELECT query, vec, label, score, rank FROM r WHERE rank <= 10")
+@query("WITH " + _DENSE.format("") + ", r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec) AS rank FROM v)"
+    " SELECT query, vec, label, score, rank FROM r WHERE rank <= 10")
 def dense_topk(spark, d):
     """R-14, J-06, M-01: exact nearest vectors of every fiftieth."""
     q, v = _vectors(spark, d)
     return R.dense(q, v, 10).join(v.select("vec", "label"), "vec").select("query", "vec", "label", "score", "rank")
 
 
-@query("WITH " + _DENSE.format("AND a.label = b.label") + ", r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec) AS rank FROM v) SELECT query, vec, label, score, rank FROM r WHERE rank <= 10")
+@query("WITH " + _DENSE.format("AND a.label = b.label") + ", r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec) AS rank"
+    " FROM v) SELECT query, vec, label, score, rank FROM r WHERE rank <= 10")
 def dense_topk_category(spark, d):
     """F-09, O-2: the same within the query's label; the filter is below the top k."""
     return R.dense(*_vectors(spark, d), 10, "label").select("query", "vec", "label", "score", "rank")
@@ -135,7 +144,8 @@ def rrf_weighted(spark, d):
 
 
 @query(
-    _HITS + _TOP + ", z AS (SELECT b.*, d.source, row_number() OVER (PARTITION BY query, source ORDER BY rank) > 1 AS again FROM b JOIN documents d ON d.doc_id = b.doc WHERE rank <= 20),"
+    _HITS + _TOP + ", z AS (SELECT b.*, d.source, row_number() OVER (PARTITION BY query, source ORDER BY rank) > 1 AS again FROM b"
+        " JOIN documents d ON d.doc_id = b.doc WHERE rank <= 20),"
     " y AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY again, rank) AS place FROM z) SELECT query, doc, source, score, place AS rank FROM y WHERE place <= 5"
 )
 def diversify_topk(spark, d):
@@ -145,7 +155,8 @@ def diversify_topk(spark, d):
 
 
 @query(
-    _HITS + _TOP + f", z AS (SELECT b.query, b.doc, b.rank, list_distinct({KEPT.format('i.text')}) AS qt, {KEPT.format('d.text')} AS dt FROM b JOIN documents d ON d.doc_id = b.doc JOIN benchmark i ON i.item_id = b.query WHERE b.rank <= 20),"
+    _HITS + _TOP + f", z AS (SELECT b.query, b.doc, b.rank, list_distinct({KEPT.format('i.text')}) AS qt, {KEPT.format('d.text')} AS dt FROM b"
+        f" JOIN documents d ON d.doc_id = b.doc JOIN benchmark i ON i.item_id = b.query WHERE b.rank <= 20),"
     " o AS (SELECT query, doc, rank, CASE WHEN len(qt) > 0 THEN round(len(list_intersect(qt, dt)) / len(qt), 9) ELSE 0.0 END AS score FROM z),"
     " y AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, rank) AS place FROM o) SELECT query, doc, score, place AS rank FROM y WHERE place <= 5"
 )
@@ -209,7 +220,8 @@ def recall_by_category(spark, d):
 
 
 @query(
-    _HITS + _TOP + _GOLD + ", sr AS (SELECT b.query, b.rank, d.source FROM b JOIN documents d ON d.doc_id = b.doc WHERE b.rank <= 20), gs AS (SELECT g.query, d.source FROM gold g JOIN documents d ON d.doc_id = g.gold),"
+    _HITS + _TOP + _GOLD + ", sr AS (SELECT b.query, b.rank, d.source FROM b JOIN documents d ON d.doc_id = b.doc WHERE b.rank <= 20)"
+        ", gs AS (SELECT g.query, d.source FROM gold g JOIN documents d ON d.doc_id = g.gold),"
     " c AS (SELECT gs.query, min(sr.rank) AS found_at FROM gs LEFT JOIN sr ON sr.query = gs.query AND sr.source = gs.source GROUP BY gs.query)"
     " SELECT count(*) AS n, round(avg(CASE WHEN found_at <= 3 THEN 1.0 ELSE 0.0 END), 9) AS recall_3, round_even(avg(coalesce(1.0 / found_at, 0)), 4) AS mrr FROM c"
 )
@@ -223,7 +235,8 @@ def recall_chunk_rank(spark, d):
 
 
 @query(
-    _HITS + _TOP + ", z AS (SELECT b.query, b.doc, b.rank, length('[' || rank || '] ' || source || chr(10) || left(text, 800)) AS n FROM b JOIN documents d ON d.doc_id = b.doc WHERE rank <= 10),"
+    _HITS + _TOP + ", z AS (SELECT b.query, b.doc, b.rank, length('[' || rank || '] ' || source || chr(10) || left(text, 800)) AS n FROM b"
+        " JOIN documents d ON d.doc_id = b.doc WHERE rank <= 10),"
     " y AS (SELECT *, sum(n) OVER (PARTITION BY query ORDER BY rank) AS used FROM z) SELECT query, doc, rank, CAST(used AS BIGINT) AS used FROM y WHERE used <= 2400"
 )
 def context_budget(spark, d):

@@ -26,7 +26,8 @@ _THREE = "lcm(lcm(a, b), c)"
 
 def _events(spark, d, kinds):
     e = table(spark, d, "events").select("event_id")
-    return e.select("event_id", (F.col("event_id") % kinds).alias("r"), (F.col("event_id") % 7 + 2).alias("a"), (F.col("event_id") % 5 + 3).alias("b"), (F.col("event_id") % 11 + 1).alias("c"))
+    return e.select("event_id", (F.col("event_id") % kinds).alias("r"), (F.col("event_id") % 7 + 2).alias("a"),
+        (F.col("event_id") % 5 + 3).alias("b"), (F.col("event_id") % 11 + 1).alias("c"))
 
 
 def _said(forms):
@@ -44,15 +45,18 @@ _SYMBOLIC = [
     (("What is \\log_%d %d", "a", "cast(pow(a, b) as bigint)"), 10, "b", "NULL"),
     (("What is the value of %d^2 + %d^2 + ... + %d^2?", "a", "a + 1", "a + b"), 11, "(SELECT sum(i * i) FROM range(a, a + b + 1) t(i))", "NULL"),
     (("One bus leaves every %d minutes, another every %d minutes. How many times do they leave together?", "a", "b"), 13, "1440 // lcm(a, b)", "NULL"),
-    (("Red blinks every %d seconds, blue every %d seconds and green every %d seconds. How often together in a %d-minute show?", "a", "b", "c", "c"), 7, f"c * 60 // {_THREE} + 1", "NULL"),
+    (("Red blinks every %d seconds, blue every %d seconds and green every %d seconds. How often together in a %d-minute show?", "a", "b", "c", "c"),
+        7, f"c * 60 // {_THREE} + 1", "NULL"),
     (("A shop has %d boxes; %d contain pens, %d contain ink and %d contain neither.", "a + b + c", "a + b", "b + c", "a"), 14, "a + b + b + c - (b + c)", "NULL"),
     (("A correlation of 0.%d is how many times a correlation of 0.%d?", "a", "b"), 15, "power(CAST(a AS DOUBLE) / b, 2)", "NULL"),
     (("In how many ways can %d different books be arranged on a shelf?", "a"), 17, "factorial(CAST(a AS INTEGER))", "NULL"),
-    (("Points (%d, %d) and (%d, %d) are opposite vertices of a square. What is the area?", "a", "b", "b + 1", "c"), 20, "((a - b - 1) * (a - b - 1) + (b - c) * (b - c)) / 2.0", "NULL"),
+    (("Points (%d, %d) and (%d, %d) are opposite vertices of a square. What is the area?", "a", "b", "b + 1", "c"), 20,
+        "((a - b - 1) * (a - b - 1) + (b - c) * (b - c)) / 2.0", "NULL"),
     (("In 1990 there were %d cases and in 2000 there were %d cases. How many in 199%d?", "a * 100", "c * 100", "b"), 21, "a * 100 + (c - a) * 100 * b / 10.0", "NULL"),
     (("Let h(%dx - 1) = %dx + %d. For what value of x is h(x) = x?", "a + 9", "b", "c"), 6, "(c * (a + 9) + b) / CAST(a + 9 - b AS DOUBLE)", "NULL"),
     (("What is the reciprocal of 0.%d\\overline{%d}?", "b", "a"), 1, "90.0 / (b * 10 + a - b)", "NULL"),
-    (("How many combinations of %d from %d are there?", "b", "a + b"), 16, "factorial(CAST(a + b AS INTEGER)) / (factorial(CAST(a AS INTEGER)) * factorial(CAST(b AS INTEGER)))", "NULL"),
+    (("How many combinations of %d from %d are there?", "b", "a + b"), 16,
+        "factorial(CAST(a + b AS INTEGER)) / (factorial(CAST(a AS INTEGER)) * factorial(CAST(b AS INTEGER)))", "NULL"),
     (("The equation x^2 - %dx + %d = 0 has which positive difference of solutions?", "2 * a + b", "a * (a + b)"), 12, "b", "0"),
     (("If %dx + %d = %d, then x = ?", "a", "b", "b + a * c"), 18, "c", "0"),
     (("What is the maximum value of $-x^2+%dx+%d$?", "a", "c"), 19, "a * a / 4.0 + c", "0"),
@@ -115,12 +119,15 @@ def linear_systems(spark, d):
 _TERM = "factorial(CAST(n AS INTEGER)) / (factorial(CAST(i AS INTEGER)) * factorial(CAST(n - i AS INTEGER))) * power(p, i) * power(1 - p, n - i)"
 
 
-@query(f"WITH e AS (SELECT *, r % 3 AS kind, a + b AS n, b AS k, a / 9.0 AS p FROM ({_E})) SELECT event_id, round(CASE kind WHEN 0 THEN (SELECT sum({_TERM}) FROM range(k, n + 1) t(i)) WHEN 1 THEN power(p, k) ELSE (SELECT sum({_TERM}) FROM range(k, k + 1) t(i)) END, 9) AS p FROM e")
+@query(f"WITH e AS (SELECT *, r % 3 AS kind, a + b AS n, b AS k, a / 9.0 AS p FROM ({_E})) SELECT event_id, round(CASE kind"
+    f" WHEN 0 THEN (SELECT sum({_TERM}) FROM range(k, n + 1) t(i)) WHEN 1 THEN power(p, k) ELSE (SELECT sum({_TERM})"
+    f" FROM range(k, k + 1) t(i)) END, 9) AS p FROM e")
 def binomial_questions(spark, d):
     """M-09, M-10: binomial questions in words."""
     e = _events(spark, d, 23)
     rate = F.format_string("When %d out of 9 tries succeed, what is the probability of ", F.col("a"))
-    asked = F.when(F.col("r") % 3 == 0, F.format_string("at least %d successes in %d trials?", F.col("b"), F.expr("a + b"))).when(F.col("r") % 3 == 1, F.format_string("%d hits in %d at-bats?", F.col("b"), F.col("b")))
+    asked = F.when(F.col("r") % 3 == 0, F.format_string("at least %d successes in %d trials?", F.col("b"), F.expr("a + b"))).when(F.col("r") % 3 == 1,
+        F.format_string("%d hits in %d at-bats?", F.col("b"), F.col("b")))
     asked = asked.otherwise(F.format_string("exactly %d successes in %d trials?", F.col("b"), F.expr("a + b")))
     return e.select("event_id", F.round(X.binomial(F.concat(rate, asked)), 9).alias("p"))
 
@@ -128,11 +135,13 @@ def binomial_questions(spark, d):
 _PHI = "0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * (SELECT sum(t) FROM (SELECT exp((2 * k + 1) * ln(abs(z)) - (SELECT coalesce(sum(ln(2 * j + 1)), 0) FROM range(0, k + 1) u(j))) * sign(z) AS t FROM range(0, 100) v(k)))"
 
 
-@query(f"WITH e AS (SELECT *, (b + 0.5 - a) / ((c + 10) / sqrt(CAST(a * a AS DOUBLE))) AS z FROM ({_E})) SELECT event_id, round({_PHI}, 6) AS below, CAST(c * 8 AS DOUBLE) / 100 AS share FROM e")
+@query(f"WITH e AS (SELECT *, (b + 0.5 - a) / ((c + 10) / sqrt(CAST(a * a AS DOUBLE))) AS z FROM ({_E})) SELECT event_id, round({_PHI}, 6) AS below"
+    f", CAST(c * 8 AS DOUBLE) / 100 AS share FROM e")
 def normal_questions(spark, d):
     """M-10: sample means and percentiles of the normal distribution; the share below a percentile is the percentile."""
     e = _events(spark, d, 23)
-    mean = F.format_string("An average of %d grams and a standard deviation of %d. What is the chance that a sample of %d has a mean less than %d.5?", F.col("a"), F.expr("c + 10"), F.expr("a * a"), F.col("b"))
+    mean = F.format_string("An average of %d grams and a standard deviation of %d. What is the chance that a sample of %d has a mean less than %d.5?",
+        F.col("a"), F.expr("c + 10"), F.expr("a * a"), F.col("b"))
     at = F.format_string("With a mean of %d and a standard deviation of %d, what is the %dth percentile?", F.col("a"), F.col("b"), F.expr("c * 8"))
     found = e.select("event_id", "a", "b", X.sample_mean(mean).alias("below"), X.percentile(at)["value"].alias("value"))
     return found.select("event_id", F.round("below", 6).alias("below"), F.round(X.normal_cdf("value", F.col("a").cast("double"), F.col("b").cast("double")), 6).alias("share"))
@@ -157,7 +166,8 @@ def word_arithmetic(spark, d):
     return e.select("event_id", "expr", F.round(N.arithmetic(F.col("expr")), 9).alias("value"))
 
 
-@query(f"WITH e AS ({_E}) SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'calc' WHEN 1 THEN 'look_up' END AS tool, CASE event_id % 4 WHEN 0 THEN 'factorial(' || a || ') + (' || b || ')' WHEN 1 THEN '' END AS argument FROM e")
+@query(f"WITH e AS ({_E}) SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'calc' WHEN 1 THEN 'look_up' END AS tool, CASE event_id % 4"
+    f" WHEN 0 THEN 'factorial(' || a || ') + (' || b || ')' WHEN 1 THEN '' END AS argument FROM e")
 def tool_calls(spark, d):
     """X-12: calls with balanced parentheses."""
     said = _said([("so CALL: Calc(factorial(%d) + (%d)) done (%d)", "a", "b", "c"), ("CALL: look_up() of %d", "a"), ("call : X (%d", "a"), ("none of %d", "a")])
@@ -171,7 +181,10 @@ def rewrite_lines(spark, d):
     return _events(spark, d, 5).select("event_id", X.rewritten(said).alias("expr"))
 
 
-@query("SELECT conv_id, turn, 'Question: ' || coalesce(text, '') || chr(10) || chr(10) || 'Options:' || chr(10) || 'A. 1' || chr(10) || 'B. 2' || chr(10) || 'C. 3' || chr(10) || 'D. 4' || chr(10) || chr(10) || CASE WHEN turn % 2 = 0 THEN '' ELSE 'Reference material (may or may not be relevant):' || chr(10) || role || chr(10) || chr(10) END || 'Answer with a letter.' AS content FROM conversations")
+@query("SELECT conv_id, turn, 'Question: ' || coalesce(text, '') || chr(10) || chr(10) || 'Options:' || chr(10) || 'A. 1' || chr(10) || 'B. 2' || chr(10) || 'C. 3' || chr(10) || 'D. 4' || chr(10) || chr(10) ||"
+    " CASE WHEN turn % 2 = 0 THEN ''"
+    " ELSE 'Reference material (may or may not be relevant):' || chr(10) || role || chr(10) || chr(10) END || 'Answer with a letter.' AS content"
+    " FROM conversations")
 def prompt_messages(spark, d):
     """X-11, R-02: prompts with and without context."""
     c = table(spark, d, "conversations")
@@ -179,10 +192,12 @@ def prompt_messages(spark, d):
     return c.select("conv_id", "turn", m[1]["content"].alias("content"))
 
 
-@query(LOG + " SELECT event_id, 'tiered__qwen__zero_shot__' || CASE WHEN event_id % 3 = 0 THEN 'base' WHEN event_id % 3 = 1 THEN 'rag-mq' ELSE 'hybrid' END || '__' || strftime(ts, '%Y%m%d_%H%M%S') AS id FROM runlog")
+@query(LOG + " SELECT event_id, 'tiered__qwen__zero_shot__' || CASE WHEN event_id % 3 = 0 THEN 'base' WHEN event_id % 3 = 1 THEN 'rag-mq'"
+    " ELSE 'hybrid' END || '__' || strftime(ts, '%Y%m%d_%H%M%S') AS id FROM runlog")
 def report_ids(spark, d):
     """F-18, D-05: ids of reports."""
-    flags = F.when(F.col("event_id") % 3 == 1, F.array(F.lit("mq"), F.lit("rag"))).when(F.col("event_id") % 3 == 2, F.array(F.lit("hybrid"))).otherwise(F.array().cast("array<string>"))
+    flags = F.when(F.col("event_id") % 3 == 1, F.array(F.lit("mq"), F.lit("rag"))).when(F.col("event_id") % 3 == 2,
+        F.array(F.lit("hybrid"))).otherwise(F.array().cast("array<string>"))
     return runlog(spark, d).select("event_id", P.report_id(F.lit("tiered[x|y]"), T.model_slug(F.lit("org/Qwen")), F.lit("zero_shot"), flags, F.col("ts")).alias("id"))
 
 
@@ -190,16 +205,23 @@ _TRIM = "regexp_replace({}, '^\\s+|\\s+\\z', '', 'g')"
 
 
 @query(
-    "WITH i AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN source END AS title, CASE WHEN doc_id % 4 > 0 THEN lang END AS headline, CASE WHEN doc_id % 5 > 0 THEN text ELSE ' ' END AS body, CASE WHEN doc_id % 7 > 0 THEN source END AS trail, CASE WHEN doc_id % 2 = 0 THEN '2026-05-17' ELSE '' END AS day FROM documents),"
+    "WITH i AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN source END AS title, CASE WHEN doc_id % 4 > 0 THEN lang END AS headline, CASE"
+        " WHEN doc_id % 5 > 0 THEN text ELSE ' ' END AS body, CASE WHEN doc_id % 7 > 0 THEN source END AS trail, CASE"
+        " WHEN doc_id % 2 = 0 THEN '2026-05-17' ELSE '' END AS day FROM documents),"
     " p AS (SELECT *, coalesce(title, headline) AS t, coalesce(nullif(trim(body, ' '), ''), trail) AS x FROM i),"
-    f" c AS (SELECT *, {_TRIM.format("regexp_replace(regexp_replace(CASE WHEN day <> '' THEN 'Published ' || day || '. ' ELSE '' END || trim(x, ' '), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS cleaned FROM p)"
-    " SELECT doc_id, CASE WHEN t IS NOT NULL AND x IS NOT NULL THEN t END AS title, CASE WHEN t IS NOT NULL AND x IS NOT NULL THEN md5(cleaned) END AS digest, CASE WHEN t IS NOT NULL AND x IS NOT NULL THEN 'u/' || doc_id END AS url FROM c"
+    f" c AS (SELECT *, {_TRIM.format("regexp_replace(regexp_replace(CASE WHEN day <> '' THEN 'Published ' || day || '. ' ELSE '' END || trim(x, ' '), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS cleaned"
+        f" FROM p)"
+    " SELECT doc_id, CASE WHEN t IS NOT NULL AND x IS NOT NULL THEN t END AS title, CASE"
+        " WHEN t IS NOT NULL AND x IS NOT NULL THEN md5(cleaned) END AS digest, CASE"
+        " WHEN t IS NOT NULL AND x IS NOT NULL THEN 'u/' || doc_id END AS url FROM c"
 )
 def news_articles(spark, d):
     """S-26, X-03: news items to articles; the title or else the headline, the body or else the trail."""
     k = F.col("doc_id")
-    fields = F.struct(F.when(k % 5 > 0, F.col("text")).otherwise(" ").alias("bodyText"), F.when(k % 7 > 0, F.col("source")).alias("trailText"), F.when(k % 4 > 0, F.col("lang")).alias("headline"))
-    item = F.struct(F.when(k % 3 > 0, F.col("source")).alias("webTitle"), F.when(k % 2 == 0, "2026-05-17T10:00:00Z").alias("webPublicationDate"), F.concat(F.lit("u/"), k).alias("webUrl"), fields.alias("fields"))
+    fields = F.struct(F.when(k % 5 > 0, F.col("text")).otherwise(" ").alias("bodyText"), F.when(k % 7 > 0, F.col("source")).alias("trailText"),
+        F.when(k % 4 > 0, F.col("lang")).alias("headline"))
+    item = F.struct(F.when(k % 3 > 0, F.col("source")).alias("webTitle"), F.when(k % 2 == 0, "2026-05-17T10:00:00Z").alias("webPublicationDate"),
+        F.concat(F.lit("u/"), k).alias("webUrl"), fields.alias("fields"))
     return table(spark, d, "documents").select("doc_id", P.news_article(item).alias("a")).select("doc_id", "a.title", F.md5("a.text").alias("digest"), "a.url")
 
 
@@ -212,28 +234,34 @@ def embedder_prefix(spark, d):
 
 # An item's vector is that of its number, a document's that of its own; an item asks for the language of the document of its number.
 _VECTORS = (
-    ", iv AS (SELECT i.item_id AS query, i.text AS q_text, e.embedding AS qv, d.lang AS category FROM benchmark i JOIN embeddings e ON e.vec_id = i.item_id JOIN documents d ON d.doc_id = i.item_id),"
+    ", iv AS (SELECT i.item_id AS query, i.text AS q_text, e.embedding AS qv, d.lang AS category FROM benchmark i"
+        " JOIN embeddings e ON e.vec_id = i.item_id JOIN documents d ON d.doc_id = i.item_id),"
     " dv AS (SELECT d.doc_id AS doc, d.lang, e.embedding AS v FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),"
     " ds AS (SELECT query, doc, round(list_dot_product(CAST(qv AS DOUBLE[]), CAST(v AS DOUBLE[])), 6) AS score FROM iv JOIN dv ON dv.lang = iv.category),"
     " de AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM ds),"
-    " lx AS (SELECT s.query, s.doc, row_number() OVER (PARTITION BY s.query ORDER BY round(score, 6) DESC, first_qi, s.doc) AS rank FROM s JOIN iv ON iv.query = s.query JOIN documents d ON d.doc_id = s.doc WHERE d.lang = iv.category),"
+    " lx AS (SELECT s.query, s.doc, row_number() OVER (PARTITION BY s.query ORDER BY round(score, 6) DESC, first_qi, s.doc) AS rank FROM s"
+        " JOIN iv ON iv.query = s.query JOIN documents d ON d.doc_id = s.doc WHERE d.lang = iv.category),"
     " li AS (SELECT query, 0 AS list_id, rank, doc FROM de WHERE rank <= 25 UNION ALL SELECT query, 1, rank, doc FROM lx WHERE rank <= 25)"
 )
 
 
 @query(
     _HITS + _VECTORS + _FUSED.format(w="1.0")
-    + f", z AS (SELECT x.query, x.key, x.rank, d.source, CASE WHEN len(list_distinct({KEPT.format('iv.q_text')})) > 0 THEN round(len(list_intersect(list_distinct({KEPT.format('iv.q_text')}), {KEPT.format('d.text')})) / len(list_distinct({KEPT.format('iv.q_text')})), 9) ELSE 0.0 END AS score"
+    + f", z AS (SELECT x.query, x.key, x.rank, d.source, CASE"
+        f" WHEN len(list_distinct({KEPT.format('iv.q_text')})) > 0 THEN round(len(list_intersect(list_distinct({KEPT.format('iv.q_text')}), {KEPT.format('d.text')})) / len(list_distinct({KEPT.format('iv.q_text')})), 9)"
+        f" ELSE 0.0 END AS score"
     " FROM x JOIN iv USING (query) JOIN documents d ON d.doc_id = x.key WHERE x.rank <= 25),"
     " pz AS (SELECT query, key, source, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, rank) AS pos FROM z),"
-    " w AS (SELECT *, row_number() OVER (PARTITION BY query, source ORDER BY pos) > 1 AS again FROM pz), y AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY again, pos) AS place FROM w)"
+    " w AS (SELECT *, row_number() OVER (PARTITION BY query, source ORDER BY pos) > 1 AS again FROM pz)"
+        ", y AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY again, pos) AS place FROM w)"
     " SELECT query, key, source, score, place AS rank FROM y WHERE place <= 5"
 )
 def hybrid_retrieve(spark, d):
     """R-18: dense and BM25 rankings within the item's category, fused, reranked, diversified, cut."""
     docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
     own = docs.select("doc_id", "lang", "source", "text")
-    items = table(spark, d, "benchmark").join(vectors, F.col("item_id") == F.col("vec_id")).join(own.select("doc_id", F.col("lang").alias("q_lang")), F.col("item_id") == F.col("doc_id"))
+    items = table(spark, d, "benchmark").join(vectors, F.col("item_id") == F.col("vec_id")).join(own.select("doc_id", F.col("lang").alias("q_lang")),
+        F.col("item_id") == F.col("doc_id"))
     items = items.select(F.col("item_id").alias("query"), F.col("text").alias("q_text"), F.col("embedding").alias("qv"), "q_lang")
     among = own.join(vectors, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("vec"), F.col("embedding").alias("v"), "lang")
     pool = rag.pool_size(5, True, True)
@@ -254,16 +282,20 @@ def _reranked(dense, lexical, own, said, k):
 
 
 _VARIANTS = (
-    "(SELECT item_id * 10 AS item_id, text FROM benchmark UNION ALL SELECT a.item_id * 10 + 1, a.text || ' ' || b.text FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1"
+    "(SELECT item_id * 10 AS item_id, text FROM benchmark UNION ALL SELECT a.item_id * 10 + 1, a.text || ' ' || b.text FROM benchmark a"
+        " JOIN benchmark b ON b.item_id = a.item_id + 1"
     " UNION ALL SELECT a.item_id * 10 + 2, a.text || ' ' || b.text FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 2)"
 )
 
 
 @query(
     _HITS.replace("FROM benchmark", f"FROM {_VARIANTS}")
-    + ", rk AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, first_qi, doc) AS rank FROM s), li AS (SELECT query // 10 AS query, query % 10 AS list_id, rank, doc FROM rk WHERE rank <= 15)"
+    + ", rk AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, first_qi, doc) AS rank FROM s)"
+        ", li AS (SELECT query // 10 AS query, query % 10 AS list_id, rank, doc FROM rk WHERE rank <= 15)"
     + _FUSED.format(w="1.0")
-    + f", z AS (SELECT x.query, x.key, x.rank, CASE WHEN len(list_distinct({KEPT.format('i.text')})) > 0 THEN round(len(list_intersect(list_distinct({KEPT.format('i.text')}), {KEPT.format('d.text')})) / len(list_distinct({KEPT.format('i.text')})), 9) ELSE 0.0 END AS score"
+    + f", z AS (SELECT x.query, x.key, x.rank, CASE"
+        f" WHEN len(list_distinct({KEPT.format('i.text')})) > 0 THEN round(len(list_intersect(list_distinct({KEPT.format('i.text')}), {KEPT.format('d.text')})) / len(list_distinct({KEPT.format('i.text')})), 9)"
+        f" ELSE 0.0 END AS score"
     " FROM x JOIN benchmark i ON i.item_id = x.query JOIN documents d ON d.doc_id = x.key WHERE x.rank <= 15)"
     " SELECT query, key, score, place AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, rank) AS place FROM z) WHERE place <= 3"
 )
@@ -272,7 +304,8 @@ def multi_query_retrieve(spark, d):
     b = table(spark, d, "benchmark")
     option = lambda j: b.select((F.col("item_id") - j).alias("of"), F.col("text").alias(f"o{j}"))
     asked = b.join(option(1), F.col("item_id") == F.col("of"), "left").drop("of").join(option(2), F.col("item_id") == F.col("of"), "left").drop("of")
-    variants = R.multi_query(asked.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.array("o1", "o2").alias("options"))).where("list_id = 0 or text <> ''")
+    variants = R.multi_query(asked.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"),
+        F.array("o1", "o2").alias("options"))).where("list_id = 0 or text <> ''")
     given = asked.select(F.col("item_id").alias("question_id"), F.array(F.lit(True), F.col("o1").isNotNull(), F.col("o2").isNotNull()).alias("given"))
     variants = variants.join(given, "question_id").where(F.get("given", F.col("list_id"))).select((F.col("question_id") * 10 + F.col("list_id")).alias("variant"), "text")
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
@@ -285,9 +318,14 @@ def multi_query_retrieve(spark, d):
 
 
 @query(
-    LOG + ", o AS (SELECT question_text, max(top_score) AS top, count(*) AS n FROM runlog WHERE event_id % 3 = 0 GROUP BY 1), l AS (SELECT question_text, max(confidence) AS top, count(*) AS n FROM runlog WHERE event_id % 3 <> 0 AND confidence >= 0.3 GROUP BY 1),"
-    " q AS (SELECT question_text, CASE WHEN min(level) <= 10 THEN 0.9 END AS tau FROM runlog GROUP BY 1), j AS (SELECT q.question_text AS query, o.n IS NULL OR coalesce(o.top < q.tau, FALSE) AS gated, o.top AS ot, o.n AS o_n, l.top AS lt, l.n AS l_n FROM q LEFT JOIN o USING (question_text) LEFT JOIN l USING (question_text)),"
-    " s AS (SELECT *, CASE WHEN NOT gated THEN 'offline' WHEN l_n > 0 THEN 'live' ELSE 'none' END AS context_source FROM j) SELECT query, gated, context_source, CASE context_source WHEN 'offline' THEN o_n WHEN 'live' THEN l_n ELSE 0 END AS n_passages, CASE context_source WHEN 'offline' THEN ot WHEN 'live' THEN lt END AS top_score FROM s"
+    LOG + ", o AS (SELECT question_text, max(top_score) AS top, count(*) AS n FROM runlog WHERE event_id % 3 = 0 GROUP BY 1)"
+        ", l AS (SELECT question_text, max(confidence) AS top, count(*) AS n FROM runlog WHERE event_id % 3 <> 0 AND confidence >= 0.3 GROUP BY 1),"
+    " q AS (SELECT question_text, CASE WHEN min(level) <= 10 THEN 0.9 END AS tau FROM runlog GROUP BY 1)"
+        ", j AS (SELECT q.question_text AS query, o.n IS NULL OR coalesce(o.top < q.tau, FALSE) AS gated, o.top AS ot, o.n AS o_n, l.top AS lt, l.n AS l_n"
+        " FROM q LEFT JOIN o USING (question_text) LEFT JOIN l USING (question_text)),"
+    " s AS (SELECT *, CASE WHEN NOT gated THEN 'offline' WHEN l_n > 0 THEN 'live' ELSE 'none' END AS context_source FROM j)"
+        " SELECT query, gated, context_source, CASE context_source WHEN 'offline' THEN o_n WHEN 'live' THEN l_n ELSE 0 END AS n_passages,"
+        " CASE context_source WHEN 'offline' THEN ot WHEN 'live' THEN lt END AS top_score FROM s"
 )
 def rag_decision(spark, d):
     """R-21, F-10, F-11: offline passages, else live ones over the floor, else none; each event is a passage of the one or the other kind."""
@@ -298,11 +336,14 @@ def rag_decision(spark, d):
     return rag.decide(off, live, q, F.when(F.col("level") <= 10, 0.9))
 
 
-@query(LOG + " SELECT count(*) FILTER (WHERE confidence >= 0.8) AS high, count(*) FILTER (WHERE confidence < 0.5) AS low, round(avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) FILTER (WHERE confidence >= 0.8), 9) AS high_acc, count(*) FILTER (WHERE confidence >= 0.8 AND NOT correct) AS overconfident FROM runlog")
+@query(LOG + " SELECT count(*) FILTER (WHERE confidence >= 0.8) AS high, count(*) FILTER (WHERE confidence < 0.5) AS low, round(avg(CASE"
+    " WHEN correct THEN 1.0 ELSE 0.0 END) FILTER (WHERE confidence >= 0.8), 9) AS high_acc"
+    ", count(*) FILTER (WHERE confidence >= 0.8 AND NOT correct) AS overconfident FROM runlog")
 def confidence_split(spark, d):
     """F-21: confident and doubtful answers."""
     high, hit = F.col("confidence") >= 0.8, F.when(F.col("correct"), 1.0).otherwise(0.0)
-    return runlog(spark, d).agg(F.count_if(high).alias("high"), F.count_if(F.col("confidence") < 0.5).alias("low"), F.round(F.avg(F.when(high, hit)), 9).alias("high_acc"), F.count_if(high & ~F.col("correct")).alias("overconfident"))
+    return runlog(spark, d).agg(F.count_if(high).alias("high"), F.count_if(F.col("confidence") < 0.5).alias("low"),
+        F.round(F.avg(F.when(high, hit)), 9).alias("high_acc"), F.count_if(high & ~F.col("correct")).alias("overconfident"))
 
 
 @query("SELECT doc_id, source, doc_id % 7 AS chunk_id, round_even(n_chars / 7.0, 4) AS score, md5(left(text, 200)) AS preview FROM documents")
@@ -314,8 +355,10 @@ def passage_triples(spark, d):
 
 
 @query(
-    LOG + ", lv AS (SELECT question_text AS query, event_id AS source, confidence AS score, row_number() OVER (PARTITION BY question_text ORDER BY confidence DESC, event_id) AS own, 0 AS o FROM runlog WHERE event_id % 2 = 0),"
-    " fl AS (SELECT question_text AS query, event_id AS source, top_score AS score, row_number() OVER (PARTITION BY question_text ORDER BY event_id) AS own, 1 AS o FROM runlog WHERE event_id % 2 = 1),"
+    LOG + ", lv AS (SELECT question_text AS query, event_id AS source, confidence AS score, row_number() OVER (PARTITION BY question_text"
+        " ORDER BY confidence DESC, event_id) AS own, 0 AS o FROM runlog WHERE event_id % 2 = 0),"
+    " fl AS (SELECT question_text AS query, event_id AS source, top_score AS score, row_number() OVER (PARTITION BY question_text"
+        " ORDER BY event_id) AS own, 1 AS o FROM runlog WHERE event_id % 2 = 1),"
     " b AS (SELECT * FROM lv WHERE own <= 4 UNION ALL SELECT * FROM fl), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY o, own) AS rank FROM b)"
     " SELECT query, source, CASE o WHEN 0 THEN 'live' ELSE 'offline' END AS origin, score, rank FROM r WHERE rank <= 8"
 )
@@ -331,7 +374,8 @@ def extras_merge(spark, d):
     """R-04: maps as one; the right side's values win."""
     left = F.map_from_arrays(F.array(F.lit("a"), F.lit("c")), F.array(F.lit("L"), F.lit("L")))
     k, right = F.col("event_id"), F.lit("R")
-    both = F.when((k % 2 == 0) & (k % 3 == 0), F.create_map(F.lit("a"), right, F.lit("b"), right)).when(k % 2 == 0, F.create_map(F.lit("a"), right)).when(k % 3 == 0, F.create_map(F.lit("b"), right))
+    both = F.when((k % 2 == 0) & (k % 3 == 0), F.create_map(F.lit("a"), right, F.lit("b"), right)).when(k % 2 == 0,
+        F.create_map(F.lit("a"), right)).when(k % 3 == 0, F.create_map(F.lit("b"), right))
     m = P.merged(left, both)
     shown = F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], e["value"]))
     return table(spark, d, "events").select("event_id", F.array_join(shown, " ").alias("pairs"))
@@ -346,7 +390,8 @@ def alias_merge(spark, d):
     return C2.with_aliases(docs, more).select("title", F.array_join("aliases", "|").alias("aliases"))
 
 
-@query("SELECT source AS title, CASE WHEN min(doc_id) FILTER (WHERE lang = 'fr') IS NOT NULL THEN 'explicit' ELSE 'harvested' END AS origin, coalesce(min(doc_id) FILTER (WHERE lang = 'fr'), min(doc_id)) AS place FROM documents GROUP BY source")
+@query("SELECT source AS title, CASE WHEN min(doc_id) FILTER (WHERE lang = 'fr') IS NOT NULL THEN 'explicit'"
+    " ELSE 'harvested' END AS origin, coalesce(min(doc_id) FILTER (WHERE lang = 'fr'), min(doc_id)) AS place FROM documents GROUP BY source")
 def titles_to_fetch(spark, d):
     """U-07: explicit titles before harvested ones, each once."""
     docs = table(spark, d, "documents").select(F.col("source").alias("title"), F.col("doc_id").alias("place"), "lang")

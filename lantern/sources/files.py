@@ -23,7 +23,8 @@ def numbered_lines(spark: SparkSession, folder: str) -> DataFrame:
     A file may be read in several splits: each begins at a known byte, within
     it lines keep their order, and the lines of the splits before are added.
     """
-    raw = spark.read.text(folder).select("value", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    raw = spark.read.text(folder).select("value", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"))
     blocks = raw.groupBy("file_name", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = blocks.select("file_name", "block", "first", before.alias("before"))
@@ -85,7 +86,8 @@ def latest_log(rows: DataFrame, part: str) -> DataFrame:
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Articles; what older files lack has its default."""
     raw = read_jsonl(spark, path, schemas.ARTICLE)
-    return raw.select("title", "text", "category", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.coalesce("competition", F.lit("")).alias("competition"))
+    return raw.select("title", "text", "category", F.coalesce("url", F.lit("")).alias("url"),
+        F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.coalesce("competition", F.lit("")).alias("competition"))
 
 
 def write_corpus(articles: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -110,7 +112,8 @@ def append_corpus(incoming: DataFrame, path: str, order: list[str]) -> int:
 def write_index(chunks: DataFrame, manifest: dict, path: str, mode: str = "overwrite") -> None:
     """Chunks with their vectors as Parquet and the manifest beside them."""
     chunks.write.mode(mode).parquet(f"{path}/chunks")
-    chunks.sparkSession.createDataFrame([tuple(manifest.get(c.split()[0]) for c in schemas.MANIFEST.split(", "))], schemas.MANIFEST).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    chunks.sparkSession.createDataFrame([tuple(manifest.get(c.split()[0]) for c in schemas.MANIFEST.split(", "))],
+        schemas.MANIFEST).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
 def read_index(spark: SparkSession, path: str, expect: dict) -> tuple[DataFrame, list[str]]:
@@ -170,7 +173,8 @@ def read_set(spark: SparkSession, path: str, schema: str = schemas.GOLD) -> Data
 def leaderboard(reports: DataFrame) -> DataFrame:
     """Reports by accuracy, rounded for display; equal ones by file name."""
     return reports.select(
-        F.col("strategy_name").alias("strategy"), F.bround("accuracy", 4).alias("accuracy"), F.bround("ece", 4).alias("ece"), F.bround("latency_p50", 2).alias("latency_p50_s"), F.bround("latency_p95", 2).alias("latency_p95_s"),
+        F.col("strategy_name").alias("strategy"), F.bround("accuracy", 4).alias("accuracy"), F.bround("ece", 4).alias("ece"),
+            F.bround("latency_p50", 2).alias("latency_p50_s"), F.bround("latency_p95", 2).alias("latency_p95_s"),
         F.col("n_total").alias("n"), "file_name",
     ).orderBy(F.desc("accuracy"), "file_name")
 
@@ -197,7 +201,8 @@ def cache_get(spark: SparkSession, path: str, wanted: DataFrame, now: Column, tt
     What has no results grows stale after empty_ttl_seconds, what has some after
     ttl_seconds or never; what has no time never.
     """
-    latest = spark.read.parquet(path).join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max_by(F.struct("response", "cached_at"), F.coalesce("cached_at", F.lit(0).cast("timestamp"))).alias("r"))
+    latest = spark.read.parquet(path).join(wanted.select("key").distinct(), "key",
+        "left_semi").groupBy("key").agg(F.max_by(F.struct("response", "cached_at"), F.coalesce("cached_at", F.lit(0).cast("timestamp"))).alias("r"))
     results = F.from_json(F.get_json_object("r.response", "$.results"), "array<string>")
     age = F.unix_timestamp(now) - F.unix_timestamp("r.cached_at")
     ttl = F.when(F.size(F.coalesce(results, F.array().cast("array<string>"))) == 0, F.lit(empty_ttl_seconds)).otherwise(F.lit(ttl_seconds).cast("int"))

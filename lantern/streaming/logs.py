@@ -40,14 +40,17 @@ def grow(learned: DataFrame, path: str, checkpoint: str, chunks: Callable[[DataF
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         columns = order or sorted(batch.columns)
-        first = batch.groupBy("title").agg(F.min_by(F.struct(*batch.columns), F.struct(*columns)).alias("a")).select("a.*").withColumn("part", F.pmod(F.xxhash64("title"), F.lit(TITLE_PARTS)).cast("int"))
+        first = batch.groupBy("title").agg(F.min_by(F.struct(*batch.columns), F.struct(*columns)).alias("a")).select("a.*").withColumn("part",
+            F.pmod(F.xxhash64("title"), F.lit(TITLE_PARTS)).cast("int"))
         first = first.persist()
         try:
             parts = [r[0] for r in first.select("part").distinct().collect()]
             known = spark.read.schema("title string, batch long, part int").option("pathGlobFilter", "*.parquet").option("ignoreMissingFiles", True)
             have = known.parquet(f"{path}/titles").where(F.col("part").isin(parts) & (F.col("batch") != number)).select("title")
             new = first.join(have, "title", "left_anti").drop("part")
-            new.select("title", F.lit(number).cast("long").alias("batch"), F.pmod(F.xxhash64("title"), F.lit(TITLE_PARTS)).cast("int").alias("part")).write.mode("append").partitionBy("part").parquet(f"{path}/titles")
+            new.select("title", F.lit(number).cast("long").alias("batch"),
+                F.pmod(F.xxhash64("title"),
+                F.lit(TITLE_PARTS)).cast("int").alias("part")).write.mode("append").partitionBy("part").parquet(f"{path}/titles")
             chunks(new).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/chunks/batch={number}.d")
         finally:
             first.unpersist()
@@ -68,12 +71,14 @@ def grown(spark: SparkSession, path: str) -> DataFrame:
 
 def running_accuracy(rows: DataFrame) -> DataFrame:
     """By session, for complete or update mode; a null outcome counts as not correct."""
-    return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("n_correct"), F.avg(F.when(F.col("correct"), 1.0).otherwise(0.0)).alias("accuracy"))
+    return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("n_correct"),
+        F.avg(F.when(F.col("correct"), 1.0).otherwise(0.0)).alias("accuracy"))
 
 
 def sessions(rows: DataFrame, user: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Event-time sessions.  An added capability: the engine rebuilt here has no event time."""
-    return rows.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), user).agg(F.count(F.lit(1)).alias("n")).select(user, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return rows.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), user).agg(F.count(F.lit(1)).alias("n")).select(user,
+        F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def append_log(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
