@@ -30,7 +30,8 @@ ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assi
 NEXT = {NONE: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 MERGE, INSERT = 1, 2
 #: Cost of a relabelling, by the role that a turn has (0: unknown) and gets.
-RELABEL = {(0, SYSTEM): 5, (0, USER): 2, (0, ASSISTANT): 3, (SYSTEM, USER): 2, (SYSTEM, ASSISTANT): 5, (USER, SYSTEM): 5, (USER, ASSISTANT): 4, (ASSISTANT, SYSTEM): 5, (ASSISTANT, USER): 4}
+RELABEL = {(0, SYSTEM): 5, (0, USER): 2, (0, ASSISTANT): 3, (SYSTEM, USER): 2, (SYSTEM, ASSISTANT): 5, (USER, SYSTEM): 5, (USER, ASSISTANT): 4,
+    (ASSISTANT, SYSTEM): 5, (ASSISTANT, USER): 4}
 _FAR = 1 << 40
 #: Cost of ending in each state; after a lone system turn an empty user turn is put in.
 END = (0, INSERT, 0, 0)
@@ -137,7 +138,8 @@ def _groups(batches):
 
 def ordered(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) in order over range partitions, checkpointed so that the partitions stay."""
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     tie = rows.withColumn("_tie", F.xxhash64("role", "text"))
     keys = ["conv_id", "turn", "_tie"]
     return cut(tie.repartitionByRange(*keys).sortWithinPartitions(*keys, "role", "text").drop("_tie"))
@@ -163,7 +165,9 @@ def repaired(turns: DataFrame) -> DataFrame:
             last = own
         task = TaskContext.get().partitionId()
         found = [] if first is None else [(0, *first)] + ([(1, *last)] if last is not first else [])
-        yield pa.RecordBatch.from_pydict({"task": [task] * len(found), "last": [f[0] for f in found], "conv_id": [f[1] for f in found], "m": [[x for r in f[2] for x in r] for f in found]}, schema=pa.schema([("task", pa.int32()), ("last", pa.int32()), ("conv_id", pa.int64()), ("m", pa.list_(pa.int64()))]))
+        yield pa.RecordBatch.from_pydict({"task": [task] * len(found), "last": [f[0] for f in found], "conv_id": [f[1] for f in found],
+            "m": [[x for r in f[2] for x in r] for f in found]}, schema=pa.schema([("task", pa.int32()), ("last", pa.int32()),
+            ("conv_id", pa.int64()), ("m", pa.list_(pa.int64()))]))
 
     spans: dict = {}
     for r in rows.mapInArrow(edges, "task int, last int, conv_id long, m array<long>").orderBy("task", "last").collect():  # two rows a task

@@ -38,7 +38,8 @@ WINDOW, PLAIN, COVER = 5, 3, 0.8
 #: Distinct window hashes of the benchmark up to which they go to every task as a filter (8 bytes each); beyond, all windows are shuffled.
 FILTER_HASHES = 2_000_000
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x11, 0x22, 0x33))
-_SCHEMA = pa.schema([("id", pa.int64()), ("pos", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())), ("n", pa.int64()), ("cell", pa.int64())])
+_SCHEMA = pa.schema([("id", pa.int64()), ("pos", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())),
+    ("n", pa.int64()), ("cell", pa.int64())])
 _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2^64
 _BACK = pow(_BASE, -1, 1 << 64)
 _LEFT, _RUNS = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
@@ -129,7 +130,8 @@ def whole_windows(w: Words, units: np.ndarray, only: np.ndarray | None = None, w
         open_slot = slot[word]
         held = np.add.reduceat(open_slot, np.cumsum(size) - size, dtype=np.int64) if len(size) else np.empty(0, np.int64)
         text = w.text[at]
-        out.append((text, at - begin[text], h, np.maximum(counts[text] - WINDOW + 1, 1), w.hash[word[open_slot]], held, word[open_slot] - np.repeat(begin[text], held), (at - begin[text]) * _CELL))
+        out.append((text, at - begin[text], h, np.maximum(counts[text] - WINDOW + 1, 1), w.hash[word[open_slot]], held,
+            word[open_slot] - np.repeat(begin[text], held), (at - begin[text]) * _CELL))
 
     number, unit, name = _kinds(w, units)
     add(w.hash, np.zeros(len(w.hash), bool), at, at, size)
@@ -197,12 +199,14 @@ def _windows_table(df: DataFrame, id_col: str, text_col: str, only: np.ndarray |
                 text, pos, h, n, values, held, places, cell = of(w, units, only) if widest is None else of(w, units, only, widest)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32))
                 slots, places = (pa.ListArray.from_arrays(offsets, pa.array(x.view(np.int64))) for x in (values, places))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + w.first)), pa.array(pos), pa.array(h.view(np.int64)), slots, places, pa.array(n), pa.array(cell)], schema=_SCHEMA)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + w.first)), pa.array(pos), pa.array(h.view(np.int64)), slots, places,
+                    pa.array(n), pa.array(cell)], schema=_SCHEMA)
 
     text = F.col(text_col)
     if of is whole_windows:  # in upper case sharp s is two letters
         text = F.replace(F.replace(text, F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("SS"))
-    return df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).mapInArrow(run, "id long, pos long, hash long, slots array<long>, places array<long>, n long, cell long")
+    return df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).mapInArrow(run,
+        "id long, pos long, hash long, slots array<long>, places array<long>, n long, cell long")
 
 
 def agreeing(held: list | None) -> list[int] | None:
@@ -241,12 +245,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, of=temp
     found = _windows_table(docs, "doc_id", "text", only, of, widest).select(F.col("id").alias("doc_id"), "pos", "hash", "slots")
     wanted = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("hash").alias("item_hash"), F.col("slots").alias("item_slots"), "places", "cell")
     pairs = found.join(wanted, (F.col("hash") == F.col("item_hash")) & (F.size("slots") == F.size("item_slots")))
-    pairs = pairs.select("doc_id", "item_id", "cell", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("slots"), "places")
+    pairs = pairs.select("doc_id", "item_id", "cell", (F.col("pos") - F.col("item_pos")).alias("shift"),
+        F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("slots"), "places")
     found_in = [F.collect_set("cell").alias("hit"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("map")]
     if of is whole_windows:
         found_in.append(F.collect_list(F.struct("cell", "slots", "places")).alias("held"))
     runs = pairs.groupBy("doc_id", "item_id", "shift").agg(*found_in)
-    one_to_one = (F.size("map") == F.size(F.array_distinct(F.transform("map", lambda s: s["a"])))) & (F.size("map") == F.size(F.array_distinct(F.transform("map", lambda s: s["b"]))))
+    one_to_one = (F.size("map") == F.size(F.array_distinct(F.transform("map",
+        lambda s: s["a"])))) & (F.size("map") == F.size(F.array_distinct(F.transform("map", lambda s: s["b"]))))
     if of is whole_windows:
         agreed = F.udf(agreeing, "array<long>")(F.when(~one_to_one, F.col("held")))
         runs = runs.select("doc_id", "item_id", F.coalesce(agreed, "hit").alias("hit"))
@@ -255,7 +261,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, of=temp
     cells = runs.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("cells"))
     sizes = items.groupBy(F.col("id").alias("of")).agg(F.max("n").alias("windows"))
     sized = cells.join(sizes, F.col("item_id") == F.col("of"))
-    covered = F.flatten(F.transform("cells", lambda c: F.sequence(F.floor(c / _CELL), F.least(F.floor(c / _CELL) + c % _CELL, F.greatest(F.floor(c / _CELL), F.col("windows") - 1)))))
+    covered = F.flatten(F.transform("cells", lambda c: F.sequence(F.floor(c / _CELL),
+        F.least(F.floor(c / _CELL) + c % _CELL, F.greatest(F.floor(c / _CELL), F.col("windows") - 1)))))
     hits = sized.withColumn("matched", F.size(F.array_distinct(covered)).cast("long"))
     joined = hits.select("doc_id", "item_id", "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"))
     return joined.where(F.col("coverage") >= cover)

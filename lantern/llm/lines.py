@@ -94,7 +94,8 @@ def _with_hashes(docs: DataFrame, found: DataFrame, n_found: int) -> DataFrame:
     """found with the hashes of each line's words."""
     wanted = found.groupBy(F.col("doc_id").alias("w_doc"), F.col("of").alias("w_of")).agg(F.collect_list(F.struct("pos", "before", "after")).alias("wanted"))
     joined = _texts(docs).join(F.broadcast(wanted) if n_found <= BROADCAST_ROWS else wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("of") == F.col("w_of")))
-    each = joined.select("doc_id", "of", "plain", "lines", F.explode("wanted").alias("w")).select("doc_id", "of", "w.*", _joined(F.get("lines", F.col("w.pos")), F.col("plain")).alias("joined"))
+    each = joined.select("doc_id", "of", "plain", "lines", F.explode("wanted").alias("w")).select("doc_id", "of", "w.*",
+        _joined(F.get("lines", F.col("w.pos")), F.col("plain")).alias("joined"))
     hashes = F.transform(F.split("joined", " "), lambda w: F.xxhash64(w))
     return each.select("doc_id", "of", "pos", "before", "after", hashes.alias("words")).dropDuplicates(["doc_id", "of", "pos"])
 
@@ -165,7 +166,8 @@ def duplicates(docs: DataFrame) -> DataFrame:
     one document.  Other columns of docs are left out.
     """
     found = _repeats(docs)
-    return found.select("doc_id", F.col("pos").cast("long").alias("line_no"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.pos").cast("long").alias("kept_line_no"), "edits")
+    return found.select("doc_id", F.col("pos").cast("long").alias("line_no"), F.col("kept.doc_id").alias("kept_doc_id"),
+        F.col("kept.pos").cast("long").alias("kept_line_no"), "edits")
 
 
 def dedup(docs: DataFrame) -> DataFrame:

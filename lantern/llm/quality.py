@@ -58,7 +58,8 @@ def shape(w: Words, bad: np.ndarray) -> np.ndarray:
     for sign in _SIGNS:
         share = _per_text(w.raw == sign, w.text_at) / per_word
         cols += [np.minimum(share, 2), np.sqrt(np.minimum(share, 2))]
-    cols += [some(w.shout) / per_word, some(w.upper) / per_word, some(w.kind == DIGIT) / per_word, _per_text(w.raw >= 0x80, w.text_at) / size, _per_text(w.raw == 32, w.text_at) / size]
+    cols += [some(w.shout) / per_word, some(w.upper) / per_word, some(w.kind == DIGIT) / per_word, _per_text(w.raw >= 0x80, w.text_at) / size,
+        _per_text(w.raw == 32, w.text_at) / size]
     same = np.zeros(len(w.hash), bool)
     same[1:] = (w.hash[1:] == w.hash[:-1]) & (w.text[1:] == w.text[:-1])
     cols.append(some(same) / per_word)
@@ -139,7 +140,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     kept = int(np.searchsorted(np.cumsum([r[3] for r in sizes]), FIT_CHARS, side="right")) if sizes else 0
     if kept < len(sizes):
         last = sizes[max(kept, 1) - 1]
-        met = met.where(F.struct("_h", "doc_id", F.xxhash64("text").alias("_t")) <= F.struct(F.lit(last[0]).alias("_h"), F.lit(last[1]).alias("doc_id"), F.lit(last[2]).alias("_t")))
+        met = met.where(F.struct("_h", "doc_id", F.xxhash64("text").alias("_t")) <= F.struct(F.lit(last[0]).alias("_h"),
+            F.lit(last[1]).alias("doc_id"), F.lit(last[2]).alias("_t")))
     got = met.select("text", "_quality", "_toxic", "doc_id", "_h").orderBy("_h", "doc_id", F.xxhash64("text")).limit(rows).select("text", "_quality", "_toxic").collect()
     texts = [r[0] for r in got]
     low, toxic = np.array([r[1] != 1 for r in got], dtype=bool), np.array([r[2] != 0 for r in got], dtype=bool)
@@ -168,7 +170,8 @@ def _share(log_odds):
 def _strength(groups: DataFrame, mean) -> float:
     """The prior strength (as many documents) of groups (n, s, q: rows, sum and sum of squares of shares) around mean, by the method of moments."""
     m = F.col("s") / F.col("n")
-    r = groups.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.col("n") * F.col("n")), F.sum(F.col("n") * (m - mean) * (m - mean)), F.sum(F.col("q") - F.col("n") * m * m), F.sum(F.col("n") * m * (1 - m))).first()
+    r = groups.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.col("n") * F.col("n")), F.sum(F.col("n") * (m - mean) * (m - mean)),
+        F.sum(F.col("q") - F.col("n") * m * m), F.sum(F.col("n") * m * (1 - m))).first()
     if not r[0] or r[0] < 2 or r[1] <= r[0]:
         return 1e3
     count, total, squares, between, within, spread = (float(x) for x in r)
@@ -186,11 +189,13 @@ def site_shares(scored: DataFrame, prior: float) -> DataFrame:
     every = paths.agg(F.sum("n"), F.sum("s")).first()
     mean = float(every[1] / every[0]) if every[0] else 0.5
     k_host = _strength(hosts, F.lit(mean)) if every[0] else 1e3
-    hosts = hosts.select(F.col("host").alias("_h"), F.col("n").alias("host_n"), F.col("s").alias("host_s"), _shrunk(F.lit(mean), k_host, F.col("s"), F.col("n")).alias("host_share"))
+    hosts = hosts.select(F.col("host").alias("_h"), F.col("n").alias("host_n"), F.col("s").alias("host_s"),
+        _shrunk(F.lit(mean), k_host, F.col("s"), F.col("n")).alias("host_share"))
     joined = paths.join(hosts, F.col("host").eqNullSafe(F.col("_h"))).drop("_h")
     k_path = _strength(joined, F.col("host_share")) if every[0] else 1e3
     return joined.select(
-        "host", "path", "n", "s", "host_n", "host_s", "host_share", _shrunk(F.col("host_share"), k_path, F.col("s"), F.col("n")).alias("path_share"), F.lit(mean).alias("mean"), F.lit(k_host).alias("k_host"), F.lit(k_path).alias("k_path")
+        "host", "path", "n", "s", "host_n", "host_s", "host_share", _shrunk(F.col("host_share"), k_path, F.col("s"), F.col("n")).alias("path_share"),
+            F.lit(mean).alias("mean"), F.lit(k_host).alias("k_host"), F.lit(k_path).alias("k_path")
     )
 
 
@@ -201,7 +206,8 @@ def _shrunk(toward, strength, total, n):
 
 
 def _posterior(scored: DataFrame, shares: DataFrame, prior: float) -> DataFrame:
-    slim = shares.select(F.col("host").alias("_h"), F.col("path").alias("_p"), *[F.col(c).alias(f"_s_{c}") for c in ("n", "s", "host_n", "host_s", "mean", "k_host", "k_path")], "host_share", "path_share")
+    slim = shares.select(F.col("host").alias("_h"), F.col("path").alias("_p"),
+        *[F.col(c).alias(f"_s_{c}") for c in ("n", "s", "host_n", "host_s", "mean", "k_host", "k_path")], "host_share", "path_share")
     joined = scored.join(small(slim), F.col("_q_host").eqNullSafe(F.col("_h")) & F.col("_q_path").eqNullSafe(F.col("_p")))
     own = _share(F.col("evidence") + F.lit(prior))
     host = _shrunk(F.col("_s_mean"), F.col("_s_k_host"), F.greatest(F.col("_s_host_s") - own, F.lit(0.0)), F.col("_s_host_n") - 1)
@@ -222,7 +228,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path:
     scored = cut(scores(frame, model, ["doc_id", "_q_host", "_q_path"]))
     shares = site_shares(scored.select(F.col("_q_host").alias("host"), F.col("_q_path").alias("path"), "evidence"), model.prior)
     out = _posterior(scored, shares, model.prior)
-    return out.select("doc_id", F.col("_q_host").alias("host"), F.col("_q_path").alias("path"), "evidence", "host_share", "path_share", "posterior", (F.col("posterior") >= keep).alias("keep"))
+    return out.select("doc_id", F.col("_q_host").alias("host"), F.col("_q_path").alias("path"), "evidence", "host_share", "path_share", "posterior",
+        (F.col("posterior") >= keep).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", keep: float = KEEP, rows: int = FIT_ROWS) -> DataFrame:

@@ -349,7 +349,8 @@ class _Held:
 
     def sent(self) -> pa.RecordBatch:
         keys, (h, n, lead, body) = _halves(list(self.rows)), zip(*self.rows.values(), strict=True)
-        batch = pa.RecordBatch.from_arrays([_long(np.array(h, np.uint64)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(n), pa.array(lead), pa.array(body, pa.binary())], schema=_KEY)
+        batch = pa.RecordBatch.from_arrays([_long(np.array(h, np.uint64)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(n), pa.array(lead),
+            pa.array(body, pa.binary())], schema=_KEY)
         self.rows, self.bytes = {}, 0
         return batch
 
@@ -381,7 +382,8 @@ def _occurrences(rows: DataFrame, known) -> DataFrame:
             for first, t, (text, h, begin, end, lead) in _found(b, known):
                 of = np.array([xxhash.xxh3_64_intdigest(t.data[x:y]) for x, y in zip(t.starts.tolist(), t.ends.tolist(), strict=True)], np.uint64)
                 keys = _halves(t.keys(h, begin, end, lead))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text + first)), _long(of[text]), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(begin - t.starts[text]), pa.array(end - begin)], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text + first)), _long(of[text]), pa.array(keys[:, 0]),
+                    pa.array(keys[:, 1]), pa.array(begin - t.starts[text]), pa.array(end - begin)], schema=schema)
 
     return rows.mapInArrow(run, "doc_id long, of long, k1 long, k2 long, begin long, size long")
 
@@ -570,7 +572,8 @@ def _without(ids: pa.Array, data: bytes, starts: np.ndarray, ends: np.ndarray, b
     removed, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, opens))
     left = np.frombuffer(data, np.uint8)[~gone].tobytes()
     kept = [left[x:y] for x, y in zip((starts - removed[starts]).tolist(), (ends - removed[ends]).tolist(), strict=True)]
-    cols = [pa.array(ends - starts), pa.array(removed[ends] - removed[starts]), pa.array(spans[ends] - spans[starts]), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+    cols = [pa.array(ends - starts), pa.array(removed[ends] - removed[starts]), pa.array(spans[ends] - spans[starts]),
+        pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
     if texts:
         cols.append(pa.array(kept, pa.binary()))
     return pa.RecordBatch.from_arrays([ids, *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(cols) + 1])
@@ -598,7 +601,8 @@ def _by_lookup(rows: DataFrame, known: np.ndarray, said: DataFrame, texts: bool)
                 n, first = n[~full], edge[at[~full]].astype(np.int64)
                 which = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 base = np.repeat(begin[~full], n)
-                yield _without(b.column(0).slice(k, len(t.ends)), t.data, t.starts, t.ends, np.concatenate([begin[full], base + values[which, 0]]), np.concatenate([end[full], base + values[which, 1]]), texts)
+                yield _without(b.column(0).slice(k, len(t.ends)), t.data, t.starts, t.ends, np.concatenate([begin[full], base + values[which, 0]]),
+                    np.concatenate([end[full], base + values[which, 1]]), texts)
 
     return rows.mapInArrow(run, _schema(texts))
 

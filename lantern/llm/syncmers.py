@@ -52,7 +52,8 @@ def _windows(hashes: Column, k: int, s: int) -> Column:
     n, inner = F.size(hashes) - (k - 1), k - s  # windows; runs after a window's first
 
     def rolled(h: Column) -> Column:
-        runs = h if s == 1 else reduce(lambda a, j: F.zip_with(a, F.slice(_from(h, j), F.lit(1), F.size(h) - (s - 1)), lambda x, y: F.xxhash64(x, y)), range(1, s), F.slice(h, F.lit(1), F.size(h) - (s - 1)))
+        runs = h if s == 1 else reduce(lambda a, j: F.zip_with(a, F.slice(_from(h, j), F.lit(1), F.size(h) - (s - 1)), lambda x, y: F.xxhash64(x, y)),
+            range(1, s), F.slice(h, F.lit(1), F.size(h) - (s - 1)))
         shifted = lambda r, j: F.slice(_from(r, j), F.lit(1), n).alias(f"r{j}")
         own = [F.slice(_from(h, j), F.lit(1), n).alias(f"u{j}") for j in range(k)] if s > 1 else []
         return _let(runs, lambda r: F.arrays_zip(*[shifted(r, j) for j in range(inner + 1)], *own))
@@ -186,6 +187,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     edited = F.when(tail == 0, F.col("text")).otherwise(edited)
     got = got.withColumn("edited", edited).withColumn("edited_marks", sketch(F.col("edited")))
     return got.select(
-        "doc_id", n.alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("marks")).alias("fingerprint"), as_text(F.col("edited_marks")).alias("edited_fingerprint"),
+        "doc_id", n.alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+            as_text(F.col("marks")).alias("fingerprint"), as_text(F.col("edited_marks")).alias("edited_fingerprint"),
         likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"), likeness(F.col("marks"), F.col("next_marks")).alias("near_next"),
     )

@@ -109,7 +109,8 @@ def directory(read_at, total: int) -> dict[str, tuple[int, int, int]]:
     for _ in range(count):
         if data[at : at + 4] != b"PK\1\2":
             raise ValueError("broken central directory")
-        method, (packed, plain), (n, m, c), offset = struct.unpack_from("<H", data, at + 10)[0], struct.unpack_from("<2I", data, at + 20), struct.unpack_from("<3H", data, at + 28), struct.unpack_from("<I", data, at + 42)[0]
+        method, (packed, plain), (n, m, c), offset = struct.unpack_from("<H", data, at + 10)[0], struct.unpack_from("<2I", data,
+            at + 20), struct.unpack_from("<3H", data, at + 28), struct.unpack_from("<I", data, at + 42)[0]
         name, extra = data[at + 46 : at + 46 + n].decode("utf-8"), data[at + 46 + n : at + 46 + n + m]
         e = 0
         while e + 4 <= len(extra):
@@ -222,7 +223,8 @@ def write_packages(rows: DataFrame, folder: str, roll: int = 256 << 20, zip64: b
                     zipped = None
         if zipped is not None:
             close()
-        yield pa.RecordBatch.from_pydict({"path": [d[0] for d in done], "records": [d[1] for d in done], "bytes": [d[2] for d in done]}, schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"path": [d[0] for d in done], "records": [d[1] for d in done], "bytes": [d[2] for d in done]},
+            schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
     return cut(rows.mapInArrow(run, "path string, records long, bytes long"))
 
@@ -266,7 +268,8 @@ def record_ranges(packages: DataFrame, span: int = 4 << 20) -> DataFrame:
                         cuts, start, total = [], None, 0
                 if cuts:
                     spans.append((start, cuts))
-                yield pa.RecordBatch.from_pydict({"path": [path] * len(spans), "start": [base + s for s, _ in spans], "length": [sum(c) for _, c in spans], "cuts": [c for _, c in spans]}, schema=schema)
+                yield pa.RecordBatch.from_pydict({"path": [path] * len(spans), "start": [base + s for s, _ in spans],
+                    "length": [sum(c) for _, c in spans], "cuts": [c for _, c in spans]}, schema=schema)
 
     return packages.select("path").mapInArrow(run, "path string, start long, length long, cuts array<long>")
 

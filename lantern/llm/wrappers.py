@@ -130,7 +130,8 @@ def parse(page: str | None) -> Element:
                     break  # an inline end tag doesn't close blocks
             continue
         if block:
-            shut = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
+            shut = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
+                "th": ("td", "th"), "option": ("option",)}.get(tag, ())
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in shut or (stack[k].tag == "p" and tag != "label" and tag != "button"):
                     del stack[k:], below[k:]
@@ -219,7 +220,8 @@ def common(a: list, b: list) -> list[tuple[int, int]]:
     """Index pairs of a longest common subsequence of two sequences, by rows of bits; where all rows would be too many, a is halved and b cut where both halves find most."""
     if len(a) * len(b) > _TABLE and len(a) > 1:
         half = len(a) // 2
-        grown = lambda row: np.concatenate([[0], np.cumsum(1 - np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)].astype(np.int64))])
+        grown = lambda row: np.concatenate([[0], np.cumsum(1 - np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8),
+            bitorder="little")[: len(b)].astype(np.int64))])
         at = int(np.argmax(grown(_rows(a[:half], b)[-1]) + grown(_rows(a[half:][::-1], b[::-1])[-1])[::-1]))
         return common(a[:half], b[:at]) + [(i + half, j + at) for i, j in common(a[half:], b[at:])]
     rows = _rows(a[::-1], b[::-1])
@@ -451,7 +453,8 @@ def template_strings(slots: DataFrame) -> DataFrame:
     A host has at most 1 / SAME_SHARE times as many as its pages have on average.
     """
     pages = slots.groupBy("host").agg(F.count_distinct("page").alias("pages"))
-    each = slots.select("host", "page", F.explode("slots").alias("slot")).distinct().groupBy(F.col("host").alias("h"), "slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAME_PAGES)
+    each = slots.select("host", "page", F.explode("slots").alias("slot")).distinct().groupBy(F.col("host").alias("h"),
+        "slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAME_PAGES)
     often = each.join(pages, F.col("h") == F.col("host")).where(F.col("n") >= SAME_SHARE * F.col("pages"))
     return often.groupBy(F.col("h").alias("same_host")).agg(F.array_sort(F.collect_list("slot")).alias("same"))
 
@@ -468,12 +471,14 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def decided(batches):
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"own_host": b.column(0), "root": [decide(json.loads(w))["root"] for w in b.column(1).to_pylist()]}, schema=pa.schema([("own_host", pa.string()), ("root", pa.string())]))
+            yield pa.RecordBatch.from_pydict({"own_host": b.column(0), "root": [decide(json.loads(w))["root"] for w in b.column(1).to_pylist()]},
+                schema=pa.schema([("own_host", pa.string()), ("root", pa.string())]))
 
     roots = _merged(parts.where("wrapper is not null").select("host", "wrapper")).mapInArrow(decided, "own_host string, root string")
     same = template_strings(parts.where("page is not null").select("host", "page", "slots"))
     decisions = cut(roots.join(same, F.col("own_host") == F.col("same_host"), "left").select("own_host", F.to_json(F.struct("root", "same")).alias("decision")))
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(small(decisions), F.col("host") == F.col("own_host"), "left").select("page_id", "url", "html", "decision")
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(small(decisions), F.col("host") == F.col("own_host"),
+        "left").select("page_id", "url", "html", "decision")
     kind = rows.drop("html", "decision").schema
 
     def run(batches):
@@ -484,6 +489,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 if said not in known:
                     known[said] = json.loads(said) if said else None
                 texts.append(text_of(page, known[said]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, T.StructType([*kind.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
