@@ -30,6 +30,8 @@ _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: For similar texts: buckets by BANDS keys of ROWS least hashes each meet pairs of similarity 0.8 in all but one of 30,000 cases.
 BANDS, ROWS = 20, 4
 LIKENESS = 0.8
+#: A group of more sets is compared by pivots, over all tasks; of what they leave at most so many hashes go to every task.
+HOT_SETS, REST_HASHES = 2000, 4_000_000
 #: Differing bits of 64 at which pairs are still compared: 9.7 are expected at a similarity of 0.8, with a deviation of 2.9.
 SIMILAR = 22
 
@@ -377,6 +379,16 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, own long, fp long, bands array<long>")
 
 
+def alike(a: np.ndarray, b: np.ndarray, likeness: float = LIKENESS) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of likeness or more."""
+    if min(len(a), len(b)) < likeness * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= likeness * (len(both) - common) - 1e-9
+
+
 def link_sets(sets: list[np.ndarray], fps: np.ndarray, radius: int, likeness: float = LIKENESS) -> np.ndarray:
     """The index of the first set that each set reaches by pairs within the radius whose Jaccard similarity is likeness or more.
 
@@ -391,11 +403,7 @@ def link_sets(sets: list[np.ndarray], fps: np.ndarray, radius: int, likeness: fl
             near = (np.bitwise_count(fps[left] ^ fps[k]) <= radius) & (np.minimum(n, sizes[k]) >= likeness * np.maximum(n, sizes[k]))
             found = np.zeros(len(left), bool)
             for i in np.flatnonzero(near).tolist():
-                other = sets[left[i]]
-                both = np.concatenate([sets[k], other])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                found[i] = common >= likeness * (len(both) - common) - 1e-9
+                found[i] = alike(sets[k], sets[left[i]], likeness)
             root[left[found]] = seed
             queue += left[found].tolist()
             left = left[~found]
@@ -430,27 +438,101 @@ def _verify(size: int, radius: int):
     return run
 
 
+def _member_sets(texts: DataFrame, size: int) -> DataFrame:
+    """Rows (root, own, text) -> (root, own, hashes); a text of another own is left out."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(r, o, set_of(t.as_py(), size)) for r, o, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)]
+            rows = [(r, o, h.view(np.int64)) for r, o, (h, digest) in rows if digest == o]
+            cols = zip(*rows, strict=True) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["root", "own", "hashes"])
+
+    return texts.mapInArrow(run, "root long, own long, hashes array<long>").dropDuplicates(["root", "own"])
+
+
+def _with_pivots(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Links (a, b) of members (root, own, hashes) with the pivot (root, own, hashes) of their group."""
+
+    def run(batches):
+        for b in batches:
+            own, pivot = b.column(0).to_pylist(), b.column(1).to_pylist()
+            hit = [k for k in range(b.num_rows) if alike(np.asarray(b.column(2)[k].values), np.asarray(b.column(3)[k].values))]
+            yield pa.RecordBatch.from_arrays([pa.array([own[k] for k in hit], pa.int64()), pa.array([pivot[k] for k in hit], pa.int64())], names=["a", "b"])
+
+    p = pivots.select(F.col("root").alias("p_root"), F.col("own").alias("p_own"), F.col("hashes").alias("p_hashes"))
+    met = members.join(small(p, limit=1000), F.col("root") == F.col("p_root")).select("own", "p_own", "hashes", "p_hashes")
+    return met.mapInArrow(run, "a long, b long")
+
+
+def _with_rest(members: DataFrame, rest: DataFrame) -> DataFrame:
+    """Links (a, b) of members with the rest (root, own, hashes) of their group: few sets, which go to every task."""
+    known: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for r in rest.toLocalIterator():
+        known.setdefault(r.root, []).append((r.own, np.array(r.hashes, dtype=np.int64)))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for root, own, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                mine = np.asarray(h.values)
+                out += [(own, other) for other, x in known.get(root, ()) if other != own and alike(mine, x)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return members.mapInArrow(run, "a long, b long")
+
+
+def _link_hot(texts: DataFrame, size: int) -> DataFrame:
+    """Links (a, b) that join what pairs of a similarity of LIKENESS or more join, in large groups: rows (root, own, text).
+
+    A pivot of each group is compared with all its members, over all tasks; what
+    is like it is of one component.  What is left is compared with all members
+    too, so every pair is decided but those within the pivot's component.  A
+    group of which too much is left, as it holds several large families, is
+    compared in its own task.
+    """
+    members = cut(_member_sets(texts, size))
+    pivots = cut(members.groupBy("root").agg(F.min("own").alias("own")).join(members, ["root", "own"]))
+    star = cut(_with_pivots(members, pivots))
+    left = cut(members.join(star.select(F.col("a").alias("own")), "own", "left_anti").select("root", "own", F.size("hashes").alias("n")))
+    sizes = left.groupBy("root").agg(F.sum("n").alias("n"))
+    families = cut(sizes.where(F.col("n") > REST_HASHES // 10).select(F.col("root").alias("wide")))
+    rest = left.join(small(families), F.col("root") == F.col("wide"), "left_anti")
+    if rest.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] > REST_HASHES:
+        families, rest = cut(sizes.select(F.col("root").alias("wide"))), None
+    whole = texts.join(small(families), F.col("root") == F.col("wide"), "left_semi").repartition("root").sortWithinPartitions("root")
+    links = star.union(whole.mapInArrow(_verify(size, SIMILAR), "a long, b long"))
+    return links if rest is None else links.union(_with_rest(members, rest.select("root", "own").join(members, ["root", "own"])))
+
+
 def similar_groups(docs: DataFrame, size: int = 5, radius: int = SIMILAR) -> DataFrame:
     """(doc_id, component_id) of every row: texts whose shingle sets have a Jaccard similarity of LIKENESS or more are linked.
 
     Equal sets are one class.  Classes meet in buckets by their bands and are
     grouped by bit-sliced comparison of their fingerprints, with a radius that
-    is wide for the similarity.  One text of each class of a group goes to the
-    group's task, where pairs are compared by their whole sets.  component_id
-    is the least id reached.  Texts without words are one class.
+    is wide for the similarity; a crowded bucket is one group without comparison,
+    so that no task holds it.  One text of each class of a group goes to the
+    group's task, where pairs are compared by their whole sets; large groups are
+    compared by pivots in all tasks.  component_id is the least id reached.
+    Texts without words are one class.
     """
     rows = cut(shingle_sets(docs, size))
     classes = cut(rows.groupBy("own", "fp").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
     keyed = classes.select("fp", F.posexplode("bands").alias("k2", "k1")).select("k1", F.col("k2").cast("long").alias("k2"), "fp").distinct()
-    crowd = keyed.groupBy("k1", "k2").count().where("count > 1").select(F.col("k1").alias("m1"), F.col("k2").alias("m2"))
-    met = keyed.join(crowd, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2"))).select("k1", "k2", "fp")
-    edges = met.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "fp").mapInArrow(_link_batches(radius), "a long, b long")
+    crowd = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("first")).where("n > 1").select(F.col("k1").alias("m1"), F.col("k2").alias("m2"), "n", "first")
+    met = keyed.join(crowd, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2"))).select("k1", "k2", "fp", "n", "first")
+    few = met.where(F.col("n") <= HOT_BUCKET).select("k1", "k2", "fp").repartition("k1", "k2").sortWithinPartitions("k1", "k2", "fp")
+    edges = few.mapInArrow(_link_batches(radius), "a long, b long").union(met.where(F.col("n") > HOT_BUCKET).select(F.col("fp").alias("a"), F.col("first").alias("b")))
     reach = components(edges)
     rooted = classes.select("own", "fp", "least").join(reach, F.col("fp") == F.col("node"), "left").select("own", "least", F.coalesce("root", "fp").alias("root"))
     shared = rooted.groupBy("root").count().where("count > 1").select(F.col("root").alias("of"))
     asked = cut(rooted.join(shared, F.col("root") == F.col("of")).select("root", "own", F.col("least").alias("rep")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(asked), F.col("doc_id").eqNullSafe(F.col("rep"))).select("root", "own", "text")
-    same = components(texts.repartition("root").sortWithinPartitions("root").mapInArrow(_verify(size, radius), "a long, b long"))
+    hot = cut(asked.groupBy("root").count().where(F.col("count") > HOT_SETS).select(F.col("root").alias("hot")))
+    pairs = texts.join(small(hot), F.col("root") == F.col("hot"), "left_anti").repartition("root").sortWithinPartitions("root").mapInArrow(_verify(size, radius), "a long, b long")
+    if not hot.isEmpty():
+        pairs = pairs.union(_link_hot(texts.join(small(hot), F.col("root") == F.col("hot"), "left_semi"), size))
+    same = components(pairs)
     named = classes.select("own", "least").join(same, F.col("own") == F.col("node"), "left").select("own", "least", F.coalesce("root", "own").alias("root"))
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("of"), "component_id")
     ends = named.join(lowest, F.col("root") == F.col("of")).select(F.col("own").alias("set"), "component_id")

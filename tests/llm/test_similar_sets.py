@@ -65,3 +65,28 @@ def test_recall_against_all_pairs(spark):
             root[y] = x
     assert pairs > 3
     assert got == {d: min(e for e in sets if find(e) == find(d)) for d in sets}
+
+
+@pytest.mark.parametrize("hot,rest,bucket", [(1, 4_000_000, 8192), (1, 40_000, 8192), (3, 4000, 1), (1, 0, 1)])
+def test_hot_groups(spark, monkeypatch, hot, rest, bucket):
+    """Large groups give what small ones do: pivots, the rest, and groups that pivots don't help."""
+    monkeypatch.setattr(S, "HOT_SETS", hot)
+    monkeypatch.setattr(S, "REST_HASHES", rest)
+    monkeypatch.setattr(S, "HOT_BUCKET", bucket)
+    rng = random.Random(6)
+    docs = []
+    for base in range(4):
+        words = [f"w{base}_{rng.randrange(10**6)}" for _ in range(120)]
+        for _ in range(30 if base < 2 else 5):
+            words = list(words)
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"  # a chain: its ends aren't alike
+            docs.append((len(docs), " ".join(words)))
+    sets = {d: shingles(t) for d, t in docs}
+    root = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                x, y = sorted((root[a], root[b]))
+                root = {d: x if r == y else r for d, r in root.items()}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in S.similar_groups(df).collect()} == root
