@@ -153,7 +153,10 @@ def repaired(turns: DataFrame) -> DataFrame:
     cost: of this turn's repair; piece: its part of the rendered conversation,
     which is the pieces of the conversation in order of turn.  Turns go in order
     of turn (null first; equal ones by role and text).  A null or unknown role
-    is relabelled, a null text is empty, a null conv_id is a conversation.
+    is relabelled, a null text is empty, a null conv_id is a conversation.  Turns
+    that repeat are turns of their own.  A long conversation may span tasks, a
+    long text is one row.  An empty table gives no rows; other columns are left
+    out.
     """
     rows = ordered(turns)
 

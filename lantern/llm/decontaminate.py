@@ -231,6 +231,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, of=temp
     text with just those words; items and documents without words (null, empty)
     are in no pair.  Rows with equal ids count as one document or item; rows
     with a null doc_id are one document, items with a null item_id are left out.
+    A text is read whole however long it is.  Empty tables give no pairs; other
+    columns, whatever their names, are left out.
     """
     items = cut(_windows_table(benchmark.where("item_id is not null"), "item_id", "text", of=of))
     n_hashes = items.select("hash").distinct().count()

@@ -314,8 +314,10 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str
 
     component_id is the least id that a row reaches over fingerprints that
     differ in at most radius bits.  Texts that are null, empty or blank have
-    fingerprint 0 and are linked like any other.  Rows with equal ids each stay;
-    a null id keeps its row, and a component of null ids only has a null id.
+    fingerprint 0 and are linked like any other; very long ones are read whole.
+    Rows with equal ids each stay; a null id keeps its row, and a component of
+    null ids only has a null id.  An empty docs gives no rows; other columns of
+    docs, whatever their names, are left out.
     """
     rows = cut(fingerprints(docs, size, id_col, text_col))
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))

@@ -176,7 +176,8 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The edited text's last quarter (floor of the code points) is replaced by as
     many code points from the start of the next row's text, by ascending id.
     A null text is empty; a null id comes first; rows with equal ids follow one
-    another by their text; a single row is its own next.
+    another by their text; a single row is its own next, an empty docs gives no
+    rows.  Long texts are read whole; other columns of docs are left out.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
