@@ -100,3 +100,33 @@ def test_deep_nesting_and_nested_headers(spark):
     rows = [(1, "http://a/", f"<article>{deep}</article>"), (2, "http://b/", "<body><header>site</header><article><div><header><h1>Title</h1></header><p>text</p></div></article></body>")]
     got = {r.page_id: r.text for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: "kept one\nkept two\nafter", 2: "Title\ntext"}
+
+
+def plain(pages):
+    """Texts by one process: a wrapper per host page by page, and template strings by counting."""
+    import re
+
+    host = lambda u: (re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", u or "") or [None, ""])[1].lower()
+    wrappers, slots, kinds = {}, {}, {}
+    for _, url, page in pages:
+        h, own = host(url), W.skeleton(page)
+        wrappers[h] = W._joined(wrappers[h], own) if h in wrappers else own
+        found = W.slots_of(W.parse(page))
+        if found:
+            kinds.setdefault(h, set()).add(found[0])
+            for s in found[1]:
+                slots.setdefault((h, s), set()).add(found[0])
+    same = {}
+    for (h, s), on in slots.items():
+        if len(on) >= W.SAME_PAGES and len(on) >= W.SAME_SHARE * len(kinds[h]):
+            same.setdefault(h, []).append(s)
+    said = {h: {"root": W.decide(w)["root"], "same": same.get(h)} for h, w in wrappers.items()}
+    return [(i, W.text_of(page, said[host(url)])) for i, url, page in pages]
+
+
+def test_against_one_process(spark):
+    rng = random.Random(11)
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    pages += [(10**6 + i, f"http://n{i % 2}.example/x", neutral(i, rng)[0]) for i in range(30)] + [(2 * 10**6, None, None), (2 * 10**6 + 1, "u", "<p>x")]
+    got = W.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)).collect()
+    assert sorted((r.page_id, r.text) for r in got) == sorted(plain(pages))
