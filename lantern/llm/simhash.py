@@ -448,7 +448,8 @@ def _member_sets(texts: DataFrame, size: int) -> DataFrame:
             rows = [(r, o, set_of(t.as_py(), size)) for r, o, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)]
             rows = [(r, o, h.view(np.int64)) for r, o, (h, digest) in rows if digest == o]
             cols = zip(*rows, strict=True) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["root", "own", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c,
+                t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["root", "own", "hashes"])
 
     return texts.mapInArrow(run, "root long, own long, hashes array<long>").dropDuplicates(["root", "own"])
 
@@ -521,7 +522,8 @@ def similar_groups(docs: DataFrame, size: int = 5, radius: int = SIMILAR) -> Dat
     rows = cut(shingle_sets(docs, size))
     classes = cut(rows.groupBy("own", "fp").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
     keyed = classes.select("fp", F.posexplode("bands").alias("k2", "k1")).select("k1", F.col("k2").cast("long").alias("k2"), "fp").distinct()
-    crowd = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("first")).where("n > 1").select(F.col("k1").alias("m1"), F.col("k2").alias("m2"), "n", "first")
+    crowd = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("first")).where("n > 1").select(F.col("k1").alias("m1"),
+        F.col("k2").alias("m2"), "n", "first")
     met = keyed.join(crowd, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2"))).select("k1", "k2", "fp", "n", "first")
     few = met.where(F.col("n") <= HOT_BUCKET).select("k1", "k2", "fp").repartition("k1", "k2").sortWithinPartitions("k1", "k2", "fp")
     edges = few.mapInArrow(_link_batches(radius), "a long, b long").union(met.where(F.col("n") > HOT_BUCKET).select(F.col("fp").alias("a"), F.col("first").alias("b")))

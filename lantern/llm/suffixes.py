@@ -10,8 +10,9 @@ is left are segments: an anchor's starts and the bytes of their strings.
 
 Equal segments are counted.  A segment that occurs more than once is repeated
 at every start.  One that occurs once is compared with the other segments of
-its anchor: the suffix array of them all is built and strings that are equal
-on LENGTH bytes stand side by side in it.  Where the segments of an anchor hold
+its anchor: the suffix array of all that agree with another on enough bytes
+around the anchor is built, and strings that are equal on LENGTH bytes stand
+side by side in it.  Where the segments of an anchor hold
 too many bytes for one suffix array, they are dealt out: strings whose starts
 lie within a few bytes of each other, seen from the anchor, share the bytes
 that all of them cover, so those that share these meet in a suffix array of
@@ -189,6 +190,38 @@ def repeated_starts(segments: list[bytes], length: int = LENGTH) -> list[list[in
     return out
 
 
+def _agreeing(leads: list[int], bodies: list[bytes]) -> list[tuple[int, int, int]]:
+    """(index, begin, end) of an anchor's segments that may hold a string of another of them, and the part of each that does: both have its bytes around the anchor, LENGTH - K in all.
+
+    The first anchor in a string is the same wherever the string stands, so
+    equal strings of two segments lie alike to it.
+    """
+    more, half = LENGTH - K, (LENGTH - K) // 2
+    before = [b[max(0, x - more) : x] for x, b in zip(leads, bodies, strict=True)]
+    after = [b[x + K : x + K + more] for x, b in zip(leads, bodies, strict=True)]
+    n = len(bodies)
+    if n > 8:  # half of the bytes are on one side
+        seen: dict[tuple[int, bytes], int] = {}
+        sides = [[(0, x[-half:])] * (len(x) >= half) + [(1, y[:half])] * (len(y) >= half) for x, y in zip(before, after, strict=True)]
+        for side in sides:
+            for key in side:
+                seen[key] = seen.get(key, 0) + 1
+        return [(k, 0, len(bodies[k])) for k, side in enumerate(sides) if any(seen[key] > 1 for key in side)]
+    # a number's low bytes are those next to the anchor; how many agree shows in the lowest bit of the difference
+    left, right = [int.from_bytes(x, "big") for x in before], [int.from_bytes(y, "little") for y in after]
+    wide: list[tuple[int, int] | None] = [None] * n
+    for i in range(1, n):
+        for j in range(i):
+            x, y = left[i] ^ left[j], right[i] ^ right[j]
+            a = min(len(before[i]), len(before[j]), ((x & -x).bit_length() - 1) // 8 if x else more)
+            b = min(len(after[i]), len(after[j]), ((y & -y).bit_length() - 1) // 8 if y else more)
+            if a + b >= more:
+                for k in (i, j):
+                    have = wide[k]
+                    wide[k] = (a, b) if have is None else (max(a, have[0]), max(b, have[1]))
+    return [(k, leads[k] - w[0], leads[k] + K + w[1]) for k, w in enumerate(wide) if w]
+
+
 # ---------------------------------------------------------------- anchors
 
 
@@ -421,8 +454,12 @@ def _settled(parts: DataFrame) -> DataFrame:
             else:
                 out.extend((0, a, b, None, None, None, None) for (a, b), n, _, _ in held if n > 1)
                 if len(held) > 1 and any(n == 1 for _, n, _, _ in held):
-                    starts = repeated_starts([body for _, _, _, body in held])
-                    out.extend((0, a, b, None, None, None, _runs(at)) for ((a, b), n, _, _), at in zip(held, starts, strict=True) if n == 1 and at)
+                    own = _agreeing([x for _, _, x, _ in held], [body for _, _, _, body in held])
+                    starts = repeated_starts([held[k][3][x:y] for k, x, y in own]) if own else []
+                    for (k, x, _), at in zip(own, starts, strict=True):
+                        (a, b), n, _, _ = held[k]
+                        if n == 1 and at:
+                            out.append((0, a, b, None, None, None, _runs([x + i for i in at])))
             held.clear()
 
         def sent():
