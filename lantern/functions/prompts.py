@@ -72,6 +72,11 @@ def passage_trace(passages: Column) -> Column:
         F.bround(p["score"], 4).alias("score"), F.substring(p["text"], 1, 200).alias("text_preview")))
 
 
+def nested(raw: Column, path: str, default: str | None = None) -> Column:
+    """What stands at a path ('$.passages[0].source') of JSON text, else the default."""
+    return F.coalesce(F.get_json_object(raw, path), F.lit(default))
+
+
 def merged(left: Column, right: Column) -> Column:
     """Two maps as one; where both have a key the right one's value stands."""
     kept = F.map_filter(left, lambda k, v: ~F.map_contains_key(right, k))

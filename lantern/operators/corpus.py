@@ -177,3 +177,11 @@ def in_categories(category: Column, wanted: list[str], known: list[str]) -> Colu
     if strange:
         raise ValueError(f"unknown categories: {', '.join(strange)}")
     return category.isin(wanted)
+
+
+def gap_phrases(gaps: DataFrame, known: DataFrame) -> DataFrame:
+    """(phrase, n, first_event) of candidate titles in the questions of gaps (event_id, question_text, options) that known (title) lacks, whatever the letter case: how often each is asked for, and the spelling of its first event."""
+    rows = gaps.select("event_id", F.posexplode(T.candidate_phrases(F.col("question_text"), F.col("options"))).alias("pos", "phrase"))
+    counted = rows.groupBy(F.lower("phrase").alias("_key")).agg(F.min(F.struct("event_id", "pos", "phrase")).alias("f"), F.count(F.lit(1)).alias("n"))
+    have = known.select(F.lower("title").alias("_key")).distinct()
+    return counted.join(have, "_key", "left_anti").select(F.col("f.phrase").alias("phrase"), "n", F.col("f.event_id").alias("first_event"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import corpus as C
 from ..operators import decide as D
 from ..operators import evaluate as E
 from .common import CAT_SQL, LOG, categories, query, runlog, table
 
 _CAT = f"LEFT JOIN {CAT_SQL} AS cat(cid, category) ON cat.cid = competition_id"
+_GAP = "category NOT IN ('news', 'maths') AND (correct = FALSE OR top_score < 0.5)"
 
 
 def _with_category(spark, d):
@@ -139,6 +141,20 @@ def source_counters(spark, d):
     return D.source_counters(runlog(spark, d).select((k % 3 == 0).alias("cached"), (k % 11 == 0).alias("failed"), (F.col("top_score") >= 0.2).alias("found")))
 
 
+@query(
+    LOG + f", g AS (SELECT event_id, event_id % 60 AS q FROM runlog {_CAT} WHERE {_GAP}), p AS (SELECT event_id, 'Book ' || q AS phrase FROM g"
+        f" UNION ALL SELECT event_id, 'Roman Empire' || q FROM g)"
+    " SELECT phrase, count(*) AS n, min(event_id) AS first_event FROM p WHERE phrase NOT IN (SELECT 'Book ' || doc_id FROM documents WHERE doc_id % 2 = 0) GROUP BY phrase"
+)
+def gap_mining(spark, d):
+    """R-36: phrases of questions that went wrong or found little, without those that the corpus has; titles are compared in any letter case."""
+    q = (F.col("event_id") % 60).cast("string")
+    log = _with_category(spark, d).where(_GAP)
+    asked = log.withColumn("question_text", F.concat(F.lit('Who wrote "Book '), q, F.lit('" about Roman Empire'), q, F.lit("?"))).withColumn("options", F.array(F.lit("x")))
+    known = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.concat(F.lit("BOOK "), F.col("doc_id")).alias("title"))
+    return C.gap_phrases(asked, known)
+
+
 @query("SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ALL")
 def inventory(spark, d):
     """A-11, A-32: documents by kind, as views by category and source."""
@@ -288,7 +304,6 @@ def cumulative_gate(spark, d):
     return summed.select("top_score", "n_ungated", F.round(F.col("hits") / F.col("n_ungated"), 9).alias("acc"))
 
 
-_GAP = "category NOT IN ('news', 'maths') AND (correct = FALSE OR top_score < 0.5)"
 
 
 @query(LOG + f" SELECT category, count(*) AS gaps, count(DISTINCT question_text) AS questions FROM runlog {_CAT} WHERE {_GAP} GROUP BY category")

@@ -174,7 +174,7 @@ _GOLD = ", gold AS (SELECT i.item_id AS query, min(d.doc_id) AS gold FROM benchm
 _ITEMS = 20_000
 
 
-def _gold(spark, d):
+def gold_documents(spark, d):
     """(query, gold): the first document that contains the item.
 
     A document is compared with the items that share four inner tokens with it;
@@ -196,7 +196,7 @@ def _gold(spark, d):
 
 def _found(spark, d):
     ranked = _bm25(spark, d, 20).select("query", F.col("doc").cast("string").alias("title"), "rank")
-    return R.title_rank(ranked, _gold(spark, d).select("query", F.col("gold").cast("string").alias("gold")))
+    return R.title_rank(ranked, gold_documents(spark, d).select("query", F.col("gold").cast("string").alias("gold")))
 
 
 _REC = "round(avg(CASE WHEN found_at <= {k} THEN 1.0 ELSE 0.0 END), 9) AS recall_{k}"
@@ -212,7 +212,7 @@ def retrieval_recall(spark, d):
 @query(_HITS + _TOP + _GOLD + f" SELECT lang AS category, {_RECALLS} FROM fd JOIN gold USING (query) JOIN documents d ON d.doc_id = gold.gold GROUP BY lang")
 def recall_by_category(spark, d):
     """A-13 by the gold document's language."""
-    gold = _gold(spark, d)
+    gold = gold_documents(spark, d)
     ranked = _bm25(spark, d, 20).select("query", F.col("doc").cast("string").alias("title"), "rank")
     found = R.title_rank(ranked, gold.select("query", F.col("gold").cast("string").alias("gold")))
     lang = gold.join(table(spark, d, "documents").select(F.col("doc_id").alias("gold"), F.col("lang").alias("category")), "gold").select("query", "category")
@@ -229,7 +229,7 @@ def recall_chunk_rank(spark, d):
     """A-15: by raw passage rank, sources not deduplicated."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source")
     ranked = _bm25(spark, d, 20).join(docs, "doc").select("query", "rank", "source")
-    gold = _gold(spark, d).join(docs.withColumnRenamed("doc", "gold"), "gold").select(F.col("query").alias("g"), F.col("source").alias("g_source"))
+    gold = gold_documents(spark, d).join(docs.withColumnRenamed("doc", "gold"), "gold").select(F.col("query").alias("g"), F.col("source").alias("g_source"))
     found = gold.join(ranked, (F.col("g") == F.col("query")) & (F.col("source") == F.col("g_source")), "left").groupBy("g").agg(F.min("rank").alias("found_at"))
     return recall(found, (3,), [])
 

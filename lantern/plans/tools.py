@@ -13,9 +13,10 @@ from ..operators import corpus as C2
 from ..operators import rag
 from ..operators import retrieve as R
 from ..operators.corpus import with_prefix
+from ..operators.evaluate import recall
 from .common import LOG, query, runlog, table
 from .corpus import KEPT
-from .retrieve import _FUSED, _HITS
+from .retrieve import _FUSED, _GOLD, _HITS, gold_documents
 
 
 #: Parameters of the questions that are made from events.
@@ -288,7 +289,7 @@ _VARIANTS = (
 )
 
 
-@query(
+_MULTI = (
     _HITS.replace("FROM benchmark", f"FROM {_VARIANTS}")
     + ", rk AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, first_qi, doc) AS rank FROM s)"
         ", li AS (SELECT query // 10 AS query, query % 10 AS list_id, rank, doc FROM rk WHERE rank <= 15)"
@@ -297,10 +298,17 @@ _VARIANTS = (
         f" WHEN len(list_distinct({KEPT.format('i.text')})) > 0 THEN round(len(list_intersect(list_distinct({KEPT.format('i.text')}), {KEPT.format('d.text')})) / len(list_distinct({KEPT.format('i.text')})), 9)"
         f" ELSE 0.0 END AS score"
     " FROM x JOIN benchmark i ON i.item_id = x.query JOIN documents d ON d.doc_id = x.key WHERE x.rank <= 15)"
-    " SELECT query, key, score, place AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, rank) AS place FROM z) WHERE place <= 3"
+    ", mq AS (SELECT query, key, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, rank) AS place FROM z)"
 )
+
+
+@query(_MULTI + " SELECT query, key, score, place AS rank FROM mq WHERE place <= 3")
 def multi_query_retrieve(spark, d):
     """R-19: a question, and the question with each option (the next two items), ranked each for itself, fused, reranked once by the question, cut."""
+    return _multi_query(spark, d, 3)
+
+
+def _multi_query(spark, d, k):
     b = table(spark, d, "benchmark")
     option = lambda j: b.select((F.col("item_id") - j).alias("of"), F.col("text").alias(f"o{j}"))
     asked = b.join(option(1), F.col("item_id") == F.col("of"), "left").drop("of").join(option(2), F.col("item_id") == F.col("of"), "left").drop("of")
@@ -314,7 +322,20 @@ def multi_query_retrieve(spark, d):
     lists = ranked.select(F.floor(F.col("query") / 10).alias("query"), (F.col("query") % 10).cast("int").alias("list_id"), "rank", F.col("doc").alias("key"))
     said = F.broadcast(b.select(F.col("item_id").alias("of"), F.col("text").alias("q_text")))
     fused = R.fuse(lists, 15).join(said, F.col("query") == F.col("of")).join(docs.select(F.col("doc_id").alias("key"), "text"), "key")
-    return R.rerank(fused, F.round(R.overlap_score(F.col("q_text"), F.col("text")), 9), 3).select("query", "key", "score", "rank")
+    return R.rerank(fused, F.round(R.overlap_score(F.col("q_text"), F.col("text")), 9), k).select("query", "key", "score", "rank")
+
+
+@query(
+    _MULTI + _GOLD.replace("b.rank AS found_at FROM gold g LEFT JOIN b ON b.query = g.query AND b.doc = g.gold AND b.rank <= 20",
+        "mq.place AS found_at FROM gold g LEFT JOIN mq ON mq.query = g.query AND mq.key = g.gold AND mq.place <= 10")
+    + " SELECT count(*) AS n, round(avg(CASE WHEN found_at <= 1 THEN 1.0 ELSE 0.0 END), 9) AS recall_1, round(avg(CASE WHEN found_at <= 5 THEN 1.0"
+        " ELSE 0.0 END), 9) AS recall_5, round_even(avg(coalesce(1.0 / found_at, 0)), 4) AS mrr FROM fd"
+)
+def multi_query_recall(spark, d):
+    """R-35: recall of the multi-query recipe for the documents that contain an item."""
+    ranked = _multi_query(spark, d, 10).select("query", "rank", F.col("key").cast("string").alias("title"))
+    found = R.title_rank(ranked, gold_documents(spark, d).select("query", F.col("gold").cast("string").alias("gold")))
+    return recall(found, (1, 5), [])
 
 
 @query(

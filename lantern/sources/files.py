@@ -59,12 +59,12 @@ def calibration_rows(rows: DataFrame) -> DataFrame:
 
 
 def model_of(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_name, model) from each log's manifest: extra.model_id, extra.model or what stands in strategy[...]; null without one."""
-    raw = spark.read.text(folder).where("trim(value) <> ''").select("value", F.col("_metadata.file_name").alias("file_name"))
-    head = raw.where(F.get_json_object("value", "$.run_kind") == "manifest")
+    """(file_name, model) of each log whose first line that isn't blank is a manifest: extra.model_id, extra.model or what stands in strategy[...]; null without one."""
+    lines = numbered_lines(spark, folder).where("trim(value) <> ''")
+    head = lines.groupBy("file_name").agg(F.min_by("value", "line").alias("value")).where(F.get_json_object("value", "$.run_kind") == "manifest")
     strategy = F.regexp_extract(F.get_json_object("value", "$.extra.strategy"), r"\[([^|\]]+)", 1)
     model = F.coalesce(F.get_json_object("value", "$.extra.model_id"), F.get_json_object("value", "$.extra.model"), F.nullif(strategy, F.lit("")))
-    return head.groupBy("file_name").agg(F.first(model, ignorenulls=True).alias("model"))
+    return head.select("file_name", model.alias("model"))
 
 
 def only_models(rows: DataFrame, models: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
