@@ -530,16 +530,16 @@ def similar_groups(docs: DataFrame, size: int = 5, radius: int = SIMILAR) -> Dat
     reach = components(edges)
     rooted = classes.select("own", "fp", "least").join(reach, F.col("fp") == F.col("node"), "left").select("own", "least", F.coalesce("root", "fp").alias("root"))
     shared = rooted.groupBy("root").count().where("count > 1").select(F.col("root").alias("of"))
-    asked = cut(rooted.join(shared, F.col("root") == F.col("of")).select("root", "own", F.col("least").alias("rep")))
+    asked = cut(rooted.join(small(shared), F.col("root") == F.col("of")).select("root", "own", F.col("least").alias("rep")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(asked), F.col("doc_id").eqNullSafe(F.col("rep"))).select("root", "own", "text")
     hot = cut(asked.groupBy("root").count().where(F.col("count") > HOT_SETS).select(F.col("root").alias("hot")))
     pairs = texts.join(small(hot), F.col("root") == F.col("hot"), "left_anti").repartition("root").sortWithinPartitions("root").mapInArrow(_verify(size, radius), "a long, b long")
     if not hot.isEmpty():
         pairs = pairs.union(_link_hot(texts.join(small(hot), F.col("root") == F.col("hot"), "left_semi"), size))
     same = components(pairs)
-    named = classes.select("own", "least").join(same, F.col("own") == F.col("node"), "left").select("own", "least", F.coalesce("root", "own").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("of"), "component_id")
-    ends = named.join(lowest, F.col("root") == F.col("of")).select(F.col("own").alias("set"), "component_id")
+    named = classes.select("own", "least").join(same, F.col("own") == F.col("node"), "left").select("own", "least", "root")
+    lowest = named.where("root is not null").groupBy("root").agg(F.min("least").alias("lowest")).select(F.col("root").alias("of"), "lowest")
+    ends = named.join(small(lowest), F.col("root") == F.col("of"), "left").select(F.col("own").alias("set"), F.coalesce("lowest", "least").alias("component_id"))
     return rows.select("doc_id", "own").join(ends, F.col("own") == F.col("set")).select("doc_id", "component_id")
 
 
