@@ -49,6 +49,8 @@ VERDICTS = 6_000_000
 #: Bytes of distinct segments that one suffix array takes (its lists hold some 100 times as many); those of an anchor with more are dealt out by DEALS, numbers of starts.
 CROWD = 1 << 18
 DEALS = (49, 12, 1)
+#: Anchors that occur more often are hot: their segments are dealt out by their keys, not by the anchor, and then as those of a crowd are.  At most so many are.
+HOT_ANCHOR, HOT_ANCHORS, SALTS = 50_000, 1_000_000, 256
 #: Bytes of distinct segments that a task holds before it sends them on.
 HELD = 12 << 20
 _BLOCK = 1 << 18
@@ -317,7 +319,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """(h): hashes of the anchors and pairs that occur more than once."""
+    """(h, n): hashes of the anchors and pairs that occur more than once, and how often."""
 
     def run(batches):
         for b in batches:
@@ -326,7 +328,13 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
                     h, n = np.unique(np.concatenate([t.hashes, t.pairs()[t.paired]]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([_long(h), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    return rows.select("data").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    return rows.select("data").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+
+
+def hot_anchors(repeated: DataFrame) -> np.ndarray:
+    """The sorted hashes of anchors that occur more than HOT_ANCHOR times; of so many that they don't go to every task, those that occur most."""
+    hot = repeated.where(F.col("n") > HOT_ANCHOR).orderBy(F.desc("n"), "h").limit(HOT_ANCHORS)
+    return np.sort(_unsigned(hot, "h"))
 
 
 def _unsigned(df: DataFrame, column: str) -> np.ndarray:
@@ -344,7 +352,7 @@ def _knowing(rows: DataFrame, repeated: DataFrame) -> tuple[DataFrame, np.ndarra
                 h, of = np.concatenate([t.hashes, t.pairs()[t.paired]]), np.concatenate([t.text, t.text[1:][t.paired]]) + first
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), _long(h)], names=["k_doc", "k_h"])
 
-    pairs = rows.mapInArrow(each, "k_doc long, k_h long").join(repeated, F.col("k_h") == F.col("h"))
+    pairs = rows.mapInArrow(each, "k_doc long, k_h long").join(repeated.select("h"), F.col("k_h") == F.col("h"))
     own = pairs.groupBy("k_doc").agg(F.collect_set("h").alias("known"))
     return rows.join(own, F.col("doc_id").eqNullSafe(F.col("k_doc")), "left").select("doc_id", "data", "known"), None
 
@@ -432,12 +440,13 @@ def _runs(starts: list[int]) -> list[int]:
     return out
 
 
-def _settled(parts: DataFrame) -> DataFrame:
+def _settled(parts: DataFrame, hot: np.ndarray) -> DataFrame:
     """Tasks' segments by anchor -> (crowd, k1, k2, n, lead, body, covered).
 
     crowd 0: the verdict on a segment, with the ranges that its repeated
     strings cover, null for all of it.  crowd 1: segments of an anchor that has
-    more than CROWD bytes of them, sent on as they are; so no task holds more.
+    more than CROWD bytes of them, or is hot, sent on as they are; so no task
+    holds more, and none gets all of a hot anchor's.
     """
     schema = pa.schema([("crowd", pa.int32()), *[_KEY.field(i) for i in range(1, 6)], ("covered", pa.list_(pa.int64()))])
 
@@ -470,10 +479,11 @@ def _settled(parts: DataFrame) -> DataFrame:
             return batch
 
         for b in batches:
-            for h, k1, k2, n, lead, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if h != anchor:
+            salts = b.column(6).to_pylist() if b.num_columns > 6 else [-1] * b.num_rows
+            for h, k1, k2, n, lead, body, salt in zip(*(c.to_pylist() for c in b.columns[:6]), salts, strict=True):
+                if (h, salt) != anchor:
                     settle()
-                    anchor, crowd, total = h, False, 0
+                    anchor, crowd, total = (h, salt), salt >= 0, 0
                 if held and held[-1][0] == (k1, k2):
                     held[-1][1] += n
                     continue
@@ -489,8 +499,13 @@ def _settled(parts: DataFrame) -> DataFrame:
         if out:
             yield sent()
 
-    met = parts.repartition("h").sortWithinPartitions("h", "k1", "k2")
-    return met.mapInArrow(run, _SAID)
+    if not len(hot):
+        return parts.repartition("h").sortWithinPartitions("h", "k1", "k2").mapInArrow(run, _SAID)
+    own = parts.sparkSession.createDataFrame([(int(x),) for x in hot.view(np.int64)], "hot long")
+    flagged = parts.join(F.broadcast(own), F.col("h") == F.col("hot"), "left")
+    salted = flagged.withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod("k1", F.lit(SALTS)).cast("int")).otherwise(-1))
+    met = salted.repartition("h", "salt").sortWithinPartitions("h", "salt", "k1", "k2")
+    return met.select("h", "k1", "k2", "n", "lead", "body", "salt").mapInArrow(run, _SAID)
 
 
 def deals(lead: int, body: bytes, width: int):
@@ -549,26 +564,26 @@ def _same(a: str, b: str, c: str, d: str):
     return (F.col(a) == F.col(c)) & (F.col(b) == F.col(d))
 
 
-def _verdicts(parts: DataFrame, widths: tuple[int, ...]) -> DataFrame:
+def _verdicts(parts: DataFrame, widths: tuple[int, ...], hot: np.ndarray) -> DataFrame:
     """(k1, k2, covered) of tasks' segments; those of anchors with too many bytes are dealt out by the first of widths."""
     if not widths:  # parts of one start are strings: what occurs twice is repeated
         return cut(parts.groupBy("k1", "k2").agg(F.sum("n").alias("n")).where("n > 1").select("k1", "k2", F.lit(None).cast("array<bigint>").alias("covered")))
-    settled = cut(_settled(parts))
+    settled = cut(_settled(parts, hot))
     said, crowds = settled.where("crowd = 0").select("k1", "k2", "covered"), settled.where("crowd = 1")
     if crowds.isEmpty():
         return said
     own = cut(crowds.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.first("lead").alias("lead"), F.first("body").alias("body")))
     often = own.where("n > 1").select("k1", "k2", F.lit(None).cast("array<bigint>").alias("covered"))
-    inner = _verdicts(_dealt(own, widths[0]), widths[1:]).select(F.col("k1").alias("v1"), F.col("k2").alias("v2"), F.col("covered").alias("inner"))
+    inner = _verdicts(_dealt(own, widths[0]), widths[1:], hot[:0]).select(F.col("k1").alias("v1"), F.col("k2").alias("v2"), F.col("covered").alias("inner"))
     hits = _parts_of(own.where("n = 1"), widths[0]).join(inner, _same("p1", "p2", "v1", "v2"))
     ranges = F.when(F.col("inner").isNull(), F.array("begin", F.col("begin") + F.col("size"))).otherwise(F.transform("inner", lambda x: x + F.col("begin")))
     gathered = hits.select("k1", "k2", ranges.alias("r")).groupBy("k1", "k2").agg(F.flatten(F.collect_list("r")).alias("covered"))
     return cut(said.union(often).union(gathered))
 
 
-def verdicts(rows: DataFrame, known) -> DataFrame:
+def verdicts(rows: DataFrame, known, hot: np.ndarray) -> DataFrame:
     """(k1, k2, covered): the segments with repeated strings and the ranges these cover, which may overlap; null: all of it."""
-    return _verdicts(_distinct_segments(rows, known), DEALS)
+    return _verdicts(_distinct_segments(rows, known), DEALS, hot)
 
 
 def _merged(hits: DataFrame) -> DataFrame:
@@ -675,8 +690,9 @@ def deduplicate(docs: DataFrame, texts: bool = True) -> DataFrame:
     may fall within a character; without texts it is left out.  Very long texts
     are one row; other columns of docs are left out.
     """
-    rows, known = _knowing(_rows(docs), cut(repeated_anchors(_rows(docs))))
-    said = verdicts(rows, known)
+    repeated = cut(repeated_anchors(_rows(docs)))
+    rows, known = _knowing(_rows(docs), repeated)
+    said = verdicts(rows, known, hot_anchors(repeated))
     if known is not None and said.agg(F.coalesce(F.sum(2 + F.coalesce(F.size("covered"), F.lit(0))), F.lit(0))).first()[0] <= VERDICTS:
         return _by_lookup(rows, known, said, texts)
     return _by_join(rows, known, said, texts)

@@ -65,6 +65,17 @@ def test_against_every_string(spark, monkeypatch, crowd, known, verdicts, deals)
     assert sorted(((-1 if r.doc_id is None else r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
+@pytest.mark.parametrize("often", [1, 3])
+def test_hot_anchors(spark, monkeypatch, often):
+    """Segments of hot anchors are dealt out by their keys; the result is the same."""
+    monkeypatch.setattr(X, "HOT_ANCHOR", often)
+    texts = corpus()
+    raw = [(t or "").encode() for t in texts]
+    want = sorted((i, *digest(t, m)) for i, (t, m) in enumerate(zip(raw, plain(raw))))
+    got = X.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), texts=False).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
 def test_empty(spark):
     assert X.deduplicate(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
