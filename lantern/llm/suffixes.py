@@ -29,12 +29,15 @@ front.  No names are given and nothing is sorted again.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -294,7 +297,7 @@ def _in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
 
 
-def _batches(column: pa.Array, size: int = 1 << 20):
+def _batches(column: pa.Array, size: int = 1 << 19):
     """(index of the first text, Batch) for each size bytes of a column."""
     held, total, first = [], 0, 0
     for k, x in enumerate(column):
@@ -341,10 +344,11 @@ def _unsigned(df: DataFrame, column: str) -> np.ndarray:
     return np.asarray(df.select(column).toArrow().column(0), dtype=np.int64).view(np.uint64)
 
 
-def _knowing(rows: DataFrame, repeated: DataFrame) -> tuple[DataFrame, np.ndarray | None]:
-    """rows with the column known, or with one array for all if that is small."""
+def _knowing(rows: DataFrame, repeated: DataFrame) -> tuple[DataFrame, Broadcast | None]:
+    """rows with the column known, or with one array for all, once a worker, if that is small."""
     if repeated.count() <= KNOWN:
-        return rows.withColumn("known", F.lit(None).cast("array<bigint>")), np.sort(_unsigned(repeated, "h"))
+        known = rows.sparkSession.sparkContext.broadcast(np.sort(_unsigned(repeated, "h")))
+        return rows.withColumn("known", F.lit(None).cast("array<bigint>")), known
 
     def each(batches):
         for b in batches:
@@ -361,7 +365,7 @@ def _found(b, known):
     """(index of the first row, Batch, its segments) of a batch of (doc_id, data, known)."""
     if known is not None:
         for first, t in _batches(b.column(1)):
-            yield first, t, t.segments(known)
+            yield first, t, t.segments(known.value)
     else:
         for k, (x, own) in enumerate(zip(b.column(1), b.column(2), strict=True)):
             t = Batch([x.as_py()])
@@ -373,6 +377,16 @@ _SAID = "crowd int, k1 long, k2 long, n long, lead long, body binary, covered ar
 _KEY = pa.schema([("h", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("lead", pa.int64()), ("body", pa.binary())])
 
 
+def _returned():
+    """Gives memory that a task held back to the system, for the worker lives on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 class _Held:
     """Distinct segments of a task: anchor hash, count, lead and bytes by key."""
 
@@ -410,6 +424,7 @@ def _distinct_segments(rows: DataFrame, known) -> DataFrame:
                     yield held.sent()
         if held.rows:
             yield held.sent()
+        _returned()
 
     return rows.mapInArrow(run, _PARTS)
 
@@ -498,6 +513,7 @@ def _settled(parts: DataFrame, hot: np.ndarray) -> DataFrame:
         settle()
         if out:
             yield sent()
+        _returned()
 
     if not len(hot):
         return parts.repartition("h").sortWithinPartitions("h", "k1", "k2").mapInArrow(run, _SAID)
@@ -631,7 +647,7 @@ def _without(ids: pa.Array, data: bytes, starts: np.ndarray, ends: np.ndarray, b
     return pa.RecordBatch.from_arrays([ids, *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(cols) + 1])
 
 
-def _by_lookup(rows: DataFrame, known: np.ndarray, said: DataFrame, texts: bool) -> DataFrame:
+def _by_lookup(rows: DataFrame, known: Broadcast, said: DataFrame, texts: bool) -> DataFrame:
     """The result where all verdicts fit into every task: no text is shuffled."""
     table = said.orderBy("k1").toArrow()  # sorted by the executors
     low, high = (np.asarray(table.column(c)) for c in ("k1", "k2"))
@@ -639,9 +655,11 @@ def _by_lookup(rows: DataFrame, known: np.ndarray, said: DataFrame, texts: bool)
     count = np.asarray(ranges.value_lengths().fill_null(0)) // 2
     edge = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)  # a segment without ranges is repeated as a whole
     values = np.asarray(ranges.flatten()).astype(np.int16).reshape(-1, 2)
-    del table, ranges, count
+    shared = rows.sparkSession.sparkContext.broadcast((low, high, edge, values))
+    del table, ranges, count, low, high, edge, values
 
     def run(batches):
+        low, high, edge, values = shared.value
         for b in batches:
             for k, t, (_, h, begin, end, lead) in _found(b, known):
                 mine = _halves(t.keys(h, begin, end, lead))
