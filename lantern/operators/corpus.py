@@ -44,23 +44,35 @@ def fixed_windows(words: Column, size: int, overlap: int) -> Column:
 
 
 def pack(sentences: Column, size: int, overlap: int) -> Column:
-    """Greedy packing of sentences into windows of at most size words, each beginning with the overlap of the one before; longer sentences are cut into windows."""
-    empty = F.array().cast("array<string>")
-    start = F.struct(F.array().cast("array<array<string>>").alias("out"), empty.alias("buf"))
+    """Greedy packing of sentences into windows of at most size words, each beginning with the overlap of the one before; longer sentences are cut into windows.
+
+    Windows are ranges of the text's words: the fold goes over the sentences'
+    lengths and moves two numbers, and words are taken once, at its end.
+    """
     stride = max(1, size - overlap)
-    tail = lambda a: F.when(F.size(a) > overlap, F.slice(a, F.size(a) - (overlap - 1), F.lit(overlap))).otherwise(a) if overlap else empty
-    flushed = lambda acc: F.when(F.size(acc["buf"]) > 0, F.concat(acc["out"], F.array(acc["buf"]))).otherwise(acc["out"])
+    kind = "array<struct<a:int,b:int>>"
+    window = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+
+    def flushed(acc):
+        return F.when(acc["e"] >= acc["s"], F.concat(acc["out"], F.array(window(acc["s"], acc["e"])))).otherwise(acc["out"])
 
-    def step(acc, w):
-        n = F.size(w)
+    def state(s, e, out):
+        return F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), out.cast(kind).alias("out"))
+
+    def step(acc, n):
+        s, e = acc["s"], acc["e"]
         last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(stride))).cast("int")
-        windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(w, i * stride + 1, F.lit(size)))
-        long = F.struct(F.concat(flushed(acc), windows).alias("out"), tail(F.element_at(windows, -1)).alias("buf"))
-        over = F.struct(F.concat(acc["out"], F.array(acc["buf"])).alias("out"), F.concat(tail(acc["buf"]), w).alias("buf"))
-        fits = F.struct(acc["out"].alias("out"), F.concat(acc["buf"], w).alias("buf"))
-        return F.when(n == 0, acc).when(n > size, long).when(F.size(acc["buf"]) + n > size, over).otherwise(fits)
+        own = F.transform(F.sequence(F.lit(0), last), lambda i: window(e + 1 + i * stride, F.least(e + size + i * stride, e + n)))
+        long = state(F.greatest(e + 1 + last * stride, e + n - (overlap - 1)), e + n, F.concat(flushed(acc), own))
+        over = state(F.greatest(s, e - (overlap - 1)), e + n, F.concat(acc["out"], F.array(window(s, e))))
+        return F.when(n > size, long).when(e - s + 1 + n > size, over).otherwise(state(s, e + n, acc["out"]))
+
+    def ranges(x):
+        start = state(F.lit(1), F.lit(0), F.array().cast(kind))
+        return F.transform(F.aggregate(x["sizes"], start, step, flushed), lambda r: F.slice(x["words"], r["a"], r["b"] - r["a"] + 1))
 
-    return F.aggregate(F.transform(sentences, T.words), start, step, flushed)
+    split = N.let(F.transform(sentences, T.words), lambda w: F.struct(F.flatten(w).alias("words"), F.transform(w, F.size).alias("sizes")))
+    return N.let(split, ranges)
 
 
 def merge_short(chunks: Column, least: int) -> Column:
