@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lines, quality, suffixes, syncmers, warc_zip, wrappers
+from . import chat, decontaminate, lines, quality, resampling, suffixes, syncmers, warc_zip, wrappers
 from .common import table
 from .mixing import mix
 from .simhash import near_duplicates
@@ -105,9 +105,41 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight toward the benchmark's texts, its score, and its rank if it is drawn."""
+    found = resampling.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 has no function in SQL: each word's bytes go through the table of 256 steps, made by its rule.
+OP11_SQL = """
+WITH RECURSIVE step0 AS (SELECT i AS byte_no, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) AS g(i)
+  UNION ALL SELECT byte_no, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step0 WHERE k < 8),
+steps AS (SELECT byte_no, c FROM step0 WHERE k = 8),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+dw AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word FROM d) GROUP BY ALL),
+bw AS (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM b) GROUP BY ALL),
+v AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+crc AS (SELECT word, x, 0 AS k, CAST(4294967295 AS BIGINT) AS c FROM v
+  UNION ALL SELECT word, x, k + 1, xor(crc.c >> 8, steps.c) FROM crc JOIN steps ON steps.byte_no = xor(crc.c & 255, CAST('0x' || substr(x, 2 * k + 1, 2) AS BIGINT)) WHERE 2 * k < length(x)),
+f AS (SELECT word, xor(c, 4294967295) % 10000 AS bucket FROM crc WHERE 2 * k = length(x)),
+s AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS s FROM dw JOIN f USING (word) GROUP BY bucket),
+t AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS t FROM bw JOIN f USING (word) GROUP BY bucket),
+g AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM dw) + 10000)::DOUBLE
+        / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM bw) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT doc_id, CAST(sum(n * gain) AS BIGINT) AS weight FROM dw JOIN f USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+r AS (SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+        + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+      FROM d LEFT JOIN w ON w.doc_id = d.doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= 10 * n // 100 THEN k END AS rank FROM o
+"""
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op5_mix_sources": OP5_SQL, "op7_warc_zip": OP7_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op5_mix_sources": OP5_SQL, "op7_warc_zip": OP7_SQL, "op11_importance_resampling": OP11_SQL}
