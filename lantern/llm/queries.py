@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lines, quality, resampling, suffixes, syncmers, warc_zip, wrappers
+from . import chat, decontaminate, filter_audit, lines, quality, resampling, suffixes, syncmers, transport, warc_zip, wrappers
 from .common import table
 from .mixing import mix
 from .simhash import near_duplicates
@@ -137,9 +137,43 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= 10
 """
 
 
+def op12_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a transport stream in a stored column, and what the demultiplexer reads from it."""
+    streams = transport.stored(table(spark, sf_dir, "documents"), transport.folder(spark))
+    return transport.features(streams).withColumnRenamed("id", "doc_id")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in each source, at each step of each of their 120 orders."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
+f AS (SELECT doc_id, part, [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words),
+    100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'), doc_id > min(doc_id) OVER (PARTITION BY text)] AS fails FROM d),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, e.i, g.i] AS o FROM x a, x b, x c, x e, x g WHERE len(list_distinct([a.i, b.i, c.i, e.i, g.i])) = 5),
+s AS (SELECT o, i AS step, o[i] AS f, array_to_string(list_transform(o, lambda k: 'ABCDE'[k]), '') AS filter_order FROM o, x),
+p AS (SELECT part, filter_order, step, f, fails[f] AS own, len(list_filter(o[1:step - 1], lambda k: fails[k])) > 0 AS gone,
+        len(list_filter(fails, lambda b: b)) AS failed, n, good, toxic FROM s, m),
+a AS (SELECT part, filter_order, step, f, sum(n) FILTER (WHERE NOT own AND NOT gone) AS kept, sum(n) FILTER (WHERE own AND NOT gone) AS removed,
+        sum(n) FILTER (WHERE own AND gone) AS redundant, sum(n) FILTER (WHERE own AND failed = 1) AS unique_fails,
+        sum(good) FILTER (WHERE own AND NOT gone) AS good_lost, sum(toxic) FILTER (WHERE own AND NOT gone) AS toxic_lost FROM p GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM a
+"""
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op5_mix_sources": OP5_SQL, "op7_warc_zip": OP7_SQL, "op11_importance_resampling": OP11_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op5_mix_sources": OP5_SQL, "op7_warc_zip": OP7_SQL, "op11_importance_resampling": OP11_SQL,
+        "op13_filter_audit": OP13_SQL}
