@@ -29,7 +29,7 @@ def plain_fails(docs):
 
 
 def plain(docs, labels):
-    good, toxic = {i for i, q, _ in labels if q == 1}, {i for i, _, t in labels if t == 1}
+    good, toxic = {i for i, q, _ in labels if q == 1 and i is not None}, {i for i, _, t in labels if t == 1 and i is not None}
     rows, out = plain_fails(docs), []
     for part in {r[0] for r in rows}:
         own, shares, found = [r for r in rows if r[0] == part], dict.fromkeys("ABCDE", 0), []
