@@ -10,34 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
+from ..shared import cut, small
+from .postings import K1, B, Blocks, blocks, hits, idf  # noqa: F401
 
-K1, B, ALPHA, REACH = 1.5, 0.75, 0.25, 10
-
-
-def token_rows(docs: DataFrame, doc: str, text: str, drop_stopwords: bool = True) -> DataFrame:
-    """(doc, token, pos) of every token."""
-    return docs.select(F.col(doc).alias("doc"), F.posexplode(T.tokens(F.col(text), drop_stopwords)).alias("pos", "token"))
-
-
-def postings(rows: DataFrame) -> DataFrame:
-    """(token, doc, tf, positions) from token rows."""
-    return rows.groupBy("token", "doc").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-
-
-def token_runs(tokens: Column) -> Column:
-    """array<struct<token, tf, a, b>>: each distinct token of an array, how often it occurs, and its first and last place; so a document sends one row a token to a shuffle."""
-    placed = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["t"] != F.get(s, i - 1)["t"]))
-        ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(s)))
-        return F.zip_with(starts, ends, lambda x, y: F.struct(F.get(s, x)["t"].alias("token"), (y - x).alias("tf"), F.get(s, x)["i"].alias("a"), F.get(s, y - 1)["i"].alias("b")))
-
-    return F.when(F.size(tokens) > 0, N.let(placed, runs)).otherwise(F.array().cast("array<struct<token:string,tf:int,a:int,b:int>>"))
-
-
-def idf(n: Column, df: Column) -> Column:
-    return F.log((n - df + 0.5) / (df + 0.5) + 1)
+ALPHA, REACH = 0.25, 10
 
 
 def query_tokens(queries: DataFrame, query: str, text: str) -> DataFrame:
@@ -45,39 +21,9 @@ def query_tokens(queries: DataFrame, query: str, text: str) -> DataFrame:
     return queries.select(F.col(query).alias("query"), F.posexplode(T.tokens(F.col(text))).alias("qi", "token"))
 
 
-#: Distinct query tokens up to which they go to every task, counted before.
-VOCABULARY = 500_000
-_ALL = "\0"  # no token: stands for the corpus as a whole
-
-
-def corpus_stats(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(token, df, dl): how many documents have each wanted token; for the token _ALL, how many there are and their tokens in all.  One pass, summed up in the tasks."""
-    each = docs.select(T.tokens(F.col(text)).alias("t"))
-    rows = each.select(F.size("t").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(_ALL)))).alias("token"))
-    kept = wanted.select("token").union(docs.sparkSession.createDataFrame([(_ALL,)], "token string"))
-    return rows.join(F.broadcast(kept), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("token") == _ALL, F.col("dl"))).alias("dl"))
-
-
-def matched(docs: DataFrame, doc: str, text: str, q: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """(query, qi, token, doc, tf, positions, dl, idf, avgdl) of the documents' tokens that occur in a query.
-
-    A first pass takes the statistics of the whole corpus (unless stats has
-    them), a second the queries' tokens in each document.  These are dealt out
-    by document once; all further groups hold that key and stay where they are.
-    Positions that nobody asks for are not gathered.
-    """
-    vocabulary = q.select("token").distinct()
-    if vocabulary.count() > VOCABULARY:
-        raise ValueError("too many query tokens at once: retrieve for fewer queries, or join written postings")
-    have = {r["token"]: (r["df"], r["dl"]) for r in (corpus_stats(docs, text, vocabulary) if stats is None else stats).collect()}
-    n, total = have.pop(_ALL, (0, 0))
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(t, df) for t, (df, _) in have.items()], "token string, df long")
-    rows = docs.select(F.col(doc).alias("doc"), T.tokens(F.col(text)).alias("_t")).select("doc", F.size("_t").alias("dl"), F.posexplode("_t").alias("pos", "token"))
-    own = rows.join(F.broadcast(known.select("token")), "token", "left_semi").repartition("doc")
-    posted = own.groupBy("doc", "token").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    weighed = q.join(known, "token").select("query", "qi", "token", idf(F.lit(n), F.col("df")).alias("idf"))
-    return posted.join(F.broadcast(weighed), "token").withColumn("avgdl", F.lit(total / n if n else 0.0))
+def matched(docs: DataFrame, doc: str, text: str, q: DataFrame, positions: bool = True) -> DataFrame:
+    """(query, qi, token, doc, tf, positions, dl, idf, avgdl) of the documents' tokens that occur in a query of q (query, qi, token), however many there are; from block postings of just those tokens."""
+    return hits(blocks(docs, doc, text, q, positions=positions), q)
 
 
 def bm25(hits: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -89,16 +35,47 @@ def bm25(hits: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
 def proximity(hits: DataFrame, alpha: float = ALPHA, reach: int = REACH) -> DataFrame:
     """(query, doc, bonus): for each two query tokens in a document within reach, alpha (idf a + idf b) / (1 + gap).
 
-    Pairs are formed within an array of a document's few hits, not by a join.
+    The places of a document's hits are sorted once, so each is only compared
+    with the few that follow within reach, and of two tokens the least gap counts.
     """
-    grouped = hits.groupBy("query", "doc").agg(F.array_sort(F.collect_list(F.struct("qi", "idf", "positions"))).alias("h")).where(F.size("h") > 1)
+    member = F.struct("qi", "idf", "token", "positions")
+    grouped = hits.groupBy("query", "doc").agg(F.array_sort(F.collect_list(member)).alias("h")).where(F.size("h") > 1)
+    places = F.sort_array(F.flatten(F.transform("h", lambda x, i: F.transform(x["positions"], lambda p: F.struct(p.alias("p"), i.alias("i"))))))
+    # a place holds one token, but a query may repeat it
+    most = (reach + 1) * (1 + F.size("h") - F.size(F.array_distinct(F.transform("h", lambda x: x["token"]))))
 
-    def of_pair(x, y):
-        gap = N.min_gap(x["positions"], y["positions"])
-        return F.when(gap <= reach, F.lit(alpha) * (x["idf"] + y["idf"]) / (1 + gap)).otherwise(0.0)
+    def pairs(placed: Column, most: Column) -> Column:
+        def after(x: Column, j: Column) -> Column:
+            near = F.filter(F.slice(placed, j + 2, most), lambda y: (y["p"] - x["p"] <= reach) & (y["i"] != x["i"]))
+            return F.transform(near, lambda y: F.struct(F.least(x["i"], y["i"]).alias("a"), F.greatest(x["i"], y["i"]).alias("b"), (y["p"] - x["p"]).alias("gap")))
 
-    pairs = F.flatten(F.transform("h", lambda x, i: F.transform(F.slice("h", i + 2, F.size("h")), lambda y: of_pair(x, y))))
-    return grouped.select("query", "doc", F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v).alias("bonus"))
+        return F.sort_array(F.flatten(F.transform(placed, after)))
+
+    def of(near: Column) -> Column:
+        """Of the sorted pairs the first of each two tokens has the least gap."""
+        same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"])
+        first = F.filter(near, lambda x, j: (j == 0) | ~same(x, F.get(near, j - 1)))
+        weight = lambda x: (F.get("h", x["a"])["idf"] + F.get("h", x["b"])["idf"]) / (1 + x["gap"])
+        return F.aggregate(first, F.lit(0.0), lambda s, x: s + F.lit(alpha) * weight(x))
+
+    bonus = N.let(N.let(most, lambda m: N.let(places, lambda placed: pairs(placed, m))), of)
+    return grouped.select("query", "doc", bonus.alias("bonus"))
+
+
+def near_top_k(hits: DataFrame, k: int, k1: float = K1, b: float = B, alpha: float = ALPHA, reach: int = REACH) -> DataFrame:
+    """(query, doc, score, first_qi, rank): the k best by BM25 and the bonus for near tokens, rounded to 6 places, ties by first_qi, then doc.
+
+    A bonus is at most alpha times each pair's weights, so places are only looked
+    at in documents that can reach the k-th best score without any bonus.
+    """
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    plain = hits.groupBy("query", "doc").agg(F.sum(part).alias("score"), F.min("qi").alias("first_qi"), ((F.count("qi") - 1) * F.sum("idf")).alias("pairs"))
+    plain = cut(plain)
+    least = top_k(plain, k, [F.desc("score")]).where(F.col("rank") == k).select("query", F.col("score").alias("least"))
+    open_ = plain.join(least, "query", "left").where(F.col("least").isNull() | (F.col("score") + alpha * F.col("pairs") >= F.col("least") - 2e-6)).drop("least", "pairs")
+    bonus = proximity(hits.join(open_.select("query", "doc"), ["query", "doc"], "left_semi"), alpha, reach)
+    scored = open_.join(bonus, ["query", "doc"], "left").withColumn("score", F.round(F.col("score") + F.coalesce("bonus", F.lit(0.0)), 6)).drop("bonus")
+    return top_k(scored, k, [F.desc("score"), F.asc("first_qi"), F.asc("doc")])
 
 
 def top_k(scored: DataFrame, k: int, order: list[Column], by: str | list[str] = "query") -> DataFrame:
@@ -189,6 +166,41 @@ def multi_query(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.posexplode(texts).alias("list_id", "text"))
 
 
+#: Items without a token to be found by that go to every task at once; more take more passes.
+ITEMS = 20_000
+
+
+def inner_tokens(items: DataFrame, query: str, item: str) -> DataFrame:
+    """(query, item, inner): the kept tokens of each item but its first and last, which may be parts of words where a text contains it."""
+    every = T.tokens(F.col(item), False)
+    inner = N.let(every, lambda t: F.slice(t, F.lit(2), F.greatest(F.size(t) - 2, F.lit(0))))
+    return items.where(F.col(item).isNotNull()).select(F.col(query).alias("query"), F.col(item).alias("item"), F.filter(inner, lambda t: ~t.isin(*T.STOPWORDS)).alias("inner"))
+
+
+def containing(docs: DataFrame, doc: str, text: str, items: DataFrame, query: str, item: str, own: Blocks | None = None) -> DataFrame:
+    """(query, gold): the first document that contains the item, for any number of items; a null one is in none.
+
+    An item's inner tokens stand whole in every document that contains it, so it
+    is looked for where the rarest of them is, by block postings (own, if they
+    have the items' tokens already).  Items without inner tokens are looked for
+    in every document, ITEMS at a time.
+    """
+    said = cut(inner_tokens(items, query, item))
+    wanted = said.select(F.explode("inner").alias("token")).distinct()
+    own = own or blocks(docs, doc, text, wanted, positions=False)
+    rare = said.select("query", F.explode("inner").alias("token")).join(own.frequencies(), "token").groupBy("query").agg(F.min(F.struct("df", "token")).alias("r"))
+    met = own.table.join(small(rare.select("query", F.col("r.token").alias("token"))), "token").select("query", F.inline("postings")).select("query", F.col("doc").alias("gold"))
+    rows = docs.select(F.col(doc).alias("gold"), F.col(text).alias("text"))
+    told = small(said.select("query", "item"))
+    found = rows.join(small(met.distinct()), "gold").join(told, "query").where(F.col("text").contains(F.col("item"))).select("query", "gold")
+    bare = said.where(F.size("inner") == 0).select("query", "item")
+    parts = -(-bare.count() // ITEMS)
+    for part in range(parts):
+        some = bare.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part)
+        found = found.union(rows.join(F.broadcast(some), F.col("text").contains(F.col("item"))).select("query", "gold"))
+    return found.groupBy("query").agg(F.min("gold").alias("gold"))
+
+
 def title_rank(hits: DataFrame, gold: DataFrame) -> DataFrame:
     """(query, found_at): rank of the gold title among the distinct titles of hits (query, rank, title); null if absent."""
     firsts = hits.groupBy("query", F.trim("title").alias("title")).agg(F.min("rank").alias("at"))

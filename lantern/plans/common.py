@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,9 +45,3 @@ def runlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def categories(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CATEGORIES, "competition_id long, category string")
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: in spark.checkpoint.dir, or where that is unset (tests) beside the warehouse."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
+from ..operators import postings as P
 from ..operators import retrieve as R
 from ..operators.evaluate import recall
 from ..sources import lexical
-from .common import query, shared_folder, table
+from ..shared import shared_folder, spread
+from .common import query, table
 from .corpus import KEPT
 
 _Q = f"q AS (SELECT item_id AS query, unnest(t) AS token, unnest(range(len(t))) AS qi FROM (SELECT item_id, {KEPT.format('text')} AS t FROM benchmark))"
@@ -25,9 +27,12 @@ _HITS = (
 _TOP = ", b AS (SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, first_qi, doc) AS rank FROM s)"
 
 
-def _hits(spark, d):
-    q = R.query_tokens(table(spark, d, "benchmark"), "item_id", "text")
-    return R.matched(table(spark, d, "documents"), "doc_id", "text", q)
+def _asked(spark, d):
+    return R.query_tokens(table(spark, d, "benchmark"), "item_id", "text")
+
+
+def _hits(spark, d, positions=True):
+    return R.matched(table(spark, d, "documents"), "doc_id", "text", _asked(spark, d), positions)
 
 
 def _ranked(scored, k):
@@ -35,7 +40,9 @@ def _ranked(scored, k):
 
 
 def _bm25(spark, d, k):
-    return _ranked(R.bm25(_hits(spark, d)), k)
+    """The k best of every item, by block postings and bounds."""
+    q = _asked(spark, d)
+    return P.search(P.blocks(table(spark, d, "documents"), "doc_id", "text", q, positions=False), q, k)
 
 
 @query(_HITS + _TOP + " SELECT query, doc, score, rank FROM b WHERE rank <= 10")
@@ -49,15 +56,19 @@ def bm25_topk(spark, d):
     " p AS (SELECT token, doc, count(*) AS tf, min(pos) AS first_pos, max(pos) AS last_pos FROM r GROUP BY token, doc)"
     " SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, round(ln(((SELECT count(*)"
         " FROM l) - count(*) + 0.5) / (count(*) + 0.5) + 1), 9) AS idf, max(last_pos) AS last_pos, min(first_pos) AS first_pos FROM p"
-        " GROUP BY token HAVING count(*) >= 2"
+        " GROUP BY token"
 )
 def postings_stats(spark, d):
-    """A-21, A-22: document frequency, IDF and extreme positions of tokens in two documents or more."""
+    """A-21, A-22: document frequency, IDF and extreme positions of every token."""
     docs = table(spark, d, "documents")
     n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    rows = docs.select(F.explode(R.token_runs(T.tokens(F.col("text")))).alias("r")).select("r.*")
-    out = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("b").cast("bigint").alias("last_pos"),
-        F.min("a").cast("bigint").alias("first_pos")).where("df >= 2")
+    each = spread(docs.select("text")).select(T.tokens(F.col("text")).alias("t"))
+    # places once each, documents once a token: partial sums by token before the only shuffle
+    place = F.transform("t", lambda t, i: F.struct(t.alias("token"), i.alias("pos")))
+    once = F.transform(F.array_distinct("t"), lambda t: F.struct(t.alias("token"), F.lit(None).cast("int").alias("pos")))
+    rows = each.select(F.explode_outer(F.concat(place, once)).alias("r")).where("r is not null").select("r.*")
+    df, at = F.count_if(F.col("pos").isNull()), F.col("pos").cast("bigint")
+    out = rows.groupBy("token").agg(df.alias("df"), F.count("pos").alias("cf"), F.max(at).alias("last_pos"), F.min(at).alias("first_pos"))
     return out.select("token", "df", "cf", F.round(R.idf(n, F.col("df")), 9).alias("idf"), "last_pos", "first_pos")
 
 
@@ -76,9 +87,7 @@ _NEAR = (
 @query(_HITS + _NEAR + " SELECT query, doc, score, rank FROM pb WHERE rank <= 10")
 def bm25_proximity(spark, d):
     """J-05, M-02, M-03: BM25 with the bonus for near query tokens."""
-    hits = _hits(spark, d)
-    scored = R.bm25(hits).join(R.proximity(hits), ["query", "doc"], "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0)))
-    return _ranked(scored, 10).select("query", "doc", "score", "rank")
+    return R.near_top_k(_hits(spark, d), 10).select("query", "doc", "score", "rank")
 
 
 @query(_HITS + _NEAR + " SELECT query, doc, score, rank FROM pb WHERE rank <= 5")
@@ -121,7 +130,7 @@ _LISTS = (
 
 
 def _lists(spark, d):
-    hits = _hits(spark, d)
+    hits = _hits(spark, d, positions=False)
     one = _ranked(R.bm25(hits), 20).select("query", F.lit(0).alias("list_id"), "rank", F.col("doc").alias("key"))
     counted = hits.groupBy("query", "doc").agg(F.count(F.lit(1)).alias("n"))
     two = R.top_k(counted, 20, [F.desc("n"), F.asc("doc")]).select("query", F.lit(1).alias("list_id"), "rank", F.col("doc").alias("key"))
@@ -170,33 +179,19 @@ def rerank_topk(spark, d):
 _GOLD = ", gold AS (SELECT i.item_id AS query, min(d.doc_id) AS gold FROM benchmark i JOIN documents d ON contains(d.text, i.text) GROUP BY i.item_id), fd AS (SELECT g.query, b.rank AS found_at FROM gold g LEFT JOIN b ON b.query = g.query AND b.doc = g.gold AND b.rank <= 20)"
 
 
-#: Items up to which all of them, or those too short for windows, go to every task, counted before.
-_ITEMS = 20_000
-
+def _gold(spark, d, own=None):
+    return R.containing(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", own)
 
-def gold_documents(spark, d):
-    """(query, gold): the first document that contains the item.
 
-    A document is compared with the items that share four inner tokens with it;
-    items of under six tokens have no such window and are looked for as they are.
-    """
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").where("text is not null").select(F.col("item_id").alias("query"), F.col("text").alias("item"))
-    if items.count() > _ITEMS:
-        raise ValueError("too many items at once")
-    own = items.withColumn("t", T.tokens(F.col("item"), False))
-    head = own.where(F.size("t") > 5).select("query", "item", F.xxhash64(F.slice("t", 2, 4)).alias("h"))
-    wanted = F.array(*[F.lit(r[0]) for r in head.select("h").distinct().collect()]).cast("array<bigint>")
-    tokens = docs.select("doc_id", "text", T.tokens(F.col("text"), False).alias("t")).where(F.size("t") > 3)
-    grams = F.transform(F.sequence(F.lit(1), F.size("t") - 3), lambda i: F.xxhash64(F.slice("t", i, F.lit(4))))
-    met = tokens.select("doc_id", "text", F.explode(F.array_intersect(grams, wanted)).alias("h")).join(F.broadcast(head), "h")
-    short = docs.select("doc_id", "text").join(F.broadcast(own.where(F.size("t") <= 5).select("query", "item")), F.col("text").contains(F.col("item")))
-    found = met.where(F.col("text").contains(F.col("item"))).select("query", "doc_id").union(short.select("query", "doc_id"))
-    return found.groupBy("query").agg(F.min("doc_id").alias("gold"))
+def _ranked_and_gold(spark, d):
+    """The 20 best documents of every item, and the first that contains it, from the same postings."""
+    q = _asked(spark, d)
+    own = P.blocks(table(spark, d, "documents"), "doc_id", "text", q, positions=False)
+    return P.search(own, q, 20), _gold(spark, d, own)
 
 
-def _found(spark, d):
-    ranked = _bm25(spark, d, 20).select("query", F.col("doc").cast("string").alias("title"), "rank")
-    return R.title_rank(ranked, gold_documents(spark, d).select("query", F.col("gold").cast("string").alias("gold")))
+def _title(column):
+    return F.col(column).cast("string")
 
 
 _REC = "round(avg(CASE WHEN found_at <= {k} THEN 1.0 ELSE 0.0 END), 9) AS recall_{k}"
@@ -206,15 +201,15 @@ _RECALLS = "count(*) AS n, " + ", ".join(_REC.format(k=k) for k in (1, 3, 5, 10)
 @query(_HITS + _TOP + _GOLD + f" SELECT {_RECALLS} FROM fd")
 def retrieval_recall(spark, d):
     """R-35, A-13, A-14, W-04: recall at k and MRR of the documents that contain an item."""
-    return recall(_found(spark, d), (1, 3, 5, 10), [])
+    ranked, gold = _ranked_and_gold(spark, d)
+    return recall(R.title_rank(ranked.select("query", _title("doc").alias("title"), "rank"), gold.select("query", _title("gold").alias("gold"))), (1, 3, 5, 10), [])
 
 
 @query(_HITS + _TOP + _GOLD + f" SELECT lang AS category, {_RECALLS} FROM fd JOIN gold USING (query) JOIN documents d ON d.doc_id = gold.gold GROUP BY lang")
 def recall_by_category(spark, d):
     """A-13 by the gold document's language."""
-    gold = gold_documents(spark, d)
-    ranked = _bm25(spark, d, 20).select("query", F.col("doc").cast("string").alias("title"), "rank")
-    found = R.title_rank(ranked, gold.select("query", F.col("gold").cast("string").alias("gold")))
+    ranked, gold = _ranked_and_gold(spark, d)
+    found = R.title_rank(ranked.select("query", _title("doc").alias("title"), "rank"), gold.select("query", _title("gold").alias("gold")))
     lang = gold.join(table(spark, d, "documents").select(F.col("doc_id").alias("gold"), F.col("lang").alias("category")), "gold").select("query", "category")
     return recall(found.join(lang, "query"), (1, 3, 5, 10), ["category"])
 
@@ -228,8 +223,9 @@ def recall_by_category(spark, d):
 def recall_chunk_rank(spark, d):
     """A-15: by raw passage rank, sources not deduplicated."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source")
-    ranked = _bm25(spark, d, 20).join(docs, "doc").select("query", "rank", "source")
-    gold = gold_documents(spark, d).join(docs.withColumnRenamed("doc", "gold"), "gold").select(F.col("query").alias("g"), F.col("source").alias("g_source"))
+    ranked, gold = _ranked_and_gold(spark, d)
+    ranked = ranked.join(docs, "doc").select("query", "rank", "source")
+    gold = gold.join(docs.withColumnRenamed("doc", "gold"), "gold").select(F.col("query").alias("g"), F.col("source").alias("g_source"))
     found = gold.join(ranked, (F.col("g") == F.col("query")) & (F.col("source") == F.col("g_source")), "left").groupBy("g").agg(F.min("rank").alias("found_at"))
     return recall(found, (3,), [])
 

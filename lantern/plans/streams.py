@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder
 from ..streaming import growth as G
-from .common import query, shared_folder, table
+from .common import query, table
 
 _WAIT, _GAP, _LATE = "18 hours", "36 hours", "10 minutes"
 

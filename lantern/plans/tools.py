@@ -10,13 +10,13 @@ from ..functions import prompts as P
 from ..functions import text as T
 from ..functions import tools as X
 from ..operators import corpus as C2
-from ..operators import rag
+from ..operators import postings, rag
 from ..operators import retrieve as R
 from ..operators.corpus import with_prefix
 from ..operators.evaluate import recall
 from .common import LOG, query, runlog, table
 from .corpus import KEPT
-from .retrieve import _FUSED, _GOLD, _HITS, gold_documents
+from .retrieve import _FUSED, _GOLD, _HITS, _gold
 
 
 #: Parameters of the questions that are made from events.
@@ -267,7 +267,7 @@ def hybrid_retrieve(spark, d):
     among = own.join(vectors, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("vec"), F.col("embedding").alias("v"), "lang")
     pool = rag.pool_size(5, True, True)
     dense = R.dense(items.select("query", "qv", "q_lang"), among, pool, "lang").select("query", "rank", F.col("vec").alias("key"))
-    scored = R.bm25(R.matched(own, "doc_id", "text", R.query_tokens(items, "query", "q_text"))).withColumn("score", F.round("score", 6))
+    scored = R.bm25(R.matched(own, "doc_id", "text", R.query_tokens(items, "query", "q_text"), False)).withColumn("score", F.round("score", 6))
     within = scored.join(F.broadcast(items.select("query", "q_lang")), "query").join(own.select(F.col("doc_id").alias("doc"), "lang"), "doc").where("lang = q_lang")
     lexical = R.top_k(within, pool, [F.desc("score"), F.asc("first_qi"), F.asc("doc")]).select("query", "rank", F.col("doc").alias("key"))
     return _reranked(dense, lexical, own, F.broadcast(items.select("query", "q_text")), 5)
@@ -317,8 +317,8 @@ def _multi_query(spark, d, k):
     given = asked.select(F.col("item_id").alias("question_id"), F.array(F.lit(True), F.col("o1").isNotNull(), F.col("o2").isNotNull()).alias("given"))
     variants = variants.join(given, "question_id").where(F.get("given", F.col("list_id"))).select((F.col("question_id") * 10 + F.col("list_id")).alias("variant"), "text")
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    scored = R.bm25(R.matched(docs, "doc_id", "text", R.query_tokens(variants, "variant", "text"))).withColumn("score", F.round("score", 6))
-    ranked = R.top_k(scored, 15, [F.desc("score"), F.asc("first_qi"), F.asc("doc")])
+    q = R.query_tokens(variants, "variant", "text")
+    ranked = postings.search(postings.blocks(docs, "doc_id", "text", q, positions=False), q, 15)
     lists = ranked.select(F.floor(F.col("query") / 10).alias("query"), (F.col("query") % 10).cast("int").alias("list_id"), "rank", F.col("doc").alias("key"))
     said = F.broadcast(b.select(F.col("item_id").alias("of"), F.col("text").alias("q_text")))
     fused = R.fuse(lists, 15).join(said, F.col("query") == F.col("of")).join(docs.select(F.col("doc_id").alias("key"), "text"), "key")
@@ -334,7 +334,7 @@ def _multi_query(spark, d, k):
 def multi_query_recall(spark, d):
     """R-35: recall of the multi-query recipe for the documents that contain an item."""
     ranked = _multi_query(spark, d, 10).select("query", "rank", F.col("key").cast("string").alias("title"))
-    found = R.title_rank(ranked, gold_documents(spark, d).select("query", F.col("gold").cast("string").alias("gold")))
+    found = R.title_rank(ranked, _gold(spark, d).select("query", F.col("gold").cast("string").alias("gold")))
     return recall(found, (1, 5), [])
 
 
