@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, free_name, small
 from .tokens import DIGIT, Words, chunks, mix, powers, windows, words_of
 
 #: Units that a number may carry.
@@ -280,5 +280,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFr
 
 def clean(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """docs without the rows whose doc_id is in a pair; rows with a null doc_id stay."""
-    dirty = cut(leaks(docs, benchmark, cover).where("doc_id is not null").select(F.col("doc_id").alias("_dirty_id")).distinct())
-    return docs.join(small(dirty), F.col("doc_id") == F.col("_dirty_id"), "left_anti")
+    name = free_name(docs, "_dirty_id")
+    dirty = cut(leaks(docs, benchmark, cover).where("doc_id is not null").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(small(dirty), F.col("doc_id") == F.col(name), "left_anti")

@@ -175,13 +175,13 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     A column n_chars, if there, is set to the new text's length in code points.
     """
-    removed = cut(_repeats(docs).groupBy(F.col("doc_id").alias("_cut_id"), F.col("of").alias("_cut_of")).agg(F.collect_set("pos").alias("_cut_lines")))
-    size = removed.agg(F.coalesce(F.sum(F.size("_cut_lines")), F.lit(0))).first()[0]
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_cut_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_cut_of"))
+    gone_id, gone_of, gone_lines, kept = (free_name(docs, x) for x in ("_cut_id", "_cut_of", "_cut_lines", "_kept_text"))
+    removed = cut(_repeats(docs).groupBy(F.col("doc_id").alias(gone_id), F.col("of").alias(gone_of)).agg(F.collect_set("pos").alias(gone_lines)))
+    size = removed.agg(F.coalesce(F.sum(F.size(gone_lines)), F.lit(0))).first()[0]
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(gone_of))
     joined = docs.join(F.broadcast(removed) if size <= BROADCAST_ROWS else removed, same, "left")
-    left = F.filter(F.split("text", _BREAK), lambda line, i: ~F.array_contains("_cut_lines", i))
-    name = free_name(docs, "_kept_text")
-    joined = joined.withColumn(name, F.when(F.col("_cut_lines").isNull(), F.col("text")).otherwise(F.array_join(left, _BREAK)))
-    joined = joined.where(F.col("_cut_lines").isNull() | F.col(name).rlike(r"[^\x00-\x20]"))
-    own = [F.col(name).alias(c) if c == "text" else F.char_length(name).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    left = F.filter(F.split("text", _BREAK), lambda line, i: ~F.array_contains(gone_lines, i))
+    joined = joined.withColumn(kept, F.when(F.col(gone_lines).isNull(), F.col("text")).otherwise(F.array_join(left, _BREAK)))
+    joined = joined.where(F.col(gone_lines).isNull() | F.col(kept).rlike(r"[^\x00-\x20]"))
+    own = [F.col(kept).alias(c) if c == "text" else F.char_length(kept).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*own)

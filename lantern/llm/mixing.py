@@ -85,17 +85,18 @@ def mix(
     the rates are joined by a shuffle, whose hot sources AQE splits.
     """
     docs = docs.drop("copy_no", "rate", "shuffle_key")
+    of, count, number, at_u, cdf = (free_name(docs, "_mix_" + x) for x in ("source", "parts", "n", "u", "cdf"))
     means = rates(docs, weights, total, source, power)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
     mean = F.col("rate") / parts
     spread = F.greatest(F.lit(0), F.ceil(mean + 12 * F.sqrt(mean + 1) + 20)).cast("int")
-    table = means.select(F.col("source").alias("_mix_source"), "rate", parts.alias("_mix_parts"), F.when(F.col("rate") > 0, _thresholds(mean, spread)).alias("_mix_cdf"))
-    joined = docs.join(small(table, limit=SOURCES), F.col(source).eqNullSafe(F.col("_mix_source")), "inner")
-    at = lambda u: F.size(F.filter("_mix_cdf", lambda p: p <= u))
-    more = F.aggregate(F.sequence(F.lit(1), F.col("_mix_parts") - 1), F.lit(0), lambda n, j: n + at(unit_hash(seed, F.col(id_col), j)))
-    copies = F.when(F.col("_mix_cdf").isNull(), 0).otherwise(at(F.col("_mix_u")) + F.when(F.col("_mix_parts") > 1, more).otherwise(0))
-    drawn = joined.withColumn("_mix_u", unit_hash(seed, F.col(id_col))).withColumn("_mix_n", copies).drop("_mix_source", "_mix_cdf", "_mix_u", "_mix_parts")
-    out = drawn.where("_mix_n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_mix_n") - 1))).drop("_mix_n")
+    table = means.select(F.col("source").alias(of), "rate", parts.alias(count), F.when(F.col("rate") > 0, _thresholds(mean, spread)).alias(cdf))
+    joined = docs.join(small(table, limit=SOURCES), F.col(source).eqNullSafe(F.col(of)), "inner")
+    at = lambda u: F.size(F.filter(cdf, lambda p: p <= u))
+    more = F.aggregate(F.sequence(F.lit(1), F.col(count) - 1), F.lit(0), lambda n, j: n + at(unit_hash(seed, F.col(id_col), j)))
+    copies = F.when(F.col(cdf).isNull(), 0).otherwise(at(F.col(at_u)) + F.when(F.col(count) > 1, more).otherwise(0))
+    drawn = joined.withColumn(at_u, unit_hash(seed, F.col(id_col))).withColumn(number, copies).drop(of, cdf, at_u, count)
+    out = drawn.where(F.col(number) > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col(number) - 1))).drop(number)
     out = out.withColumn("shuffle_key", unit_hash(seed + "/order", F.col(id_col), F.col("copy_no")))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = out.repartitionById(n, F.floor(F.col("shuffle_key") * n).cast("int"))  # the key is uniform, so nothing need be sampled to find ranges

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, free_name, small
 from .graph import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -545,5 +545,6 @@ def similar_groups(docs: DataFrame, size: int = 5, radius: int = SIMILAR) -> Dat
 
 def keep_one(docs: DataFrame, size: int = 5, radius: int = SIMILAR) -> DataFrame:
     """docs with one document of each group of similar_groups: that of the least doc_id.  Rows with a null doc_id stay; rows that repeat an id stay together."""
-    gone = cut(similar_groups(docs, size, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct())
-    return docs.join(small(gone), F.col("doc_id") == F.col("_gone_id"), "left_anti")
+    name = free_name(docs, "_gone_id")
+    gone = cut(similar_groups(docs, size, radius).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(small(gone), F.col("doc_id") == F.col(name), "left_anti")
