@@ -102,8 +102,64 @@ class Element:
         self.parts: list = []  # elements and strings, in order
 
 
+#: Tags that a page's article is never in, whatever else the page has.
+_ASIDE = frozenset("nav footer aside head noscript template dialog menu search button label".split())
+#: In an element's name: it would be dropped for its tag or class, but holds its page's article.
+_HOLDS = "@holds-article"
+
+
+def _rescue(root: Element) -> None:
+    """Lists of tags and classes only break ties: where they would leave a page without its article, the element that holds it stays.
+
+    If every article or main element of a page stands in a dropped one, those
+    around the longest of them are kept if it has most of the text; so cards of
+    other articles beside a page's text don't count.  If there is none, and
+    nothing but dropped elements and headings has text, the one with the most is.
+    """
+    found: list[tuple[int, list[Element]]] = []  # length and dropped ancestors of each article or main
+    apart: list[tuple[int, list[Element]]] = []  # of each outermost dropped element
+    free = 0  # text outside of dropped elements
+
+    def length(e: Element) -> int:
+        total, open_ = 0, [e]
+        while open_:
+            for p in open_.pop().parts:
+                if isinstance(p, str):
+                    total += len(p.strip())
+                else:
+                    open_.append(p)
+        return total
+
+    open_: list[tuple[Element, list[Element], bool]] = [(root, [], False)]
+    while open_:
+        e, around, heading = open_.pop()
+        for p in e.parts:
+            if isinstance(p, str):
+                free += 0 if around or heading else len(p.strip())
+                continue
+            if p.tag in ("article", "main"):
+                if not around:
+                    return  # lists don't hide this page's article
+                if not any(x.tag in _ASIDE for x in around):
+                    found.append((length(p), around))
+            own = [*around, p] if p.drop else around
+            if p.drop and not around and p.tag not in _ASIDE:
+                apart.append((length(p), own))
+            open_.append((p, own, heading or p.tag in ("header", "h1", "h2", "h3", "h4", "h5", "h6", "title")))
+    size, around = max(found or apart, key=lambda x: x[0], default=(0, []))
+    if size > 4 * free if found else size and not free:
+        for e in around:
+            e.drop, e.name = False, e.name + _HOLDS
+
+
 def parse(page: str | None) -> Element:
     """A forgiving tree of a page; scripts, styles and the like are left out."""
+    root = _tree(page)
+    _rescue(root)
+    return root
+
+
+def _tree(page: str | None) -> Element:
     root = Element("", "", False, True)
     stack, at, page = [root], 0, page or ""
     below: list[dict[str, int]] = [{}]  # for each of stack the open elements that stand in it, by tag
@@ -288,6 +344,8 @@ def decide(wrapper: list) -> dict:
 
 
 def _dropped(name: str) -> bool:
+    if name.endswith(_HOLDS):
+        return False
     tag = re.match(r"[a-z0-9:-]*", name)[0]
     marks = " ".join(re.findall(r"[.#]([^.#@]+)", name))
     roles = " ".join(re.findall(r"@([^.#@]+)", name))

@@ -130,3 +130,23 @@ def test_against_one_process(spark):
     pages += [(10**6 + i, f"http://n{i % 2}.example/x", neutral(i, rng)[0]) for i in range(30)] + [(2 * 10**6, None, None), (2 * 10**6 + 1, "u", "<p>x")]
     got = W.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)).collect()
     assert sorted((r.page_id, r.text) for r in got) == sorted(plain(pages))
+
+
+ARTICLE = "<h1>Title here</h1><p>First words of it.</p><p>Then more words.</p>"
+TEXT = "Title here\nFirst words of it.\nThen more words."
+MENU, FOOT = "<nav><a href='/'>Home</a></nav>", "<footer>All rights</footer>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<body>{MENU}<div class="layout has-sidebar"><main>{ARTICLE}</main><div class="sidebar">Side</div></div>{FOOT}</body>', TEXT),
+    (f'<body>{MENU}<div class="ad-free"><article>{ARTICLE}</article></div>{FOOT}</body>', TEXT),
+    (f'<body>{MENU}<div class="post no-comment">{ARTICLE}<div class="comments">Me too</div></div>{FOOT}</body>', TEXT),
+    (f'<body><form action="/p.aspx">{MENU}<div class="content">{ARTICLE}</div><div class="login">Name</div>{FOOT}</form></body>', TEXT),
+    (f'<body>{MENU}<div class="content">{ARTICLE * 9}</div><div class="related"><article>Another one</article></div>{FOOT}</body>', "\n".join([TEXT] * 9)),
+    (f'<body>{MENU}<div class="text">{ARTICLE}</div><div class="comments"><p>{"Long talk. " * 99}</p></div>{FOOT}</body>', TEXT),
+    (f"<body>{MENU}<aside><article>Card</article></aside>{FOOT}</body>", ""),
+])
+def test_lists_do_not_hide_an_article(spark, page, want):
+    rows = [(k, f"http://h{k % 2}.example/{k}", page.replace("words", f"words{k}")) for k in range(4)]
+    got = {r.page_id: r.text for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: want.replace("words", f"words{k}") for k in range(4)}
