@@ -387,22 +387,8 @@ def _blocks(e: Element, path: str, article: bool, out: list[tuple[str, str]]) ->
     end(path)
 
 
-def _explicit(tree: Element) -> bool:
-    """Whether a page has an article or main element to go by."""
-    open_ = [tree]
-    while open_:
-        for p in open_.pop().parts:
-            if not isinstance(p, str) and not p.drop:
-                if p.tag in ("article", "main"):
-                    return True
-                open_.append(p)
-    return False
-
-
-def slots_of(tree: Element) -> tuple[int, list[int]] | None:
-    """A page's digest (of its longest block, so copies of an article are one page) and the strings in its slots; None for pages with an article or main element, which need none."""
-    if _explicit(tree):
-        return None
+def slots_of(tree: Element) -> tuple[int, list[int]]:
+    """A page's digest (of its longest block, so copies of an article are one page) and the strings in its slots."""
     out: list[tuple[str, str]] = []
     _blocks(tree, "", False, out)
     longest = max((text for _, text in out), key=len, default="")
@@ -436,7 +422,7 @@ def text_of(page: str | None, decision: dict | None) -> str:
     out: list[tuple[str, str]] = []
     for r, path in roots:
         _blocks(r, path, r.tag == "article", out)
-    if same and not _explicit(tree):
+    if same:
         out = [x for x in out if _slot(*x) not in same]
     return "\n".join(text for _, text in out)
 
@@ -467,9 +453,7 @@ def _partial(batches):
             tree = parse(page)
             own = _skeleton(tree, False, "")
             open_[host] = _joined(open_[host], own) if host in open_ else own
-            found = slots_of(tree)
-            if found:
-                seen.append((host, *found))
+            seen.append((host, *slots_of(tree)))
         if seen:
             host, page, slots = (list(x) for x in zip(*seen, strict=True))
             yield rows(host, page=page, slots=slots)
