@@ -155,7 +155,7 @@ def test_lists_do_not_hide_an_article(spark, page, want):
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_template_within_articles(spark, partitions):
     """What every article element of a host says is its template; what copies of one article say isn't."""
-    rows = [(k, "http://m.example/x", f"<body>{MENU}<article><h1>Title {k}</h1><p>Sign in to save this story</p><p>Own words {k} of it.</p></article>{FOOT}</body>") for k in range(40)]
+    rows = [(k, "http://m.example/x", f"<body>{MENU}<article><h1>Title {k}</h1><p>Sign in to save this story</p><p>Own words {k} of it, which are longer than that.</p></article>{FOOT}</body>") for k in range(40)]
     rows += [(100 + k, "http://copies.example/x", f"<body><article><p>Same words</p></article>{FOOT}</body>") for k in range(6)]
     got = {r.page_id: r.text for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(partitions)).collect()}
-    assert got == {k: f"Title {k}\nOwn words {k} of it." for k in range(40)} | {100 + k: "Same words" for k in range(6)}
+    assert got == {k: f"Title {k}\nOwn words {k} of it, which are longer than that." for k in range(40)} | {100 + k: "Same words" for k in range(6)}
