@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
+from ..shared import cut, small
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -145,16 +148,32 @@ def with_prefix(model: Column, text: Column, side: str) -> Column:
     return out.otherwise(text)
 
 
+#: Steps after which the nodes of a walk are put together again.
+_STEPS = 8
+
+
 def closure(edges: DataFrame, seeds: list[str], depth: int) -> DataFrame:
-    """(node, depth) reached from seeds along edges (parent, child) within depth steps, each at its least depth: a loop of joins that ends when nothing is new."""
+    """(node, depth) reached from seeds along edges (parent, child) within depth steps, each at its least depth.
+
+    Semi-naive: a step joins only the nodes that the last one found, and ends the
+    walk if it finds none.  Each step's nodes are checkpointed, and all of them
+    put together every few steps, so a plan has a bounded number of relations
+    however deep the walk is.
+    """
     spark = edges.sparkSession
-    seen = spark.createDataFrame([(s,) for s in seeds], "node string").withColumn("depth", F.lit(0))
-    front = seen
+    edges = cut(edges.where("parent is not null and child is not null").select("parent", "child").distinct())
+    front = cut(spark.createDataFrame([(s, 0) for s in dict.fromkeys(seeds)], "node string, depth int"))
+    parts = [front]
     for d in range(1, depth + 1):
-        step = front.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti")
-        front = step.withColumn("depth", F.lit(d))
-        seen = seen.union(front)
-    return seen
+        seen = reduce(DataFrame.union, parts).select("node")
+        step = edges.join(small(front.select("node")), F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
+        front = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
+        if front.isEmpty():
+            break
+        parts.append(front)
+        if len(parts) > _STEPS:
+            parts = [cut(reduce(DataFrame.union, parts))]
+    return reduce(DataFrame.union, parts)
 
 
 def top_by_priority(df: DataFrame, key: str, priority: str) -> DataFrame:

@@ -18,12 +18,12 @@ def confidence_gate(margin: Column, category: Column, tau: float = 0.20, forced:
 
 
 def gated(primary: DataFrame, fallback: DataFrame, commit: Column) -> DataFrame:
-    """primary where commit, else the fallback's answer: the fallback is joined for gated rows only."""
+    """primary where commit, else the fallback's answer, which is joined for gated rows only; where there is none the primary's stays."""
     marked = primary.withColumn("_commit", commit)
     kept = marked.where("_commit").select("question_id", "chosen_index", F.lit("primary").alias("arm"), F.lit(False).alias("disagree"))
-    f = fallback.select("question_id", F.col("chosen_index").alias("f_index"))
-    other = marked.where("not _commit").join(f, "question_id").select("question_id", F.col("f_index").alias("chosen_index"),
-        F.lit("fallback").alias("arm"), (F.col("f_index") != F.col("chosen_index")).alias("disagree"))
+    f = fallback.select("question_id", F.col("chosen_index").alias("f_index"), F.lit(True).alias("_there"))
+    other = marked.where("not _commit").join(f, "question_id", "left").select("question_id", F.when(F.col("_there"), F.col("f_index")).otherwise(F.col("chosen_index")).alias("chosen_index"),
+        F.when(F.col("_there"), "fallback").otherwise("primary").alias("arm"), F.coalesce(F.col("f_index") != F.col("chosen_index"), F.lit(False)).alias("disagree"))
     return kept.unionByName(other)
 
 
@@ -53,17 +53,30 @@ def rewrite_chain(tools: list[Column], pinned: Column, confidence: Column, rewri
 
 
 def ensemble_weighted(arms: DataFrame, weights: DataFrame) -> DataFrame:
-    """arms (question_id, arm, chosen_index, is_abstain, probs array<double>) -> (question_id, chosen_index, confidence): weighted mean of probs, abstainers left out, weights renormalised; the lowest index wins ties."""
+    """arms (question_id, arm, chosen_index, confidence, is_abstain, probs array<double>) -> (question_id, chosen_index, confidence): weighted mean of probs, abstainers left out, weights renormalised; the lowest index wins ties.
+
+    Where all arms abstain it is what the first arm says.
+    """
     live = arms.where("not is_abstain").join(F.broadcast(weights), "arm").select("question_id", "weight", F.posexplode("probs").alias("idx", "p"))
     fused = live.groupBy("question_id", "idx").agg(F.round(F.sum(F.col("weight") * F.col("p")) / F.sum("weight"), 9).alias("p"))
     best = fused.groupBy("question_id").agg(F.max(F.struct("p", (-F.col("idx")).alias("neg"))).alias("best"))
-    return best.select("question_id", (-F.col("best.neg")).alias("chosen_index"), F.col("best.p").alias("confidence"))
+    said = best.select("question_id", (-F.col("best.neg")).cast("bigint").alias("chosen_index"), F.col("best.p").alias("confidence"))
+    return said.unionByName(_all_abstain(arms).select("question_id", F.col("first.chosen_index").cast("bigint").alias("chosen_index"), F.col("first.confidence").alias("confidence")))
+
+
+def _all_abstain(arms: DataFrame) -> DataFrame:
+    """(question_id, first: the first arm's output) of questions on which every arm abstains."""
+    first = F.min_by(F.struct("chosen_index", "confidence"), "arm").alias("first")
+    return arms.groupBy("question_id").agg(first, F.bool_and("is_abstain").alias("none")).where("none").drop("none")
 
 
 def ensemble_vote(arms: DataFrame, weights: DataFrame) -> DataFrame:
+    """arms as above without probs -> (question_id, chosen_index, votes): the index with the most weight, the lowest wins ties; where all arms abstain the first one's, with null votes."""
     votes = arms.where("not is_abstain").join(F.broadcast(weights), "arm").groupBy("question_id", "chosen_index").agg(F.round(F.sum("weight"), 9).alias("votes"))
     w = Window.partitionBy("question_id").orderBy(F.desc("votes"), F.asc("chosen_index"))
-    return votes.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    said = votes.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    none = _all_abstain(arms).select("question_id", F.col("first.chosen_index").alias("chosen_index"), F.lit(None).cast("double").alias("votes"))
+    return said.unionByName(none)
 
 
 def clamp_choice(chosen: Column, abstain: Column, fallback: Column, n: Column) -> Column:

@@ -9,14 +9,15 @@ KEY = ["competition_id", "question_text"]
 
 
 def gold_harvest(log: DataFrame) -> DataFrame:
-    """(key, correct_index, how): the first confirmed answer, else by elimination when three of four options were wrong."""
+    """(key, correct_index, how, level): the first confirmed answer, else by elimination when all options but one were wrong: of n_options, if log has it, or of four."""
     key = log.where("question_text is not null and question_text <> ''")
     grouped = key.groupBy(*KEY).agg(
         F.min_by(F.struct("chosen_index", "level"), F.when(F.col("correct"), F.col("event_id"))).alias("hit"),
         F.array_sort(F.collect_set(F.when(~F.col("correct"), F.col("chosen_index")))).alias("wrong"), F.min("level").alias("level"),
+        (F.coalesce(F.max("n_options"), F.lit(4)) if "n_options" in log.columns else F.lit(4)).cast("bigint").alias("n"),
     )
-    left = F.array_except(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint")), "wrong")
-    how = F.when(F.col("hit").isNotNull(), "confirmed").when((F.size("wrong") == 3) & (F.size(left) == 1), "elimination")
+    left = F.array_except(F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).otherwise(F.array().cast("array<bigint>")), "wrong")
+    how = F.when(F.col("hit").isNotNull(), "confirmed").when((F.size("wrong") == F.col("n") - 1) & (F.size(left) == 1), "elimination")
     return grouped.withColumn("how", how).where("how is not null").select(*KEY,
         F.when(F.col("how") == "confirmed", F.col("hit.chosen_index")).otherwise(F.get(left, F.lit(0))).alias("correct_index"), "how", "level")
 

@@ -211,7 +211,7 @@ def embedding_projection(spark, d):
 @query(
     "WITH RECURSIVE e(parent, child) AS (SELECT CASE WHEN doc_id % 7 = 0 THEN lang ELSE 'n' || doc_id // 3 END, 'n' || doc_id FROM documents UNION"
         " SELECT 'n' || doc_id, source FROM documents WHERE doc_id % 5 = 0 UNION SELECT source, lang FROM documents),"
-    " r(node, depth) AS (SELECT 'en', 0 UNION SELECT e.child, r.depth + 1 FROM r JOIN e ON e.parent = r.node WHERE r.depth < 4)"
+    " r(node, depth) AS (SELECT 'en', 0 UNION SELECT e.child, r.depth + 1 FROM r JOIN e ON e.parent = r.node WHERE r.depth < 30)"
         " SELECT node, min(depth) AS depth FROM r GROUP BY node"
 )
 def category_closure(spark, d):
@@ -220,7 +220,7 @@ def category_closure(spark, d):
     k = F.col("doc_id")
     edges = docs.select(F.when(k % 7 == 0, F.col("lang")).otherwise(name(F.floor(k / 3))).alias("parent"), name(k).alias("child"))
     edges = edges.union(docs.where(k % 5 == 0).select(name(k), "source")).union(docs.select("source", "lang")).distinct()
-    return C.closure(edges, ["en"], 4)
+    return C.closure(edges, ["en"], 30)
 
 
 @query("SELECT DISTINCT source || '/' || lang AS title, CASE WHEN lang = 'fr' THEN upper(source) || ' (page)' WHEN lang = 'de' THEN upper(source)"

@@ -10,10 +10,10 @@ from ..operators import decide as D
 from ..operators.corpus import top_by_priority
 from .common import CAT_SQL, LOG, categories, query, runlog, table
 
-# Three arms a row: choices, confidences and abstentions by arithmetic.
+# Three arms a row: choices, confidences and abstentions by arithmetic; on every 29th question all abstain.
 _ARMS_SQL = (
     ", arms AS (SELECT event_id AS question_id, arm, (chosen_index + CASE WHEN event_id % (arm + 3) = 0 THEN arm ELSE 0 END) % 4 AS chosen_index,"
-    " 0.25 + 0.75 * ((event_id * (arm + 7)) % 100) / 100.0 AS confidence, (event_id + arm) % 11 = 0 AS is_abstain, level, competition_id"
+    " 0.25 + 0.75 * ((event_id * (arm + 7)) % 100) / 100.0 AS confidence, ((event_id + arm) % 11 = 0 OR event_id % 29 = 3) AS is_abstain, level, competition_id"
         " FROM runlog, (VALUES (0), (1), (2)) a(arm))"
 )
 
@@ -24,7 +24,7 @@ def _arms(spark, d):
     shift = F.when(F.col("question_id") % (F.col("arm") + 3) == 0, F.col("arm")).otherwise(0)
     return log.select("question_id", "arm", ((F.col("chosen_index") + shift) % 4).alias("chosen_index"),
         (0.25 + 0.75 * ((F.col("question_id") * (F.col("arm") + 7)) % 100) / F.lit(100.0)).alias("confidence"),
-        ((F.col("question_id") + F.col("arm")) % 11 == 0).alias("is_abstain"), "level", "competition_id")
+        (((F.col("question_id") + F.col("arm")) % 11 == 0) | (F.col("question_id") % 29 == 3)).alias("is_abstain"), "level", "competition_id")
 
 
 def _with_probs(arms):
@@ -39,7 +39,8 @@ _W_SQL = "(VALUES (0, CAST(1.0 AS DOUBLE)), (1, 0.7), (2, 0.5)) w(arm, weight)"
     LOG + _ARMS_SQL + f", p AS (SELECT question_id, idx, round(sum(weight * CASE WHEN idx = chosen_index THEN confidence"
         f" ELSE (1 - confidence) / 3 END) / sum(weight), 9) AS p FROM arms JOIN {_W_SQL} USING (arm), (VALUES (0), (1), (2), (3)) i(idx)"
         f" WHERE NOT is_abstain GROUP BY ALL)"
-    " SELECT question_id, idx AS chosen_index, p AS confidence FROM p QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY p DESC, idx) = 1"
+    " SELECT * FROM (SELECT question_id, CAST(idx AS BIGINT) AS chosen_index, p AS confidence FROM p QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY p DESC, idx) = 1)"
+    " UNION ALL SELECT question_id, min_by(chosen_index, arm), min_by(confidence, arm) FROM arms GROUP BY question_id HAVING bool_and(is_abstain)"
 )
 def ensemble_weighted(spark, d):
     """R-29, A-19, T-11: weighted mean of probabilities without abstainers."""
@@ -47,7 +48,8 @@ def ensemble_weighted(spark, d):
 
 
 @query(LOG + _ARMS_SQL + f", v AS (SELECT question_id, chosen_index, round(sum(weight), 9) AS votes FROM arms JOIN {_W_SQL} USING (arm)"
-    f" WHERE NOT is_abstain GROUP BY ALL) SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY votes DESC, chosen_index) = 1")
+    f" WHERE NOT is_abstain GROUP BY ALL) SELECT * FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY votes DESC, chosen_index) = 1)"
+    " UNION ALL SELECT question_id, min_by(chosen_index, arm), NULL FROM arms GROUP BY question_id HAVING bool_and(is_abstain)")
 def ensemble_vote(spark, d):
     """R-29, A-20: weighted votes."""
     return D.ensemble_vote(_arms(spark, d), spark.createDataFrame(_WEIGHTS, "arm int, weight double"))
@@ -55,15 +57,15 @@ def ensemble_vote(spark, d):
 
 @query(LOG + _ARMS_SQL + f", p AS (SELECT a.*, category, CASE WHEN question_id % 17 = 0 THEN NULL ELSE confidence - 0.5 END AS margin FROM arms a LEFT"
     f" JOIN {CAT_SQL} AS c(cid, category) ON cid = competition_id WHERE arm = 0), f AS (SELECT question_id, chosen_index AS fi FROM arms"
-    f" WHERE arm = 1), x AS (SELECT p.*, fi, (category IS NULL OR category <> 'news') AND (margin IS NULL OR margin >= 0.2) AS com FROM p"
-    f" JOIN f USING (question_id)) SELECT question_id, CASE WHEN com THEN chosen_index ELSE fi END AS chosen_index, CASE WHEN com THEN 'primary'"
-    f" ELSE 'fallback' END AS arm, NOT com AND fi <> chosen_index AS disagree FROM x")
+    f" WHERE arm = 1 AND question_id % 13 <> 4), x AS (SELECT p.*, fi, (category IS NULL OR category <> 'news') AND (margin IS NULL OR margin >= 0.2) AS com FROM p"
+    f" LEFT JOIN f USING (question_id)) SELECT question_id, CASE WHEN com THEN chosen_index ELSE coalesce(fi, chosen_index) END AS chosen_index, CASE WHEN com OR fi IS NULL THEN 'primary'"
+    f" ELSE 'fallback' END AS arm, NOT com AND coalesce(fi <> chosen_index, false) AS disagree FROM x")
 def confidence_gate(spark, d):
-    """R-26, J-21: the primary's answer where its margin suffices and the category isn't forced, else the fallback's."""
+    """R-26, J-21: the primary's answer where its margin suffices and the category isn't forced, else the fallback's; some questions have none."""
     arms = _arms(spark, d)
     margin = F.when(F.col("question_id") % 17 == 0, F.lit(None)).otherwise(F.col("confidence") - 0.5)
     primary = arms.where("arm = 0").join(F.broadcast(categories(spark)), "competition_id", "left").withColumn("margin", margin)
-    return D.gated(primary, arms.where("arm = 1"), D.confidence_gate(F.col("margin"), F.col("category"), 0.20, ("news",)))
+    return D.gated(primary, arms.where("arm = 1 and question_id % 13 <> 4"), D.confidence_gate(F.col("margin"), F.col("category"), 0.20, ("news",)))
 
 
 _TIER = "CASE WHEN category = 'maths' THEN 'tools' WHEN level <= 5 THEN 'easy' WHEN level <= 10 THEN 'medium' ELSE 'hard' END"
