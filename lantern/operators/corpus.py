@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from ..shared import cut, small
+from ..shared import cut, small, spread
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -95,6 +95,7 @@ def chunk(articles: DataFrame, size: int = 300, overlap: int = 50, least: int |
     first chunk; a chunk under least words (size // 5) joins its predecessor.
     """
     least = max(1, size // 5) if least is None else least
+    articles = spread(articles)
     parts = F.transform(
         T.sections("text"),
         lambda s, i: F.transform(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import text as T
 from ..shared import cut, small
+from .dense import search as dense  # noqa: F401
 from .postings import K1, B, Blocks, blocks, hits, idf  # noqa: F401
 
 ALPHA, REACH = 0.25, 10
@@ -84,28 +86,6 @@ def top_k(scored: DataFrame, k: int, order: list[Column], by: str | list[str] =
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
-#: Queries up to which their vectors go to every task, counted before.
-DENSE_QUERIES = 100_000
-
-
-def dense(queries: DataFrame, vectors: DataFrame, k: int, *on: str) -> DataFrame:
-    """Exact inner products of queries (query, qv, q_<on>...) with vectors (vec, v, <on>...), rounded to 6 places: the k best of each query among the vectors that are equal in on.
-
-    Queries go to the vectors' tasks, in parts if they are many; each task keeps
-    k of each query before the shuffle.  A filter on vectors belongs below this.
-    """
-    n = queries.count()
-    parts = -(-n // DENSE_QUERIES) or 1
-    out = None
-    for part in range(parts):
-        own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part)
-        pairs = vectors.join(F.broadcast(own), [F.col(c) == F.col(f"q_{c}") for c in on]) if on else vectors.crossJoin(F.broadcast(own))
-        scored = pairs.select("query", "vec", *on, F.round(N.dot(F.col("qv"), F.col("v")), 6).alias("score"))
-        best = top_k(scored, k, [F.desc("score"), F.asc("vec")])
-        out = best if out is None else out.unionByName(best)
-    return out
-
-
 def fuse(lists: DataFrame, k: int, rrf_k: int = 60, weights: DataFrame | None = None) -> DataFrame:
     """Reciprocal rank fusion of lists (query, list_id, rank, key): (query, key, score, rank).  A list of weight 0 adds no keys, one without a weight is an error."""
     if weights is not None:
@@ -129,32 +109,58 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, t)) / F.size(q)).otherwise(0.0)
 
 
-def batch_scorer(score: Callable[[list[str], list[str]], list[float]]) -> Callable[[Column, Column], Column]:
-    """A model's scorer of (queries, texts), called with whole Arrow batches, as a function of Columns; another number of scores than of pairs is an error."""
+_models: dict[str, object] = {}
+
+
+def _loaded(key: str, load: Callable) -> object:
+    """A worker's model, loaded when it is first asked for."""
+    if key not in _models:
+        _models[key] = load()
+    return _models[key]
+
+
+def model_scorer(load: Callable[[], Callable[[list[str], list[str]], list[float]]]) -> Callable[[Column, Column], Column]:
+    """A model's scorer of (queries, texts) as a function of Columns: load is called once in a worker, what it returns with whole Arrow batches; another number of scores than of pairs is an error."""
+    key = uuid.uuid4().hex
 
     @F.pandas_udf("double")
-    def run(queries: pd.Series, texts: pd.Series) -> pd.Series:
-        out = list(score(queries.fillna("").tolist(), texts.fillna("").tolist()))
-        if len(out) != len(queries):
-            raise ValueError(f"{len(out)} scores for {len(queries)} pairs")
-        return pd.Series(out, dtype="float64")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        score = _loaded(key, load)
+        for queries, texts in batches:
+            out = list(score(queries.fillna("").tolist(), texts.fillna("").tolist()))
+            if len(out) != len(queries):
+                raise ValueError(f"{len(out)} scores for {len(queries)} pairs")
+            yield pd.Series(out, dtype="float64")
 
     return run
 
 
-def batch_encoder(encode: Callable[[list[str]], list[list[float]]], dim: int) -> Callable[[Column], Column]:
-    """A model's encoder, called with whole Arrow batches, as a function of a Column; another number or length of vectors is an error."""
+def batch_scorer(score: Callable[[list[str], list[str]], list[float]]) -> Callable[[Column, Column], Column]:
+    """model_scorer of a function that needs no loading."""
+    return model_scorer(lambda: score)
+
+
+def model_encoder(load: Callable[[], Callable[[list[str]], list[list[float]]]], dim: int) -> Callable[[Column], Column]:
+    """A model's encoder as a function of a Column: load is called once in a worker, what it returns with whole Arrow batches; another number or length of vectors is an error."""
+    key = uuid.uuid4().hex
 
     @F.pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
-        out = [list(map(float, v)) for v in encode(texts.fillna("").tolist())]
-        if len(out) != len(texts) or any(len(v) != dim for v in out):
-            raise ValueError(f"the encoder must give {len(texts)} vectors of {dim} numbers")
-        return pd.Series(out)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = _loaded(key, load)
+        for texts in batches:
+            out = [list(map(float, v)) for v in encode(texts.fillna("").tolist())]
+            if len(out) != len(texts) or any(len(v) != dim for v in out):
+                raise ValueError(f"the encoder must give {len(texts)} vectors of {dim} numbers")
+            yield pd.Series(out)
 
     return run
 
 
+def batch_encoder(encode: Callable[[list[str]], list[list[float]]], dim: int) -> Callable[[Column], Column]:
+    """model_encoder of a function that needs no loading."""
+    return model_encoder(lambda: encode, dim)
+
+
 def rerank(pool: DataFrame, score: Column, k: int) -> DataFrame:
     """pool (query, rank, ...) by a new score, ties in the pool's order."""
     return top_k(pool.withColumn("score", score).withColumnRenamed("rank", "pool_rank"), k, [F.desc("score"), F.asc("pool_rank")])

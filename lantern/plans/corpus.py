@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import corpus as C
+from ..shared import spread
 from .common import query, table
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -149,7 +150,7 @@ _WORDS = "list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')"
 )
 def chunk_fixed(spark, d):
     """R-11, W-11: overlapping windows of 300 words."""
-    rows = table(spark, d, "documents").select("doc_id", F.explode(C.fixed_windows(T.words(F.col("text")), 300, 50)).alias("c"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(C.fixed_windows(T.words(F.col("text")), 300, 50)).alias("c"))
     return rows.select("doc_id", "c.chunk_id", F.md5("c.text").alias("digest"))
 
 

@@ -191,3 +191,26 @@ def test_standings_and_traces(spark):
 def test_category_lists(spark):
     with pytest.raises(ValueError, match="sport"):
         C.in_categories(F.col("c"), ["maths", "sport"], ["maths"])
+
+
+def test_models_are_loaded_once_a_worker(spark, tmp_path):
+    loads = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        open(os.path.join(loads, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+        return lambda texts: [[len(x)] for x in texts]
+
+    encode = R.model_encoder(load, 1)
+    df = spark.range(400).select(F.col("id").cast("string").alias("t")).repartition(20)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        for _ in range(2):  # a later query finds the model loaded
+            assert sum(r.v[0] for r in df.select(encode(F.col("t")).alias("v")).collect()) == 10 + 90 * 2 + 300 * 3
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    workers = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert 0 < len(workers) == len(set(workers))
