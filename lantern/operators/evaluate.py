@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
+
 KEY = ["competition_id", "question_text"]
 
 
@@ -98,8 +100,9 @@ def cumulative(rows: DataFrame, by: list[str], at: str, sums: dict[str, str], de
 
     Approximate quantiles cut each group into parts that are summed up for
     themselves; what comes before a part is added.  So no group, nor all rows
-    where by is empty, is ordered in one task.
+    where by is empty, is ordered in one task.  rows are computed once.
     """
+    rows = cut(rows)
     edges = rows.groupBy(*by).agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 1000).alias("_edges"))
     if by:
         edges = edges.select(*[F.col(c).alias(f"_e_{c}") for c in by], "_edges")
@@ -124,7 +127,7 @@ def calibrate_threshold(pairs: DataFrame, base: float) -> DataFrame:
     Scores are first summed up by value; the cumulative sums then run over
     distinct scores, in parts.
     """
-    scores = pairs.groupBy(F.col("top_score").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("correct"), 1).otherwise(0)).alias("c"))
+    scores = cut(pairs.groupBy(F.col("top_score").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("correct"), 1).otherwise(0)).alias("c")))
     taus = scores.select(F.bround("s", 3).alias("tau")).union(pairs.sparkSession.createDataFrame([(0.0,), (1.0,)], "tau double")).distinct()
     none = F.lit(0).cast("bigint")
     points = scores.select(F.col("s").alias("at"), F.lit(0).alias("is_tau"), "n",
@@ -150,6 +153,7 @@ def percentiles(df: DataFrame, by: list[str], value: str, ps: dict[str, float],
     gathered.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counted = cut(counted)
     placed = cumulative(counted, by, "_v", {"_end": "_c"})
     sizes = counted.groupBy(*by).agg(F.sum("_c").alias("_n"))
     if by:
