@@ -3,6 +3,7 @@
 import math
 from fractions import Fraction
 
+import pytest
 from pyspark.sql import functions as F
 
 from lantern.functions import numbers as N
@@ -62,3 +63,25 @@ def test_argmax_and_margin(spark):
     m = F.create_map(F.lit("B"), F.lit(0.4), F.lit("A"), F.lit(0.4), F.lit("C"), F.lit(0.2))
     r = spark.range(1).select(N.argmax(m), N.margin(m)).first()
     assert r[0] == "A" and r[1] == 0.0
+
+
+def test_normal_distribution_in_the_tails(spark):
+    """Against the exact complementary error function and its inverse, to 12 places of the value itself."""
+    import math
+    from statistics import NormalDist
+
+    from lantern.functions import tools as X
+
+    xs = [k / 16 for k in range(-120, 400)] + [26.0, -6.0, 2.4999999, 2.5, 0.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", X.erfc(F.col("x")).alias("y")).collect()
+    assert all(r.y == pytest.approx(math.erfc(r.x), rel=1e-12, abs=0) for r in got if r.x < 26) and len(got) == len(xs)
+    ps = [k / 200 for k in range(1, 200)] + [10.0**-k for k in range(3, 300, 7)] + [1 - 10.0**-k for k in range(3, 15)] + [0.0, 1.0, -0.5, None]
+    df = spark.createDataFrame([(p,) for p in ps], "p double").select("p", X.normal_quantile(F.col("p"), F.lit(3.0), F.lit(2.0)).alias("x"), X.normal_quantile(F.col("p"), F.lit(0.0), F.lit(0.0)).alias("none"))
+    for r in df.withColumn("back", X.normal_cdf("x", F.lit(3.0), F.lit(2.0))).collect():
+        assert r.none is None
+        if r.p is None or not 0 < r.p < 1:
+            assert r.x is None and r.back is None
+        else:
+            assert r.back == pytest.approx(r.p, rel=1e-11, abs=0)
+            if 1e-9 < r.p < 1 - 1e-9:
+                assert r.x == pytest.approx(NormalDist(3.0, 2.0).inv_cdf(r.p), rel=1e-12, abs=1e-12)
