@@ -17,12 +17,34 @@ def options_block(options: Column) -> Column:
     return F.array_join(F.zip_with(F.array(*[F.lit(x) for x in "ABCD"]), options, lambda letter, text: F.concat_ws(". ", letter, text)), "\n")
 
 
-def messages(question: Column, options: Column, system: Column, instruction: str, context: Column | None = None) -> Column:
-    """array<struct<role, content>>: system and user; the context, if there is one, stands between the options and the instruction."""
+def user_turn(question: Column, options: Column, instruction: str, context: Column | None = None) -> Column:
+    """What is asked; the context, if there is one, stands between the options and the instruction."""
     extra = F.lit("") if context is None else F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit(REFERENCE_LEAD), context, F.lit("\n\n"))).otherwise("")
-    user = F.concat(F.lit("Question: "), question, F.lit("\n\nOptions:\n"), options_block(options), F.lit("\n\n"), extra, F.lit(instruction))
-    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    return F.array(turn("system", system), turn("user", user))
+    return F.concat(F.lit("Question: "), question, F.lit("\n\nOptions:\n"), options_block(options), F.lit("\n\n"), extra, F.lit(instruction))
+
+
+def _turn(role: str, content: Column) -> Column:
+    return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+
+def messages(question: Column, options: Column, system: Column, instruction: str, context: Column | None = None, examples: Column | None = None) -> Column:
+    """array<struct<role, content>>: system and user, and between them a user and an assistant turn for each example: array<struct<question, options, answer>>, null for none.
+
+    A prompt with context has no examples.
+    """
+    asked = F.array(_turn("user", user_turn(question, options, instruction, context)))
+    if examples is None:
+        return F.concat(F.array(_turn("system", system)), asked)
+    shown = F.flatten(F.transform(examples, lambda e: F.array(_turn("user", user_turn(e["question"], e["options"], instruction)), _turn("assistant", e["answer"]))))
+    alone = F.lit(True) if context is None else F.coalesce(context, F.lit("")) == ""
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    return F.concat(F.array(_turn("system", system)), F.when(alone, F.coalesce(shown, none)).otherwise(none), asked)
+
+
+def example_answer(letter: Column, rationale: Column, reasoned: bool) -> Column:
+    """What an example's assistant says, in the form that the prompt asks for: the boxed letter after the rationale, if there is one and prompts ask for reasons, else the bare answer."""
+    bare = F.concat(F.lit("Answer: "), letter)
+    return F.when(F.coalesce(rationale, F.lit("")) != "", F.concat(rationale, F.lit("\n\\boxed{"), letter, F.lit("}"))).otherwise(bare) if reasoned else bare
 
 
 def mock_letter(prompt: Column) -> Column:

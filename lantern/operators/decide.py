@@ -39,6 +39,28 @@ def escalates(tier_: Column, margin: Column, abstain: Column, tau: float) -> Col
     return tier_.isin("easy", "medium") & F.coalesce(margin < tau, F.lit(False)) & ~abstain
 
 
+def tiered(questions: DataFrame, answers: DataFrame, overrides: dict[str, str], tau: float | None, easy: int = 5, medium: int = 10) -> DataFrame:
+    """(question_id, chosen_index, confidence, tier_originally, tier_selected, escalated) of every question (question_id, level, category).
+
+    answers (question_id, tier, chosen_index, confidence, margin, is_abstain): a
+    row for each question and tier.  An uncertain answer of the easy or medium
+    tier gives way to the next tier's, which may abstain; one of an override
+    doesn't.  A question that its tier, or the next one, has no answer to keeps a
+    null, or the first answer.
+    """
+    first = questions.select("question_id", tier(F.col("level"), F.col("category"), overrides, easy, medium).alias("tier"))
+    own = answers.select(F.col("question_id").alias("_q"), F.col("tier").alias("_t"), "chosen_index", "confidence", "margin", "is_abstain")
+    routed = first.join(own, (F.col("question_id") == F.col("_q")) & (F.col("tier") == F.col("_t")), "left").drop("_q", "_t")
+    up = F.coalesce(escalates(F.col("tier"), F.col("margin"), F.coalesce("is_abstain", F.lit(True)), tau), F.lit(False)) if tau is not None else F.lit(False)
+    after = F.when(F.col("tier") == "easy", "medium").when(F.col("tier") == "medium", "hard")
+    routed = routed.withColumn("_next", F.when(up, after))
+    more = answers.select(F.col("question_id").alias("_q"), F.col("tier").alias("_t"), F.struct("chosen_index", "confidence").alias("_more"))
+    both = routed.join(more, (F.col("question_id") == F.col("_q")) & (F.col("_next") == F.col("_t")), "left")
+    went = F.col("_more").isNotNull()
+    pick = lambda c: F.when(went, F.col("_more")[c]).otherwise(F.col(c)).alias(c)
+    return both.select("question_id", pick("chosen_index"), pick("confidence"), F.col("tier").alias("tier_originally"), F.when(went, F.col("_next")).otherwise(F.col("tier")).alias("tier_selected"), went.alias("escalated"))
+
+
 def tool_chain(tools: list[Column], fallback: Column) -> Column:
     return F.coalesce(*tools, fallback)
 

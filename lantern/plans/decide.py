@@ -81,6 +81,30 @@ def tier_route(spark, d):
     return arms.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.count_if(D.escalates(F.col("tier"), F.col("confidence") - 0.5, F.col("is_abstain"), 0.1)).alias("escalated"))
 
 
+_TIERS = (
+    ", t AS (SELECT question_id, CASE arm WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS tier, chosen_index, confidence, CASE WHEN question_id % 17 <> 0 THEN confidence - 0.5 END AS margin, is_abstain"
+    " FROM arms WHERE question_id % 19 <> 2 OR arm = 0 UNION ALL SELECT question_id, 'tools', (chosen_index + 1) % 4, confidence, confidence - 0.5, is_abstain FROM arms WHERE arm = 2),"
+    f" q AS (SELECT question_id, {_TIER} AS tier FROM arms LEFT JOIN {CAT_SQL} AS c(cid, category) ON cid = competition_id WHERE arm = 0),"
+    " o AS (SELECT q.question_id, q.tier, t.chosen_index, t.confidence, coalesce(q.tier IN ('easy', 'medium') AND t.margin < 0.1 AND NOT t.is_abstain, false) AS up"
+        " FROM q LEFT JOIN t ON t.question_id = q.question_id AND t.tier = q.tier)"
+)
+
+
+@query(LOG + _ARMS_SQL + _TIERS + " SELECT o.question_id, CASE WHEN n.tier IS NOT NULL THEN n.chosen_index ELSE o.chosen_index END AS chosen_index,"
+    " CASE WHEN n.tier IS NOT NULL THEN n.confidence ELSE o.confidence END AS confidence, o.tier AS tier_originally, coalesce(n.tier, o.tier) AS tier_selected, n.tier IS NOT NULL AS escalated"
+    " FROM o LEFT JOIN t n ON o.up AND n.question_id = o.question_id AND n.tier = CASE o.tier WHEN 'easy' THEN 'medium' ELSE 'hard' END")
+def tier_answers(spark, d):
+    """R-25: each question's answer by its tier, or the next one's where the tier is uncertain; some questions lack answers."""
+    arms = _arms(spark, d)
+    named = F.when(F.col("arm") == 0, "easy").when(F.col("arm") == 1, "medium").otherwise("hard")
+    margin = F.col("confidence") - 0.5
+    own = arms.where("question_id % 19 <> 2 or arm = 0").select("question_id", named.alias("tier"), "chosen_index", "confidence",
+        F.when(F.col("question_id") % 17 != 0, margin).alias("margin"), "is_abstain")
+    tools = arms.where("arm = 2").select("question_id", F.lit("tools").alias("tier"), ((F.col("chosen_index") + 1) % 4).alias("chosen_index"), "confidence", margin.alias("margin"), "is_abstain")
+    questions = arms.where("arm = 0").join(F.broadcast(categories(spark)), "competition_id", "left").select("question_id", "level", "category")
+    return D.tiered(questions, own.union(tools), {"maths": "tools"}, 0.1)
+
+
 @query(LOG + _ARMS_SQL + " SELECT arm, count(*) AS n, count(*) FILTER (WHERE a.chosen_index = b.chosen_index) AS agree FROM arms a"
     " JOIN (SELECT question_id, chosen_index FROM arms WHERE arm = 0) b USING (question_id) GROUP BY arm")
 def arm_agreement(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import corpus as C
 from ..operators import decide as D
 from ..operators import evaluate as E
+from ..operators import observe as O
 from .common import CAT_SQL, LOG, categories, query, runlog, table
 
 _CAT = f"LEFT JOIN {CAT_SQL} AS cat(cid, category) ON cat.cid = competition_id"
@@ -343,7 +344,7 @@ def level_bands(spark, d):
     f" ELSE 0.0 END) FILTER (WHERE source = 'live') - avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) FILTER (WHERE source = 'none')), 6) AS boost_pp"
     f" FROM s")
 def live_efficiency(spark, d):
-    """A-27, F-20: what live search brings."""
+    """A-27: what live search brings, in short."""
     s = _sourced(runlog(spark, d))
     hit = F.when(F.col("correct"), 1.0).otherwise(0.0)
     live, none = F.col("source") == "live", F.col("source") == "none"
@@ -353,6 +354,52 @@ def live_efficiency(spark, d):
         F.round(100 * (F.avg(F.when(live, hit)) - F.avg(F.when(none, hit))), 6).alias("boost_pp"))
 
 
+_PROVIDER = "CASE WHEN top_score >= 0.3 OR event_id % 3 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 'guardian_window' WHEN event_id % 7 = 1 THEN 'guardian_broad' WHEN event_id % 7 < 6 THEN 'wikipedia' END"
+_LIVE = (
+    f", v AS (SELECT *, {_SRC} AS source, top_score < 0.3 AS gated, top_score < 0.3 AND event_id % 3 <> 0 AS fired, top_score < 0.3 AND event_id % 3 <> 0 AND event_id % 5 = 0 AS all_below, {_PROVIDER} AS provider,"
+    " CASE WHEN top_score < 0.3 THEN latency_seconds / 2 END AS live_latency, CASE WHEN event_id % 3 <> 0 THEN top_score + 0.25 END AS live_top_score FROM runlog)"
+)
+
+
+def _lived(spark, d):
+    i, weak = F.col("event_id"), F.col("top_score") < 0.3
+    fired = weak & (i % 3 != 0)
+    provider = F.when(fired, F.when(i % 7 == 0, "guardian_window").when(i % 7 == 1, "guardian_broad").when(i % 7 < 6, "wikipedia"))
+    return _sourced(runlog(spark, d)).withColumns({"gated": weak, "fired": fired, "all_below": fired & (i % 5 == 0), "provider": provider,
+        "live_latency": F.when(weak, F.col("latency_seconds") / 2), "live_top_score": F.when(i % 3 != 0, F.col("top_score") + 0.25)})
+
+
+@query(LOG + _LIVE + " SELECT count(*) AS n, count(*) FILTER (WHERE gated) AS gated, count(*) FILTER (WHERE fired) AS fired, count(*) FILTER (WHERE source = 'live') AS above, count(*) FILTER (WHERE all_below) AS wasted,"
+    " count(*) FILTER (WHERE provider LIKE 'guardian%') AS guardian, count(*) FILTER (WHERE provider = 'wikipedia') AS wikipedia, round(avg(live_latency), 6) AS latency,"
+    " round(avg(live_top_score) FILTER (WHERE source = 'live'), 6) AS live_score, round(avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) FILTER (WHERE source = 'live'), 9) AS acc_live,"
+    " round(avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) FILTER (WHERE source = 'none'), 9) AS acc_none, round(100 * (avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) FILTER (WHERE source = 'live')"
+    " - avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) FILTER (WHERE source = 'none')), 6) AS boost_pp FROM v")
+def live_report(spark, d):
+    """A-27: live search step by step, with its providers and the scores of what it kept."""
+    return O.live_report(_lived(spark, d))
+
+
+@query(LOG + _LIVE + " SELECT CASE WHEN provider LIKE 'guardian%' THEN 'Guardian' ELSE 'Wikipedia' END AS provider, count(*) AS n, count(*) FILTER (WHERE correct) AS correct FROM v WHERE fired GROUP BY 1")
+def live_providers(spark, d):
+    """F-20: who served the live passages, as people are told."""
+    return _lived(spark, d).where("fired").groupBy(O.live_label(F.col("provider")).alias("provider")).agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("correct"))
+
+
+_GATES = (
+    "count(*) AS n, count(*) FILTER (WHERE gated) AS n_gated, round(avg(CASE WHEN gated THEN 1.0 ELSE 0.0 END), 9) AS gate_rate,"
+    " round(avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) FILTER (WHERE gated), 9) AS acc_gated, round(avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT gated), 9) AS acc_ungated,"
+    " round(avg(top_score) FILTER (WHERE correct), 9) AS score_correct, round(avg(top_score) FILTER (WHERE correct IS NOT TRUE), 9) AS score_wrong"
+)
+
+
+@query(LOG + _LIVE + f", g AS (SELECT v.*, coalesce(category, 'unknown') AS category FROM v LEFT JOIN {CAT_SQL} AS c(cid, category) ON cid = competition_id WHERE event_id % 4 <> 0)"
+    f" SELECT category, {_GATES} FROM g GROUP BY category UNION ALL SELECT 'all', {_GATES} FROM g")
+def gate_report(spark, d):
+    """A-28: gate rates by category, accuracy and scores with and without the gate, over questions that retrieved."""
+    log = _lived(spark, d).join(F.broadcast(categories(spark)), "competition_id", "left")
+    return O.gate_report(log.withColumn("n_passages", F.when(F.col("event_id") % 4 != 0, 3)))
+
+
 @query(LOG + " SELECT correct, count(*) AS n, round(min(top_score), 9) AS lo, round(avg(top_score), 9) AS mean, round(max(top_score), 9) AS hi"
     ", round(avg(CASE WHEN top_score < 0.3 THEN 1.0 ELSE 0.0 END), 9) AS gate_rate FROM runlog GROUP BY correct")
 def retrieval_dashboard(spark, d):

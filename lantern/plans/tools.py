@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import closed as C
@@ -193,6 +194,32 @@ def prompt_messages(spark, d):
     return c.select("conv_id", "turn", m[1]["content"].alias("content"))
 
 
+_USER = "'Question: ' || {} || chr(10) || chr(10) || 'Options:' || chr(10) || 'A. yes' || chr(10) || 'B. no' || chr(10) || 'C. ' || {} || chr(10) || 'D. none' || chr(10) || chr(10) || 'Reason, then answer.'"
+
+
+@query(
+    "WITH ex AS (SELECT lang AS category, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k, md5(text) AS question, source FROM documents),"
+    f" shown AS (SELECT category, string_agg('user|' || {_USER.format('question', 'source')} || chr(1) || 'assistant|' || CASE WHEN doc_id % 2 = 0 THEN 'As in ' || source || '.' || chr(10) || '\\boxed{{' || chr(CAST(65 + doc_id % 4 AS INTEGER)) || '}}' ELSE 'Answer: ' || chr(CAST(65 + doc_id % 4 AS INTEGER)) END, chr(1) ORDER BY k) AS turns, count(*) * 2 AS n FROM ex WHERE k <= 3 GROUP BY category)"
+    f" SELECT i.item_id, CAST(2 + coalesce(CASE WHEN i.item_id % 5 <> 0 THEN n END, 0) AS INTEGER) AS turns, md5('system|You know ' || coalesce(d.lang, 'all') || '.' || chr(1)"
+    f" || CASE WHEN i.item_id % 5 <> 0 AND shown.turns IS NOT NULL THEN shown.turns || chr(1) ELSE '' END || 'user|' || {_USER.format('i.text', 'i.item_id')}) AS digest"
+    " FROM benchmark i LEFT JOIN documents d ON d.doc_id = i.item_id AND d.lang <> 'fr' LEFT JOIN shown ON shown.category = d.lang AND i.item_id % 5 <> 0"
+)
+def few_shot_prompts(spark, d):
+    """X-11: prompts with the examples of the question's category, three at most, each with its reasoning; every fifth question, and one without a category, has none."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").where("text is not null")
+    options = lambda third: F.array(F.lit("yes"), F.lit("no"), third.cast("string"), F.lit("none"))
+    letter = F.char(F.lit(65) + F.col("doc_id") % 4)
+    answer = P.example_answer(letter, F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("As in "), "source", F.lit("."))), True)
+    first = docs.where("lang is not null").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).where("k <= 3")
+    example = F.struct("k", F.md5("text").alias("question"), options(F.col("source")).alias("options"), answer.alias("answer"))
+    bank = first.groupBy(F.col("lang").alias("category")).agg(F.array_sort(F.collect_list(example)).alias("examples"))
+    asked = items.join(docs.where("lang <> 'fr'").select("doc_id", F.col("lang").alias("category")), F.col("item_id") == F.col("doc_id"), "left").join(F.broadcast(bank), "category", "left")
+    shown = F.when(F.col("item_id") % 5 != 0, F.col("examples"))
+    said = P.messages(F.col("text"), options(F.col("item_id")), F.concat(F.lit("You know "), F.coalesce("category", F.lit("all")), F.lit(".")), "Reason, then answer.", examples=shown)
+    whole = F.array_join(F.transform("m", lambda m: F.concat_ws("|", m["role"], m["content"])), "\x01")
+    return asked.select("item_id", said.alias("m")).select("item_id", F.size("m").alias("turns"), F.md5(whole).alias("digest"))
+
+
 @query(LOG + " SELECT event_id, 'tiered__qwen__zero_shot__' || CASE WHEN event_id % 3 = 0 THEN 'base' WHEN event_id % 3 = 1 THEN 'rag-mq'"
     " ELSE 'hybrid' END || '__' || strftime(ts, '%Y%m%d_%H%M%S') AS id FROM runlog")
 def report_ids(spark, d):
