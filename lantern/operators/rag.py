@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import retrieve as R
@@ -81,6 +81,32 @@ def decide(passages: DataFrame, live: DataFrame, questions: DataFrame, threshold
         pick("off_top", "live_top", None).alias("top_score"))
 
 
+def answered(decided: DataFrame, offline: DataFrame, live: DataFrame, most: int, reader: Callable[[Column], Column], floor: float = 0.3) -> DataFrame:
+    """decided (query, context_source, options, ...) with context, answer and trace.
+
+    The passages are those that decide() chose: offline ones (query, rank, score,
+    source, text), or live ones (query, score, source, text) of at least floor by
+    score, then source and text.  context has them as '[rank] source', a line break and
+    the text, an empty line between two, up to the first that would exceed most
+    characters; it is '' without passages.  reader gives the answer's index from
+    a struct of decided's columns and the context; null abstains.  trace lists
+    source, score to four places, and whether the passage is in the context.
+    """
+    best = R.top_k(live.where(F.col("score") >= floor).select("query", "score", "source", "text"), 1 << 30, [F.desc("score"), F.asc("source"), F.asc("text")])
+    both = offline.select("query", "rank", "score", "source", "text", F.lit("offline").alias("of")).unionByName(best.select("query", "rank", "score", "source", "text", F.lit("live").alias("of")))
+    own = both.join(decided.select("query", F.col("context_source").alias("of")), ["query", "of"])
+    entry = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "source", F.lit("\n"), "text")
+    place = Window.partitionBy("query").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    used = own.withColumn("entry", entry).withColumn("_in", F.sum(F.char_length("entry")).over(place) <= most)
+    one = F.struct("rank", "entry", "_in", "source", F.bround("score", 4).alias("score"))
+    lists = used.groupBy("query").agg(F.array_sort(F.collect_list(one)).alias("_p"))
+    joined = decided.join(lists, "query", "left")
+    context = F.array_join(F.transform(F.filter("_p", lambda p: p["_in"]), lambda p: p["entry"]), "\n\n")
+    trace = F.transform("_p", lambda p: F.struct(p["source"].alias("source"), p["score"].alias("score"), p["_in"].alias("used")))
+    shown = joined.withColumn("context", F.coalesce(context, F.lit(""))).withColumn("trace", F.coalesce(trace, F.array().cast("array<struct<source:string,score:double,used:boolean>>")))
+    return shown.drop("_p").withColumn("answer", reader(F.struct(*[c for c in shown.columns if c not in ("_p", "trace")])))
+
+
 def merged_pool(offline: DataFrame, live: DataFrame, k: int) -> DataFrame:
     """(query, source, origin, score, rank): the k best live passages of each query by score, then the offline ones in their order, 2 k at most."""
     best = R.top_k(live.select("query", "source", "score"), k, [F.desc("score"), F.asc("source")]).withColumn("o", F.lit(0))

@@ -365,6 +365,80 @@ def multi_query_recall(spark, d):
     return recall(found, (1, 5), [])
 
 
+_OPTIONS = "(SELECT item_id * 10 AS item_id, text FROM benchmark" + "".join(
+    f" UNION ALL SELECT a.item_id * 10 + {j}, a.text || ' ' || b.text FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + {j}" for j in (1, 2, 3, 4)) + ")"
+_HYBRID = (
+    _HITS.replace("FROM benchmark", f"FROM {_OPTIONS}")
+    + ", rk AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, first_qi, doc) AS rank FROM s),"
+    f" va AS (SELECT v.item_id AS query, e.embedding AS qv FROM {_OPTIONS} v JOIN embeddings e ON e.vec_id = v.item_id // 10 + v.item_id % 10),"
+    " dn AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM (SELECT va.query, d.doc_id AS doc, round(list_dot_product(CAST(qv AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score"
+        " FROM va, documents d JOIN embeddings e ON e.vec_id = d.doc_id)),"
+    " l2 AS (SELECT query, 0 AS list_id, rank, doc FROM dn WHERE rank <= 15 UNION ALL SELECT query, 1, rank, doc FROM rk WHERE rank <= 15),"
+    " f2 AS (SELECT query, doc, round(sum(1.0 / (60 + rank)), 9) AS score, min(list_id * 1000 + rank) AS first FROM l2 GROUP BY query, doc),"
+    " x2 AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, first) AS rank FROM f2),"
+    " li AS (SELECT query // 10 AS query, query % 10 AS list_id, rank, doc FROM x2 WHERE rank <= 15)"
+)
+
+
+@query(_HYBRID + _MULTI[_MULTI.index(", f AS (SELECT query, doc AS key") :] + " SELECT query, key, score, place AS rank FROM mq WHERE place <= 3")
+def multi_query_hybrid(spark, d):
+    """R-19: a question, and the question with each of four options, each ranked by dense search and BM25 and fused, all fused again, reranked once by the question, cut."""
+    items, vectors = table(spark, d, "benchmark").where("text is not null"), table(spark, d, "embeddings")
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    given = items.select(F.col("item_id").alias("other"), F.col("text").alias("option"))
+    number = (F.col("other") - F.col("item_id")).cast("int")
+    variants = items.select("item_id", "text").join(F.broadcast(given), F.col("other").between(F.col("item_id") + 1, F.col("item_id") + 4))
+    variants = variants.select((F.col("item_id") * 10 + number).alias("query"), F.concat_ws(" ", "text", "option").alias("text")).union(items.select((F.col("item_id") * 10), "text"))
+    at = F.floor(F.col("query") / 10) + F.col("query") % 10
+    asked = variants.select("query", at.alias("at")).join(vectors, F.col("at") == F.col("vec_id")).select("query", F.col("embedding").alias("qv"))
+    among = docs.select("doc_id").join(vectors, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("vec"), F.col("embedding").alias("v"))
+    near = R.dense(asked, among, 15).select("query", "rank", F.col("vec").alias("key"))
+    q = R.query_tokens(variants, "query", "text")
+    lexical = postings.search(postings.blocks(docs, "doc_id", "text", q, positions=False), q, 15).select("query", "rank", F.col("doc").alias("key"))
+    each = rag.retrieve(near, lexical, docs.select(F.col("doc_id").alias("key"), "source"), 15, hybrid=True, rerank=False, spread=False)
+    lists = each.select(F.floor(F.col("query") / 10).alias("query"), (F.col("query") % 10).cast("int").alias("list_id"), "rank", "key")
+    said = F.broadcast(items.select(F.col("item_id").alias("of"), F.col("text").alias("q_text")))
+    fused = R.fuse(lists, 15).join(said, F.col("query") == F.col("of")).join(docs.select(F.col("doc_id").alias("key"), "text"), "key")
+    return R.rerank(fused, F.round(R.overlap_score(F.col("q_text"), F.col("text")), 9), 3).select("query", "key", "score", "rank")
+
+
+_READ = "(length(context) - length(replace(context, {0}, ''))) // length({0})"
+
+
+@query(
+    _HITS + ", o AS (SELECT query, doc, round(score, 6) AS score, doc % 3 = 0 AS live, row_number() OVER (PARTITION BY query, doc % 3 = 0 ORDER BY round(score, 6) DESC, first_qi, doc) AS rank FROM s),"
+    " t AS (SELECT query, live, max(score) AS top, count(*) AS n FROM o WHERE rank <= 5 AND (NOT live OR score >= 20) GROUP BY query, live),"
+    " c AS (SELECT i.item_id AS query, f.n IS NULL OR f.top < 45 AS gated, CASE WHEN NOT (f.n IS NULL OR f.top < 45) THEN 'offline' WHEN l.n > 0 THEN 'live' ELSE 'none' END AS context_source"
+        " FROM benchmark i LEFT JOIN t f ON f.query = i.item_id AND NOT f.live LEFT JOIN t l ON l.query = i.item_id AND l.live),"
+    " pl AS (SELECT o.query, o.score, d.source, left(d.text, 900) AS text, CASE WHEN o.live THEN 'live' ELSE 'offline' END AS side,"
+        " CASE WHEN o.live THEN row_number() OVER (PARTITION BY o.query, o.live ORDER BY o.score DESC, d.source, left(d.text, 900)) ELSE o.rank END AS rank"
+        " FROM o JOIN documents d ON d.doc_id = o.doc WHERE o.rank <= 5 AND (NOT o.live OR o.score >= 20)),"
+    " pe AS (SELECT pl.*, '[' || rank || '] ' || source || chr(10) || text AS entry FROM pl JOIN c ON c.query = pl.query AND c.context_source = side),"
+    " u AS (SELECT *, sum(length(entry)) OVER (PARTITION BY query ORDER BY rank) <= 2000 AS used FROM pe),"
+    " g AS (SELECT query, coalesce(string_agg(entry, chr(10) || chr(10) ORDER BY rank) FILTER (WHERE used), '') AS context, string_agg(source || ' ' || printf('%.4f', round_even(score, 4)) || CASE WHEN used THEN ' used' ELSE '' END, '; ' ORDER BY rank) AS trace FROM u GROUP BY query),"
+    " h2 AS (SELECT c.query, gated, context_source, coalesce(context, '') AS context, coalesce(trace, '') AS trace FROM c LEFT JOIN g ON g.query = c.query)"
+    f" SELECT query, gated, context_source, md5(context) AS digest, trace, CASE WHEN context <> '' THEN CAST(list_position(v, list_max(v)) - 1 AS INTEGER) END AS answer"
+    f" FROM (SELECT *, [{', '.join(_READ.format(x) for x in (chr(39) + 'the' + chr(39), chr(39) + 'de' + chr(39), chr(39) + 'la' + chr(39), chr(39) + 'ch' + chr(39)))}] AS v FROM h2)"
+)
+def rag_answers(spark, d):
+    """R-21: each item's decision with the context it was answered from, the answer of a reader that counts the options in it, and the trace of its passages."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source", F.substring("text", 1, 900).alias("text"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query"))
+    hits = R.matched(table(spark, d, "documents"), "doc_id", "text", R.query_tokens(table(spark, d, "benchmark"), "item_id", "text"), False)
+    live = (F.col("doc") % 3 == 0).alias("live")
+    ranked = R.top_k(R.bm25(hits).select("query", "doc", F.round("score", 6).alias("score"), "first_qi", live), 5, [F.desc("score"), F.asc("first_qi"), F.asc("doc")], ["query", "live"]).join(docs, "doc")
+    off, on = ranked.where("not live"), ranked.where("live")
+    decided = rag.decide(off, on, items, F.lit(45.0), 20.0).withColumn("options", F.array(*[F.lit(x) for x in ("the", "de", "la", "ch")]))
+
+    def reader(row):
+        counts = F.transform(row["options"], lambda o: F.floor((F.char_length(row["context"]) - F.char_length(F.replace(row["context"], o, F.lit("")))) / F.char_length(o)))
+        return F.when(row["context"] != "", N.let(counts, lambda c: F.array_position(c, F.array_max(c)) - 1).cast("int"))
+
+    out = rag.answered(decided, off, on, 2000, reader, 20.0)
+    told = F.transform("trace", lambda p: F.concat(p["source"], F.format_string(" %.4f", p["score"]), F.when(p["used"], " used").otherwise("")))
+    return out.select("query", "gated", "context_source", F.md5("context").alias("digest"), F.array_join(told, "; ").alias("trace"), "answer")
+
+
 @query(
     LOG + ", o AS (SELECT question_text, max(top_score) AS top, count(*) AS n FROM runlog WHERE event_id % 3 = 0 GROUP BY 1)"
         ", l AS (SELECT question_text, max(confidence) AS top, count(*) AS n FROM runlog WHERE event_id % 3 <> 0 AND confidence >= 0.3 GROUP BY 1),"
