@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, prepare
 
 NONE, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = (None, "system", "user", "assistant")
@@ -158,6 +158,7 @@ def repaired(turns: DataFrame) -> DataFrame:
     long text is one row.  An empty table gives no rows; other columns are left
     out.
     """
+    prepare(turns.sparkSession)
     rows = ordered(turns)
 
     def edges(batches):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, small
+from .common import cut, free_name, prepare, small
 from .tokens import DIGIT, Words, chunks, mix, powers, windows, words_of
 
 #: Units that a number may carry.
@@ -234,6 +234,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, of=temp
     A text is read whole however long it is.  Empty tables give no pairs; other
     columns, whatever their names, are left out.
     """
+    prepare(docs.sparkSession)
     items = cut(_windows_table(benchmark.where("item_id is not null"), "item_id", "text", of=of))
     n_hashes = items.select("hash").distinct().count()
     only = None

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, prepare, small
 from .tokens import CHUNK, DIGIT, Words, chunks, words_of
 
 #: The classifier is fitted on at most so many labelled rows, those whose ids have the least hashes, and at most so many characters of them in all.
@@ -133,6 +133,7 @@ def evidence(model: Model, w: Words) -> np.ndarray:
 
 def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Fits on at most rows labelled documents.  Good: quality 1 and not toxic (a null toxic is not toxic; a null quality is no label)."""
+    prepare(docs.sparkSession)
     own = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("_toxic"))
     picked = cut(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     met = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("_h", F.xxhash64("doc_id"))
@@ -151,6 +152,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
 def scores(docs: DataFrame, model: Model, keys: list[str], inside: int | None = None) -> DataFrame:
     """keys of docs and their evidence, a double.  inside: the text is that field of the first key, a struct; else it is the column text."""
+    prepare(docs.sparkSession)
     frame = docs.select(*keys) if inside is not None else docs.select(*keys, "text")
     schema = docs.select(*keys).withColumn("evidence", F.lit(0.0)).schema
 

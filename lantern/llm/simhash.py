@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, small
+from .common import cut, free_name, prepare, small
 from .graph import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -71,6 +71,7 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp: the 64 bits as a signed long) of every row; a null or empty text has 0."""
 
+    prepare(docs.sparkSession)
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), size) for t in b.column(1)], dtype=np.uint64)
@@ -366,6 +367,7 @@ def print_of(h: np.ndarray) -> int:
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, own, fp, bands) of every row: a hash and the fingerprint of its set of shingles, and its bands; a text without words has none."""
+    prepare(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):

@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, shared_dir
+from .common import BROADCAST_ROWS, cut, prepare, shared_dir
 
 #: Shorter payloads are always stored in full.
 LEAST_REVISIT = 1000
@@ -192,6 +192,7 @@ def mark_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 def write_packages(rows: DataFrame, folder: str, roll: int = 256 << 20, zip64: bool = False) -> DataFrame:
     """Writes what mark_revisits returns; (path, records, bytes) of each package, checkpointed.  A package is closed once it has roll bytes."""
 
+    prepare(rows.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]):
         fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
@@ -277,6 +278,7 @@ def record_ranges(packages: DataFrame, span: int = 4 << 20) -> DataFrame:
 def read_packages(packages: DataFrame, span: int = 16 << 20) -> DataFrame:
     """Every record of the packages (path, and bytes if known, for about span bytes a task): page_id, url, record_type, payload_digest, refers_to, payload_bytes, payload (null for revisits)."""
 
+    prepare(packages.sparkSession)
     def run(batches):
         names = [x.split()[0] for x in _RECORDS.split(", ")]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small
+from .common import cut, prepare, small
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -486,6 +486,7 @@ def _parts(pages: DataFrame) -> DataFrame:
 
 def infer(pages: DataFrame, fan: int = 64) -> DataFrame:
     """pages (url, html) -> (host, wrapper) as JSON.  A null url belongs to host ''."""
+    prepare(pages.sparkSession)
     return _merged(_parts(pages).where("wrapper is not null").select("host", "wrapper"), fan)
 
 
@@ -509,6 +510,7 @@ def extract(pages: DataFrame) -> DataFrame:
     template.  Very long pages and deep nesting are read whole; other columns
     of pages are left out.
     """
+    prepare(pages.sparkSession)
     parts = cut(_parts(pages))
 
     def decided(batches):
