@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, free_name, prepare
 
 #: A-Z become lower case and other ASCII but digits and letters a space; bytes from 128 on are parts of characters that belong to words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -120,15 +120,15 @@ def weights(texts: DataFrame, gain: DataFrame, buckets: int) -> DataFrame:
 def numbered(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """df with its rows numbered from 1 in the given order, by ranges: no task sees more than its range, and the driver only counts of rows."""
     ranges = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))  # kept: a range must be the same for its count and its numbers
-    at = F.monotonically_increasing_id()
-    counts = sorted(ranges.groupBy(F.shiftright(at, 33).alias("part")).count().collect())
-    starts, total = {}, 0
-    for part, n in counts:
-        starts[part], total = total, total + n
-    if not starts:
-        return ranges.withColumn(name, F.lit(None).cast("long"))
-    start = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in starts.items() for x in kv]), F.shiftright(at, 33))
-    return ranges.withColumn(name, start + at.bitwiseAND((1 << 33) - 1) + 1)
+    part, at = free_name(df, "_part"), free_name(df, "_at")
+    placed = ranges.withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.shiftright(at, 33))
+    starts, total = [], 0
+    for k, n in sorted(placed.groupBy(part).count().collect()):
+        starts.append((k, total))
+        total += n
+    before = free_name(df, "_before")
+    known = F.broadcast(df.sparkSession.createDataFrame(starts, f"`{part}` long, `{before}` long"))  # a row for each range
+    return placed.join(known, part).withColumn(name, F.col(before) + F.col(at).bitwiseAND((1 << 33) - 1) + 1).drop(part, at, before)
 
 
 def noise(seed: str, *cols: Column) -> Column:
