@@ -49,9 +49,16 @@ LEAD_IN = r"(?i)^(?:according to|as reported (?:in|on|by)|based on|per)\s+(?:the
 QUOTED = r"\"[^\"]{3,60}\"|(?<![A-Za-z])'[^']{3,60}'"
 PROPER_NOUNS = r"\b[A-Z][a-zA-Z0-9.]*(?:\s+(?:of|the|and|in|de|von)\s+[A-Z][a-zA-Z0-9.]*|\s+(?:[A-Z][a-zA-Z0-9.]*|[IVX]+))+"
 CONCEPTS = "effect|theory|hypothesis|fallacy|syndrome|principle|paradox|dilemma|bias|disorder|cycle|reaction|law|imperative|dissonance"
-LEADING_FILLER = "the a an of this that its his her their which describes best concept term fundamental does did do is are was were".split()
+LEADING_FILLER = (
+    "the", "a", "an", "of", "this", "that", "its", "his", "her", "their", "which", "describes", "best",
+    "concept", "term", "fundamental", "does", "did", "do", "is", "are", "was", "were",
+)
 STOP_PHRASES = ("which", "what", "how", "the following", "best describes", "according to")
-FUNCTION_WORDS = "the a an and or of in on to for with from by as at is are was were be his her its it he she they this that their de von but into over".split()
+FUNCTION_WORDS = (
+    "the", "a", "an", "and", "or", "of", "in", "on", "to", "for", "with", "from", "by", "as", "at", "is",
+    "are", "was", "were", "be", "his", "her", "its", "it", "he", "she", "they", "this", "that", "their", "de",
+    "von", "but", "into", "over",
+)
 
 
 def tokens(text: Column, drop_stopwords: bool = True) -> Column:

@@ -54,13 +54,14 @@ def marked(df: DataFrame, n: int, key: list[str], seed: int | str = 0, name: str
     if rest == 0:
         return sure.unionByName(ties.withColumn(name, F.lit(False))).drop("_h")
     ties = cut(ties)  # their numbers must be those that were counted
-    at = F.monotonically_increasing_id()
-    counts = sorted(ties.groupBy(F.shiftright(at, 33).alias("p")).count().collect())
-    takes = {}
-    for p, count in counts:
-        takes[p] = min(count, rest - sum(takes.values()))
-    own = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in takes.items() for x in kv]), F.shiftright(at, 33))
-    return sure.unionByName(ties.withColumn(name, at.bitwiseAND((1 << 33) - 1) < own)).drop("_h")
+    placed = ties.withColumn("_at", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_at", 33))
+    takes, left = [], rest
+    for p, count in sorted(placed.groupBy("_p").count().collect()):
+        takes.append((p, min(count, left)))
+        left -= takes[-1][1]
+    known = F.broadcast(df.sparkSession.createDataFrame(takes, "_p long, _own long"))  # a row for each partition
+    named = placed.join(known, "_p").withColumn(name, F.col("_at").bitwiseAND((1 << 33) - 1) < F.col("_own"))
+    return sure.unionByName(named.drop("_p", "_at", "_own")).drop("_h")
 
 
 def sample(df: DataFrame, n: int, key: list[str], seed: int | str = 0) -> DataFrame:
