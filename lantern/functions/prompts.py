@@ -42,7 +42,9 @@ def messages(question: Column, options: Column, system: Column, instruction: str
 
 
 def example_answer(letter: Column, rationale: Column, reasoned: bool) -> Column:
-    """What an example's assistant says, in the form that the prompt asks for: the boxed letter after the rationale, if there is one and prompts ask for reasons, else the bare answer."""
+    """What an example's assistant says, in the form that the prompt asks for: the boxed letter after the rationale, if there is one and
+    prompts ask for reasons, else the bare answer.
+    """
     bare = F.concat(F.lit("Answer: "), letter)
     return F.when(F.coalesce(rationale, F.lit("")) != "", F.concat(rationale, F.lit("\n\\boxed{"), letter, F.lit("}"))).otherwise(bare) if reasoned else bare
 

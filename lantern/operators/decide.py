@@ -93,7 +93,9 @@ def _all_abstain(arms: DataFrame) -> DataFrame:
 
 
 def ensemble_vote(arms: DataFrame, weights: DataFrame) -> DataFrame:
-    """arms as above without probs -> (question_id, chosen_index, votes): the index with the most weight, the lowest wins ties; where all arms abstain the first one's, with null votes."""
+    """arms as above without probs -> (question_id, chosen_index, votes): the index with the most weight, the lowest wins ties; where all arms
+    abstain the first one's, with null votes.
+    """
     votes = arms.where("not is_abstain").join(F.broadcast(weights), "arm").groupBy("question_id", "chosen_index").agg(F.round(F.sum("weight"), 9).alias("votes"))
     w = Window.partitionBy("question_id").orderBy(F.desc("votes"), F.asc("chosen_index"))
     said = votes.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

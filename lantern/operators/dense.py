@@ -23,7 +23,9 @@ SENT = 64
 
 
 def packed(df: DataFrame, key: str, vector: str, on: list[str], size: int) -> DataFrame:
-    """(n, keys, groups, matrix): blocks of up to size rows; keys and groups as arrays, matrix as packed doubles.  Rows without a vector are left out; vectors of different lengths in a block are an error."""
+    """(n, keys, groups, matrix): blocks of up to size rows; keys and groups as arrays, matrix as packed doubles.  Rows without a vector are
+    left out; vectors of different lengths in a block are an error.
+    """
     kind = dict(df.dtypes)[key]
     group = F.to_json(F.struct(*on), {"ignoreNullFields": "false"}) if on else F.lit("")
     rows = df.where(F.col(vector).isNotNull()).select(key, group.alias("g"), F.col(vector).cast("array<double>").alias("v"))

@@ -35,7 +35,10 @@ def live_report(log: DataFrame) -> DataFrame:
 
 
 def gate_report(log: DataFrame, category: str = "category") -> DataFrame:
-    """(category, n, n_gated, gate_rate, acc_gated, acc_ungated, score_correct, score_wrong) of log (gated, correct, top_score, n_passages) by category and of 'all'; rows without n_passages didn't retrieve and are left out, a null category is 'unknown', accuracies of no rows are null."""
+    """(category, n, n_gated, gate_rate, acc_gated, acc_ungated, score_correct, score_wrong) of log (gated, correct, top_score, n_passages) by
+    category and of 'all'; rows without n_passages didn't retrieve and are left out, a null category is 'unknown', accuracies of no rows are
+    null.
+    """
     rows = log.where("n_passages is not null").select("gated", "correct", "top_score", F.explode(F.array(F.coalesce(category, F.lit("unknown")), F.lit("all"))).alias("category"))
     gated, right = F.coalesce("gated", F.lit(False)), F.coalesce("correct", F.lit(False))
     of = lambda cond: F.round(F.avg(F.when(cond, F.when(right, 1.0).otherwise(0.0))), 9)

@@ -24,7 +24,9 @@ def query_tokens(queries: DataFrame, query: str, text: str) -> DataFrame:
 
 
 def matched(docs: DataFrame, doc: str, text: str, q: DataFrame, positions: bool = True) -> DataFrame:
-    """(query, qi, token, doc, tf, positions, dl, idf, avgdl) of the documents' tokens that occur in a query of q (query, qi, token), however many there are; from block postings of just those tokens."""
+    """(query, qi, token, doc, tf, positions, dl, idf, avgdl) of the documents' tokens that occur in a query of q (query, qi, token), however
+    many there are; from block postings of just those tokens.
+    """
     return hits(blocks(docs, doc, text, q, positions=positions), q)
 
 
@@ -120,7 +122,9 @@ def _loaded(key: str, load: Callable) -> object:
 
 
 def model_scorer(load: Callable[[], Callable[[list[str], list[str]], list[float]]]) -> Callable[[Column, Column], Column]:
-    """A model's scorer of (queries, texts) as a function of Columns: load is called once in a worker, what it returns with whole Arrow batches; another number of scores than of pairs is an error."""
+    """A model's scorer of (queries, texts) as a function of Columns: load is called once in a worker, what it returns with whole Arrow
+    batches; another number of scores than of pairs is an error.
+    """
     key = uuid.uuid4().hex
 
     @F.pandas_udf("double")

@@ -20,7 +20,9 @@ BINS = 10
 
 
 def _cells(rows: DataFrame, thresholds: list[float], latency_step: float) -> DataFrame:
-    """(tier, level, place, kept, bin, slow, n, hits, conf): rows by cell; place: thresholds that the margin reaches, kept: whether the tier's own answer or the next one's counts."""
+    """(tier, level, place, kept, bin, slow, n, hits, conf): rows by cell; place: thresholds that the margin reaches, kept: whether the tier's
+    own answer or the next one's counts.
+    """
     reached = lambda m: F.when(m.isNull(), len(thresholds)).otherwise(sum((m >= t).cast("int") for t in thresholds) if thresholds else F.lit(0))
 
     def outcome(tier: int, kept: bool, arm: str, place):
