@@ -88,3 +88,27 @@ def test_query_on_whole_table(spark):
     raw = [(r.text or "").encode() for r in docs]
     want = sorted((r.doc_id, *digest(t, m)) for r, t, m in zip(docs, raw, plain(raw)))
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op8_suffix_array_dedup(spark, d).collect()) == want
+
+
+def test_filter_of_hashes(spark, monkeypatch):
+    """Beyond KNOWN hashes go to tasks as bits: all are known, and few others."""
+    import numpy as np
+
+    hashes = spark.range(20_000).selectExpr("xxhash64(id) AS h")
+    own = np.array([r.h for r in hashes.collect()], np.int64).view(np.uint64)
+    other = np.array([r.h for r in spark.range(20_000).selectExpr("xxhash64(id, 1) AS h").collect()], np.int64).view(np.uint64)
+    for known in (20_000, 0):
+        monkeypatch.setattr(X, "KNOWN", known)
+        has = X._knowing(hashes).value
+        assert X._in(has, own).all() and X._in(has, other).mean() <= (0 if known else 0.06)
+
+
+def test_only_segments_in_question_are_sent(spark):
+    """What is counted needs no bytes: copies of a text send none, a text that differs in one place sends those around it."""
+    rng = random.Random(7)
+    base = ["".join(rng.choices("abcdefgh", k=3000)) for _ in range(5)]
+    for texts, most in ((base * 4, 0), ([*base, *base, base[0][:1500] + "X" + base[0][1500:]], 4000)):
+        rows = X._rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        known = X._knowing(X.repeated_anchors(rows))
+        sent = X._distinct_segments(rows, known, X._knowing(X.shared_sides(X._keyed(rows, known)))).selectExpr("coalesce(sum(length(body)), 0) AS n").first().n
+        assert (sent > 0) == (most > 0) and sent <= most * spark.sparkContext.defaultParallelism
