@@ -66,9 +66,12 @@ def growth_stream(spark, d):
         F.when(F.col("event_type").isin("view", "click"), F.concat(F.lit("article "), (F.col("event_id") % 300).cast("string"))).alias("title"),
         F.when(F.col("event_type") == "purchase", True).when(F.col("event_type") == "error", False).alias("correct"), "ts", F.col("event_id").alias("place"))
     folder = shared_folder(spark, "growth")
-    G.replay(rows, f"{folder}/in", "ts", 3)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    G.record(G.decisions(stream, wait=_WAIT, gap=_GAP, late=_LATE), f"{folder}/out", f"{folder}/state").awaitTermination()
+
+    def arrived():
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        G.record(G.decisions(stream, wait=_WAIT, gap=_GAP, late=_LATE), f"{folder}/out", f"{folder}/state").awaitTermination()
+
+    G.replay(rows, f"{folder}/in", "ts", 3, arrived)
     micros = [F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01', CAST({c} AS TIMESTAMP_NTZ))").alias(c) for c in ("fetched_at", "decided_at", "out_at")]
     out = spark.read.schema(G.DECISIONS).parquet(f"{folder}/out")
     return out.select("session_id", "question", "title", *micros[:2], "decision", micros[2])
